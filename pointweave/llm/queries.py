@@ -79,8 +79,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 WARC_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT h, n, min(page_id) AS first FROM p GROUP BY h, n),
-b AS (SELECT h, list_reduce(list_prepend('', list_transform(range(0, 160, 5), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-  1 + (('0x' || substr(h || '0', (1 + i // 4)::INT, 2))::INT // (8 >> (i % 4)::INT) % 32)::INT, 1))), (x, y) -> x || y) AS digest FROM f)
+b AS (SELECT h, list_reduce(list_prepend('', list_transform(range(0, 160, 5), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  1 + (('0x' || substr(h || '0', (1 + i // 4)::INT, 2))::INT // (8 >> (i % 4)::INT) % 32)::INT, 1))), lambda x, y: x || y) AS digest FROM f)
 SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first THEN first END AS refers_to FROM p JOIN f USING (h, n) JOIN b USING (h)"""
 
