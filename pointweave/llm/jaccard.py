@@ -6,9 +6,10 @@ of equal size and position, and pairs of blocks whose sizes or positions rule a
 level: equal sets have one answer, each set is first held against one near set, and pairs that the answers so far put
 into one component need none of their own.
 
-A token with more than LONG_LIST sets makes no pairs. Its sets are held against one of them; where that does not join
-them all, they are indexed again among themselves with such tokens moved to the end of the order, and what is left
-when that changes nothing more (near copies in bulk) is compared in dense blocks. All of it is exact.
+A token with more than LONG_LIST sets makes no pairs. Where the links so far do not join its sets, they are indexed
+again among themselves with such tokens moved to the end of the order; in the last round the sets that still share
+one (near copies in bulk) are held against one of them and, if that does not join them, compared in dense blocks. All of
+it is exact.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ LONG_LIST = 48
 BUSY_IN_BATCH = 24
 #: Times that sets are indexed again, and frequent tokens that are handed to every executor, at most.
 ROUNDS, MOST_TOKENS = 3, 4_000_000
-#: Bits of the parity sketch, and sets in a dense block.
-SKETCH_BITS, DENSE = 1024, 512
+#: Bits of the least parity sketch (they grow with the set), and sets in a dense block.
+SKETCH_BITS, DENSE = 512, 512
 
 SETS = "id long, n int, sig_a long, sig_b long, sketch binary, busy array<long>, prefix array<long>"
 
@@ -44,11 +45,21 @@ def prefix_length(n, num: int, den: int):
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parities of the tokens by hash bucket: the bits in which two sketches differ are at most the tokens that do."""
-    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) & 1
+    """Parities of the tokens by hash bucket, two buckets or more a token, in a power of two."""
+    bits = max(SKETCH_BITS, 1 << (2 * len(tokens) - 1).bit_length()) if len(tokens) else SKETCH_BITS
+    odd = np.bincount((tokens >> np.uint64(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def least_difference(x: bytes, y: bytes) -> int:
+    """Tokens that two sets differ in, at least: the bits that do, the longer sketch folded to the shorter one."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(p) != len(q):
+        p, q = (p, q) if len(p) < len(q) else (q, p)
+        q = np.bitwise_xor.reduce(q.reshape(-1, len(p)), 0)
+    return int(np.bitwise_count(p ^ q).sum())
+
+
 def signed(tokens: np.ndarray) -> np.ndarray:
     return tokens.view(np.int64)
 
@@ -107,6 +118,14 @@ def list_pairs(ids: np.ndarray, n: np.ndarray, pos: np.ndarray, num: int, den: i
     return np.stack([a, b], 1)[a != b]
 
 
+def two_pairs(a, n, p, b, m, q, num: int, den: int) -> np.ndarray:
+    """list_pairs of many lists of two."""
+    need = -(-num * (n + m) // (num + den))
+    room = np.minimum(p, q) + np.minimum(n - p, m - q)
+    good = (room >= need) & (den * np.minimum(n, m) >= num * np.maximum(n, m)) & (a != b)
+    return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[good]
+
+
 def index(rows: DataFrame, frequent: DataFrame | None, num: int, den: int, name: str) -> tuple[DataFrame, DataFrame]:
     """(a, b) pairs from short lists, and (token, id, n) rows of the long ones, for (id, n, prefix) rows.
 
@@ -146,7 +165,10 @@ def index(rows: DataFrame, frequent: DataFrame | None, num: int, den: int, name:
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             ends = np.append(starts[1:], len(token))
             pairs, long_rows, keep = [], [], len(token)
-            for s, e in zip(starts[(ends - starts > 1) | (ends == len(token)) | (starts == 0)], ends[(ends - starts > 1) | (ends == len(token)) | (starts == 0)], strict=True):
+            twos = starts[(ends - starts == 2) & (starts > 0) & (ends < len(token))]
+            pairs.append(two_pairs(*(c[twos] for c in columns[1:]), *(c[twos + 1] for c in columns[1:]), num, den))
+            rest = (ends - starts > 2) | (ends == len(token)) | (starts == 0)
+            for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True):
                 if token[s] == streamed or e - s > LONG_LIST:
                     long_rows.append(np.stack([c[s:e] for c in columns[:3]]))
                     streamed = token[s] if e == len(token) else None
@@ -177,12 +199,12 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, num:
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            left, right = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("sketch_a", "sketch_b"))
-            differ = np.bitwise_count(left ^ right).sum(1) if b.num_rows else np.zeros(0)
+            both = zip(b.column("sketch_a").to_pylist(), b.column("sketch_b").to_pylist(), strict=True)
+            differ = np.fromiter((least_difference(x, y) for x, y in both), np.int64, b.num_rows)
             n = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
             yield b.select(["a", "b"]).filter(pa.array(differ <= n - 2 * (-(-num * n // (num + den)))))
 
-    batch_rows(spark, 8192)
+    batch_rows(spark, 2048)
     close = cut(two.mapInArrow(near, "a long, b long").distinct(), "close-pairs")
     wanted = cut(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "close-ids")
 
@@ -272,15 +294,21 @@ def component_links(sets: DataFrame, docs: DataFrame, width: int, num: int, den:
     count = frequent.count()
     frequent = small(frequent, 16, count) if count else None
     rows, links, labels, before = sets, [], None, None
-    late = frequent
+    late, done = frequent, []
     for turn in range(ROUNDS):
         pairs, long_lists = index(rows, late, num, den, f"lists-{turn}")
         long_lists = cut(long_lists, f"long-lists-{turn}")
+        for tested in done:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs, f"pairs-{turn}")
-        band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
-        heads = long_lists.withColumn("band", band).groupBy("token", "band").agg(F.min("id").alias("a"))
-        stars = long_lists.withColumn("band", band).join(heads, ["token", "band"]).where("a <> id").select("a", F.col("id").alias("b"))
-        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b").union(stars).distinct()
+        done.append(pairs)
+        open_rows = long_lists
+        first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        if turn + 1 == ROUNDS:  # the sets that are left are nearly all frequent tokens: near copies, one of which joins most
+            band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(den / num)))
+            heads = long_lists.withColumn("band", band).groupBy("token", "band").agg(F.min("id").alias("a"))
+            stars = long_lists.withColumn("band", band).join(heads, ["token", "band"]).where("a <> id").select("a", F.col("id").alias("b"))
+            first = first.union(stars).distinct()
         first = cut(first, f"first-{turn}")
         links.append(linked(first, sets, docs, width, num, den))
         labels = components(reduce(DataFrame.union, links))
