@@ -371,4 +371,4 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 4, den: int =
         labels = components(several if labels is None else several.union(labels.select(F.col("component").alias("a"), F.col("node").alias("b"))))
     named = placed.select("id", "n", F.coalesce("rep", "id").alias("rep")).join(labels.toDF("rep", "label"), "rep", "left")
     kind = docs.schema[id_col].dataType
-    return named.select(F.col("id").cast(kind).alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.coalesce("label", "rep").cast(kind).alias("component_id"))
+    return named.select(F.col("id").cast(kind).alias(id_col), F.col("n").cast("long").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("label", "rep")).cast(kind).alias("component_id"))
