@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.functions.stats import bucket_of_ten, nearest_rank
+from pointweave.functions.stats import bucket_of_ten, nearest_rank, stabilised
 
 
 def share(a: Column, b: Column) -> Column:
@@ -52,3 +52,19 @@ def leave_one_out(df: DataFrame, level: list[str], own: str, successes: str, tri
     mine = df.groupBy(*level, own).agg(F.sum(successes).alias("s"), F.sum(trials).alias("t"))
     every = df.groupBy(*level).agg(F.sum(successes).alias("all_s"), F.sum(trials).alias("all_t"))
     return mine.join(every, level).select(*level, own, (F.col("all_s") - F.col("s")).alias("other_s"), (F.col("all_t") - F.col("t")).alias("other_t"))
+
+
+def backoff_prior(cases: DataFrame, levels: dict[str, list[str]], own: str, successes: str, trials: str) -> DataFrame:
+    """Add source and prior: the first level with trials left without the own ones, stabilised; else uniform.
+
+    ``cases`` has a row per own value and finest level; ``levels`` go from the finest to the coarsest.
+    """
+    out, source, prior = cases, F.lit("uniform"), F.lit(0.5)
+    for name, level in levels.items():
+        rest = leave_one_out(cases, level, own, successes, trials).withColumnsRenamed({"other_s": f"{name}_s", "other_t": f"{name}_t"})
+        out = out.join(rest, [*level, own])
+    for name in reversed(levels):
+        left = F.col(f"{name}_t")
+        source = F.when(left > 0, name).otherwise(source)
+        prior = F.when(left > 0, stabilised(F.col(f"{name}_s"), left, 2)).otherwise(prior)
+    return out.select(*cases.columns, source.alias("source"), prior.alias("prior"))

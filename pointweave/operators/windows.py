@@ -14,6 +14,12 @@ def split_halves(df: DataFrame, group: list[str], order: list[str], alternating:
     return df.withColumn("half", F.when(left, "left").otherwise("right"))
 
 
+def ranked(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Add rn, the place of the row's value in its group, and n, the group's rows."""
+    w = W.partitionBy(*group)
+    return df.withColumns({"rn": F.row_number().over(w.orderBy(value)), "n": F.count(F.lit(1)).over(w)})
+
+
 def fold_rows(df: DataFrame, year: str, first: int, last: int, window: int) -> DataFrame:
     """Add as_of: each row in every fold whose history [as_of - window, as_of) holds its year."""
     low, high = F.greatest(F.col(year) + 1, F.lit(first)), F.least(F.col(year) + window, F.lit(last))
