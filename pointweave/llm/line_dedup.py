@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,9 +13,6 @@ from pyspark.sql import functions as F
 
 from pointweave.llm.common import batch_rows, cut, small
 
-#: Distinct texts up to which a line is rare: each two of them are aligned. Texts of a more frequent line are aligned
-#: with the first text that has it.
-RARE_TEXTS = 8
 #: Words of an aligned block of lines, at least, for it to be deleted.
 BLOCK_WORDS = 5
 
@@ -24,7 +23,8 @@ def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
     """Aligned index pairs of two sequences by patience diff.
 
     Items that occur once in both are ordered by the longest increasing run of their places; between two of them the
-    same is done again, and runs of equal items next to them are taken in.
+    same is done again, and runs of equal items next to them are taken in. A stretch without such items is aligned by
+    its longest common subsequence.
     """
     out: list[tuple[int, int]] = []
     todo = [(0, len(left), 0, len(right))]
@@ -45,6 +45,9 @@ def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
         for i in range(a, b):
             once[left[i]] = -1 if left[i] in once else i
         places = sorted((i, here[x]) for x, i in once.items() if i >= 0 and here.get(x, -1) >= 0)
+        if not places:
+            out.extend(common(left, right, a, b, c, d))
+            continue
         tops: list[int] = []
         piles: list[int] = []
         before = [-1] * len(places)
@@ -52,17 +55,36 @@ def patience(left: list[int], right: list[int]) -> list[tuple[int, int]]:
             p = bisect_left(tops, j)
             before[k] = piles[p - 1] if p else -1
             tops[p:], piles[p:] = [j, *tops[p + 1 :]], [k, *piles[p + 1 :]]
-        chain, k = [], piles[-1] if piles else -1
+        chain, k = [], piles[-1]
         while k >= 0:
             chain.append(places[k])
             k = before[k]
         edges = [(a - 1, c - 1), *reversed(chain), (b, d)]
         out.extend(chain)
-        if chain:
-            todo.extend((x + 1, y, u + 1, v) for (x, u), (y, v) in zip(edges, edges[1:], strict=False))
+        todo.extend((x + 1, y, u + 1, v) for (x, u), (y, v) in zip(edges, edges[1:], strict=False))
     return sorted(out)
 
 
+def common(left: list[int], right: list[int], a: int, b: int, c: int, d: int) -> list[tuple[int, int]]:
+    """Index pairs of a longest common subsequence of left[a:b] and right[c:d] (Hunt and Szymanski)."""
+    at = defaultdict(list)
+    for j in range(d - 1, c - 1, -1):
+        at[right[j]].append(j)
+    tops: list[int] = []
+    ends: list[tuple] = []
+    for i in range(a, b):
+        for j in at.get(left[i], ()):
+            p = bisect_left(tops, j)
+            if p < len(tops) and tops[p] == j:
+                continue
+            tops[p : p + 1], ends[p : p + 1] = [j], [(i, j, ends[p - 1] if p else None)]
+    out, end = [], ends[-1] if ends else None
+    while end:
+        out.append(end[:2])
+        end = end[2]
+    return out
+
+
 def deleted(first: list[dict], later: list[dict], block_words: int) -> list[int]:
     """Places of the later text's lines that stand in aligned blocks of ``block_words`` words or more."""
     pairs = patience([x["hash"] for x in first], [x["hash"] for x in later])
@@ -85,22 +107,50 @@ def shared_lines(docs: DataFrame) -> DataFrame:
     return cut(lines.join(per, "hash"), "shared-lines")
 
 
-def overlapping(lines: DataFrame, rare: int, block_words: int) -> DataFrame:
-    """(a, b) with a < b: ids to align. Rare lines bring together every two of their ids, frequent ones each id and the
-    first; a frequent line alone brings no two texts together unless it is a block by itself."""
-    one = lines.where(F.col("n") <= rare).select("hash", "id").distinct()
-    both = one.join(one.withColumnRenamed("id", "later"), "hash").where("id < later").select(F.col("id").alias("a"), F.col("later").alias("b"))
-    many = lines.where(F.col("n") > rare).where("id > first").groupBy(F.col("first").alias("a"), F.col("id").alias("b")).agg(F.sum("words").alias("w"))
-    return both.union(many.where(F.col("w") >= block_words).select("a", "b")).distinct()
+def runs(lines: list[dict], block_words: int) -> Iterator[tuple[bytes, int, int]]:
+    """(hash, first place, last place) of the shortest runs of adjacent lines with ``block_words`` words from each line
+    on, and up to each line: they cover every block, and each of them is in both texts of an alignment that has it."""
+    sums = [0]
+    for x in lines:
+        sums.append(sums[-1] + x["words"])
+    found, begin = set(), 0
+    for stop in range(1, len(lines) + 1):
+        if stop < len(lines) and lines[stop]["pos"] == lines[stop - 1]["pos"] + 1:
+            continue
+        for k in range(begin, stop):
+            start, end = bisect_right(sums, sums[k + 1] - block_words) - 1, bisect_left(sums, sums[k] + block_words) - 1
+            found |= ({(start, k)} if start >= begin else set()) | ({(k, end)} if end < stop else set())
+        begin = stop
+    for start, end in found:
+        digest = blake2b(b"".join(x["hash"].to_bytes(8, "big", signed=True) for x in lines[start : end + 1]), digest_size=16).digest()
+        yield digest, lines[start]["pos"], lines[end]["pos"]
+
+
+def all_runs(rows: DataFrame, block_words: int) -> DataFrame:
+    """(id, run, start, end) of the rows' runs that several ids have, with ``first``, the least of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [(r["id"], *x) for r in batch.to_pylist() for x in runs(r["lines"], block_words)]
+            columns = list(zip(*got, strict=True)) or [()] * 4
+            kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "run", "start", "end"])
+
+    every = cut(rows.select("id", "lines").mapInArrow(run, "id long, run binary, start int, end int"), "line-runs")
+    per = every.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
+    return cut(every.join(per, "run"), "shared-runs")
 
 
-def duplicate_lines(docs: DataFrame, rare: int = RARE_TEXTS, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def duplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, removed): for each id with lines to delete, their sorted places in its text.
 
     Equal texts keep all lines in the least id and lose them in the others. Of two different texts that share lines,
-    the one with the greater id loses the aligned blocks. Frequent lines are aligned with the first text that has
-    them, which keeps them, so a line's last copy is never deleted. Lines are told apart by 64-bit hashes. Null and
-    empty texts and rows with a null id lose nothing; rows that repeat an id are one text (the least).
+    the one with the greater id loses the aligned blocks; the first text that has a line keeps it, so a line's last
+    copy is never deleted. The result is that of aligning every two texts, without most of the pairs: texts whose
+    shared lines are the same in the same order and adjacency align alike, so each such class has one text to align
+    with; a text is aligned with the first text of each run of lines it shares, and only where that leaves a line of a
+    shared run in place with all other texts of the run. Lines are told apart by 64-bit hashes. Null and empty texts
+    and rows with a null id lose nothing; rows that repeat an id are one text (the least).
     """
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     texts = cut(whole.select("id", F.sha2("text", 256).alias("sha"), F.size(F.split("text", "\n", -1)).alias("n_lines")).groupBy("id").agg(F.min("sha").alias("sha"), F.min_by("n_lines", "sha").alias("n_lines")), "line-texts")
@@ -109,9 +159,16 @@ def duplicate_lines(docs: DataFrame, rare: int = RARE_TEXTS, block_words: int =
     reps = heads.select(F.col("rep").alias("id"), F.col("sha"))
     distinct = whole.withColumn("sha", F.sha2("text", 256)).join(small(reps, 96), ["id", "sha"], "left_semi").select("id", "text")
     lines = shared_lines(distinct)
-    rows = cut(lines.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "hash", "words"))).alias("lines")), "line-rows")
-    pairs = cut(overlapping(lines, rare, block_words), "line-pairs")
-    met = pairs.join(rows.toDF("a", "lines_a"), "a").join(rows.toDF("b", "lines_b"), "b").select("b", "lines_a", "lines_b")
+    rows = lines.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "hash", "words"))).alias("lines"))
+    steps = F.transform("lines", lambda x, k: F.struct(x["hash"], (k > 0) & (x["pos"] == F.get("lines", k - 1)["pos"] + 1)))
+    rows = cut(rows.withColumn("like", F.xxhash64(steps)), "line-rows")
+    alike = rows.groupBy("like").agg(F.min("id").alias("rep"))
+    rows = cut(rows.join(alike, "like").drop("like"), "line-classes")
+    heads_only = rows.where("id = rep").select("id", "lines")
+
+    def aligned(pairs: DataFrame, name: str) -> DataFrame:
+        met = pairs.join(heads_only.toDF("a", "lines_a"), "a").join(heads_only.toDF("b", "lines_b"), "b").select("b", "lines_a", "lines_b")
+        return cut(met.mapInArrow(run, "id long, pos int"), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,7 +180,16 @@ def duplicate_lines(docs: DataFrame, rare: int = RARE_TEXTS, block_words: int =
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32())], names=["id", "pos"])
 
     batch_rows(docs.sparkSession, 512)
-    found = cut(met.mapInArrow(run, "id long, pos int"), "line-deletions")
+    shared = all_runs(heads_only, block_words)
+    pairs = cut(shared.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
+    found = aligned(pairs, "line-deletions")
+    gone = found.groupBy("id").agg(F.collect_set("pos").alias("gone"))
+    left = shared.where("id > first").join(gone, "id", "left").where(F.coalesce(F.size(F.array_except(F.sequence("start", "end"), "gone")), F.lit(1)) > 0)
+    left = cut(left.select("run", F.col("id").alias("b")).distinct(), "runs-left")
+    others = left.join(shared.select("run", F.col("id").alias("a")).distinct(), "run").where("a < b").select("a", "b").distinct()
+    more = aligned(others.join(pairs, ["a", "b"], "left_anti"), "more-deletions")
+    same = rows.where("id > rep").select(F.col("id").alias("b"), F.col("lines").alias("lines_a"), F.col("lines").alias("lines_b"))
+    found = found.unionByName(more).unionByName(cut(same.mapInArrow(run, "id long, pos int"), "like-deletions"))
     found = found.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
     again = copies.select("id", F.sequence(F.lit(0), F.col("n_lines") - 1).alias("removed"))
     return found.unionByName(again).select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "removed")

@@ -172,6 +172,31 @@ def test_lines(spark):
     assert {r["doc_id"]: r["text"] for r in line_dedup.without_lines(df, removed).collect()}[2] == b
 
 
+def test_lines_of_many_texts(spark):
+    a, b = "one two three", "four five six"
+    rows = [(1, a), (2, b), *((i, f"{a}\n{b}" + (f"\nown {i}" if i % 2 else "")) for i in range(3, 21))]
+    got = line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["removed"] for r in got} == {i: [0, 1] for i in range(4, 21)}
+    pairs = line_dedup.patience([1, 2, 1, 2, 9], [3, 1, 2, 1, 2, 4, 4])
+    assert pairs == [(0, 1), (1, 2), (2, 3), (3, 4)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_lines_as_every_two_texts(spark, seed):
+    rng = random.Random(seed)
+    pool = [" ".join([f"w{k}"] * n) for k, n in enumerate((1, 2, 2, 3, 3, 4, 5, 6))]
+    texts = {i: [rng.choice(pool) if rng.random() < 0.9 else f"own {i}" for _ in range(rng.randrange(1, 9))] for i in range(60)}
+    held = {x: {i for i, t in texts.items() if x in t} for t in texts.values() for x in t}
+    first = {}
+    for i, t in texts.items():
+        first.setdefault(tuple(t), i)
+    lines = {i: [{"pos": k, "hash": x, "words": len(x.split())} for k, x in enumerate(t) if len(held[x] & set(first.values())) > 1] for i, t in texts.items()}
+    want = {i: set(range(len(t))) if first[tuple(t)] < i else {k for a in first.values() if a < i for k in line_dedup.deleted(lines[a], lines[i], 5)} for i, t in texts.items()}
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = line_dedup.duplicate_lines(df).collect()
+    assert {r["doc_id"]: r["removed"] for r in got} == {i: sorted(x) for i, x in want.items() if x}
+
+
 def test_model(spark):
     rng = random.Random(1)
     rows = [(i, words(rng, 60) if i % 2 else "spam! " * rng.randrange(5, 60), i % 2) for i in range(600)]
