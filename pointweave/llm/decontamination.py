@@ -1,4 +1,4 @@
-"""Operator 10: rare n-gram seeds and Smith-Waterman alignment against benchmark items."""
+"""Operator 10: n-gram seeds in diagonal bands and Smith-Waterman alignment against benchmark items."""
 
 from __future__ import annotations
 
@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from pointweave.llm.common import batch_rows
 
-#: Words of a seed; a seed is rare up to RARE_DOCS documents, or one in RARE_ONE_IN if that is more. RUN frequent
-#: seeds in a row on one diagonal (a passage of RUN + 2 words) serve like rare ones.
-GRAM, RARE_DOCS, RARE_ONE_IN, RUN, LEAST_SEEDS = 3, 20, 1000, 3, 2
+#: Words of a seed, and the different seeds of an item that a diagonal band of a document holds at least. How many
+#: documents hold a seed does not count, so a copy is found however often it was copied.
+GRAM, LEAST_SEEDS = 3, 2
+#: Places of seeds in items that one step holds in memory; more are taken in halves of the texts.
+STEP_PLACES = 5_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score from which a document counts as a copy of it, and the least words of an item.
 LEAST_SCORE, LEAST_WORDS = 0.5, 5
@@ -115,37 +117,22 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best >> bits, best & (unit - 1), end
 
 
-def leaks(items: Items, rare: np.ndarray, texts: list[bytes | None]) -> list[tuple[int, int, float, int, int, int]]:
+def leaks(items: Items, texts: list[bytes | None]) -> list[tuple[int, int, float, int, int, int]]:
     """(text, item, score, seeds, first word, last word) of the best alignment of each text and item that is a copy."""
     numbers, doc, gram = items.look_up(texts)
     at = np.flatnonzero(gram >= 0)
     if not len(at):
         return []
-    is_rare = rare[gram[at]]
-    filled = np.zeros(len(gram) + 2 * RUN, bool)
-    filled[at + RUN] = True
-    sums = np.concatenate([[0], np.cumsum(filled)])
-    lined = np.zeros(len(at), bool)
-    for back in range(RUN):  # the RUN positions from ``back`` before the gram are all grams
-        begin = at + RUN - back
-        lined |= sums[begin + RUN] - sums[begin] == RUN
-    at, is_rare = at[is_rare | lined], is_rare[is_rare | lined]
     count = np.diff(items.offsets)[gram[at]]
+    if count.sum() > STEP_PLACES and len(texts) > 1:
+        half = len(texts) // 2
+        return leaks(items, texts[:half]) + [(d + half, *rest) for d, *rest in leaks(items, texts[half:])]
     place = np.repeat(items.offsets[gram[at]] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    seed, item, is_rare = np.repeat(at, count), items.item[place], np.repeat(is_rare, count)
+    seed, item = np.repeat(at, count), items.item[place]
     diagonal = seed - items.position[place]
     order = np.lexsort((seed, diagonal, item, doc[seed]))
-    seed, item, diagonal, is_rare = seed[order], item[order], diagonal[order], is_rare[order]
+    seed, item, diagonal = seed[order], item[order], diagonal[order]
     owner = doc[seed]
-    # RUN seeds in a row on one diagonal count as rare ones
-    same = np.concatenate([[False], (owner[1:] == owner[:-1]) & (item[1:] == item[:-1]) & (diagonal[1:] == diagonal[:-1]) & (seed[1:] == seed[:-1] + 1)])
-    run = np.arange(len(seed)) - np.maximum.accumulate(np.where(same, 0, np.arange(len(seed))))
-    good = is_rare.copy()
-    for k in range(RUN):
-        good[: len(seed) - k] |= (run >= RUN - 1)[k:] & (run[k:] >= k)
-    seed, item, diagonal, owner = seed[good], item[good], diagonal[good], owner[good]
-    if not len(seed):
-        return []
     lengths = np.array([len(w) for w in items.words])
     slack = lengths[item] // 4 + 4
     apart = np.concatenate([[True], (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])])
@@ -153,11 +140,15 @@ def leaks(items: Items, rare: np.ndarray, texts: list[bytes | None]) -> list[tup
     ends = np.append(starts[1:], len(seed))
     first, last = np.searchsorted(doc, owner[starts]), np.searchsorted(doc, owner[starts], side="right")
     jobs = []
-    for s, e, low, high in zip(starts, ends, first, last, strict=True):
+    many = ends - starts >= LEAST_SEEDS
+    for s, e, low, high in zip(starts[many], ends[many], first[many], last[many], strict=True):
         seeds = len(np.unique(seed[s:e]))
         if seeds >= LEAST_SEEDS:
             a = max(low, diagonal[s] - slack[s])
             z = min(high, diagonal[e - 1] + lengths[item[s]] + slack[s])
+            # a score is at most MATCH for each word of the item that the window has: fewer cannot reach LEAST_SCORE
+            if np.isin(items.words[item[s]], numbers[a:z]).sum() < LEAST_SCORE * lengths[item[s]]:
+                continue
             jobs.append((int(owner[s]), int(item[s]), seeds, int(a), int(z), int(low)))
     jobs.sort(key=lambda j: (j[4] - j[3], lengths[j[1]]))
     best: dict[tuple[int, int], tuple] = {}
@@ -187,26 +178,6 @@ def _texts(b: pa.RecordBatch, name: str) -> list:
     return b.column(name).cast(pa.large_binary()).to_pylist()
 
 
-def rare_grams(docs: DataFrame, items: Items, text_col: str) -> np.ndarray:
-    """Which grams of the block are rare, from the number of documents that hold each, over all documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = np.zeros(len(items.grams), np.int64), 0
-        for b in batches:
-            _, doc, gram = items.look_up(_texts(b, text_col))
-            rows += b.num_rows
-            each = np.unique(doc[gram >= 0] * len(items.grams) + gram[gram >= 0])
-            held += np.bincount(each % max(len(items.grams), 1), minlength=len(items.grams))
-        some = np.flatnonzero(held)
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int64()), pa.array([rows, *held[some].tolist()], pa.int64())], names=["gram", "docs"])
-
-    batch_rows(docs.sparkSession)
-    sums = docs.select(text_col).mapInArrow(run, "gram long, docs long").groupBy("gram").agg(F.sum("docs")).collect()
-    held = {r[0]: r[1] for r in sums}
-    limit = max(RARE_DOCS, held.get(-1, 0) // RARE_ONE_IN)
-    return np.array([held.get(g, 0) <= limit for g in range(len(items.grams))], bool)
-
-
 def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row (id, item_id, score, n_seeds, first_word, last_word) for each document that copies a benchmark item.
 
@@ -221,12 +192,11 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     out = T.StructType([docs.schema[id_col], *T.StructType.fromDDL("item_id long, score double, n_seeds long, first_word long, last_word long").fields])
     parts = None
     for items in item_blocks(benchmark, item_id_col, item_text_col, block_words):
-        rare = rare_grams(docs, items, text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items, rare: np.ndarray = rare) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 found = {}
-                for d, i, *rest in leaks(items, rare, _texts(b, text_col)):
+                for d, i, *rest in leaks(items, _texts(b, text_col)):
                     found[d, items.ids[i]] = max(found.get((d, items.ids[i]), (0.0,)), tuple(rest))
                 at = pa.array([d for d, _ in found], pa.int64())
                 columns = [b.column(id_col).take(at), pa.array([i for _, i in found], pa.int64())]
@@ -243,12 +213,11 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 def keep_unleaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, in which benchmark_leaks finds no item."""
     for items in item_blocks(benchmark, item_id_col, item_text_col, block_words):
-        rare = rare_grams(docs, items, text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items, rare: np.ndarray = rare) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[[d for d, *_ in leaks(items, rare, _texts(b, text_col))]] = False
+                keep[[d for d, *_ in leaks(items, _texts(b, text_col))]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)

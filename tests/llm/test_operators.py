@@ -149,6 +149,16 @@ def test_leaks(spark):
     assert decontamination.benchmark_leaks(df, bench.limit(0)).collect() == []
 
 
+def test_leaks_of_many_copies(spark):
+    item = [f"w{k}" for k in range(40)]
+    edited = " ".join("other" if k % 4 == 3 else x for k, x in enumerate(item))
+    df = spark.createDataFrame([(i, edited) for i in range(30)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    got = decontamination.benchmark_leaks(df, bench).collect()
+    assert {r["doc_id"] for r in got} == set(range(30)) and {r["n_seeds"] for r in got} == {10}
+    assert decontamination.keep_unleaked(df, bench).count() == 0
+
+
 def test_align():
     rng = np.random.default_rng(1)
     for _ in range(20):
