@@ -74,8 +74,8 @@ def of_kind(spans: Column, kinds: list[str]) -> Column:
 def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Interval join of (scope_key, span) rows: the weak spans whose complements lie within ``scope`` of them.
 
-    Rows meet on (scope_key, bucket): buckets are ``scope`` wide and a part stands in every bucket that its reach
-    touches, so a bucket holds what ``scope`` code points can hold. Semi joins report a span once and make no pairs.
+    Rows meet on (scope_key, bucket): buckets are ``scope`` wide, a weak span stands in every bucket that it touches
+    and a part in every bucket that its reach touches. Semi joins make no pairs; a span is reported once.
     Weak identifiers need a secret, weak secrets an identifier, endpoints both.
     """
 
@@ -88,12 +88,12 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
         right = of(role)
         gap = F.greatest(F.col("r_span.start") - F.col("span.end"), F.col("span.start") - F.col("r_span.end"))
         on = (F.col("scope_key") == F.col("r_key")) & (F.col("bucket") == F.col("r_bucket")) & (gap <= scope)
-        return left.join(right, on, "left_semi")
+        touched = F.sequence(F.floor(F.col("span.start") / scope), F.floor(F.col("span.end") / scope))
+        at = left.withColumn("bucket", F.explode(touched))
+        return at.join(right, on, "left_semi").select("scope_key", "span").distinct()
 
-    at = parts.withColumn("bucket", F.floor(F.col("span.start") / scope))
-    weak = {k: at.where(F.col("span.kind") == KINDS.index(k)) for k in WEAK}
-    out = near(weak["weak_id"], "secret").unionByName(near(weak["weak_secret"], "id")).unionByName(near(near(weak["endpoint"], "id"), "secret"))
-    return out.select("scope_key", "span").distinct()
+    weak = {k: parts.where(F.col("span.kind") == KINDS.index(k)) for k in WEAK}
+    return near(weak["weak_id"], "secret").unionByName(near(weak["weak_secret"], "id")).unionByName(near(near(weak["endpoint"], "id"), "secret"))
 
 
 def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = SCOPE) -> DataFrame:

@@ -93,6 +93,17 @@ def test_secrets(spark):
     assert got[6]["spans"] == "" and got[7]["n_hex"] == 3
 
 
+def test_far_reaching_secrets(spark):
+    long = "private_key=" + "q" * 1604
+    edge = "_" * 194 + " pwd=" + "z" * 16
+    endpoint = "https://" + "h" * 900
+    texts = [f"{long} username=bob", f"{edge}{' ' * 190}user=bob", f"{edge}{' ' * 201}user=bob", f"user=bob {endpoint} pwd=zz9zz9"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.secret_digest(secrets.secret_scan(df)).collect()}
+    assert got[0] == "weak_secret:0:1616,weak_id:1617:1629" and got[1] == "weak_secret:195:215,weak_id:405:413"
+    assert got[2] == "" and "endpoint:9:917" in got[3]
+
+
 def test_sharding(docs, rows):
     got = sharding.shard_digest(sharding.shuffle_into_shards(docs, 5)).collect()
     assert len(got) == len(rows)
