@@ -53,18 +53,47 @@ def page_key(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host_of(url), F.regexp_replace(path_of(url), "/$", ""), F.when(left != "", F.concat(F.lit("?"), left)).otherwise("")))
 
 
+def without_dots(path: Column) -> Column:
+    """A path that starts with a slash, its . and .. segments resolved."""
+    parts = F.split(F.substring(path, 2, F.length(path)), "/", -1)
+    last = F.element_at(parts, -1)
+    parts = F.when(last.isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    kept = F.aggregate(
+        parts,
+        F.expr("cast(array() as array<string>)"),
+        lambda acc, x: F.when(x == ".", acc).when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(x))),
+    )
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
 def target_of(url: Column, link: Column) -> Column:
-    """An address in a page as an absolute one; null for what is not an address of a page."""
+    """An address in a page as an absolute one (RFC 3986, 5.2); null for what is not an address of a page: another
+    scheme than http, an empty link, or a relative one in a page whose url has no ``://``."""
     origin = F.regexp_extract(url, r"^([^:/?#]+://[^/?#]*)", 1)
     scheme = F.regexp_extract(url, r"^([^:/?#]+):", 1)
+    own, path = path_of(url), F.regexp_extract(link, r"^([^?#]*)", 1)
+    rest = F.substring(link, F.length(path) + 1, F.length(link))
+    query = F.regexp_extract(after_scheme(url), r"^[^?#]*(\?[^#]*)", 1)
+    folder = F.when(own == "", "/").otherwise(F.regexp_extract(own, "^(.*/)", 1))
     return (
         F.when(F.length(link) == 0, None)
         .when(link.rlike(r"(?i)^https?://"), link)
+        .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None)
         .when(link.startswith("//"), F.concat(scheme, F.lit(":"), link))
-        .when(link.startswith("/") & (F.length(origin) > 0), F.concat(origin, link))
+        .when(F.length(origin) == 0, None)
+        .when(link.startswith("/"), F.concat(origin, without_dots(path), rest))
+        .when(link.startswith("?"), F.concat(origin, own, link))
+        .when(link.startswith("#"), F.concat(origin, own, query))
+        .otherwise(F.concat(origin, without_dots(F.concat(folder, path)), rest))
     )
 
 
+def links_of(html: Column, hint: str, tag: str, address: str) -> Column:
+    """The addresses of all tags of a kind; texts without ``hint`` are not searched."""
+    tags = F.when(html.contains(hint) | html.contains(hint.upper()), F.regexp_extract_all(html, F.lit(tag), F.lit(0)))
+    return F.coalesce(F.transform(tags, lambda x: F.regexp_extract(x, address, 1)), F.expr("cast(array() as array<string>)"))
+
+
 def inline_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
     """struct(verdict, rule) of the longest fitting rule (ties: the longer host, then text order), or null."""
     if len(rules) > INLINE_RULES:
@@ -105,13 +134,12 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     an id keep a row each; empty tables give empty results; other columns are not read.
     """
     url = F.col(url_col).cast("string")
-    links = [F.lit(None).cast("string")] * 2
+    to_keys = F.expr("cast(array() as array<string>)")
     if html_col:
         html = F.col(html_col).cast("string")
-        canonical = F.when(html.contains("anonical") | html.contains("ANONICAL"), F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1))
-        refresh = F.when(html.contains("efresh") | html.contains("EFRESH"), F.regexp_extract(F.regexp_extract(html, REFRESH, 0), REFRESH_URL, 1))
-        links = [target_of(url, canonical), target_of(url, refresh)]
-    slim = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), page_key(url).alias("page_key"), F.array_compact(F.array(*map(page_key, links))).alias("to_keys"))
+        links = F.concat(links_of(html, "anonical", CANONICAL, HREF), links_of(html, "efresh", REFRESH, REFRESH_URL))
+        to_keys = F.array_compact(F.transform(links, lambda x: page_key(target_of(url, x))))
+    slim = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), page_key(url).alias("page_key"), to_keys.alias("to_keys"))
     if isinstance(rules, DataFrame):
         slim = cut(slim, "page-keys")
         slim = slim.join(match_rules(slim, rules), ["host", "path"], "left")

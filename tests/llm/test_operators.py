@@ -133,6 +133,26 @@ def test_urls(spark):
     assert {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.url_filter(pages, rules=table).collect()} == got
 
 
+def test_relative_links(spark):
+    def refresh(to):
+        return f'<meta http-equiv="refresh" content="0; url={to}">'
+
+    canonical = '<link rel="canonical" href="%s">'
+    rows = [
+        (1, "https://a.net/fr/1", None),
+        (2, "https://b.org/x/home.html", canonical % "/y" + canonical % "https://a.net/fr/1"),
+        (3, "https://b.org/x/old", refresh("home.html")),
+        (4, "https://b.org/x/z/old", refresh("https://q.org/1") + refresh("./../home.html#top")),
+        (5, "https://b.org/s?id=3", canonical % "https://a.net/fr/1"),
+        (6, "https://b.org/s", refresh("?id=3")),
+        (7, "https://b.org", refresh("x/home.html")),
+        (8, "https://b.org/mail", refresh("mailto:x/home.html")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.url_filter(pages).collect()}
+    assert got == {**dict.fromkeys(range(1, 8), "block"), 8: "allow"}
+
+
 def test_warc(spark):
     rows = [(3, "u\r\nX: y", "a"), (1, None, "a"), (2, None, None), (None, "q", "z"), (5, "p", ""), (4, "ü", "é" * 500)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
