@@ -374,7 +374,7 @@ def T3_union(spark: SparkSession, d: str) -> DataFrame:
 @registered(None)
 def P2_normalize(spark: SparkSession, d: str) -> DataFrame:
     """Names are normalised once each and joined back by the caller."""
-    names = read(spark, d, "documents").select(F.substring_index("text", " ", 2).alias("name")).distinct()
+    names = read(spark, d, "documents").select(F.col("text").alias("name")).distinct()
     return names.select("name", text.normalise_identity(F.col("name")).alias("identity"))
 
 

@@ -6,6 +6,7 @@ from pointweave.functions.notation import parse_notation
 from pointweave.functions.stats import beta_posterior, finite_quantile, nearest_rank
 from pointweave.functions.text import court_side, normalise_identity, parse_rank, rank_band
 from pointweave.operators.integrity import collapse, conflict_counts, require
+from pointweave.plans import registry
 
 CELLS = [
     ("5*", True, "5", 0, "ace", None), ("6#", True, "6", 0, "unreturnable", None), ("cc4e", True, "4", 0, "serve_fault", None), ("4+w", True, "4", 0, "serve_fault", None),
@@ -54,3 +55,10 @@ def test_stats(spark):
     b = beta_posterior(F.lit(11), F.lit(10), F.lit(0.5), 1)
     row = spark.range(1).select(finite_quantile(v, 0.95), nearest_rank(v, 0.5), b["mean"]).first()
     assert tuple(row) == (95, 50, None)
+
+
+def test_names_are_normalised_whole(spark, tmp_path):
+    rows = [(1, "Zoë O'Connor  of New-York"), (2, "Zoë O'Connor  of New-York"), (3, "Zoë O'Connor")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["name"]: r["identity"] for r in registry.P2_normalize(spark, str(tmp_path)).collect()}
+    assert got == {rows[0][1]: "zoe o connor of new york", rows[2][1]: "zoe o connor"}
