@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +15,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A side is broadcast only when its measured rows times width stay below this.
 BROADCAST_BYTES = 32 << 20
+#: A key is hot from this share of all rows on, so there are HOT_SHARE hot keys at most.
+HOT_SHARE = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or an own one where that is unset (local tests)."""
+    """The folder every executor sees: spark.checkpoint.dir. An own one serves where that is unset and all is local."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         base = "file://" + tempfile.mkdtemp(prefix="pointweave-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -35,23 +41,44 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a ``cut`` whose readers have all finished."""
-    spark = df.sparkSession
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
     """Broadcast ``df`` if its counted size is below BROADCAST_BYTES; beyond it Spark shuffles both sides."""
     rows = df.count() if rows is None else rows
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def batch_rows(spark: SparkSession, rows: int = 1024) -> None:
-    """Bound the rows that one Arrow batch holds, as single texts may be long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def hot_join(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """Inner join of ``rows`` with ``keys``, one row per ``on`` and ``n``, its rows in ``rows``; ``n`` is left out.
+
+    Hot keys, HOT_SHARE of them at most, are broadcast, so their rows stay where they are; the others are shuffled.
+    Both sides are read twice and should be written tables.
+    """
+    least = -(-rows.count() // HOT_SHARE)
+    hot = F.broadcast(keys.where(F.col("n") > least).drop("n"))
+    rest = rows.join(hot.select(on), on, "left_anti").join(keys.where(F.col("n") <= least).drop("n"), on)
+    return rest.unionByName(rows.join(hot, on))
+
+
+def rebatched(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of ``rows`` (the last one smaller). Spark bounds the bytes of what comes in, so no
+    operator has to change the session's batch size."""
+    held: list[pa.RecordBatch] = []
+    many = 0
+    for b in batches:
+        while b.num_rows:
+            part, b = b.slice(0, rows - many), b.slice(min(rows - many, b.num_rows))
+            held.append(part)
+            many += part.num_rows
+            if many == rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+                held, many = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
+
+
+def named(id_col: str, columns: list[str]) -> list[str]:
+    """Result names beside the id's: one that the id has gets ``_result`` behind it."""
+    return [f"{c}_result" if c == id_col else c for c in columns]
 
 
 def partitions(spark: SparkSession) -> int:

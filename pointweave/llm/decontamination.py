@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointweave.llm.common import batch_rows
+from pointweave.llm.common import rebatched
 
 #: Words of a seed, and the different seeds of an item that a diagonal band of a document holds at least. How many
 #: documents hold a seed does not count, so a copy is found however often it was copied.
@@ -194,7 +194,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     for items in item_blocks(benchmark, item_id_col, item_text_col, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in rebatched(batches):
                 found = {}
                 for d, i, *rest in leaks(items, _texts(b, text_col)):
                     found[d, items.ids[i]] = max(found.get((d, items.ids[i]), (0.0,)), tuple(rest))
@@ -204,7 +204,6 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
         part = docs.mapInArrow(run, out)
         parts = part if parts is None else parts.unionByName(part)
-    batch_rows(docs.sparkSession)
     if parts is None:
         return docs.sparkSession.createDataFrame([], out).withColumn("item_id", F.col("item_id").cast(item_kind))
     return parts.withColumn("item_id", F.col("item_id").cast(item_kind))
@@ -215,11 +214,10 @@ def keep_unleaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for items in item_blocks(benchmark, item_id_col, item_text_col, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in rebatched(batches):
                 keep = np.ones(b.num_rows, bool)
                 keep[[d for d, *_ in leaks(items, _texts(b, text_col))]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
-    batch_rows(docs.sparkSession)
     return docs

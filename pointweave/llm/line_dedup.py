@@ -11,10 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import batch_rows, cut, small
+from pointweave.llm.common import cut, hot_join, rebatched, small
 
 #: Words of an aligned block of lines, at least, for it to be deleted.
 BLOCK_WORDS = 5
+#: Equal lines of two stretches without anchors, up to which their longest common subsequence is worked out. Beyond it
+#: the block moves in ``deleted`` find the same blocks, as they do for all that the alignment leaves.
+MOST_MATCHES = 1_000_000
 
 LINES = "array<struct<pos:int,hash:long,words:int>>"
 
@@ -70,6 +73,8 @@ def common(left: list[int], right: list[int], a: int, b: int, c: int, d: int) ->
     at = defaultdict(list)
     for j in range(d - 1, c - 1, -1):
         at[right[j]].append(j)
+    if sum(len(at[x]) for x in left[a:b] if x in at) > MOST_MATCHES:
+        return []
     tops: list[int] = []
     ends: list[tuple] = []
     for i in range(a, b):
@@ -86,7 +91,12 @@ def common(left: list[int], right: list[int], a: int, b: int, c: int, d: int) ->
 
 
 def deleted(first: list[dict], later: list[dict], block_words: int) -> list[int]:
-    """Places of the later text's lines that stand in aligned blocks of ``block_words`` words or more."""
+    """Places of the later text's lines that stand in aligned blocks of ``block_words`` words or more.
+
+    Patience diff aligns in one order. Common blocks that stand elsewhere in the first text, or oftener in the later
+    one, cross that order; what the alignment left of them is taken, too, so the result is every line of the later
+    text that is in a block of adjacent lines of the first.
+    """
     pairs = patience([x["hash"] for x in first], [x["hash"] for x in later])
     out, block = [], []
     for k, (i, j) in enumerate(pairs):
@@ -95,21 +105,27 @@ def deleted(first: list[dict], later: list[dict], block_words: int) -> list[int]
             block = []
         block.append(j)
     out += block if sum(later[x]["words"] for x in block) >= block_words else []
-    return [later[j]["pos"] for j in out]
+    gone = {later[j]["pos"] for j in out}
+    if len(gone) < len(later):
+        known = {tuple(x["hash"] for x in first[s : e + 1]) for s, e in spans(first, block_words)}
+        for s, e in spans(later, block_words):
+            if tuple(x["hash"] for x in later[s : e + 1]) in known:
+                gone.update(x["pos"] for x in later[s : e + 1])
+    return sorted(gone)
 
 
 def shared_lines(docs: DataFrame) -> DataFrame:
-    """(id, pos, hash, words, n, first): the lines of (id, text) rows that several ids have; blank ones are left out."""
+    """(id, pos, hash, words): the lines of (id, text) rows that several ids have; blank ones are left out."""
     lines = docs.select("id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     words = F.regexp_count("line", F.lit(r"[^\x20\x09-\x0D]+")).cast("int")
     lines = cut(lines.select("id", "pos", F.xxhash64("line").alias("hash"), words.alias("words")).where("words > 0"), "lines")
-    per = lines.groupBy("hash", "id").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first")).where("n > 1")
-    return cut(lines.join(per, "hash"), "shared-lines")
+    per = cut(lines.groupBy("hash").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last"), "lines-of-several")
+    return cut(hot_join(lines, per.select("hash", "n"), "hash"), "shared-lines")
 
 
-def runs(lines: list[dict], block_words: int) -> Iterator[tuple[bytes, int, int]]:
-    """(hash, first place, last place) of the shortest runs of adjacent lines with ``block_words`` words from each line
-    on, and up to each line: they cover every block, and each of them is in both texts of an alignment that has it."""
+def spans(lines: list[dict], block_words: int) -> set[tuple[int, int]]:
+    """First and last index of the shortest runs of adjacent lines with ``block_words`` words from each line on, and up
+    to each line: together they cover every block."""
     sums = [0]
     for x in lines:
         sums.append(sums[-1] + x["words"])
@@ -121,24 +137,29 @@ def runs(lines: list[dict], block_words: int) -> Iterator[tuple[bytes, int, int]
             start, end = bisect_right(sums, sums[k + 1] - block_words) - 1, bisect_left(sums, sums[k] + block_words) - 1
             found |= ({(start, k)} if start >= begin else set()) | ({(k, end)} if end < stop else set())
         begin = stop
-    for start, end in found:
+    return found
+
+
+def runs(lines: list[dict], block_words: int) -> Iterator[tuple[bytes, int, int]]:
+    """(hash, first place, last place) of the spans: each run of a block is in both texts of an alignment that has it."""
+    for start, end in spans(lines, block_words):
         digest = blake2b(b"".join(x["hash"].to_bytes(8, "big", signed=True) for x in lines[start : end + 1]), digest_size=16).digest()
         yield digest, lines[start]["pos"], lines[end]["pos"]
 
 
 def all_runs(rows: DataFrame, block_words: int) -> DataFrame:
-    """(id, run, start, end) of the rows' runs that several ids have, with ``first``, the least of them."""
+    """(run, id, start, end) of the rows' runs that several ids have, with ``first``, the least of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rebatched(batches):
             got = [(r["id"], *x) for r in batch.to_pylist() for x in runs(r["lines"], block_words)]
             columns = list(zip(*got, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "run", "start", "end"])
 
     every = cut(rows.select("id", "lines").mapInArrow(run, "id long, run binary, start int, end int"), "line-runs")
-    per = every.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    return cut(every.join(per, "run"), "shared-runs")
+    per = cut(every.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"), "runs-of-several")
+    return cut(hot_join(every, per, "run"), "shared-runs")
 
 
 def duplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,11 +167,12 @@ def duplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str
 
     Equal texts keep all lines in the least id and lose them in the others. Of two different texts that share lines,
     the one with the greater id loses the aligned blocks; the first text that has a line keeps it, so a line's last
-    copy is never deleted. The result is that of aligning every two texts, without most of the pairs: texts whose
-    shared lines are the same in the same order and adjacency align alike, so each such class has one text to align
-    with; a text is aligned with the first text of each run of lines it shares, and only where that leaves a line of a
-    shared run in place with all other texts of the run. Lines are told apart by 64-bit hashes. Null and empty texts
-    and rows with a null id lose nothing; rows that repeat an id are one text (the least).
+    copy is never deleted. The result is that of aligning every two texts, however many share a line, from pairs that
+    grow with the lines only: texts whose shared lines are the same in the same order and adjacency align alike, so each
+    such class has one text to align with; and a text is aligned with the first text of each run of lines it shares,
+    which takes every line of the run, so no other text of the run could add one. Lines are told apart by 64-bit
+    hashes. Null and empty texts and rows with a null id lose nothing; rows that repeat an id are one text (the least);
+    an empty table gives no rows; other columns are not read.
     """
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     texts = cut(whole.select("id", F.sha2("text", 256).alias("sha"), F.size(F.split("text", "\n", -1)).alias("n_lines")).groupBy("id").agg(F.min("sha").alias("sha"), F.min_by("n_lines", "sha").alias("n_lines")), "line-texts")
@@ -171,7 +193,7 @@ def duplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str
         return cut(met.mapInArrow(run, "id long, pos int"), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in rebatched(batches, 256):
             ids, places = [], []
             for r in batch.to_pylist():
                 got = deleted(r["lines_a"], r["lines_b"], block_words)
@@ -179,17 +201,11 @@ def duplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str
                 places += got
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32())], names=["id", "pos"])
 
-    batch_rows(docs.sparkSession, 512)
     shared = all_runs(heads_only, block_words)
     pairs = cut(shared.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
     found = aligned(pairs, "line-deletions")
-    gone = found.groupBy("id").agg(F.collect_set("pos").alias("gone"))
-    left = shared.where("id > first").join(gone, "id", "left").where(F.coalesce(F.size(F.array_except(F.sequence("start", "end"), "gone")), F.lit(1)) > 0)
-    left = cut(left.select("run", F.col("id").alias("b")).distinct(), "runs-left")
-    others = left.join(shared.select("run", F.col("id").alias("a")).distinct(), "run").where("a < b").select("a", "b").distinct()
-    more = aligned(others.join(pairs, ["a", "b"], "left_anti"), "more-deletions")
     same = rows.where("id > rep").select(F.col("id").alias("b"), F.col("lines").alias("lines_a"), F.col("lines").alias("lines_b"))
-    found = found.unionByName(more).unionByName(cut(same.mapInArrow(run, "id long, pos int"), "like-deletions"))
+    found = found.unionByName(cut(same.mapInArrow(run, "id long, pos int"), "like-deletions"))
     found = found.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
     again = copies.select("id", F.sequence(F.lit(0), F.col("n_lines") - 1).alias("removed"))
     return found.unionByName(again).select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "removed")

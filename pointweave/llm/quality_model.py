@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointweave.llm.common import batch_rows
+from pointweave.llm.common import rebatched
 
 #: Labelled rows that a model is fitted on, at most: those of least hash, so the sample is the same on every run.
 SAMPLE_ROWS = 20_000
@@ -123,10 +123,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     clear = clear.where("pw_low = pw_high").select(id_col, F.col("pw_low").cast("double").alias("pw_label"))
     sample = clear.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
     rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select("pw_label", text_col)
-    batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rebatched(batches):
             x = _matrix(b.column(text_col))
             yield pa.RecordBatch.from_arrays([b.column("pw_label"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
 
@@ -143,10 +142,9 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     """
     kind = docs.schema[id_col]
     out = T.StructType([kind, T.StructField("score", T.DoubleType())])
-    batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rebatched(batches):
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(forest.scores(_matrix(b.column(text_col))))], names=out.names)
 
     scored = docs.select(id_col, text_col).mapInArrow(run, out)

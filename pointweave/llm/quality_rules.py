@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pointweave.llm.common import batch_rows
+from pointweave.llm.common import rebatched
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SYMBOLS = b"#*$%&|<>"
@@ -204,11 +204,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     text's script. Repeated rows give repeated results, an empty table an empty one; other columns are not read.
     """
     docs = docs.select(id_col, text_col, *([lang_col] if lang_col else []))
-    batch_rows(docs.sparkSession)
     out = T.StructType([docs.schema[id_col], *MEASURES.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rebatched(batches):
             got = measure(_texts(b.column(text_col)), _strings(b, lang_col), vocabulary, bands)
             yield pa.RecordBatch.from_arrays([b.column(id_col), *(pa.array(got[f.name]) for f in MEASURES.fields)], names=out.names)
 
@@ -217,10 +216,9 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def keep_quality(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary: str = VOCABULARY, bands: dict = BANDS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that quality_rules keeps."""
-    batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in rebatched(batches):
             yield b.filter(pa.array(measure(_texts(b.column(text_col)), _strings(b, lang_col), vocabulary, bands)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)

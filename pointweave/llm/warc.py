@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import batch_rows, cut, small
+from pointweave.llm.common import cut, rebatched, small
 
 #: Payload bytes of one shard (a range of ids) and compressed bytes at which a file is rolled.
 SHARD_BYTES, ROLL_BYTES = 16 << 20, 4 << 20
@@ -159,12 +159,11 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     bounds = F.array(*[F.lit(s).cast("long") for s in starts]) if starts else F.expr("cast(array() as array<bigint>)")
     shard = F.coalesce(F.size(F.filter(bounds, lambda s: s <= F.col("page_id"))), F.lit(0))
     dealt = linked.withColumn("shard", shard).repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "sha1", "url")
-    batch_rows(spark, 256)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def files() -> Iterator[tuple]:
             roller = None
-            for b in batches:
+            for b in rebatched(batches, 256):
                 for r in b.to_pylist():
                     if roller is None or roller.shard != r["shard"]:
                         if roller:

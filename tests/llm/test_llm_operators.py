@@ -247,3 +247,43 @@ def test_model(spark):
     test = [r for r in rows if got[r[0]]["held_out"]]
     assert np.mean([got[r[0]]["predicted"] == r[2] for r in test]) > 0.97 and got[900]["score"] == got[901]["score"]
     assert quality_model.score(df.limit(0), quality_model.train(df, labels.limit(0))).collect() == []
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_lines_of_hot_runs(spark, seed):
+    """Lines that most texts have, moved and repeated blocks: every line of a later text in a block of an earlier one goes."""
+    rng = random.Random(seed)
+    hot = ["hot one two", "hot three four", "hot five six"]
+    texts = {}
+    for i in range(150):
+        parts = [[f"own {i} {k}"] if rng.random() < 0.4 else rng.sample(hot, 2) if rng.random() < 0.3 else hot[:2] for k in range(rng.randrange(1, 5))]
+        texts[i] = [x for p in parts for x in p]
+    size = {x: len(x.split()) for t in texts.values() for x in t}
+    firsts = {}
+    for i, t in texts.items():
+        firsts.setdefault(tuple(t), i)
+    want = {}
+    for i, t in texts.items():
+        if firsts[tuple(t)] < i:
+            want[i] = set(range(len(t)))
+            continue
+        for a in (x for x in firsts.values() if x < i):
+            for p in range(len(texts[a])):
+                for q in range(len(t)):
+                    n = 0
+                    while p + n < len(texts[a]) and q + n < len(t) and texts[a][p + n] == t[q + n]:
+                        n += 1
+                    if sum(size[x] for x in t[q : q + n]) >= 5:
+                        want.setdefault(i, set()).update(range(q, q + n))
+    df = spark.createDataFrame([(i, "\n".join(t)) for i, t in texts.items()], "doc_id long, text string")
+    got = line_dedup.duplicate_lines(df).collect()
+    assert {r["doc_id"]: r["removed"] for r in got} == {i: sorted(x) for i, x in want.items()}
+
+
+def test_lines_of_an_empty_table_and_repeated_ids(spark):
+    empty = spark.createDataFrame([], "doc_id int, text string, pos int, run int")
+    assert line_dedup.duplicate_lines(empty).collect() == []
+    text = "one two three\nfour five six"
+    rows = [(1, text, 0), (1, text, 0), (2, f"{text}\nmore", 0), (3, "a\n" * 3000 + "b\n" * 3000, 0), (4, "b\na\n" * 3000, 0), (5, None, 0)]
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string, pos int")).collect()}
+    assert got == {2: [0, 1]}  # 3 and 4 share blocks of two words only
