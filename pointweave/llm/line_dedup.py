@@ -184,8 +184,8 @@ def duplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str
     rows = lines.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "hash", "words"))).alias("lines"))
     steps = F.transform("lines", lambda x, k: F.struct(x["hash"], (k > 0) & (x["pos"] == F.get("lines", k - 1)["pos"] + 1)))
     rows = cut(rows.withColumn("like", F.xxhash64(steps)), "line-rows")
-    alike = rows.groupBy("like").agg(F.min("id").alias("rep"))
-    rows = cut(rows.join(alike, "like").drop("like"), "line-classes")
+    alike = cut(rows.groupBy("like").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "line-likes")
+    rows = cut(hot_join(rows, alike, "like").drop("like"), "line-classes")
     heads_only = rows.where("id = rep").select("id", "lines")
 
     def aligned(pairs: DataFrame, name: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointweave.llm.common import rebatched
+from pointweave.llm.common import named, rebatched
 
 #: Labelled rows that a model is fitted on, at most: those of least hash, so the sample is the same on every run.
 SAMPLE_ROWS = 20_000
@@ -116,20 +116,22 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> Forest:
     """Fit on at most ``sample_rows`` labelled rows outside the held-out fold.
 
-    Null labels and ids with both labels teach nothing. The sample is the ids of least hash; its size bounds what is
-    broadcast and what comes to the driver (its statistics, not its texts).
+    Null labels and ids with both labels teach nothing. The sample is the ids of least hash; rows that repeat an id
+    teach once (the least statistics), so ``sample_rows`` bounds what is broadcast and what comes to the driver (its
+    statistics, not its texts). Null and empty texts are all zeros; empty tables give a model that scores a half.
     """
     clear = labels.where(F.col(label_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(id_col).agg(F.min(label_col).alias("pw_low"), F.max(label_col).alias("pw_high"))
     clear = clear.where("pw_low = pw_high").select(id_col, F.col("pw_low").cast("double").alias("pw_label"))
     sample = clear.orderBy(F.xxhash64(id_col), id_col).limit(sample_rows)
-    rows = docs.select(id_col, text_col).join(F.broadcast(sample), id_col).select("pw_label", text_col)
+    rows = docs.select(F.col(id_col).alias("pw_id"), F.col(text_col).alias("pw_text")).join(F.broadcast(sample.withColumnRenamed(id_col, "pw_id")), "pw_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rebatched(batches):
-            x = _matrix(b.column(text_col))
-            yield pa.RecordBatch.from_arrays([b.column("pw_label"), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+            x = _matrix(b.column("pw_text"))
+            yield pa.RecordBatch.from_arrays([b.column("pw_id"), b.column("pw_label"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    got = rows.mapInArrow(run, "y double, x array<double>").orderBy("y", "x").toArrow()
+    out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("y double, x array<double>").fields])
+    got = rows.mapInArrow(run, out).groupBy("id", "y").agg(F.min("x").alias("x")).select("y", "x").orderBy("y", "x").toArrow()
     x = np.array(got["x"].to_pylist(), float).reshape(-1, len(STATISTICS))
     return fit(x, np.array(got["y"].to_pylist(), float))
 
@@ -138,14 +140,16 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     """One row per input row: id, held_out, score in 0 to 1, predicted (1 from PREDICT_FROM on).
 
     Statistics are of the whole text; null and empty texts score alike. Repeated rows give repeated results, empty
-    tables empty ones; other columns are not read, and the id is only handed through.
+    tables empty ones; other columns are not read, and the id is only handed through. A result column that the id has
+    the name of gets ``_result`` behind it.
     """
     kind = docs.schema[id_col]
-    out = T.StructType([kind, T.StructField("score", T.DoubleType())])
+    out = T.StructType([T.StructField("pw_id", kind.dataType), T.StructField("pw_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rebatched(batches):
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(forest.scores(_matrix(b.column(text_col))))], names=out.names)
 
     scored = docs.select(id_col, text_col).mapInArrow(run, out)
-    return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", F.when(F.col("score") >= PREDICT_FROM, 1).otherwise(0).alias("predicted"))
+    held, value, predicted = named(id_col, ["held_out", "score", "predicted"])
+    return scored.select(F.col("pw_id").alias(id_col), held_out(F.col("pw_id")).alias(held), F.col("pw_score").alias(value), F.when(F.col("pw_score") >= PREDICT_FROM, 1).otherwise(0).alias(predicted))

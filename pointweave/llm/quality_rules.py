@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pointweave.llm.common import rebatched
+from pointweave.llm.common import named, rebatched
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SYMBOLS = b"#*$%&|<>"
@@ -138,7 +138,7 @@ def repeats(ids: np.ndarray, doc: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 def script(text: bytes) -> str:
-    """The script of most letters among the first distinct non-ASCII ones, LATIN without any."""
+    """The script of most of the text's distinct letters, LATIN without any."""
     seen: dict[str, int] = {}
     for c in {*text.decode("utf-8", "replace")}:
         if c.isalpha():
@@ -201,10 +201,12 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id and MEASURES over the whole text.
 
     A null text counts as empty: no words, base_failed, not kept. A null or unlisted language takes the band of the
-    text's script. Repeated rows give repeated results, an empty table an empty one; other columns are not read.
+    text's script. Repeated rows give repeated results, an empty table an empty one; other columns are not read. A
+    measure that the id has the name of gets ``_result`` behind it.
     """
-    docs = docs.select(id_col, text_col, *([lang_col] if lang_col else []))
-    out = T.StructType([docs.schema[id_col], *MEASURES.fields])
+    docs = docs.select(*dict.fromkeys([id_col, text_col, *([lang_col] if lang_col else [])]))
+    columns = [T.StructField(n, f.dataType) for n, f in zip(named(id_col, MEASURES.names), MEASURES.fields, strict=True)]
+    out = T.StructType([docs.schema[id_col], *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rebatched(batches):

@@ -35,6 +35,8 @@ KINDS = [*BASE, *WEAK]
 PARTS = {"id": ["access", "weak_id"], "secret": ["assign", "hex", "weak_secret"], "endpoint": ["endpoint"]}
 #: Code points between two spans of one scope, at most.
 SCOPE = 200
+#: Matches of a text that are walked in one go.
+PIECE = 256
 
 SPAN = "struct<start:int,kind:int,end:int>"
 
@@ -42,23 +44,34 @@ SPAN = "struct<start:int,kind:int,end:int>"
 def found(text: Column, pattern: str, kind: str, least: int = 0, group: int = 0) -> Column:
     """Spans (start, kind, end) of the leftmost non-overlapping matches, those too short dropped.
 
-    split() and regexp_extract_all() cut at the same matches, so starts are running sums of both lengths.
+    split() and regexp_extract_all() cut at the same matches, so starts are running sums of both lengths. The matches
+    are walked PIECE at a time, each piece from 0 and then moved to where it begins: appending to one array would copy
+    it at every match of a long text.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.expr(f"cast(array() as array<{SPAN}>)")
     k = F.lit(KINDS.index(kind))
-    pairs = F.arrays_zip(F.split(text, pattern).alias("gap"), matches.alias("hit"))
-    walked = F.aggregate(
-        F.filter(pairs, lambda p: p["hit"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("at"),
-            F.when(
-                F.length(F.regexp_extract(p["hit"], pattern, group)) >= least,
-                F.concat(acc["spans"], F.array(F.struct((acc["at"] + F.length(p["gap"])).alias("start"), k.alias("kind"), (acc["at"] + F.length(p["gap"]) + F.length(p["hit"])).alias("end")))),
-            ).otherwise(acc["spans"]).alias("spans"),
+    pairs = F.slice(F.arrays_zip(F.split(text, pattern).alias("gap"), matches.alias("hit")), 1, F.greatest(F.size(matches), F.lit(1)))
+
+    def step(acc: Column, p: Column) -> Column:
+        start = acc["at"] + F.length(p["gap"])
+        end = start + F.length(p["hit"])
+        kept = F.length(F.regexp_extract(p["hit"], pattern, group)) >= least
+        span = F.struct(start.alias("start"), k.alias("kind"), end.alias("end"))
+        return F.struct(end.alias("at"), F.when(kept, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    zero = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    firsts = F.sequence(F.lit(1), F.size(matches), F.lit(PIECE))
+    pieces = F.transform(firsts, lambda i: F.aggregate(F.slice(pairs, i, PIECE), zero, step))
+    moved = F.aggregate(
+        pieces,
+        F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<array<{SPAN}>>)").alias("all")),
+        lambda acc, x: F.struct(
+            (acc["at"] + x["at"]).alias("at"),
+            F.concat(acc["all"], F.array(F.transform(x["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end"))))).alias("all"),
         ),
-    )["spans"]
-    return F.when(F.size(matches) > 0, walked).otherwise(F.expr(f"cast(array() as array<{SPAN}>)"))
+    )
+    return F.when(F.size(matches) > 0, F.flatten(moved["all"])).otherwise(none)
 
 
 def rendered(spans: Column) -> Column:

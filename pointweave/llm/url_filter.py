@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import cut
+from pointweave.llm.common import cut, named
 from pointweave.llm.components import components
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's path.
@@ -25,7 +25,7 @@ TRACKING = r"(?i)(^|&)(utm_[a-z]+|gclid|fbclid|ref)=[^&]*"
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Tags that name another address of the page, and where in them it stands.
-CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*(?:"[^">]*\bcanonical\b|'[^'>]*\bcanonical\b|canonical\b)[^>]*>"""
 REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 HREF = r"""(?i)\bhref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH_URL = r"""(?i)\burl\s*=\s*['"]?([^"'\s>;]+)"""
@@ -89,9 +89,10 @@ def target_of(url: Column, link: Column) -> Column:
 
 
 def links_of(html: Column, hint: str, tag: str, address: str) -> Column:
-    """The addresses of all tags of a kind; texts without ``hint`` are not searched."""
-    tags = F.when(html.contains(hint) | html.contains(hint.upper()), F.regexp_extract_all(html, F.lit(tag), F.lit(0)))
-    return F.coalesce(F.transform(tags, lambda x: F.regexp_extract(x, address, 1)), F.expr("cast(array() as array<string>)"))
+    """The addresses of all tags of a kind, &amp; read as &; texts without ``hint`` are not searched."""
+    tags = F.when(F.lower(html).contains(hint), F.regexp_extract_all(html, F.lit(tag), F.lit(0)))
+    found = F.transform(tags, lambda x: F.regexp_replace(F.regexp_extract(x, address, 1), "(?i)&amp;", "&"))
+    return F.coalesce(found, F.expr("cast(array() as array<string>)"))
 
 
 def inline_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] = RULES) -> Column:
@@ -131,15 +132,16 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     verdict of their class, the component over shared page keys, canonical links, refresh redirects and the rows of
     ``redirects`` (source, target urls): allow if a rule allows a member, else block if a rule blocks one, else allow.
     A null url, or one without ``://``, has empty host and path, is alone in its class and allowed. Pages that repeat
-    an id keep a row each; empty tables give empty results; other columns are not read.
+    an id keep a row each; empty tables give empty results; other columns are not read. A result column that the id has
+    the name of gets ``_result`` behind it.
     """
     url = F.col(url_col).cast("string")
     to_keys = F.expr("cast(array() as array<string>)")
     if html_col:
         html = F.col(html_col).cast("string")
-        links = F.concat(links_of(html, "anonical", CANONICAL, HREF), links_of(html, "efresh", REFRESH, REFRESH_URL))
+        links = F.concat(links_of(html, "canonical", CANONICAL, HREF), links_of(html, "refresh", REFRESH, REFRESH_URL))
         to_keys = F.array_compact(F.transform(links, lambda x: page_key(target_of(url, x))))
-    slim = pages.select(F.col(id_col), host_of(url).alias("host"), path_of(url).alias("path"), page_key(url).alias("page_key"), to_keys.alias("to_keys"))
+    slim = pages.select(F.col(id_col).alias("pw_id"), host_of(url).alias("host"), path_of(url).alias("path"), page_key(url).alias("page_key"), to_keys.alias("to_keys"))
     if isinstance(rules, DataFrame):
         slim = cut(slim, "page-keys")
         slim = slim.join(match_rules(slim, rules), ["host", "path"], "left")
@@ -148,12 +150,15 @@ def url_filter(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     edges = slim.where("page_key is not null").select(F.col("page_key").alias("a"), F.explode("to_keys").alias("b"))
     if redirects is not None:
         edges = edges.unionByName(redirects.select(page_key(F.col("source")).alias("a"), page_key(F.col("target")).alias("b")))
-    named = components(edges.where("a <> b").distinct())
+    parts = components(edges.where("a <> b").distinct())
     keys = slim.where("page_key is not null").groupBy("page_key").agg(F.bool_or(F.col("own.verdict") == "allow").alias("allowed"), F.bool_or(F.col("own.verdict") == "block").alias("blocked"))
-    keys = keys.join(named.select(F.col("node").alias("page_key"), "component"), "page_key", "left").withColumn("component", F.coalesce("component", "page_key"))
+    keys = keys.join(parts.select(F.col("node").alias("page_key"), "component"), "page_key", "left").withColumn("component", F.coalesce("component", "page_key"))
     classes = keys.groupBy("component").agg(F.bool_or("allowed").alias("allowed"), F.bool_or("blocked").alias("blocked"))
     blocked = classes.where("blocked and not coalesce(allowed, false)").select("component")
     aliases = keys.join(blocked, "component", "left_semi").select(F.col("page_key"), F.lit(True).alias("by_alias"))
-    judged = slim.join(aliases, "page_key", "left")
+    alone = slim.where("page_key is null").withColumn("by_alias", F.lit(None).cast("boolean"))
+    judged = slim.where("page_key is not null").join(aliases, "page_key", "left").select(*alone.columns).unionByName(alone)
     verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("by_alias"), "block").otherwise("allow"))
-    return judged.select(id_col, "host", "path", F.col("own.rule").alias("rule"), verdict.alias("verdict"))
+    names = named(id_col, ["host", "path", "rule", "verdict"])
+    values = (F.col("host"), F.col("path"), F.col("own.rule"), verdict)
+    return judged.select(F.col("pw_id").alias(id_col), *(v.alias(n) for v, n in zip(values, names, strict=True)))
