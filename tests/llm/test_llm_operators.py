@@ -456,7 +456,7 @@ def test_fertility(spark, docs, rows):
         fits = low <= r["chars_per_token"] <= high and r["byte_fallback_share"] <= most and dense >= least and r["bare_share"] <= bare
         assert r["kept"] == (fits and not r["base_failed"])
     assert [by_id[len(texts) - k]["band"] for k in (4, 3, 2)] == ["GREEK", "CJK", "CYRILLIC"]
-    assert quality_rules.quality_rules(df.limit(0)).collect() == [] and quality_rules.keep_quality(df.limit(0)).collect() == []
+    assert quality_rules.quality_rules(df.limit(0), id_col="n_words").collect() == [] and quality_rules.keep_quality(df.limit(0)).collect() == []
 
 
 def test_operators_leave_the_session_alone(spark, docs):
