@@ -23,15 +23,15 @@ def terminal(p: dict[str, Column]) -> Column:
 
 
 def parsed_cells(df: DataFrame, first: Column, second: Column, points: Column) -> DataFrame:
-    """Add what serve_metrics reads: cells are parsed once, however many counters use them."""
+    """Add what serve_metrics reads: each cell is parsed once, into one struct, however many counters use it."""
     cells = df.withColumns({"pw_first": F.coalesce(first, F.lit("")), "pw_second": F.coalesce(second, F.lit("")), "pw_side": court_side(points)})
-    return cells.withColumns({f"pw_{n}_{k}": parse_notation(F.col(f"pw_{n}"))[k] for n in ("first", "second") for k in PARSED})
+    return cells.withColumns({"pw_one": parse_notation(F.col("pw_first")), "pw_two": parse_notation(F.col("pw_second"))})
 
 
 def serve_metrics() -> dict[str, Column]:
     """0/1 columns over parsed_cells, to be summed; a counter that cannot be resolved has one of its own."""
     first, second, side = F.col("pw_first"), F.col("pw_second"), F.col("pw_side")
-    one, two = ({k: F.col(f"pw_{n}_{k}") for k in PARSED} for n in ("first", "second"))
+    one, two = ({k: F.col(f"pw_{n}.{k}") for k in PARSED} for n in ("one", "two"))
     has_two = second != ""
     violation = (first == "V") & has_two
     out = one["exceptional"].isNotNull() & ~violation

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pointweave.functions import metrics, notation, stats, text
+from pointweave.functions import notation, stats, text
 from pointweave.operators import integrity, resolve, summaries, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -417,20 +417,12 @@ any_value(issue) AS issue FROM g GROUP BY cell"""
 @registered(_notation_sql())
 def P12_notation(spark: SparkSession, d: str) -> DataFrame:
     cells = read(spark, d, "lineitem").select(F.expr(CELL).alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    p = notation.parse_notation(F.col("cell"))
-    return cells.select("cell", "n", *[p[k].alias(k) for k in ("valid", "direction", "shots", "outcome", "issue")])
-
-
-@registered(None)
-def G1_serve_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """The full counter set of parsed cells per supplier."""
-    rows = read(spark, d, "lineitem").select("l_suppkey", F.expr(CELL).alias("a"), F.when(F.col("l_quantity") > 25, F.expr(CELL)).alias("b"), F.when(F.col("l_linenumber") % 2 == 0, "15-0").otherwise("0-0").alias("label"))
-    rows = metrics.parsed_cells(rows, F.col("a"), F.col("b"), F.col("label"))
-    return rows.groupBy("l_suppkey").agg(*[F.sum(c).alias(k.replace(":", "_").lstrip("_")) for k, c in metrics.serve_metrics().items()])
+    parsed = cells.select("cell", "n", notation.parse_notation(F.col("cell")).alias("p"))
+    return parsed.select("cell", "n", *[F.col(f"p.{k}").alias(k) for k in ("valid", "direction", "shots", "outcome", "issue")])
 
 
 @registered("SELECT event_id, user_id, props->>'$.k' IS NOT NULL AS parsed, TRY_CAST(props->>'$.k' AS INT) AS k FROM events")
-def P15_json_state(spark: SparkSession, d: str) -> DataFrame:
+def P15_json_key(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     return read(spark, d, "events").select("event_id", "user_id", k.isNotNull().alias("parsed"), k.try_cast("int").alias("k"))
 
@@ -513,7 +505,7 @@ def M20_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 @registered("""WITH s AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS prev, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 b AS (SELECT *, CASE WHEN rn = 1 AND event_type = 'purchase' THEN 'start' WHEN rn > 1 AND event_type = prev THEN 'repeat' WHEN rn > 1 AND event_type = 'purchase' AND prev <> 'click' THEN 'jump' END AS code FROM s)
 SELECT user_id, count(*) AS points, coalesce(arg_min(code, event_id) FILTER (code IS NOT NULL), 'ok') AS verdict, min(event_id) FILTER (code IS NOT NULL) AS failed_at FROM b GROUP BY 1""")
-def R3_reconstruct(spark: SparkSession, d: str) -> DataFrame:
+def W3_lag_validation(spark: SparkSession, d: str) -> DataFrame:
     s = read(spark, d, "events").select("user_id", "event_id", "event_type")
     kind, prev = F.col("event_type"), F.col("prev_event_type")
     return windows.first_failures(s, "user_id", "event_id", {"repeat": kind == prev, "jump": (kind == "purchase") & (prev != "click")}, {"start": kind == "purchase"})
@@ -586,7 +578,7 @@ def E3_shrinkage(spark: SparkSession, d: str) -> DataFrame:
 
 
 @registered("SELECT upper(sha256(string_agg(h, '' ORDER BY h))) AS fingerprint FROM (SELECT sha256(p_partkey || '|' || p_name) AS h FROM part)")
-def S12_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+def S12_table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Of a table of catalogue size: its sorted row hashes meet in one value."""
     h = read(spark, d, "part").select(F.sha2(F.concat_ws("|", "p_partkey", "p_name"), 256).alias("h"))
     return h.agg(F.upper(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)).alias("fingerprint"))
