@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 from pointweave.llm.common import rebatched
 
-#: Words of a seed, and the different seeds of an item that a diagonal band of a document holds at least. How many
+#: Words of a seed, and the different seeds of an item that a diagonal band of a document holds at least. A copy in
+#: which n of m words are left and the others replaced or left out keeps 2n - m - 1 pairs of neighbours or more, at
+#: least m / 3 - 1 where the score reaches LEAST_SCORE, so pairs find it however evenly it was edited. How many
 #: documents hold a seed does not count, so a copy is found however often it was copied.
-GRAM, LEAST_SEEDS = 3, 2
+GRAM, LEAST_SEEDS = 2, 2
 #: Places of seeds in items that one step holds in memory; more are taken in halves of the texts.
 STEP_PLACES = 5_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -76,7 +78,7 @@ class Items:
         gram = np.full(len(numbers), -1)
         if len(numbers) >= GRAM and len(self.grams):
             n = len(numbers) - GRAM + 1
-            whole = (numbers[:n] > 0) & (numbers[1 : n + 1] > 0) & (numbers[2:] > 0) & (doc[:n] == doc[2:])
+            whole = (numbers[:n] > 0) & (numbers[1:] > 0) & (doc[:n] == doc[1:])
             at = np.flatnonzero(whole)
             code = gram_codes(numbers, len(self.vocabulary) + 1)[at]
             found = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
@@ -87,7 +89,7 @@ class Items:
 
 def gram_codes(numbers: np.ndarray, size: int) -> np.ndarray:
     """Exact codes of GRAM words: the vocabulary of a block keeps them within 63 bits."""
-    return (numbers[:-2] * size + numbers[1:-1]) * size + numbers[2:]
+    return numbers[:-1] * size + numbers[1:]
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

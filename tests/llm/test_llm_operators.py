@@ -186,7 +186,7 @@ def test_leaks_of_many_copies(spark):
     df = spark.createDataFrame([(i, edited) for i in range(30)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = decontamination.benchmark_leaks(df, bench).collect()
-    assert {r["doc_id"] for r in got} == set(range(30)) and {r["n_seeds"] for r in got} == {10}
+    assert {r["doc_id"] for r in got} == set(range(30)) and {r["n_seeds"] for r in got} == {20}
     assert decontamination.keep_unleaked(df, bench).count() == 0
 
 
@@ -491,3 +491,60 @@ def test_forest_is_the_trees_walked_one_by_one():
             total += leaf[node - len(feature)]
         assert abs(got - 1 / (1 + np.exp(-total))) < 1e-12
     assert ((forest.scores(x) > 0.5) == y).mean() > 0.95
+
+
+def edited_copy(rng, item, kind, every):
+    out = []
+    for k, w in enumerate(item):
+        hit = (k + rng.randrange(1)) % every == every - 1
+        if hit and kind == "replace":
+            out.append(f"new{rng.randrange(999)}")
+        elif hit and kind == "insert":
+            out += [w, f"new{rng.randrange(999)}"]
+        elif hit and kind == "swap" and out:
+            out.insert(len(out) - 1, w)
+        elif not (hit and kind == "leave out"):
+            out.append(w)
+    return out
+
+
+@pytest.mark.parametrize("kind", ["replace", "leave out", "insert", "swap"])
+@pytest.mark.parametrize("every", [3, 4, 5, 8])
+def test_recall_of_evenly_edited_copies(kind, every):
+    """Copies whose whole alignment scores LEAST_SCORE or more, against what the seeds find of them: 0.95 or more."""
+    rng = random.Random(every)
+    known = [f"w{k}" for k in range(400)]
+    items = [[rng.choice(known) for _ in range(40)] for _ in range(40)]
+    block = decontamination.Items.of([(k, " ".join(x).encode()) for k, x in enumerate(items)])
+    texts = [" ".join([rng.choice(known) for _ in range(30)] + edited_copy(rng, x, kind, every) + [rng.choice(known) for _ in range(30)]) for x in items]
+    found = {(d, i) for d, i, *_ in decontamination.leaks(block, [t.encode() for t in texts])}
+    numbers = [np.array([block.vocabulary.get(w, 0) for w in decontamination.words_of(t.encode())]) for t in texts]
+    best = decontamination.align([block.words[k] for k in range(40)], numbers)[0]
+    due = {(k, k) for k in range(40) if best[k] >= decontamination.LEAST_SCORE * decontamination.MATCH * 40}
+    assert not due or len(due & found) >= 0.95 * len(due)
+    assert all(d == i for d, i in found)
+
+
+def test_leaks_against_every_pair(spark):
+    """Documents against every item by whole alignment, in one block and in several, with repeats and clashing names."""
+    rng = random.Random(12)
+    known = [f"w{k}" for k in range(300)]
+    items = [" ".join(rng.choice(known) for _ in range(rng.randrange(8, 40))) for _ in range(12)]
+    texts = []
+    for k in range(90):
+        part = edited_copy(rng, rng.choice(items).split(), rng.choice(["replace", "leave out"]), rng.choice([3, 4, 6, 9])) if k % 3 else []
+        texts.append(" ".join([rng.choice(known) for _ in range(rng.randrange(60))] + part))
+    texts += ["", None, items[0], items[0]]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, item_id int, score string")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(0, items[0]), (99, None)], "item_id long, text string")
+    block = decontamination.Items.of([(k, x.encode()) for k, x in enumerate(items)])
+    want = {}
+    for d, t in enumerate(texts):
+        words = np.array([block.vocabulary.get(w, 0) for w in decontamination.words_of((t or "").encode())], np.int64)
+        if len(words):
+            scores = decontamination.align(block.words, [words] * len(items))[0]
+            want |= {(d, i): s / (2 * len(block.words[i])) for i, s in enumerate(scores) if s >= len(block.words[i])}
+    for size in (decontamination.BLOCK_WORDS, 60):
+        got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.benchmark_leaks(df, bench, block_words=size).collect()}
+        assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()} and len(want) > 50
+        assert decontamination.keep_unleaked(df, bench, block_words=size).count() == len(texts) - len({d for d, _ in want})
