@@ -1,3 +1,3 @@
 """Registered queries: importing the package registers those of all its modules."""
 
-from pointweave.plans import charting, experiments, registry  # noqa: F401
+from pointweave.plans import charting, experiments, registry, studies  # noqa: F401

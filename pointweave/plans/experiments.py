@@ -36,39 +36,6 @@ def M21_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return i.select("grp", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), resampling.comparison(F.col("low"), F.col("high")).alias("verdict"))
 
 
-STRATA = {"tour": "tour", "status": "l_linestatus", "flag": "l_returnflag"}
-E2 = f"{POINTS}, e AS (" + " UNION ALL ".join(f"SELECT '{k}' AS dimension, {c}::VARCHAR AS stratum, player, match_id, hit FROM points" for k, c in STRATA.items()) + """),
-m AS (SELECT dimension, stratum, player, match_id, sum(hit) AS c, count(*) AS t FROM e GROUP BY ALL),
-h AS (SELECT *, row_number() OVER (PARTITION BY dimension, stratum, player ORDER BY match_id) <= count(*) OVER (PARTITION BY dimension, stratum, player) // 2 AS l FROM m),
-p AS (SELECT dimension, stratum, player, sum(c) FILTER (l) / sum(t) FILTER (l)::DOUBLE AS a, sum(c) FILTER (NOT l) / sum(t) FILTER (NOT l)::DOUBLE AS b, least(count(*) FILTER (l), count(*) FILTER (NOT l)) AS n FROM h GROUP BY 1, 2, 3),
-k AS (SELECT p.*, least_n FROM p, (SELECT unnest([2, 5])::INT AS least_n) WHERE n >= least_n),
-w AS (SELECT dimension, stratum, least_n, count(*) AS players, round(median(abs(a - b)), 6) AS within_median FROM k GROUP BY 1, 2, 3),
-x AS (SELECT u.dimension, u.stratum, u.least_n, count(*) AS pairs, round(median(abs(u.a - v.b)), 6) AS between_median FROM k u JOIN k v ON u.dimension = v.dimension AND u.stratum = v.stratum AND u.least_n = v.least_n AND u.player <> v.player GROUP BY 1, 2, 3)
-SELECT w.*, pairs, between_median FROM w LEFT JOIN x USING (dimension, stratum, least_n)"""
-
-
-@registered(E2)
-def E2_context_stability(spark: SparkSession, d: str) -> DataFrame:
-    """Distance of a player's halves against that of other players' halves, within each stratum of each dimension.
-
-    The pairs are of players of one stratum, one small row each, after all rows were summed.
-    """
-    strata = F.explode(F.array(*[F.struct(F.lit(k).alias("dimension"), F.col(c).cast("string").alias("stratum")) for k, c in STRATA.items()]))
-    who = ["dimension", "stratum", "player"]
-    m = points(spark, d).select("player", "match_id", "hit", strata.alias("s")).select("s.*", "player", "match_id", "hit")
-    m = m.groupBy(*who, "match_id").agg(F.sum("hit").alias("c"), F.count(F.lit(1)).alias("t"))
-    left = F.col("half") == "left"
-    rate = lambda side: F.sum(F.when(side, F.col("c"))) / F.sum(F.when(side, F.col("t")))
-    p = windows.split_halves(m, who, ["match_id"]).groupBy(*who).agg(rate(left).alias("a"), rate(~left).alias("b"), F.least(F.count_if(left), F.count_if(~left)).alias("n"))
-    k = p.withColumn("least_n", F.explode(F.array(F.lit(2), F.lit(5)))).where("n >= least_n")
-    cell = ["dimension", "stratum", "least_n"]
-    within = k.groupBy(*cell).agg(F.count(F.lit(1)).alias("players"), r6(F.median(F.abs(F.col("a") - F.col("b")))).alias("within_median"))
-    others = k.select(*cell, F.col("player").alias("other"), F.col("b").alias("other_b"))
-    pairs = k.join(others, cell).where("player <> other")
-    between = pairs.groupBy(*cell).agg(F.count(F.lit(1)).alias("pairs"), r6(F.median(F.abs(F.col("a") - F.col("other_b")))).alias("between_median"))
-    return within.join(between, cell, "left")
-
-
 GRID = {"orders_5": "n >= 5", "orders_10": "n >= 10", "orders_20": "n >= 20", "spend_1m": "spent >= 1000000", "spend_2m": "spent >= 2000000", "top_half": "top <= 0.5", "all_three": "n >= 10 AND spent >= 1000000 AND top <= 0.5"}
 
 

@@ -295,21 +295,6 @@ def M7_M8_distance(spark: SparkSession, d: str) -> DataFrame:
     return both.where("mean_absolute is not null")
 
 
-BETWEEN = STABLE + " , l AS (SELECT * FROM w WHERE half = 'left' AND sides = 2), r AS (SELECT * FROM w WHERE half = 'right' AND sides = 2)"
-DIST = "(" + " + ".join(f"abs(l.{c} - r.{c})" for c in SIX) + ") / 4"
-
-
-@registered(BETWEEN + f", x AS (SELECT l.player % 2 AS tour, l.player = r.player AS same, {DIST} AS t FROM l JOIN r ON l.player % 2 = r.player % 2) SELECT tour, count(*) FILTER (same) AS players, count(*) FILTER (NOT same) AS pairs, round(median(t) FILTER (same), 6) AS within_median, round(median(t) FILTER (NOT same), 6) AS between_median, round(median(t) FILTER (same) / median(t) FILTER (NOT same), 6) AS ratio FROM x GROUP BY 1")
-def E1_stability(spark: SparkSession, d: str) -> DataFrame:
-    p = _half_profiles(spark, d).dropna()
-    left, right = p.where("half = 'left'"), p.where("half = 'right'").select(F.col("player").alias("other"), *[F.col(c).alias(f"r_{c}") for c in SIX])
-    met = left.join(right, F.col("player") % 2 == F.col("other") % 2)
-    t = stats.total_variation([F.col(c) for c in SIX], [F.col(f"r_{c}") for c in SIX])
-    x = met.select((F.col("player") % 2).alias("tour"), (F.col("player") == F.col("other")).alias("same"), t.alias("t"))
-    g = x.groupBy("tour").agg(F.count_if("same").alias("players"), F.count_if(~F.col("same")).alias("pairs"), F.median(F.when(F.col("same"), F.col("t"))).alias("w"), F.median(F.when(~F.col("same"), F.col("t"))).alias("b"))
-    return g.select("tour", "players", "pairs", r6(F.col("w")).alias("within_median"), r6(F.col("b")).alias("between_median"), r6(F.col("w") / F.col("b")).alias("ratio"))
-
-
 @registered(f"{POINTS} SELECT count(*) AS n FROM (SELECT player, l_partkey % 3 AS k FROM points WHERE season = 1999 INTERSECT SELECT player, l_partkey % 3 FROM points WHERE season = 2000 INTERSECT SELECT player, l_partkey % 3 FROM points WHERE season = 2001)")
 def J10_triple_semi(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d).select("player", (F.col("l_partkey") % 3).alias("k"), "season")
@@ -483,25 +468,6 @@ def M14_finite_quantile(spark: SparkSession, d: str) -> DataFrame:
     return g.select("c_nationkey", stats.finite_quantile(F.col("v"), 0.95).alias("q95"))
 
 
-BOOT = f"""{POINTS}, m AS (SELECT player, match_id, sum(hit) AS c, count(*) AS t, row_number() OVER (PARTITION BY player ORDER BY match_id) AS rn, count(*) OVER (PARTITION BY player) AS n FROM points GROUP BY 1, 2),
-r AS (SELECT player, b, rn AS slot, n, ('0x' || substr(md5('7|' || b || '|' || player || '|' || rn), 1, 8))::BIGINT % n + 1 AS pick FROM m, (SELECT unnest(range(0, 20)) AS b)),
-w AS (SELECT player, b, pick, count(*) AS k FROM r GROUP BY 1, 2, 3), x AS (SELECT w.player, b, sum(k * c) / sum(k * t)::DOUBLE AS rate FROM w JOIN m ON w.player = m.player AND w.pick = m.rn GROUP BY 1, 2)
-SELECT player, count(*) AS reps, round(min(rate), 6) AS low, round(max(rate), 6) AS high FROM x GROUP BY 1"""
-
-
-@registered(BOOT)
-def M20_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    """Draws become weights of additive counters, so a replicate is a weighted sum and no row is gathered again."""
-    w = W.partitionBy("player").orderBy("match_id")
-    m = points(spark, d).groupBy("player", "match_id").agg(F.sum("hit").alias("c"), F.count(F.lit(1)).alias("t"))
-    m = m.withColumns({"rn": F.row_number().over(w).cast("long"), "n": F.count(F.lit(1)).over(W.partitionBy("player"))})
-    draws = m.select("player", F.col("rn").alias("slot"), "n", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("b"))
-    pick = stats.hash_index(F.concat_ws("|", F.lit("7"), "b", "player", "slot"), F.col("n"))
-    weights = draws.select("player", "b", pick.alias("rn")).groupBy("player", "b", "rn").agg(F.count(F.lit(1)).alias("k"))
-    x = weights.join(m.select("player", "rn", "c", "t"), ["player", "rn"]).groupBy("player", "b").agg((F.sum(F.expr("k * c")) / F.sum(F.expr("k * t"))).alias("rate"))
-    return x.groupBy("player").agg(F.count(F.lit(1)).alias("reps"), r6(F.min("rate")).alias("low"), r6(F.max("rate")).alias("high"))
-
-
 @registered("""WITH s AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS prev, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 b AS (SELECT *, CASE WHEN rn = 1 AND event_type = 'purchase' THEN 'start' WHEN rn > 1 AND event_type = prev THEN 'repeat' WHEN rn > 1 AND event_type = 'purchase' AND prev <> 'click' THEN 'jump' END AS code FROM s)
 SELECT user_id, count(*) AS points, coalesce(arg_min(code, event_id) FILTER (code IS NOT NULL), 'ok') AS verdict, min(event_id) FILTER (code IS NOT NULL) AS failed_at FROM b GROUP BY 1""")
