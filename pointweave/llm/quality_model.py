@@ -131,9 +131,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column("pw_id"), b.column("pw_label"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("y double, x array<double>").fields])
-    got = rows.mapInArrow(run, out).groupBy("id", "y").agg(F.min("x").alias("x")).select("y", "x").orderBy("y", "x").toArrow()
-    x = np.array(got["x"].to_pylist(), float).reshape(-1, len(STATISTICS))
-    return fit(x, np.array(got["y"].to_pylist(), float))
+    got = rows.mapInArrow(run, out).groupBy("id", "y").agg(F.min("x").alias("x")).select("y", "x").toArrow()
+    x, y = np.array(got["x"].to_pylist(), float).reshape(-1, len(STATISTICS)), np.array(got["y"].to_pylist(), float)
+    order = np.lexsort((*x.T, y))
+    return fit(x[order], y[order])
 
 
 def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
