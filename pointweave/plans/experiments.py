@@ -1,25 +1,12 @@
-"""Further registered queries: priors with back-off, paired bootstrap, stability within strata, threshold grids."""
+"""Further registered queries: paired bootstrap, upper median, several ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.operators import resampling, summaries, windows
-from pointweave.plans.registry import POINTS, points, r6, read, registered
-
-LEVELS = {"exact": ["tour", "l_partkey", "l_returnflag"], "surface": ["tour", "l_partkey"], "tour": ["tour"]}
-PRIOR_CASE = " ".join(f"WHEN t_{k} > 0 THEN (s_{k} + 0.5) / (t_{k} + 1.0)" for k in LEVELS)
-SOURCE_CASE = " ".join(f"WHEN t_{k} > 0 THEN '{k}'" for k in LEVELS)
-
-
-@registered(f"""{POINTS}, c AS (SELECT player, tour, l_partkey, l_returnflag, sum(hit) AS s, count(*) AS t FROM points GROUP BY ALL),
-o AS (SELECT player, tour, l_partkey, l_returnflag, """ + ", ".join(f"sum({v}) OVER (PARTITION BY {', '.join(cols)}) - sum({v}) OVER (PARTITION BY {', '.join(cols)}, player) AS {v}_{k}" for k, cols in LEVELS.items() for v in "st") + f""" FROM c)
-SELECT player, tour, l_partkey, l_returnflag, CASE {SOURCE_CASE} ELSE 'uniform' END AS source, round(CASE {PRIOR_CASE} ELSE 0.5 END::DOUBLE, 6) AS prior FROM o""")
-def M4_backoff_prior(spark: SparkSession, d: str) -> DataFrame:
-    cases = points(spark, d).groupBy("player", *LEVELS["exact"]).agg(F.sum("hit").alias("s"), F.count(F.lit(1)).alias("t"))
-    return summaries.backoff_prior(cases, LEVELS, "player", "s", "t").select("player", *LEVELS["exact"], "source", r6(F.col("prior")).alias("prior"))
-
+from pointweave.operators import resampling, windows
+from pointweave.plans.registry import r6, read, registered
 
 @registered("""WITH m AS (SELECT o_orderpriority AS grp, strftime(o_orderdate, '%Y%m') AS match_id, avg((o_totalprice > 150000)::INT) AS rate FROM orders GROUP BY 1, 2),
 v AS (SELECT grp, (rate - 0.45) * (rate - 0.45) - (rate - 0.5) * (rate - 0.5) AS v, row_number() OVER (PARTITION BY grp ORDER BY match_id) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM m),
@@ -36,15 +23,6 @@ def M21_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return i.select("grp", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), resampling.comparison(F.col("low"), F.col("high")).alias("verdict"))
 
 
-GRID = {"orders_5": "n >= 5", "orders_10": "n >= 10", "orders_20": "n >= 20", "spend_1m": "spent >= 1000000", "spend_2m": "spent >= 2000000", "top_half": "top <= 0.5", "all_three": "n >= 10 AND spent >= 1000000 AND top <= 0.5"}
-
-
-@registered("WITH g AS (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS spent, max(o_totalprice) / sum(o_totalprice) AS top FROM orders GROUP BY 1) SELECT count(*) AS customers, " + ", ".join(f"count(*) FILTER ({c}) AS {k}" for k, c in GRID.items()) + " FROM g")
-def G20_threshold_grid(spark: SparkSession, d: str) -> DataFrame:
-    g = read(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("spent"), (F.max("o_totalprice") / F.sum("o_totalprice")).alias("top"))
-    return g.agg(F.count(F.lit(1)).alias("customers"), *[F.count_if(F.expr(c)).alias(k) for k, c in GRID.items()])
-
-
 @registered("SELECT c_nationkey, list_sort(list(c_acctbal))[(count(*) // 2)::INT + 1] AS upper_median FROM customer GROUP BY 1")
 def G9_upper_median(spark: SparkSession, d: str) -> DataFrame:
     """sorted[n // 2], by ranks within the nation: no group is gathered into one value."""

@@ -477,72 +477,6 @@ def W3_lag_validation(spark: SparkSession, d: str) -> DataFrame:
     return windows.first_failures(s, "user_id", "event_id", {"repeat": kind == prev, "jump": (kind == "purchase") & (prev != "click")}, {"start": kind == "purchase"})
 
 
-@registered(f"""{POINTS}, y AS (SELECT player, season, match_id, sum(hit) AS c, count(*) AS t FROM points GROUP BY ALL), f AS (SELECT as_of, player, count(*) AS matches, count(DISTINCT season) AS seasons, max(t) / sum(t)::DOUBLE AS top, sum(t)::DOUBLE * sum(t) / sum(t * t) AS eff FROM y JOIN (SELECT unnest([2000, 2001])::BIGINT AS as_of) ON season >= as_of - 5 AND season < as_of GROUP BY 1, 2)
-SELECT as_of, count(*) AS histories, median(matches) AS median_matches, count(*) FILTER (matches >= 20 AND seasons >= 3 AND top <= 0.25 AND eff >= 10) AS ready FROM f GROUP BY 1""")
-def E4_readiness(spark: SparkSession, d: str) -> DataFrame:
-    y = points(spark, d).groupBy("player", "season", "match_id").agg(F.count(F.lit(1)).alias("t"))
-    f = windows.fold_rows(y, "season", 2000, 2001, 5).groupBy("as_of", "player").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("season").alias("seasons"), (F.max("t") / F.sum("t")).alias("top"), (F.sum("t") * F.sum("t") / F.sum(F.col("t") * F.col("t"))).alias("eff"))
-    return f.groupBy("as_of").agg(F.count(F.lit(1)).alias("histories"), F.median("matches").alias("median_matches"), F.count_if(F.expr("matches >= 20 and seasons >= 3 and top <= 0.25 and eff >= 10")).alias("ready"))
-
-
-E5 = f"""{POINTS}, m AS (SELECT player, season, match_id, sum(hit)::DOUBLE AS c, count(*)::DOUBLE AS t FROM points GROUP BY ALL),
-y AS (SELECT player, season, count(*) AS m, sum(c) AS c, sum(t) AS t, sum(c * c) AS cc, sum(c * t) AS ct, sum(t * t) AS tt FROM m GROUP BY 1, 2),
-p AS (SELECT as_of, player, sum(m) AS m, sum(c) AS c, sum(t) AS t, sum(cc) AS cc, sum(ct) AS ct, sum(tt) AS tt FROM y JOIN (SELECT unnest([1998, 1999, 2000])::BIGINT AS as_of) ON season >= as_of - 3 AND season < as_of GROUP BY 1, 2),
-s AS (SELECT as_of, p.player, p.c / p.t AS past, y.c / y.t AS now, sqrt(p.m / (p.m - 1.0) * greatest(p.cc - 2 * p.c / p.t * p.ct + p.c / p.t * p.c / p.t * p.tt, 0) / (p.t * p.t)) AS se_p, sqrt(y.m / (y.m - 1.0) * greatest(y.cc - 2 * y.c / y.t * y.ct + y.c / y.t * y.c / y.t * y.tt, 0) / (y.t * y.t)) AS se_n
-  FROM p JOIN y ON p.player = y.player AND y.season = as_of WHERE p.m >= 2 AND y.m >= 2)"""
-
-
-def _coverage_cases(spark: SparkSession, d: str) -> DataFrame:
-    """Past and later rates with clustered errors, from additive partials per player and season."""
-    m = points(spark, d).groupBy("player", "season", "match_id").agg(F.sum("hit").cast("double").alias("c"), F.count(F.lit(1)).cast("double").alias("t"))
-    y = m.groupBy("player", "season").agg(F.count(F.lit(1)).alias("m"), F.sum("c").alias("c"), F.sum("t").alias("t"), F.sum(F.expr("c * c")).alias("cc"), F.sum(F.expr("c * t")).alias("ct"), F.sum(F.expr("t * t")).alias("tt"))
-    sums = ["m", "c", "t", "cc", "ct", "tt"]
-    p = windows.fold_rows(y, "season", 1998, 2000, 3).groupBy("as_of", "player").agg(*[F.sum(k).alias(f"p_{k}") for k in sums]).where("p_m >= 2")
-    both = p.join(y.where("m >= 2").withColumnRenamed("season", "as_of"), ["as_of", "player"])
-    se = lambda q: stats.cluster_se(*[F.col(f"{q}{k}") for k in ("cc", "ct", "tt", "c", "t", "m")])
-    return both.select("as_of", "player", F.expr("p_c / p_t").alias("past"), F.expr("c / t").alias("now"), se("p_").alias("se_past"), se("").alias("se_now"))
-
-
-@registered(E5 + " SELECT as_of, count(*) AS periods, round(avg(abs(past - now)), 5) AS error, round(avg((abs(past - now) <= 1.96 * sqrt(se_p * se_p + se_n * se_n) + 1e-9)::INT), 5) AS covered FROM s GROUP BY 1")
-def E5_robustness(spark: SparkSession, d: str) -> DataFrame:
-    e = F.abs(F.col("past") - F.col("now"))
-    radius = 1.96 * F.sqrt(F.expr("se_past * se_past + se_now * se_now")) + 1e-9
-    return _coverage_cases(spark, d).groupBy("as_of").agg(F.count(F.lit(1)).alias("periods"), F.round(F.avg(e), 5).alias("error"), F.round(F.avg((e <= radius).cast("double")), 5).alias("covered"))
-
-
-@registered(E5 + """, v AS (SELECT player % 2 AS tour, greatest(0, power((past - now) / 1.96, 2) - (se_p * se_p + se_n * se_n)) AS r FROM s WHERE as_of = 1999), g AS (SELECT tour, count(*) AS n, list_sort(list(r))[least(count(*), ceil(0.95 * (count(*) + 1)))::INT] AS q FROM v GROUP BY 1)
-SELECT tour, CASE WHEN n >= 30 THEN 'tour' ELSE 'global' END AS source, n, round(CASE WHEN n >= 30 THEN q ELSE (SELECT list_sort(list(r))[least(count(*), ceil(0.95 * (count(*) + 1)))::INT] FROM v) END, 6) AS variance FROM g""")
-def E6_process(spark: SparkSession, d: str) -> DataFrame:
-    need = stats.required_variance(F.col("past") - F.col("now"), F.col("se_past"), F.col("se_now"))
-    v = _coverage_cases(spark, d).where("as_of = 1999").select((F.col("player") % 2).alias("tour"), need.alias("r"))
-    g = v.rollup("tour").agg(F.count(F.lit(1)).alias("n"), F.collect_list("r").alias("v"))
-    every = g.where("tour is null").select(stats.finite_quantile(F.col("v"), 0.95).alias("q_all"))
-    own = g.where("tour is not null").select("tour", "n", stats.finite_quantile(F.col("v"), 0.95).alias("q")).crossJoin(F.broadcast(every))  # one row
-    return own.select("tour", F.when(F.col("n") >= 30, "tour").otherwise("global").alias("source"), "n", r6(F.when(F.col("n") >= 30, F.col("q")).otherwise(F.col("q_all"))).alias("variance"))
-
-
-def _shrink(spark: SparkSession, d: str) -> DataFrame:
-    y = points(spark, d).groupBy("player", "tour", "season").agg(F.sum("hit").alias("s"), F.count(F.lit(1)).alias("n"))
-    past = windows.fold_rows(y, "season", 2000, 2001, 5).groupBy("as_of", "tour", "player").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
-    prior = summaries.leave_one_out(past, ["as_of", "tour"], "player", "s", "n")
-    now = y.select("player", F.col("season").alias("as_of"), (F.col("s") / F.col("n")).alias("now"))
-    cases = past.join(prior, ["as_of", "tour", "player"]).join(now, ["as_of", "player"])
-    cases = cases.withColumn("prior", stats.stabilised(F.col("other_s"), F.col("other_t"), 2)).withColumn("strength", F.explode(F.array(*map(F.lit, (0.0, 25.0, 100.0, 400.0)))))
-    a, b = F.expr("s + prior * strength + 0.5"), F.expr("n - s + (1 - prior) * strength + 0.5")
-    p = a / (a + b)
-    return cases.withColumn("loss", stats.cross_entropy([F.col("now"), 1 - F.col("now")], [p, 1 - p]))
-
-
-E3 = f"""{POINTS}, y AS (SELECT player, tour, season, sum(hit) AS s, count(*) AS n FROM points GROUP BY ALL), p AS (SELECT as_of, tour, player, sum(s) AS s, sum(n) AS n FROM y JOIN (SELECT unnest([2000, 2001])::BIGINT AS as_of) ON season >= as_of - 5 AND season < as_of GROUP BY ALL),
-o AS (SELECT *, (sum(s) OVER w - s + 0.5) / (sum(n) OVER w - n + 1.0) AS prior FROM p WINDOW w AS (PARTITION BY as_of, tour)), c AS (SELECT o.*, y.s / y.n::DOUBLE AS now, k FROM o JOIN y ON o.player = y.player AND y.season = as_of, (SELECT unnest([0.0, 25.0, 100.0, 400.0])::DOUBLE AS k)),
-l AS (SELECT as_of, tour, k, now, (s + prior * k + 0.5) / (n + k + 1.0) AS q FROM c), g AS (SELECT as_of, tour, k, round(avg(-(now * ln(q) + (1 - now) * ln(1 - q))), 6) AS loss FROM l GROUP BY ALL)"""
-
-
-@registered(E3 + " SELECT as_of, tour, k AS strength, loss FROM g")
-def E3_shrinkage(spark: SparkSession, d: str) -> DataFrame:
-    return _shrink(spark, d).groupBy("as_of", "tour", "strength").agg(r6(F.avg("loss")).alias("loss"))
-
-
 @registered("SELECT upper(sha256(string_agg(h, '' ORDER BY h))) AS fingerprint FROM (SELECT sha256(p_partkey || '|' || p_name) AS h FROM part)")
 def S12_table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     """Of a table of catalogue size: its sorted row hashes meet in one value."""

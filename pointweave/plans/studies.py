@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions import text
@@ -145,3 +146,338 @@ def E2_context_stability(spark: SparkSession, d: str) -> DataFrame:
 @registered(STRATA_SQL.join(["WITH ", " SELECT dimension, stratum, count(*) AS matches, count(DISTINCT player) AS players FROM src GROUP BY ALL"]))
 def P10_strata(spark: SparkSession, d: str) -> DataFrame:
     return studies.strata(records(spark, d)).groupBy("dimension", "stratum").agg(F.count(F.lit(1)).alias("matches"), F.count_distinct("player").alias("players"))
+
+
+# Readiness of histories
+
+KEY = "tour, player, surface"
+
+
+def estimates_sql(name: str, source: str, keys: str) -> str:
+    """CTEs up to ``name``: estimates of each component of the histories in ``source``, residuals about the rate."""
+    part = f"PARTITION BY {keys}, target, side"
+    cats = " UNION ALL ".join(f"SELECT {keys}, target, side, {i} AS category, matches, k, total, a{i + 1} AS count, q{i + 1} AS sq FROM {name}1" + (" WHERE k = 3" if i else "") for i in range(3))
+    return f"""{name}0 AS (SELECT *, c1 + c2 + c3 AS t, sum(c1 + c2 + c3) OVER ({part}) AS total, sum(c1) OVER ({part}) AS a1, sum(c2) OVER ({part}) AS a2, sum(c3) OVER ({part}) AS a3 FROM {source}),
+{name}1 AS (SELECT {keys}, target, side, count(*) AS matches, max(k) AS k, max(total) AS total, max(a1) AS a1, max(a2) AS a2, max(a3) AS a3, {', '.join(f'sum(power(c{i} - a{i} / total::DOUBLE * t, 2)) AS q{i}' for i in (1, 2, 3))} FROM {name}0 GROUP BY {keys}, target, side),
+{name} AS (SELECT {keys}, target, side, category, matches, total, count, count / total::DOUBLE AS share, (count + 0.5) / (total + 0.5 * k) AS conditional_mean,
+  sqrt((count + 0.5) * (total + 0.5 * k - count - 0.5) / ((total + 0.5 * k) * (total + 0.5 * k) * (total + 0.5 * k + 1))) AS conditional_sd, CASE WHEN matches > 1 THEN sqrt(matches / (matches - 1.0) * sq) / total END AS se FROM ({cats}))"""
+
+
+YEARS = ", yr AS (SELECT min(season) AS lo, max(season) AS hi FROM rec)"
+DIAGNOSED = "WITH " + OBSERVED + YEARS + f""", hist AS (SELECT obs.*, as_of FROM obs, yr, (SELECT unnest(range(1900, 2100)) AS as_of) WHERE as_of BETWEEN lo + {studies.SEASONS} AND hi AND season >= as_of - {studies.SEASONS} AND season < as_of),
+pm AS (SELECT as_of, target, {KEY}, match_id, sum(c1 + c2 + c3) AS n, max(season) AS season, max(opponent) AS opponent, max(tournament) AS tournament, max(author) AS author FROM hist GROUP BY ALL),
+ex AS (SELECT as_of, target, {KEY}, count(*) AS matches, count(DISTINCT season) AS seasons, count(DISTINCT nullif(trim(opponent), '')) AS opponents, count(DISTINCT nullif(trim(tournament), '')) AS tournaments, count(DISTINCT nullif(trim(author), '')) AS authors,
+  sum(n) AS events, max(n) / sum(n)::DOUBLE AS largest_share, sum(n)::DOUBLE * sum(n) / sum(n * n) AS effective FROM pm GROUP BY ALL), """ + estimates_sql("e", "hist", f"as_of, {KEY}") + f""",
+wo AS (SELECT as_of, target, {KEY}, max(se) AS cluster_se, max(conditional_sd) AS conditional_sd, max(CASE WHEN conditional_sd > 0 THEN se / conditional_sd END) AS ratio FROM e GROUP BY ALL),
+dg AS (SELECT * FROM ex JOIN wo USING (as_of, target, {KEY})), cutd AS (SELECT 'overall' AS dimension, 'all' AS value, * FROM dg UNION ALL SELECT 'tour', tour, * FROM dg UNION ALL SELECT 'surface', tour || '|' || surface, * FROM dg UNION ALL SELECT 'as_of', as_of::VARCHAR, * FROM dg)"""
+
+
+def five_sql(value: str, prefix: str) -> str:
+    v = f"list_sort(list({value}) FILTER ({value} IS NOT NULL))"
+    at = lambda p: f"{v}[round_even({p} * (len({v}) - 1), 0)::INT + 1]"
+    values = {"least": f"min({value})", "p25": at(0.25), "median": f"median({value})", "p75": at(0.75), "most": f"max({value})"}
+    return ", ".join(f"round(({e})::DOUBLE, 6) AS {prefix}_{n}" for n, e in values.items())
+
+
+def _diagnosed(spark: SparkSession, d: str) -> DataFrame:
+    r = records(spark, d)
+    low, high = studies.years(r)
+    return studies.diagnostics(studies.observations(r), low + studies.SEASONS, high)
+
+
+def _cut(rows: DataFrame, fold: str = "as_of") -> DataFrame:
+    return studies.cut_by(rows, {"overall": F.lit("all"), "tour": F.col("tour"), "surface": F.concat_ws("|", "tour", "surface"), fold: F.col(fold)})
+
+
+EXPOSED = ("matches", "events", "effective", "largest_share")
+
+
+@registered(DIAGNOSED + " SELECT target, dimension, value, count(*) AS histories, count(DISTINCT tour || player) AS players, count(*) FILTER (" + studies.SOUND + ") AS sound, round(count(*) FILTER (" + studies.SOUND + ") / count(*)::DOUBLE, 6) AS sound_share, " + ", ".join(five_sql(v, v) for v in EXPOSED) + " FROM cutd GROUP BY ALL")
+def E4_readiness(spark: SparkSession, d: str) -> DataFrame:
+    """Five targets, every as-of year: what histories rest on, overall and by tour, surface and year."""
+    group = ["target", "dimension", "value"]
+    parts = [studies.five(v, v, group) for v in EXPOSED]
+    rows = _cut(_diagnosed(spark, d)).withColumns({k: c for added, _ in parts for k, c in added.items()})
+    sound = F.count_if(F.expr(studies.SOUND))
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("histories"), F.count_distinct("tour", "player").alias("players"), sound.alias("sound"), F.round(sound / F.count(F.lit(1)), 6).alias("sound_share"), *[c for _, aggs in parts for c in aggs])
+
+
+THRESHOLDS = [(n, v, ">=") for n, vs in studies.GRIDS.items() for v in vs] + [("largest_share", v, "<=") for v in studies.SHARE_GRID]
+
+
+@registered(DIAGNOSED + " SELECT target, grid, threshold, n FROM (" + " UNION ALL ".join(f"SELECT target, '{g}' AS grid, {v}::DOUBLE AS threshold, count(*) FILTER ({g} {op} {v}) AS n FROM dg GROUP BY 1" for g, v, op in THRESHOLDS) + ")")
+def G20_threshold_grids(spark: SparkSession, d: str) -> DataFrame:
+    """Histories at or beyond each threshold of the seven grids, all from one pass."""
+    counts = [F.struct(F.lit(g).alias("grid"), F.lit(float(v)).alias("threshold"), F.count_if(F.expr(f"{g} {op} {v}")).alias("n")) for g, v, op in THRESHOLDS]
+    told = _diagnosed(spark, d).groupBy("target").agg(F.array(*counts).alias("x"))
+    return told.select("target", F.explode("x").alias("x")).select("target", "x.*")
+
+
+@registered(DIAGNOSED + f" SELECT as_of, target, {KEY}, matches, round(cluster_se, 6) AS cluster_se, round(conditional_sd, 6) AS conditional_sd, round(ratio, 6) AS ratio, round(1.96 * cluster_se, 6) AS half_width FROM dg")
+def M10_history_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Greatest clustered error, conditional sd and ratio over a history's components, and the half-width."""
+    return _diagnosed(spark, d).select("as_of", "target", *studies.KEY, "matches", *[r6(F.col(c)).alias(c) for c in ("cluster_se", "conditional_sd", "ratio")], r6(1.96 * F.col("cluster_se")).alias("half_width"))
+
+
+@registered(DIAGNOSED + ", u AS (SELECT *, 1.96 * cluster_se AS half_width, least_matches FROM dg, (SELECT unnest([0, 2, 5, 10, 20])::INT AS least_matches) WHERE matches >= least_matches AND cluster_se IS NOT NULL) SELECT target, least_matches, count(*) AS histories, " + five_sql("half_width", "half_width") + ", " + five_sql("ratio", "ratio") + " FROM u GROUP BY ALL")
+def G32_uncertainty(spark: SparkSession, d: str) -> DataFrame:
+    """Half-widths and ratios of the histories that have an error, of all and by least number of matches."""
+    group = ["target", "least_matches"]
+    rows = _diagnosed(spark, d).where("cluster_se is not null").withColumns({"half_width": 1.96 * F.col("cluster_se"), "least_matches": F.explode(F.array(*map(F.lit, (0, *studies.LEAST_MATCHES))))}).where("matches >= least_matches")
+    parts = [studies.five(v, v, group) for v in ("half_width", "ratio")]
+    return rows.withColumns({k: c for added, _ in parts for k, c in added.items()}).groupBy(*group).agg(F.count(F.lit(1)).alias("histories"), *[c for _, aggs in parts for c in aggs])
+
+
+@registered("WITH " + OBSERVED + f" SELECT target, {KEY}, count(DISTINCT match_id) AS matches FROM obs GROUP BY ALL")
+def G30_valid_matches(spark: SparkSession, d: str) -> DataFrame:
+    return observed(spark, d).groupBy("target", *studies.KEY).agg(F.count_distinct("match_id").alias("matches"))
+
+
+# Robustness and process uncertainty
+
+def compared_sql(first: str) -> str:
+    ws = ", ".join(map(str, studies.WINDOWS))
+    return "WITH " + OBSERVED + YEARS + f""", o1 AS (SELECT * FROM obs WHERE target = 'direction_1'),
+hw AS (SELECT o1.*, as_of, win AS "window" FROM o1, yr, (SELECT unnest(range(1900, 2100)) AS as_of), (SELECT unnest([{ws}])::INT AS win) WHERE as_of BETWEEN {first} AND hi - 1 AND season >= as_of - win AND season < as_of),
+now0 AS (SELECT *, season AS as_of FROM o1), """ + estimates_sql("pa", "hw", f'"window", as_of, {KEY}') + ", " + estimates_sql("no", "now0", f"as_of, {KEY}") + f""",
+cm AS (SELECT pa.*, no.share AS now_share, no.conditional_sd AS now_conditional_sd, no.se AS now_se, least_matches FROM pa JOIN no USING (as_of, {KEY}, side, category), (SELECT unnest([{', '.join(map(str, studies.LEAST_MATCHES))}])::INT AS least_matches) WHERE no.matches >= {studies.LEAST_TEST} AND pa.matches >= least_matches),
+ju AS (SELECT *, abs(share - now_share) AS error, (abs(conditional_mean - now_share) <= 1.96 * sqrt(power(conditional_sd, 2) + power(now_conditional_sd, 2)))::INT AS conditional_covered, power(se, 2) + power(now_se, 2) AS base FROM cm),
+jd AS (SELECT *, (error <= 1.96 * sqrt(base))::INT AS clustered_covered FROM ju)"""
+
+
+def _compared(spark: SparkSession, d: str, extra: int = 0) -> DataFrame:
+    """Histories from ``window`` seasons (and ``extra``) after the first one on, up to the last whole season."""
+    r = records(spark, d)
+    low, high = studies.years(r)
+    both = studies.comparisons(studies.observations(r), studies.WINDOWS, low + min(studies.WINDOWS), high - 1, studies.LEAST_MATCHES)
+    return both.where(F.col("as_of") >= F.lit(low) + F.col("window") + extra)
+
+
+PERIODS = f""", pe AS (SELECT "window", least_matches, as_of, {KEY}, avg(error) AS error, avg(conditional_covered) AS conditional_covered, avg(clustered_covered) AS clustered_covered,
+  least(max(total) FILTER (side = 'deuce'), max(total) FILTER (side = 'ad')) / (max(total) FILTER (side = 'deuce') + max(total) FILTER (side = 'ad'))::DOUBLE AS smaller_share FROM jd GROUP BY ALL),
+pc AS (SELECT 'overall' AS dimension, 'all' AS value, * FROM pe UNION ALL SELECT 'tour', tour, * FROM pe UNION ALL SELECT 'surface', tour || '|' || surface, * FROM pe UNION ALL SELECT 'as_of', as_of::VARCHAR, * FROM pe)"""
+FIVE = compared_sql('lo + win')
+CONFIG = '"window", least_matches'
+
+
+@registered(FIVE + PERIODS + f" SELECT {CONFIG}, dimension, value, count(*) AS periods, count(DISTINCT tour || player) AS players, round(avg(error), 6) AS mean_error, round(median(error), 6) AS median_error, round(avg(conditional_covered), 6) AS conditional_coverage, round(avg(clustered_covered), 6) AS clustered_coverage, " + five_sql("smaller_share", "share") + ", " + ", ".join(f"count(*) FILTER (smaller_share >= {v}) AS share_{str(v)[2:]}" for v in studies.SIDE_GRID) + " FROM pc GROUP BY ALL")
+def E5_robustness(spark: SparkSession, d: str) -> DataFrame:
+    """Sixteen configurations of window and least matches, overall and by tour, surface and season."""
+    group = ["window", "least_matches", "dimension", "value"]
+    rows = studies.periods(studies.judged(_compared(spark, d)), ["window", "least_matches", "as_of"], ["error", "conditional_covered", "clustered_covered"])
+    added, shares = studies.five("smaller_share", "share", group)
+    rows = _cut(rows).withColumns(added)
+    a = lambda c, n: F.round(F.avg(c), 6).alias(n)
+    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("periods"), F.count_distinct("tour", "player").alias("players"), a("error", "mean_error"), F.round(F.median("error"), 6).alias("median_error"), a("conditional_covered", "conditional_coverage"), a("clustered_covered", "clustered_coverage"), *shares, *[F.count_if(F.col("smaller_share") >= v).alias(f"share_{str(v)[2:]}") for v in studies.SIDE_GRID])
+
+
+@registered(FIVE + f" SELECT {CONFIG}, side, category, round(avg(error), 6) AS mean_error, round(avg(conditional_covered), 6) AS conditional_coverage, round(avg(clustered_covered), 6) AS clustered_coverage FROM jd GROUP BY ALL")
+def G22_component_coverage(spark: SparkSession, d: str) -> DataFrame:
+    a = lambda c, n: F.round(F.avg(c), 6).alias(n)
+    return studies.judged(_compared(spark, d)).groupBy("window", "least_matches", "side", "category").agg(a("error", "mean_error"), a("conditional_covered", "conditional_coverage"), a("clustered_covered", "clustered_coverage"))
+
+
+@registered(FIVE + f' SELECT "window", as_of, {KEY}, side, category, matches, round(share, 6) AS share, round(conditional_mean, 6) AS conditional_mean, round(conditional_sd, 6) AS conditional_sd, round(se, 6) AS se FROM pa WHERE matches > 1')
+def M16_component_estimates(spark: SparkSession, d: str) -> DataFrame:
+    r = records(spark, d)
+    low, high = studies.years(r)
+    obs = studies.observations(r).where("target = 'direction_1'")
+    est = studies.component_estimates(studies.histories(obs, studies.WINDOWS, low + min(studies.WINDOWS), high - 1), ["window", "as_of", *studies.KEY])
+    est = est.where((F.col("as_of") >= F.lit(low) + F.col("window")) & (F.col("matches") > 1))
+    return est.select("window", "as_of", *studies.KEY, "side", "category", "matches", *[r6(F.col(c)).alias(c) for c in ("share", "conditional_mean", "conditional_sd", "se")])
+
+
+@registered(FIVE + f" SELECT {CONFIG}, as_of, {KEY}, side, category, round(error, 6) AS error, conditional_covered, clustered_covered FROM jd WHERE least_matches = 5")
+def M17_coverage_tests(spark: SparkSession, d: str) -> DataFrame:
+    rows = studies.judged(_compared(spark, d).where("least_matches = 5"))
+    return rows.select("window", "least_matches", "as_of", *studies.KEY, "side", "category", r6(F.col("error")).alias("error"), F.col("conditional_covered").cast("int").alias("conditional_covered"), F.col("clustered_covered").cast("int").alias("clustered_covered"))
+
+
+@registered(FIVE + PERIODS + f" SELECT {CONFIG}, as_of, {KEY}, round(smaller_share, 6) AS smaller_share FROM pe")
+def M19_smaller_side(spark: SparkSession, d: str) -> DataFrame:
+    rows = studies.periods(studies.judged(_compared(spark, d)), ["window", "least_matches", "as_of"], ["error"])
+    return rows.select("window", "least_matches", "as_of", *studies.KEY, r6(F.col("smaller_share")).alias("smaller_share"))
+
+
+_Q = "list_sort(list(need))[least(count(*), ceil(0.95 * (count(*) + 1)))::INT]"
+PROCESS = FIVE + f""", ca AS (SELECT {CONFIG}, as_of + 1 AS as_of, tour, side, category, greatest(0, power(error / 1.96, 2) - base) AS need FROM jd),
+l1 AS (SELECT {CONFIG}, as_of, tour, side, category, count(*) AS n, {_Q} AS v FROM ca GROUP BY ALL), l2 AS (SELECT {CONFIG}, as_of, side, category, count(*) AS n, {_Q} AS v FROM ca GROUP BY ALL), l3 AS (SELECT {CONFIG}, as_of, count(*) AS n, {_Q} AS v FROM ca GROUP BY ALL),
+es AS (SELECT t.{CONFIG.replace(', ', ', t.')}, t.as_of, t.tour, l2.side, l2.category, CASE WHEN l1.n >= 30 THEN l1.v WHEN l2.n >= 30 THEN l2.v ELSE l3.v END AS variance, CASE WHEN l1.n >= 30 THEN 'tour_component' WHEN l2.n >= 30 THEN 'pooled_component' ELSE 'global' END AS source, CASE WHEN l1.n >= 30 THEN l1.n WHEN l2.n >= 30 THEN l2.n ELSE l3.n END AS cases
+  FROM (SELECT DISTINCT {CONFIG}, as_of, tour FROM ca) t JOIN l2 USING ({CONFIG}, as_of) JOIN l3 USING ({CONFIG}, as_of) LEFT JOIN l1 ON l1."window" = t."window" AND l1.least_matches = t.least_matches AND l1.as_of = t.as_of AND l1.tour = t.tour AND l1.side = l2.side AND l1.category = l2.category),
+pr AS (SELECT *, 1.96 * sqrt(base) AS base_radius, 1.96 * sqrt(base + variance) AS process_radius, (error <= 1.96 * sqrt(base + variance))::INT AS process_covered, sqrt(variance) AS deviation FROM jd JOIN es USING ({CONFIG}, as_of, tour, side, category))"""
+
+
+def _process(spark: SparkSession, d: str) -> DataFrame:
+    compared = _compared(spark, d)
+    return studies.process_rows(compared, studies.process_estimates(compared))
+
+
+@registered(PROCESS + f" SELECT {CONFIG}, as_of, tour, side, category, round(variance, 6) AS variance, source, cases FROM es")
+def M15_process_estimates(spark: SparkSession, d: str) -> DataFrame:
+    e = studies.process_estimates(_compared(spark, d))
+    return e.select("window", "least_matches", "as_of", "tour", "side", "category", r6(F.col("variance")).alias("variance"), "source", "cases")
+
+
+MEANS = ("clustered_covered", "process_covered", "base_radius", "process_radius")
+PPERIODS = f", pe AS (SELECT {CONFIG}, as_of, {KEY}, " + ", ".join(f"avg({c}) AS {c}" for c in MEANS) + " FROM pr GROUP BY ALL), pc AS (SELECT 'overall' AS dimension, 'all' AS value, * FROM pe UNION ALL SELECT 'tour', tour, * FROM pe UNION ALL SELECT 'surface', tour || '|' || surface, * FROM pe UNION ALL SELECT 'as_of', as_of::VARCHAR, * FROM pe)"
+
+
+@registered(PROCESS + PPERIODS + f" SELECT {CONFIG}, dimension, value, count(*) AS periods, count(DISTINCT tour || player) AS players, " + ", ".join(f"round(avg({c}), 6) AS {c}" for c in MEANS) + " FROM pc GROUP BY ALL")
+def E6_process(spark: SparkSession, d: str) -> DataFrame:
+    """Coverage with a process variance learnt one season earlier, every configuration and season that has both."""
+    rows = studies.periods(_process(spark, d), ["window", "least_matches", "as_of"], list(MEANS))
+    return _cut(rows).groupBy("window", "least_matches", "dimension", "value").agg(F.count(F.lit(1)).alias("periods"), F.count_distinct("tour", "player").alias("players"), *[F.round(F.avg(c), 6).alias(c) for c in MEANS])
+
+
+@registered(PROCESS + f" SELECT {CONFIG}, side, category, round(avg(clustered_covered), 6) AS base_coverage, round(avg(process_covered), 6) AS process_coverage, round(avg(base_radius), 6) AS base_radius, round(avg(process_radius), 6) AS process_radius, " + five_sql("deviation", "deviation") + " FROM pr GROUP BY ALL")
+def M18_process_coverage(spark: SparkSession, d: str) -> DataFrame:
+    group = ["window", "least_matches", "side", "category"]
+    added, deviations = studies.five("deviation", "deviation", group)
+    a = lambda c, n: F.round(F.avg(c), 6).alias(n)
+    return _process(spark, d).withColumns(added).groupBy(*group).agg(a("clustered_covered", "base_coverage"), a("process_covered", "process_coverage"), a("base_radius", "base_radius"), a("process_radius", "process_radius"), *deviations)
+
+
+@registered(PROCESS + f" SELECT {CONFIG}, source, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY {CONFIG}), 6) AS share FROM pr GROUP BY {CONFIG}, source")
+def G23_process_sources(spark: SparkSession, d: str) -> DataFrame:
+    n = _process(spark, d).groupBy("window", "least_matches", "source").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("window", "least_matches")), 6))
+
+
+# Shrinkage
+
+GRAIN = "phase, test_year, target, side, tour, surface, band, player"
+
+
+def _prior_sql(names: list[str], i: int) -> str:
+    cases = " ".join(f"WHEN {n}1 + {n}2 + {n}3 > 0 THEN ({n}{i} + 0.5) / ({n}1 + {n}2 + {n}3 + 0.5 * k)" for n in names)
+    return f"CASE {cases} ELSE 1.0 / k END::DOUBLE"
+
+
+def _sums(prefix: str) -> str:
+    return ", ".join(f"sum(c{i}) AS {prefix}{i}" for i in (1, 2, 3))
+
+
+_LEVELS = {"e": "phase, test_year, target, side, tour, surface, band", "s": "phase, test_year, target, side, tour, surface", "t": "phase, test_year, target, side, tour"}
+PRIORS = "WITH " + OBSERVED + YEARS + f""", yrs AS (SELECT unnest(range(lo + {studies.SEASONS + 1}, hi + 1)) AS t FROM yr), ph AS (SELECT 'validation' AS phase, 1 AS back UNION ALL SELECT 'test', 0),
+hs AS (SELECT phase, t AS test_year, obs.* FROM obs, yrs, ph WHERE season >= t - back - {studies.SEASONS} AND season < t - back), sc AS (SELECT phase, t AS test_year, obs.* FROM obs, yrs, ph WHERE season = t - back),
+ho AS (SELECT {GRAIN}, {_sums('oe')} FROM hs GROUP BY ALL), hp AS (SELECT {_LEVELS['s']}, player, {_sums('os')} FROM hs GROUP BY ALL), hq AS (SELECT {_LEVELS['t']}, player, {_sums('ot')} FROM hs GROUP BY ALL),
+""" + ", ".join(f"lv_{n} AS (SELECT {keys}, {_sums('a' + n)} FROM hs GROUP BY ALL)" for n, keys in _LEVELS.items()) + f""",
+r0 AS (SELECT sc.*, coalesce(os1, 0) AS p1, coalesce(os2, 0) AS p2, coalesce(os3, 0) AS p3, """ + ", ".join(f"coalesce(a{n}{i}, 0) - coalesce(o{n}{i}, 0) AS {n}{i}" for n in "est" for i in (1, 2, 3)) + f""" FROM sc LEFT JOIN ho USING ({GRAIN}) LEFT JOIN hp USING ({_LEVELS['s']}, player) LEFT JOIN hq USING ({_LEVELS['t']}, player) {' '.join(f'LEFT JOIN lv_{n} USING ({keys})' for n, keys in _LEVELS.items())}),
+told AS (SELECT *, CASE WHEN e1 + e2 + e3 > 0 THEN 'exact' WHEN s1 + s2 + s3 > 0 THEN 'surface' WHEN t1 + t2 + t3 > 0 THEN 'tour' ELSE 'uniform' END AS source, """ + ", ".join([f"{_prior_sql(['e', 's', 't'], i)} AS x{i}" for i in (1, 2, 3)] + [f"{_prior_sql(['t'], i)} AS u{i}" for i in (1, 2, 3)]) + " FROM r0)"
+
+
+def scores_sql(name: str, source: str, strength: str) -> str:
+    """CTEs up to ``name``: score rows of ``source`` at ``strength``."""
+    post = lambda s, i: f"(p{i} + {s} * x{i} + 0.5) / (p1 + p2 + p3 + {s} + 0.5 * k)"
+    q = {"tour": "u{i}", "context": "x{i}"}
+    qs = ", ".join([f"{v.format(i=i)} AS q{i}_{n}" for n, v in q.items() for i in (1, 2, 3)] + [f"{post('0.0', i)} AS q{i}_raw_player, {post(strength, i)} AS q{i}_shrunk_player" for i in (1, 2, 3)])
+    clip = lambda e: f"ln(least(greatest({e}, 1e-12), 1 - 1e-12))"
+    rate = lambda i: f"(c{i} / (c1 + c2 + c3)::DOUBLE)"
+    out = []
+    for n in studies.MODELS:
+        out.append(f"-({rate(1)} * {clip(f'q1_{n}')} + {rate(2)} * {clip(f'q2_{n}')} + CASE WHEN k = 3 THEN {rate(3)} * {clip(f'q3_{n}')} ELSE 0 END) AS loss_{n}")
+        out.append(f"power({rate(1)} - q1_{n}, 2) + CASE WHEN k = 3 THEN power({rate(2)} - q2_{n}, 2) + power({rate(3)} - q3_{n}, 2) ELSE 0 END AS brier_{n}")
+    sd = lambda i: f"sqrt(q{i}_shrunk_player * (1 - q{i}_shrunk_player) / (p1 + p2 + p3 + {strength} + 0.5 * k + 1))"
+    return f"{name}0 AS (SELECT *, {qs} FROM {source} WHERE p1 + p2 + p3 > 0), {name} AS (SELECT *, {rate(1)} AS observed, {', '.join(out)}, CASE WHEN k = 3 THEN ({sd(1)} + {sd(2)} + {sd(3)}) / 3 ELSE {sd(1)} END AS posterior_sd FROM {name}0)"
+
+
+ELIGIBLE = f""", ms AS (SELECT DISTINCT target, {KEY}, season, match_id FROM obs), hn AS (SELECT t AS test_year, target, {KEY}, count(DISTINCT match_id) AS n FROM ms, yrs WHERE season >= t - 1 - {studies.SEASONS} AND season < t - 1 GROUP BY ALL),
+el AS (SELECT hn.* EXCLUDE (n), least_matches FROM hn, (SELECT unnest([{', '.join(map(str, studies.LEAST_MATCHES))}])::INT AS least_matches) WHERE n >= least_matches
+  AND EXISTS (SELECT 1 FROM ms v WHERE v.target = hn.target AND v.tour = hn.tour AND v.player = hn.player AND v.surface = hn.surface AND v.season = test_year - 1) AND EXISTS (SELECT 1 FROM ms v WHERE v.target = hn.target AND v.tour = hn.tour AND v.player = hn.player AND v.surface = hn.surface AND v.season = test_year))"""
+SHRUNK = PRIORS + ELIGIBLE + f""", va AS (SELECT told.*, least_matches, strength FROM told JOIN el USING (test_year, target, {KEY}), (SELECT unnest([{', '.join(map(str, studies.STRENGTHS))}])::DOUBLE AS strength) WHERE phase = 'validation'), {scores_sql('vs', 'va', 'strength')},
+vm AS (SELECT test_year, target, least_matches, strength, match_id, avg(loss_shrunk_player) AS loss FROM vs GROUP BY ALL), vl AS (SELECT test_year, target, least_matches, strength, avg(loss) AS loss FROM vm GROUP BY ALL),
+best AS (SELECT test_year, target, least_matches, arg_min(strength, (round(loss, 12), strength)) AS strength FROM vl GROUP BY ALL),
+te AS (SELECT told.*, least_matches, strength FROM told JOIN el USING (test_year, target, {KEY}) JOIN best USING (test_year, target, least_matches) WHERE phase = 'test'), {scores_sql('ts', 'te', 'strength')}"""
+
+
+def _first_last(spark: SparkSession, d: str) -> tuple[DataFrame, int, int]:
+    r = records(spark, d)
+    low, high = studies.years(r)
+    return studies.observations(r), low + studies.SEASONS + 1, high
+
+
+def _shrunk(spark: SparkSession, d: str) -> DataFrame:
+    return studies.shrinkage(*_first_last(spark, d))
+
+
+@registered(PRIORS + f" SELECT DISTINCT {GRAIN}, source, round(x1, 6) AS prior_1, round(x2, 6) AS prior_2, round(u1, 6) AS tour_1 FROM told")
+def M4_backoff_prior(spark: SparkSession, d: str) -> DataFrame:
+    """Leave-player-out priors of every scored case, the level that each rests on, and the tour's prior."""
+    told = studies.priors(*studies.phased(*_first_last(spark, d)))
+    return told.select(*[c.strip() for c in GRAIN.split(",")], "source", r6(F.col("x1")).alias("prior_1"), r6(F.col("x2")).alias("prior_2"), r6(F.col("u1")).alias("tour_1")).distinct()
+
+
+@registered(PRIORS + f" SELECT {GRAIN}, oe1::BIGINT AS c1, oe2::BIGINT AS c2, oe3::BIGINT AS c3, os1::BIGINT AS surface_c1, ot1::BIGINT AS tour_c1 FROM ho JOIN hp USING ({_LEVELS['s']}, player) JOIN hq USING ({_LEVELS['t']}, player)")
+def G17_history_counts(spark: SparkSession, d: str) -> DataFrame:
+    """A player's counts at each level of every history: its band and surface, its surface, its tour."""
+    history, _ = studies.phased(*_first_last(spark, d))
+    grain = [*studies.CASE, "surface", "band", "player"]
+    g = history.withColumn("band", text.rank_band(F.col("opponent_rank"))).groupBy(*grain).agg(*[F.sum(c).alias(c) for c in studies.COUNTS])
+    return g.withColumns({"surface_c1": F.sum("c1").over(W.partitionBy(*studies.CASE, "player", "surface")), "tour_c1": F.sum("c1").over(W.partitionBy(*studies.CASE, "player"))})
+
+
+@registered(SHRUNK + f""", fm AS (SELECT target, least_matches, test_year, strength, match_id, {', '.join(f'avg(loss_{n}) AS {n}' for n in studies.MODELS)} FROM ts GROUP BY ALL), ec AS (SELECT target, least_matches, test_year, count(*) AS eligible FROM el GROUP BY ALL),
+sd AS (SELECT target, least_matches, test_year, count(DISTINCT tour || player) AS players, round(median(posterior_sd), 6) AS median_posterior_sd FROM ts GROUP BY ALL)
+SELECT target, least_matches, test_year, eligible, any_value(strength)::INT AS strength, count(*) AS test_matches, any_value(players) AS players, any_value(median_posterior_sd) AS median_posterior_sd, {', '.join(f'round(avg({n}), 6) AS {n}' for n in studies.MODELS)},
+round(avg(shrunk_player) - avg(context), 6) AS shrunk_minus_context, round(avg(shrunk_player) - avg(raw_player), 6) AS shrunk_minus_raw FROM fm JOIN ec USING (target, least_matches, test_year) JOIN sd USING (target, least_matches, test_year) GROUP BY target, least_matches, test_year, eligible""")
+def E3_shrinkage(spark: SparkSession, d: str) -> DataFrame:
+    """Five targets by four thresholds by test season: the strength that validation chose and the four models' losses."""
+    obs, first, last = _first_last(spark, d)
+    rows = studies.shrinkage(obs, first, last)
+    fold = ["target", "least_matches", "test_year"]
+    match = rows.groupBy(*fold, "strength", "match_id").agg(*[F.avg(f"loss_{n}").alias(n) for n in studies.MODELS])
+    m = lambda n: F.avg(n)
+    g = match.groupBy(*fold).agg(F.max("strength").cast("int").alias("strength"), F.count(F.lit(1)).alias("test_matches"), *[F.round(m(n), 6).alias(n) for n in studies.MODELS], F.round(m("shrunk_player") - m("context"), 6).alias("shrunk_minus_context"), F.round(m("shrunk_player") - m("raw_player"), 6).alias("shrunk_minus_raw"))
+    sd = rows.groupBy(*fold).agg(F.count_distinct("tour", "player").alias("players"), F.round(F.median("posterior_sd"), 6).alias("median_posterior_sd"))
+    many = studies.eligible(obs, first, last, studies.LEAST_MATCHES).groupBy(*fold).agg(F.count(F.lit(1)).alias("eligible"))
+    return g.join(sd, fold).join(many, fold)
+
+
+def _summary_sql(keys: str) -> str:
+    long = " UNION ALL ".join(f"SELECT target, least_matches, tour, match_id, k, observed, '{n}' AS model, loss_{n} AS loss, brier_{n} AS brier, q1_{n} AS p FROM ts" for n in studies.MODELS)
+    return f""", lo0 AS ({long}), lm AS (SELECT {keys}, model, match_id, avg(loss) AS loss, avg(brier) AS brier FROM lo0 GROUP BY ALL), ls AS (SELECT {keys}, model, count(*) AS matches, round(avg(loss), 6) AS log_loss, round(avg(brier), 6) AS brier FROM lm GROUP BY ALL),
+bi AS (SELECT {keys}, model, least(floor(p * 10), 9)::INT AS bin, count(*) AS n, avg(p) AS mp, avg(observed) AS my FROM lo0 WHERE k = 2 GROUP BY ALL), be AS (SELECT {keys}, model, round(sum(n * abs(mp - my)) / sum(n), 6) AS calibration_error FROM bi GROUP BY ALL) SELECT ls.*, calibration_error FROM ls LEFT JOIN be USING ({keys}, model)"""
+
+
+@registered(SHRUNK + _summary_sql("target, least_matches"))
+def G31_score_summary(spark: SparkSession, d: str) -> DataFrame:
+    return studies.score_summary(_shrunk(spark, d), ["target", "least_matches"])
+
+
+@registered(SHRUNK + _summary_sql("target, least_matches, tour"))
+def G31_score_summary_by_tour(spark: SparkSession, d: str) -> DataFrame:
+    return studies.score_summary(_shrunk(spark, d), ["target", "least_matches", "tour"])
+
+
+SCORED = [f"{c}_{n}" for n in studies.MODELS for c in ("loss", "brier", "q1")]
+
+
+@registered(SHRUNK + f" SELECT target, test_year, tour, player, match_id, side, strength::INT AS strength, {', '.join(f'round({c}, 6) AS {c}' for c in SCORED)} FROM ts WHERE least_matches = 5")
+def M23_score_rows(spark: SparkSession, d: str) -> DataFrame:
+    rows = _shrunk(spark, d).where("least_matches = 5")
+    return rows.select("target", "test_year", "tour", "player", "match_id", "side", F.col("strength").cast("int").alias("strength"), *[r6(F.col(c)).alias(c) for c in SCORED])
+
+
+@registered(PRIORS + f", x AS (SELECT *, 100.0 AS strength FROM told WHERE phase = 'test'), {scores_sql('po', 'x', 'strength')} SELECT target, match_id, side, round(q1_shrunk_player, 6) AS q1, round(q2_shrunk_player, 6) AS q2, round(posterior_sd, 6) AS posterior_sd FROM po")
+def M22_posterior_prediction(spark: SparkSession, d: str) -> DataFrame:
+    told = studies.priors(*studies.phased(*_first_last(spark, d))).where("phase = 'test'")
+    return studies.scores(told, F.lit(100.0)).select("target", "match_id", "side", r6(F.col("q1_shrunk_player")).alias("q1"), r6(F.col("q2_shrunk_player")).alias("q2"), r6(F.col("posterior_sd")).alias("posterior_sd"))
+
+
+_AGAINST = {"context": "loss_shrunk_player - loss_context", "raw_player": "loss_shrunk_player - loss_raw_player"}
+
+
+@registered(SHRUNK + ", df AS (" + " UNION ALL ".join(f"SELECT target || '|{n}' AS grp, match_id, avg({v}) AS v FROM ts WHERE least_matches = 5 GROUP BY ALL" for n, v in _AGAINST.items()) + """),
+v AS (SELECT grp, v, row_number() OVER (PARTITION BY grp ORDER BY match_id) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM df),
+r AS (SELECT grp, b, ('0x' || substr(md5('7|' || b || '|' || grp || '|' || rn), 1, 8))::BIGINT % n + 1 AS pick FROM v, (SELECT unnest(range(0, 200)) AS b)),
+x AS (SELECT r.grp, b, avg(v) AS mean FROM r JOIN v ON r.grp = v.grp AND r.pick = v.rn GROUP BY 1, 2), q AS (SELECT grp, list_sort(list(mean)) AS l FROM x GROUP BY 1),
+i AS (SELECT grp, l[round_even(0.025 * (len(l) - 1), 0)::INT + 1] AS low, l[round_even(0.975 * (len(l) - 1), 0)::INT + 1] AS high FROM q)
+SELECT split_part(grp, '|', 1) AS target, split_part(grp, '|', 2) AS against, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN high < 0 THEN 'favors left' WHEN low > 0 THEN 'favors right' ELSE 'inconclusive' END AS verdict FROM i""")
+def M21_shrinkage_intervals(spark: SparkSession, d: str) -> DataFrame:
+    """Shrunk against context and raw losses: match means resampled 200 times, players of five matches or more."""
+    rows = _shrunk(spark, d).where("least_matches = 5")
+    parts = F.explode(F.array(*[F.struct(F.concat_ws("|", "target", F.lit(n)).alias("grp"), F.expr(v).alias("v")) for n, v in _AGAINST.items()]))
+    match = rows.select("match_id", parts.alias("x")).groupBy("x.grp", "match_id").agg(F.avg("x.v").alias("v"))
+    i = resampling.paired_bootstrap(match, "grp", "match_id", "v")
+    name = lambda k: F.get(F.split("grp", "[|]"), F.lit(k))
+    return i.select(name(0).alias("target"), name(1).alias("against"), r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), resampling.comparison(F.col("low"), F.col("high")).alias("verdict"))
