@@ -67,6 +67,50 @@ def point_label(own: Column, other: Column) -> Column:
     return F.when((own >= 3) & (other >= 3), even).otherwise(F.concat_ws("-", label(own), label(other)))
 
 
-def tour_of(match_id: Column) -> Column:
-    low = F.lower(match_id)
-    return F.when(low.contains("-m-"), "ATP").when(low.contains("-w-"), "WTA").otherwise("Unknown")
+def tour_of(name: Column) -> Column:
+    """From a match id, or the prefix of a shard's name; case counts."""
+    men, women = name.contains("-M-") | name.startswith("charting-m-"), name.contains("-W-") | name.startswith("charting-w-")
+    return F.when(men, "ATP").when(women, "WTA").otherwise("Unknown")
+
+
+#: Columns whose values are digits, 1 or 2, or booleans; any other column only has to be filled.
+DIGITS = ("Pt", "Set1", "Set2", "Gm1", "Gm2")
+ONE_OR_TWO, FLAGS = ("Svr", "PtWinner"), ("TbSet", "TB?")
+
+
+def valid_value(field: str, value: Column) -> Column:
+    """Whether a cell has a value that its column allows; blanks never do."""
+    v = F.trim(value)
+    if field in DIGITS:
+        return v.rlike("^[0-9]+$")
+    if field in ONE_OR_TWO:
+        return v.isin("1", "2")
+    if field in FLAGS:
+        return F.lower(v).isin("true", "false", "0", "1")
+    return v != ""
+
+
+def context_values(match_id: Column, date: Column, surface: Column, author: Column) -> dict[str, Column]:
+    """Tour, season, surface and author of a record; missing ones are values of their own."""
+    text = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    blank = lambda c: F.when(c == "", "(blank)").otherwise(c)
+    season = F.substring(F.coalesce(date, F.lit("")), 1, 4)
+    return {"tour": tour_of(match_id), "season": F.when(season.rlike("^[0-9]{4}$"), season).otherwise("invalid-date"), "surface": blank(F.lower(text(surface))), "chart_author": blank(text(author))}
+
+
+def iso_date(value: Column) -> Column:
+    """2017-07-14 of either 2017-07-14 or 14/07/2017; blank stays blank, anything else is null."""
+    v = F.trim(value)
+    read = F.coalesce(F.when(v.rlike("^[0-9]{4}-"), F.try_to_timestamp(v, F.lit("yyyy-MM-dd"))), F.when(v.rlike("/"), F.try_to_timestamp(v, F.lit("dd/MM/yyyy"))))
+    return F.when(v == "", "").otherwise(F.date_format(read, "yyyy-MM-dd"))
+
+
+def plain_boolean(value: Column) -> Column:
+    """true or false of either language of the reviews; blank stays blank, anything else is null."""
+    v = F.lower(F.trim(value))
+    return F.when(v == "", "").when(v.isin("true", "verdadeiro"), "true").when(v.isin("false", "falso"), "false")
+
+
+def era(year: Column) -> Column:
+    """The eras that coverage is told by."""
+    return F.when(year <= 2009, "through 2009").when(year <= 2018, "2010-18").when(year <= 2019, "2019").when(year <= 2023, "2020-23").otherwise("2024-26")

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointweave.operators.integrity import require
+from pointweave.functions import text
+from pointweave.operators.integrity import collapse, grouped, require
 
 #: Columns that the sources must have.
 POINTS = ["match_id", "Pt", "Set1", "Set2", "Gm1", "Gm2", "Pts", "Svr", "PtWinner"]
 MATCHES = ["match_id", "Player 1", "Player 2", "Date", "Tournament", "Round", "Surface", "Best of"]
+CONTEXT = ["tourney_id", "tourney_name", "surface", "tourney_date", "match_num", "winner_id", "winner_name", "loser_id", "loser_name", "best_of", "round", "winner_rank", "loser_rank"]
+#: What a match may be played on and over, file names of the context archive, columns that make a grain.
+SURFACES, BEST_OF = ("Hard", "Clay", "Grass", "Carpet"), ("3", "5")
+ARCHIVE = r"/(atp|wta)/(?:atp|wta)_matches_(?:(qual_chall|futures|qual_itf)_)?[0-9]{4}[.]csv$"
+GRAIN = ("match_id", "player", "server", "returner", "set", "row")
 STATES = ["match_id", "sets_p1", "sets_p2", "games_p1", "games_p2", "points_p1", "points_p2", "server", "is_tiebreak", "timestamp_utc"]
 
 
@@ -36,15 +45,165 @@ def parsed_points(raw: DataFrame) -> DataFrame:
     return rows.withColumn("error", error)
 
 
+def read_points(spark: SparkSession, paths: list[str], reject_conflicts: bool = False) -> DataFrame:
+    """Typed points of all shards: headers must agree, equal copies of (match_id, Pt) collapse, conflicting ones go.
+
+    With ``reject_conflicts`` a conflict fails the read instead.
+    """
+    raw = read_shards(spark, paths)
+    values = [c for c in raw.columns if c not in ("match_id", "Pt", "source_file")]
+    if reject_conflicts and not grouped(raw, ["match_id", "Pt"], values).where("conflicting").isEmpty():
+        raise ValueError("points conflict")
+    return parsed_points(collapse(raw, ["match_id", "Pt"], values))
+
+
+def read_shards(spark: SparkSession, paths: list[str], required: list[str] = POINTS) -> DataFrame:
+    """All shards in one scan after a check of their first lines; source_file is the name of a row's shard."""
+    same_headers(spark, paths)
+    return read_csv(spark, paths, required).withColumn("source_file", F.element_at(F.split("source_file", "/"), -1))
+
+
+def read_matches(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One row per match id: copies, whether they conflict, which anomalies any of them shows, safe, and the least row.
+
+    The date has eight digits and exists, the surface is one of SURFACES, the best-of one of BEST_OF.
+    """
+    raw = read_csv(spark, paths, MATCHES).drop("source_file")
+    values = [c for c in raw.columns if c != "match_id"]
+    bad = {"invalid_date": text.compact_date(F.col("Date")).isNull(), "invalid_surface": ~F.col("Surface").isin(*SURFACES), "invalid_best_of": ~F.col("`Best of`").isin(*BEST_OF)}
+    flags = [F.bool_or(c).alias(n) for n, c in bad.items()]
+    row = F.struct(*[F.col(f"`{c}`") for c in values])
+    g = raw.groupBy("match_id").agg(F.count(F.lit(1)).alias("copies"), F.min(row).alias("row"), F.max(row).alias("last"), *flags)
+    g = g.withColumn("conflicting", ~F.col("row").eqNullSafe(F.col("last"))).drop("last")
+    return g.withColumn("safe", ~F.col("conflicting") & ~F.col("invalid_date") & ~F.col("invalid_surface") & ~F.col("invalid_best_of"))
+
+
+def grain(columns: list[str]) -> list[str]:
+    """The columns that tell the rows of an aggregate file apart, of those that it has."""
+    return [c for c in GRAIN if c in columns]
+
+
+def read_aggregate_rows(spark: SparkSession, paths: list[str], row_field: str, accepted: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(safe rows, counters) of the rows whose ``row_field`` is accepted, values as numbers.
+
+    Numbers are parsed before rows are compared (04 equals 4); rows with an unreadable value are counted and left out,
+    and so are all rows of a conflicting (match_id, player, row).
+    """
+    raw = read_csv(spark, paths, ["match_id", "player", row_field, *values]).where(F.col(row_field).isin(*accepted))
+    keys = ["match_id", "player", row_field]
+    typed = raw.select(*keys, *[F.col(v).try_cast("int").alias(v) for v in values])
+    good = F.lit(True)
+    for v in values:
+        good = good & F.col(v).isNotNull()
+    told = typed.withColumn("pw_good", good)
+    g = grouped(told.where("pw_good"), keys, values)
+    counts = told.agg(F.count(F.lit(1)).alias("accepted_rows"), F.count_if(~F.col("pw_good")).alias("invalid_rows"))
+    groups = g.agg(F.count(F.lit(1)).alias("groups"), F.count_if(~F.col("conflicting")).alias("safe"), F.count_if(F.col("copies") > 1).alias("duplicate_groups"), F.count_if("conflicting").alias("conflicting_groups"))
+    return g.where(~F.col("conflicting")).select(*keys, "row.*"), counts.crossJoin(F.broadcast(groups))  # one row each
+
+
+def profile_aggregate(spark: SparkSession, path: str, safe_ids: DataFrame, charted_ids: DataFrame) -> DataFrame:
+    """One row on an aggregate file, whatever its columns: rows, ids, players, duplicates of its grain and numbers."""
+    raw = read_csv(spark, [path], ["match_id"]).drop("source_file")
+    keys = grain(raw.columns)
+    numbers = [c for c in raw.columns if c not in keys]
+    players = [c for c in ("player", "server", "returner") if c in raw.columns]
+    cells = F.array(*[F.trim(F.col(c)) for c in numbers])
+    filled = F.filter(cells, lambda x: x != "")
+    told = raw.withColumns({"pw_filled": F.size(filled), "pw_bad": F.size(F.filter(filled, lambda x: x.try_cast("int").isNull())), "pw_low": F.size(F.filter(filled, lambda x: x.try_cast("int") < 0))})
+    row = F.struct(*raw.columns)
+    g = told.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), (~F.min(row).eqNullSafe(F.max(row))).alias("conflicting"), *[F.sum(c).alias(c) for c in ("pw_filled", "pw_bad", "pw_low")])
+    many = F.col("copies") > 1
+    counts = g.agg(
+        F.sum("copies").alias("rows"), F.sum(F.col("copies") - 1).alias("duplicate_rows"), F.count_if(many).alias("duplicate_groups"), F.count_if(many & ~F.col("conflicting")).alias("exact_groups"), F.count_if("conflicting").alias("conflicting_groups"),
+        F.count_distinct(F.when(F.col("conflicting"), F.col("match_id"))).alias("conflicting_matches"), F.sum("pw_filled").alias("numbers"), F.sum("pw_bad").alias("invalid_numbers"), F.sum("pw_low").alias("negative_numbers"),
+    )
+    ids = raw.select("match_id").distinct().join(safe_ids.select("match_id", F.lit(True).alias("is_safe")), "match_id", "left").join(charted_ids.select("match_id", F.lit(True).alias("is_charted")), "match_id", "left")
+    met = ids.agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.col("is_safe").isNull()).alias("orphan_ids"), F.count_if("is_charted").alias("charted_covered"))
+    names = raw.select(F.explode(F.array(*[F.nullif(F.col(c), F.lit("")) for c in players])).alias("name")) if players else raw.select(F.lit(None).cast("string").alias("name"))
+    who = names.agg(F.count_distinct("name").alias("players"))
+    return counts.crossJoin(F.broadcast(met)).crossJoin(F.broadcast(who))  # one row each
+
+
+def canonical_id(namespace: str, tour: Column, *parts: Column) -> Column:
+    return F.concat_ws(":", F.lit(namespace), F.lower(tour), *parts)
+
+
+def read_context(spark: SparkSession, root: str, namespace: str = "context") -> DataFrame:
+    """Rows of the archive's files under atp/ and wta/ whose names are those of matches: tour from the folder, family from
+    the name, canonical id, typed date, and whether the row is valid (a date and no blank identity)."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root, header=True, multiLine=True, escape='"')
+    require(raw, CONTEXT)
+    raw = raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in CONTEXT], F.col("_metadata.file_path").alias("path")).where(F.col("path").rlike(ARCHIVE))
+    family = F.regexp_extract("path", ARCHIVE, 2)
+    rows = raw.withColumns({"tour": F.upper(F.regexp_extract("path", ARCHIVE, 1)), "family": F.when(family == "", "tour").otherwise(family), "source_file": F.array_join(F.slice(F.split("path", "/"), -2, 2), "/"), "date": text.compact_date(F.col("tourney_date"))})
+    valid = F.col("date").isNotNull()
+    for c in ("tourney_id", "match_num", "winner_id", "winner_name", "loser_id", "loser_name"):
+        valid = valid & (F.trim(F.col(c)) != "")
+    return rows.select(canonical_id(namespace, F.col("tour"), F.col("family"), F.col("tourney_id"), F.col("match_num")).alias("canonical_id"), "tour", "family", *CONTEXT, "date", "source_file", valid.alias("valid"))
+
+
+def safe_context(context: DataFrame) -> DataFrame:
+    """A row per valid canonical id whose copies are equal in everything, their file included."""
+    values = [c for c in context.columns if c not in ("canonical_id", "valid")]
+    return collapse(context.where("valid"), ["canonical_id"], values)
+
+
 def parsed_states(raw: DataFrame) -> DataFrame:
-    """Scoreboard states with ragged games as arrays; error names what cannot be read."""
+    """Scoreboard states with ragged games as arrays and the current set's games; error names what cannot be read."""
     games = [F.from_json(F.col(c), "array<int>") for c in ("games_p1", "games_p2")]
     server = F.when(F.col("server") == "", None).otherwise(F.col("server").try_cast("int") - 1)
-    bad = F.when(games[0].isNull() | games[1].isNull(), "games").when((F.col("server") != "") & ~F.coalesce(server.isin(0, 1), F.lit(False)), "server").when(~F.col("points_p1").rlike("^(|[0-9]+|A|AD)$") | ~F.col("points_p2").rlike("^(|[0-9]+|A|AD)$"), "points")
+    unread = lambda g: g.isNull() | F.exists(g, lambda x: x.isNull() | (x < 0))
+    label = "^(|[0-9]+|A|AD)$"
+    bad = (
+        F.when(F.col("match_id").try_cast("int").isNull(), "match_id")
+        .when(unread(games[0]) | unread(games[1]), "games")
+        .when((F.col("server") != "") & ~F.coalesce(server.isin(0, 1), F.lit(False)), "server")
+        .when(~F.col("points_p1").rlike(label) | ~F.col("points_p2").rlike(label), "points")
+    )
     current = lambda g: F.coalesce(F.try_element_at(g, F.lit(-1)), F.lit(0))
     return raw.select(F.col("match_id").try_cast("int").alias("match_id"), games[0].alias("games_1"), games[1].alias("games_2"), current(games[0]).alias("now_1"), current(games[1]).alias("now_2"), server.alias("server"), (F.lower("is_tiebreak") == "true").alias("tiebreak"), "timestamp_utc", bad.alias("error"))
 
 
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """States of gzip files, which no task can split; they are dealt out after reading."""
+    return parsed_states(read_csv(spark, path, STATES).repartition(spark.sparkContext.defaultParallelism))
+
+
+def discover(spark: SparkSession, pattern: str, expected: int | None = None) -> list[str]:
+    """Sorted paths that a pattern of the shared store names; another number than ``expected`` fails."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    paths = sorted(f.getPath().toString() for f in found or [])
+    if expected is not None and len(paths) != expected:
+        raise ValueError(f"{pattern}: {len(paths)} files, not {expected}")
+    return paths
+
+
+def sniffed(spark: SparkSession, path: str, delimiters: str = ",;") -> str:
+    """The delimiter that a file's first line has oftenest outside quotes; only that line is read."""
+    line = spark.read.text(path).first()[0]
+    bare = "".join(line.split('"')[::2])
+    return max(delimiters, key=lambda c: (bare.count(c), -delimiters.index(c)))
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """A folder that every executor sees: spark.checkpoint.dir, or an own one where that is unset and all is local."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        base = "file://" + tempfile.mkdtemp(prefix="pointweave-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/pointweave-{uuid.uuid4().hex}"
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ",", compression: str = "none") -> str:
+    """All columns with a header; refuses to overwrite."""
+    df.write.mode("errorifexists").csv(path, header=True, sep=sep, compression=compression, escape='"', emptyValue="")
+    return path
+
+
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.upper(F.sha2("content", 256)).alias("sha256"))
 
