@@ -237,15 +237,6 @@ def G13_status_counts(spark: SparkSession, d: str) -> DataFrame:
     return resolve.with_collisions(_resolved(spark, d)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered(" UNION ALL ".join(f"SELECT * FROM ({RESOLVED.format(before=b, after=a)} SELECT {b}::INT AS days_before, {a}::INT AS days_after, count(*) FILTER (status = 'matched') AS matched FROM resolved)" for b, a in ((1, 14), (7, 20), (14, 28))))
-def G14_window_sensitivity(spark: SparkSession, d: str) -> DataFrame:
-    out = None
-    for b, a in ((1, 14), (7, 20), (14, 28)):
-        one = _resolved(spark, d, b, a).agg(F.lit(b).alias("days_before"), F.lit(a).alias("days_after"), F.count_if(F.col("status") == "matched").alias("matched"))
-        out = one if out is None else out.union(one)
-    return out
-
-
 @registered("SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier GROUP BY 1 HAVING count(DISTINCT s_suppkey) > 4)")
 def J8_id_collision_anti(spark: SparkSession, d: str) -> DataFrame:
     many = read(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("c_nationkey")).agg(F.count_distinct("s_suppkey").alias("n")).where("n > 4")
