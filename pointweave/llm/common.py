@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Word separators of every word rule here: space, tab, newline, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: A side is broadcast only when its measured rows times width stay below this.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of an Arrow batch from which on it is handed over.
+BATCH_BYTES = 2 << 20
 #: A key is hot from this share of all rows on, so there are HOT_SHARE hot keys at most.
 HOT_SHARE = 1000
 
@@ -60,22 +63,35 @@ def hot_join(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
 
 
 def rebatched(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of ``rows`` (the last one smaller). Spark bounds the bytes of what comes in, so no
-    operator has to change the session's batch size."""
+    """The same rows in batches of ``rows``, or fewer once they hold BATCH_BYTES."""
     held: list[pa.RecordBatch] = []
-    many = 0
+    many = size = 0
     for b in batches:
         while b.num_rows:
             part, b = b.slice(0, rows - many), b.slice(min(rows - many, b.num_rows))
             held.append(part)
-            many += part.num_rows
-            if many == rows:
+            many, size = many + part.num_rows, size + part.nbytes
+            if many == rows or size >= BATCH_BYTES:
                 yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
-                held, many = [], 0
+                held, many, size = [], 0, 0
     if held:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0] if len(held) > 1 else held[0]
 
 
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str, rows: int = 1024) -> DataFrame:
+    """``run`` over Arrow batches of ``rows`` rows and BATCH_BYTES at most.
+
+    The session's byte bound is set to the same number by every operator, whatever its rows: they are counted in the
+    worker, so plans that run later than they were built do not get each other's batches.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return run(rebatched(batches, rows))
+
+    return df.mapInArrow(cut_up, schema)
+
+
 def named(id_col: str, columns: list[str]) -> list[str]:
     """Result names beside the id's: one that the id has gets ``_result`` behind it."""
     return [f"{c}_result" if c == id_col else c for c in columns]

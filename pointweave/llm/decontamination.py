@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointweave.llm.common import rebatched
+from pointweave.llm.common import in_batches
 
 #: Words of a seed, and the different seeds of an item that a diagonal band of a document holds at least. A copy in
 #: which n of m words are left and the others replaced or left out keeps 2n - m - 1 pairs of neighbours or more, at
@@ -196,7 +196,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     for items in item_blocks(benchmark, item_id_col, item_text_col, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in rebatched(batches):
+            for b in batches:
                 found = {}
                 for d, i, *rest in leaks(items, _texts(b, text_col)):
                     found[d, items.ids[i]] = max(found.get((d, items.ids[i]), (0.0,)), tuple(rest))
@@ -204,7 +204,7 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
                 columns = [b.column(id_col).take(at), pa.array([i for _, i in found], pa.int64())]
                 yield pa.RecordBatch.from_arrays([*columns, *(pa.array([v[k] for v in found.values()], pa.float64() if not k else pa.int64()) for k in range(4))], names=out.names)
 
-        part = docs.mapInArrow(run, out)
+        part = in_batches(docs, run, out)
         parts = part if parts is None else parts.unionByName(part)
     if parts is None:
         return docs.sparkSession.createDataFrame([], out).withColumn("item_id", F.col("item_id").cast(item_kind))
@@ -216,10 +216,10 @@ def keep_unleaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for items in item_blocks(benchmark, item_id_col, item_text_col, block_words):
 
         def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in rebatched(batches):
+            for b in batches:
                 keep = np.ones(b.num_rows, bool)
                 keep[[d for d, *_ in leaks(items, _texts(b, text_col))]] = False
                 yield b.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_batches(docs, run, docs.schema)
     return docs

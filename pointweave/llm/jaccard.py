@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointweave.llm.common import cut, partitions, rebatched, small
+from pointweave.llm.common import cut, in_batches, partitions, small
 from pointweave.llm.components import components
 from pointweave.llm.shingles import shingle_sets
 
@@ -82,7 +82,7 @@ def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """SETS for (id, text) rows; ``busy`` names, on a batch's first row, tokens that many sets of the batch lead with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rebatched(batches):
+        for b in batches:
             sets = shingle_sets(_texts(b, "text"), width)
             prefixes = [s[: prefix_length(len(s), num, den)] if len(s) else s for s in sets]
             seen, times = np.unique(np.concatenate([*prefixes, np.zeros(0, np.uint64)]), return_counts=True)
@@ -92,7 +92,7 @@ def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
             columns = [b.column("id"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(signed(np.array([x[k] for x in sigs], np.uint64))) for k in (0, 1)), pa.array(map(sketch, sets), pa.binary()), pa.array([busy if not i else [] for i in range(len(sets))], pa.list_(pa.int64())), pa.array(map(signed, prefixes), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig_a", "sig_b", "sketch", "busy", "prefix"])
 
-    return docs.mapInArrow(run, SETS)
+    return in_batches(docs, run, SETS)
 
 
 def entries(rows: DataFrame) -> DataFrame:
@@ -177,14 +177,14 @@ def index(rows: DataFrame, frequent: DataFrame | None, num: int, den: int, name:
                     pairs.append(list_pairs(*(c[s:e] for c in columns[1:]), num, den))
             return pairs, long_rows, [c[keep:] for c in columns]
 
-        for b in rebatched(batches, 50_000):
+        for b in batches:
             new = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "id", "n", "pos")]
             pairs, long_rows, held = lists([np.concatenate([h, c]) for h, c in zip(held, new, strict=True)], False)
             yield made(pairs, long_rows)
         pairs, long_rows, _ = lists(held, True)
         yield made(pairs, long_rows)
 
-    out = cut(dealt.mapInArrow(run, "a long, b long, token long, id long, n long"), name)
+    out = cut(in_batches(dealt, run, "a long, b long, token long, id long, n long", 50_000), name)
     long_lists = out.where("token is not null").select("token", "id", F.col("n").cast("int").alias("n"))
     return out.where("a is not null").select("a", "b").distinct(), long_lists if hot is None else long_lists.unionByName(hot)
 
@@ -196,23 +196,23 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, num:
     two = pairs.join(light.toDF("a", "n_a", "sketch_a"), "a").join(light.toDF("b", "n_b", "sketch_b"), "b")
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rebatched(batches, 2048):
+        for b in batches:
             both = zip(b.column("sketch_a").to_pylist(), b.column("sketch_b").to_pylist(), strict=True)
             differ = np.fromiter((least_difference(x, y) for x, y in both), np.int64, b.num_rows)
             n = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
             yield b.select(["a", "b"]).filter(pa.array(differ <= n - 2 * (-(-num * n // (num + den)))))
 
-    close = cut(two.mapInArrow(near, "a long, b long").distinct(), "close-pairs")
+    close = cut(in_batches(two, near, "a long, b long", 2048).distinct(), "close-pairs")
     wanted = cut(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "close-ids")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rebatched(batches, 512):
+        for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in shingle_sets(_texts(b, "text"), width)], pa.binary())], names=["id", "tokens"])
 
-    full = cut(docs.join(small(wanted, 16), "id", "left_semi").mapInArrow(whole, "id long, tokens binary"), "close-sets")
+    full = cut(in_batches(docs.join(small(wanted, 16), "id", "left_semi"), whole, "id long, tokens binary", 512), "close-sets")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rebatched(batches, 128):
+        for b in batches:
             good = []
             for x, y in zip(b.column("tokens_a").to_pylist(), b.column("tokens_b").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -221,7 +221,7 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, num:
             yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     met = close.join(full.toDF("a", "tokens_a"), "a").join(full.toDF("b", "tokens_b"), "b")
-    return cut(met.mapInArrow(exact, "a long, b long"), "links")
+    return cut(in_batches(met, exact, "a long, b long", 128), "links")
 
 
 def dense_links(family: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -235,11 +235,11 @@ def dense_links(family: DataFrame, docs: DataFrame, width: int, num: int, den: i
     placed = family.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rebatched(batches, 512):
+        for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([s.tobytes() for s in shingle_sets(_texts(b, "text"), width)], pa.binary())], names=["id", "tokens"])
 
     wanted = family.select("id").distinct()
-    full = cut(docs.join(small(wanted, 16), "id", "left_semi").mapInArrow(whole, "id long, tokens binary"), "dense-sets")
+    full = cut(in_batches(docs.join(small(wanted, 16), "id", "left_semi"), whole, "id long, tokens binary", 512), "dense-sets")
     others = F.sequence(F.lit(0), F.col("blocks") - 1)
     met = placed.join(full, "id").withColumn("other", F.explode(others))
     met = met.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "tokens")
@@ -330,11 +330,11 @@ def component_links(sets: DataFrame, docs: DataFrame, width: int, num: int, den:
         moved = np.sort(np.array([r[0] for r in known.toLocalIterator()], np.int64).view(np.uint64))
 
         def lead(batches: Iterator[pa.RecordBatch], moved: np.ndarray = moved) -> Iterator[pa.RecordBatch]:
-            for b in rebatched(batches):
+            for b in batches:
                 got = shingle_sets(_texts(b, "text"), width)
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(s) for s in got], pa.int32()), pa.array([signed(ordered_prefix(s, moved, num, den)) for s in got], pa.list_(pa.int64()))], names=["id", "n", "prefix"])
 
-        rows = cut(docs.join(small(again, 16), "id", "left_semi").mapInArrow(lead, "id long, n int, prefix array<long>"), f"led-{turn}")
+        rows = cut(in_batches(docs.join(small(again, 16), "id", "left_semi"), lead, "id long, n int, prefix array<long>"), f"led-{turn}")
     heads = open_rows.groupBy("token").agg(F.min("id").alias("a"))
     joined = components(open_rows.join(heads, "token").select("a", F.col("id").alias("b")).distinct())
     links.append(dense_links(joined.select(F.col("component").alias("family"), F.col("node").alias("id")), docs, width, num, den))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import cut, hot_join, rebatched, small
+from pointweave.llm.common import cut, hot_join, in_batches, small
 
 #: Words of an aligned block of lines, at least, for it to be deleted.
 BLOCK_WORDS = 5
@@ -151,13 +151,13 @@ def all_runs(rows: DataFrame, block_words: int) -> DataFrame:
     """(run, id, start, end) of the rows' runs that several ids have, with ``first``, the least of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches):
+        for batch in batches:
             got = [(r["id"], *x) for r in batch.to_pylist() for x in runs(r["lines"], block_words)]
             columns = list(zip(*got, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["id", "run", "start", "end"])
 
-    every = cut(rows.select("id", "lines").mapInArrow(run, "id long, run binary, start int, end int"), "line-runs")
+    every = cut(in_batches(rows.select("id", "lines"), run, "id long, run binary, start int, end int"), "line-runs")
     per = cut(every.groupBy("run").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first < last").drop("last"), "runs-of-several")
     return cut(hot_join(every, per, "run"), "shared-runs")
 
@@ -190,10 +190,10 @@ def duplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str
 
     def aligned(pairs: DataFrame, name: str) -> DataFrame:
         met = pairs.join(heads_only.toDF("a", "lines_a"), "a").join(heads_only.toDF("b", "lines_b"), "b").select("b", "lines_a", "lines_b")
-        return cut(met.mapInArrow(run, "id long, pos int"), name)
+        return cut(in_batches(met, run, "id long, pos int", 256), name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rebatched(batches, 256):
+        for batch in batches:
             ids, places = [], []
             for r in batch.to_pylist():
                 got = deleted(r["lines_a"], r["lines_b"], block_words)
@@ -205,7 +205,7 @@ def duplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str
     pairs = cut(shared.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct(), "line-pairs")
     found = aligned(pairs, "line-deletions")
     same = rows.where("id > rep").select(F.col("id").alias("b"), F.col("lines").alias("lines_a"), F.col("lines").alias("lines_b"))
-    found = found.unionByName(cut(same.mapInArrow(run, "id long, pos int"), "like-deletions"))
+    found = found.unionByName(cut(in_batches(same, run, "id long, pos int", 256), "like-deletions"))
     found = found.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
     again = copies.select("id", F.sequence(F.lit(0), F.col("n_lines") - 1).alias("removed"))
     return found.unionByName(again).select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "removed")

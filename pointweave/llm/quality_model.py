@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointweave.llm.common import named, rebatched
+from pointweave.llm.common import in_batches, named
 
 #: Labelled rows that a model is fitted on, at most: those of least hash, so the sample is the same on every run.
 SAMPLE_ROWS = 20_000
@@ -126,12 +126,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("pw_id"), F.col(text_col).alias("pw_text")).join(F.broadcast(sample.withColumnRenamed(id_col, "pw_id")), "pw_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rebatched(batches):
+        for b in batches:
             x = _matrix(b.column("pw_text"))
             yield pa.RecordBatch.from_arrays([b.column("pw_id"), b.column("pw_label"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "y", "x"])
 
     out = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("y double, x array<double>").fields])
-    got = rows.mapInArrow(run, out).groupBy("id", "y").agg(F.min("x").alias("x")).select("y", "x").toArrow()
+    got = in_batches(rows, run, out).groupBy("id", "y").agg(F.min("x").alias("x")).select("y", "x").toArrow()
     x, y = np.array(got["x"].to_pylist(), float).reshape(-1, len(STATISTICS)), np.array(got["y"].to_pylist(), float)
     order = np.lexsort((*x.T, y))
     return fit(x[order], y[order])
@@ -148,9 +148,9 @@ def score(docs: DataFrame, forest: Forest, id_col: str = "doc_id", text_col: str
     out = T.StructType([T.StructField("pw_id", kind.dataType), T.StructField("pw_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rebatched(batches):
+        for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(forest.scores(_matrix(b.column(text_col))))], names=out.names)
 
-    scored = docs.select(id_col, text_col).mapInArrow(run, out)
+    scored = in_batches(docs.select(id_col, text_col), run, out)
     held, value, predicted = named(id_col, ["held_out", "score", "predicted"])
     return scored.select(F.col("pw_id").alias(id_col), held_out(F.col("pw_id")).alias(held), F.col("pw_score").alias(value), F.when(F.col("pw_score") >= PREDICT_FROM, 1).otherwise(0).alias(predicted))

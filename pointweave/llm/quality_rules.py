@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from pointweave.llm.common import named, rebatched
+from pointweave.llm.common import in_batches, named
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 SYMBOLS = b"#*$%&|<>"
@@ -209,18 +209,18 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = T.StructType([docs.schema[id_col], *columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rebatched(batches):
+        for b in batches:
             got = measure(_texts(b.column(text_col)), _strings(b, lang_col), vocabulary, bands)
             yield pa.RecordBatch.from_arrays([b.column(id_col), *(pa.array(got[f.name]) for f in MEASURES.fields)], names=out.names)
 
-    return docs.mapInArrow(run, out)
+    return in_batches(docs, run, out)
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", lang_col: str | None = "lang", vocabulary: str = VOCABULARY, bands: dict = BANDS) -> DataFrame:
     """The rows of ``docs``, all columns as they are, that quality_rules keeps."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in rebatched(batches):
+        for b in batches:
             yield b.filter(pa.array(measure(_texts(b.column(text_col)), _strings(b, lang_col), vocabulary, bands)["kept"]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_batches(docs, run, docs.schema)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import cut, rebatched, small
+from pointweave.llm.common import cut, in_batches, small
 
 #: Payload bytes of one shard (a range of ids) and compressed bytes at which a file is rolled.
 SHARD_BYTES, ROLL_BYTES = 16 << 20, 4 << 20
@@ -234,7 +234,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def files() -> Iterator[tuple]:
             roller = None
-            for b in rebatched(batches, 256):
+            for b in batches:
                 for r in b.to_pylist():
                     if roller is None or roller.shard != r["shard"]:
                         if roller:
@@ -248,7 +248,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
         for f in files():
             yield pa.RecordBatch.from_pylist([dict(zip(("temp", "name", "records", "bytes", "sha256"), f, strict=True))])
 
-    manifest = cut(dealt.mapInArrow(run, MANIFEST), "warc-written")
+    manifest = cut(in_batches(dealt, run, MANIFEST, 256), "warc-written")
     commit(spark, folder, manifest)
     return spark.read.schema(manifest.drop("temp").schema).parquet(f"{folder}/manifest")
 

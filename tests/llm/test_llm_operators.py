@@ -6,10 +6,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from pointweave.llm import decontamination, jaccard, line_dedup, mixing, quality_model, quality_rules, secrets, sharding, url_filter, warc
+from pointweave.llm import common, decontamination, jaccard, line_dedup, mixing, quality_model, quality_rules, secrets, sharding, url_filter, warc
 from pointweave.llm.common import scratch_path
 from pointweave.llm.components import components
 
@@ -459,10 +460,21 @@ def test_fertility(spark, docs, rows):
     assert quality_rules.quality_rules(df.limit(0), id_col="n_words").collect() == [] and quality_rules.keep_quality(df.limit(0)).collect() == []
 
 
-def test_operators_leave_the_session_alone(spark, docs):
+def test_batches_do_not_depend_on_other_operators(spark, docs, monkeypatch):
+    """A plan built first and run last gets the batches that it asked for; the session's row bound is never touched."""
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    many = spark.range(0, 5000, 1, 1).selectExpr("id", "repeat('x', 200) as t")
+
+    def count(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    first, long = common.in_batches(many, count, "n long, size long", 700), common.in_batches(many.selectExpr("id", "repeat(t, 100) as t"), count, "n long, size long", 700)
     quality_rules.quality_rules(docs).count()
     line_dedup.duplicate_lines(docs).count()
+    assert [r["n"] for r in first.collect()] == [700] * 7 + [100]
+    sizes = long.collect()
+    assert sum(r["n"] for r in sizes) == 5000 and max(r["size"] for r in sizes) < 3 * common.BATCH_BYTES
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
 
 
