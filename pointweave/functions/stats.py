@@ -54,13 +54,6 @@ def total_variation(left: list[Column], right: list[Column], sides: int = 2) ->
     return sum(parts[1:], parts[0]) / 2 / sides
 
 
-def cluster_se(cc: Column, ct: Column, tt: Column, c: Column, t: Column, m: Column) -> Column:
-    """Clustered SE of the ratio c / t from sums over m clusters of c*c, c*t, t*t, c and t; null under two clusters."""
-    r = c / t
-    spread = F.greatest(cc - 2 * r * ct + r * r * tt, F.lit(0.0))
-    return F.when((m > 1) & (t > 0), F.sqrt(m / (m - 1) * spread / (t * t)))
-
-
 def wilson(hits: Column, n: Column) -> dict[str, Column]:
     z2 = Z95 * Z95
     p = hits / n
@@ -74,11 +67,15 @@ def required_variance(residual: Column, se_past: Column, se_now: Column) -> Colu
 
 def nearest_rank(values: Column, p: float) -> Column:
     """The value at round-half-even(p * (n - 1)) of a sorted array."""
+    if not 0 <= p <= 1:
+        raise ValueError(f"a probability lies from 0 to 1: {p}")
     return F.element_at(F.sort_array(values), (F.bround(F.lit(p) * (F.size(values) - 1)) + 1).cast("int"))
 
 
 def finite_quantile(values: Column, p: float) -> Column:
     """sorted[min(n, ceil(p (n + 1))) - 1]."""
+    if not 0 < p < 1:
+        raise ValueError(f"a probability lies between 0 and 1: {p}")
     n = F.size(values)
     return F.element_at(F.sort_array(values), F.least(n, F.ceil(F.lit(p) * (n + 1)).cast("int")))
 

@@ -14,12 +14,6 @@ def split_halves(df: DataFrame, group: list[str], order: list[str], alternating:
     return df.withColumn("half", F.when(left, "left").otherwise("right"))
 
 
-def ranked(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Add rn, the place of the row's value in its group, and n, the group's rows."""
-    w = W.partitionBy(*group)
-    return df.withColumns({"rn": F.row_number().over(w.orderBy(value)), "n": F.count(F.lit(1)).over(w)})
-
-
 def fold_rows(df: DataFrame, year: str, first: int, last: int, window: int) -> DataFrame:
     """Add as_of: each row in every fold whose history [as_of - window, as_of) holds its year."""
     low, high = F.greatest(F.col(year) + 1, F.lit(first)), F.least(F.col(year) + window, F.lit(last))
@@ -35,8 +29,12 @@ def hash_sample(df: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def round_robin(df: DataFrame, status: str, key: str, k: int) -> DataFrame:
+    """One row of each status in turn until there are ``k``, least keys first. No task ranks a whole status: each of 64
+    parts of it keeps its first ``k``."""
+    part = F.row_number().over(W.partitionBy(status, F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key))
+    few = df.withColumn("pw_part", part).where(F.col("pw_part") <= k).drop("pw_part")
     turn = F.row_number().over(W.partitionBy(status).orderBy(key))
-    return df.withColumn("turn", turn).orderBy("turn", status).limit(k)
+    return few.withColumn("turn", turn).orderBy("turn", status).limit(k)
 
 
 def argmin(df: DataFrame, group: list[str], score: str, strength: str) -> DataFrame:
@@ -44,14 +42,6 @@ def argmin(df: DataFrame, group: list[str], score: str, strength: str) -> DataFr
     return df.groupBy(*group).agg(F.min(F.struct(score, strength)).alias("best")).select(*group, f"best.{score}", f"best.{strength}")
 
 
-def game_transition(a: Column, b: Column, winner: Column) -> tuple[Column, Column, Column]:
-    """(own, other, game over) after a point, from points won before it; deuce scores stay within 4."""
-    x, y = a + F.when(winner == 0, 1).otherwise(0), b + F.when(winner == 0, 0).otherwise(1)
-    over = ((x >= 4) | (y >= 4)) & (F.abs(x - y) >= 2)
-    back = F.least(F.greatest(F.least(x, y) - 3, F.lit(0)), F.lit(1)) * F.when((x == 4) & (y == 4), 1).otherwise(0)
-    return F.when(over, 0).otherwise(x - back), F.when(over, 0).otherwise(y - back), over
-
-
 def first_failures(states: DataFrame, group: str, ordinal: str, expected: dict[str, Column], start: dict[str, Column]) -> DataFrame:
     """Lag validation: by induction a group is sound when its first row is the start and each row follows from the last.
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions import notation, stats, text
-from pointweave.operators import integrity, resolve, summaries, windows
+from pointweave.operators import integrity, resolve, studies, summaries, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -150,9 +150,8 @@ def G6_five_number(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("WITH g AS (SELECT c_nationkey, list(c_acctbal) AS v, median(c_acctbal) AS m FROM customer GROUP BY 1) SELECT c_nationkey, " + RANK.format(p=0.25) + " AS p25, round(m, 6) AS middle, " + RANK.format(p=0.75) + " AS p75, list_sort(v)[(len(v) // 2 + 1)::INT] AS upper_median FROM g")
 def G7_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    g = read(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list("c_acctbal").alias("v"), F.median("c_acctbal").alias("m"))
-    upper = F.element_at(F.sort_array("v"), (F.floor(F.size("v") / 2) + 1).cast("int"))
-    return g.select("c_nationkey", stats.nearest_rank(F.col("v"), 0.25).alias("p25"), r6(F.col("m")).alias("middle"), stats.nearest_rank(F.col("v"), 0.75).alias("p75"), upper.alias("upper_median"))
+    rows, v = summaries.placed(read(spark, d, "customer"), ["c_nationkey"], "c_acctbal"), "c_acctbal"
+    return rows.groupBy("c_nationkey").agg(summaries.at_rank(v, 0.25).alias("p25"), r6(summaries.middle(v)).alias("middle"), summaries.at_rank(v, 0.75).alias("p75"), summaries.upper_median(v).alias("upper_median"))
 
 
 @registered("""WITH c AS (SELECT l_orderkey AS k, count(*) AS n_lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1), p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 4 END AS n_lines, floor(o_totalprice / 1000) AS quantity FROM orders),
@@ -347,7 +346,7 @@ def T3_union(spark: SparkSession, d: str) -> DataFrame:
     return c.select(F.col("c_nationkey").alias("k"), F.lit("c").alias("side")).unionByName(s.select(F.col("s_nationkey").alias("k"), F.lit("s").alias("side"))).distinct()
 
 
-@registered(None)
+@registered("SELECT DISTINCT text AS name, trim(regexp_replace(lower(regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')), '[^a-z0-9]+', ' ', 'g')) AS identity FROM documents")
 def P2_normalize(spark: SparkSession, d: str) -> DataFrame:
     """Names are normalised once each and joined back by the caller."""
     names = read(spark, d, "documents").select(F.col("text").alias("name")).distinct()
@@ -436,12 +435,12 @@ def M5_M6_losses(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d).select("player", r6(stats.cross_entropy(rates, p)).alias("log_loss"), r6(stats.brier(rates, p)).alias("brier"))
 
 
-@registered(f"{POINTS}, m AS (SELECT player, match_id, sum(hit)::DOUBLE AS c, count(*)::DOUBLE AS t FROM points GROUP BY 1, 2), g AS (SELECT player, count(*) AS m, sum(c) AS sc, sum(t) AS st FROM m GROUP BY 1) SELECT player, any_value(g.m) AS matches, round(sqrt(any_value(g.m) / (any_value(g.m) - 1.0) * sum((c - sc / st * t) * (c - sc / st * t)) / (any_value(st) * any_value(st))), 5) AS se FROM m JOIN g USING (player) GROUP BY 1 HAVING any_value(g.m) > 1")
+@registered(f"{POINTS}, m AS (SELECT player, match_id, sum(hit)::DOUBLE AS c, count(*)::DOUBLE AS t FROM points GROUP BY 1, 2), g AS (SELECT player, count(*) AS m, sum(c) AS sc, sum(t) AS st FROM m GROUP BY 1) SELECT player, any_value(g.m) AS matches, round(sqrt(any_value(g.m) / (any_value(g.m) - 1.0) * sum((c - sc / st * t) * (c - sc / st * t)) / (any_value(st) * any_value(st))), 6) AS se FROM m JOIN g USING (player) GROUP BY 1 HAVING any_value(g.m) > 1")
 def M9_cluster_se(spark: SparkSession, d: str) -> DataFrame:
-    m = points(spark, d).groupBy("player", "match_id").agg(F.sum("hit").cast("double").alias("c"), F.count(F.lit(1)).cast("double").alias("t"))
-    c, t = F.col("c"), F.col("t")
-    g = m.groupBy("player").agg(F.count(F.lit(1)).alias("matches"), F.sum(c * c).alias("cc"), F.sum(c * t).alias("ct"), F.sum(t * t).alias("tt"), F.sum(c).alias("sc"), F.sum(t).alias("st")).where("matches > 1")
-    return g.select("player", "matches", F.round(stats.cluster_se(F.col("cc"), F.col("ct"), F.col("tt"), F.col("sc"), F.col("st"), F.col("matches")), 5).alias("se"))
+    """From residuals about each player's rate, so that nothing cancels."""
+    m = points(spark, d).groupBy("player", "match_id").agg(F.sum("hit").alias("c1"), F.count(F.lit(1)).alias("t"))
+    rows = m.select("player", "match_id", "c1", (F.col("t") - F.col("c1")).alias("c2"), F.lit(0).cast("long").alias("c3"), F.lit(2).alias("k"), F.lit("hit").alias("target"), F.lit("").alias("side"))
+    return studies.component_estimates(rows, ["player"]).where("matches > 1").select("player", "matches", r6(F.col("se")).alias("se"))
 
 
 Z = "1.959963984540054"
@@ -455,8 +454,8 @@ def M12_wilson(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT c_nationkey, list_sort(list(c_acctbal))[least(count(*), ceil(0.95 * (count(*) + 1)))::INT] AS q95 FROM customer GROUP BY 1")
 def M14_finite_quantile(spark: SparkSession, d: str) -> DataFrame:
-    g = read(spark, d, "customer").groupBy("c_nationkey").agg(F.collect_list("c_acctbal").alias("v"))
-    return g.select("c_nationkey", stats.finite_quantile(F.col("v"), 0.95).alias("q95"))
+    rows = summaries.placed(read(spark, d, "customer"), ["c_nationkey"], "c_acctbal")
+    return rows.groupBy("c_nationkey").agg(summaries.finite_quantile("c_acctbal", 0.95).alias("q95"))
 
 
 @registered("""WITH s AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS prev, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
@@ -468,8 +467,10 @@ def W3_lag_validation(spark: SparkSession, d: str) -> DataFrame:
     return windows.first_failures(s, "user_id", "event_id", {"repeat": kind == prev, "jump": (kind == "purchase") & (prev != "click")}, {"start": kind == "purchase"})
 
 
-@registered("SELECT upper(sha256(string_agg(h, '' ORDER BY h))) AS fingerprint FROM (SELECT sha256(p_partkey || '|' || p_name) AS h FROM part)")
+@registered("WITH h AS (SELECT md5(p_partkey || '|' || p_name) AS h FROM part), n AS (SELECT ('0x' || substr(h, 1, 8))::BIGINT AS a, ('0x' || substr(h, 9, 8))::BIGINT AS b FROM h) SELECT count(*) AS rows, sum(a)::BIGINT AS sum_a, sum(b)::BIGINT AS sum_b, bit_xor(a) AS xor_a, bit_xor(b) AS xor_b FROM n")
 def S12_table_fingerprint(spark: SparkSession, d: str) -> DataFrame:
-    """Of a table of catalogue size: its sorted row hashes meet in one value."""
-    h = read(spark, d, "part").select(F.sha2(F.concat_ws("|", "p_partkey", "p_name"), 256).alias("h"))
-    return h.agg(F.upper(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256)).alias("fingerprint"))
+    """Of a table's rows in any order: sums and parities of row hashes, combined before anything is shuffled."""
+    h = F.md5(F.concat_ws("|", "p_partkey", "p_name"))
+    part = lambda at: F.conv(F.substring(h, at, 8), 16, 10).cast("long")
+    n = read(spark, d, "part").select(part(1).alias("a"), part(9).alias("b"))
+    return n.agg(F.count(F.lit(1)).alias("rows"), F.sum("a").alias("sum_a"), F.sum("b").alias("sum_b"), F.bit_xor("a").alias("xor_a"), F.bit_xor("b").alias("xor_b"))

@@ -47,6 +47,46 @@ def markdown(result: dict) -> str:
     return "\n".join(lines) + "\n"
 
 
+#: Each report: its title, what it tells, and its sections by the query that fills them.
+REPORTS: dict[str, tuple[str, str, dict[str, str]]] = {
+    "dataset": ("Dataset profile", "Rows, duplicates, conflicts and values of the whole snapshot. Conflicting keys are left out whole.", {"Figures": "E7_snapshot_profile", "Field values": "P7_valid_values", "Aggregate files": "G26_aggregate_files"}),
+    "shard": ("Single-shard profile", "The same figures of one shard, read from its file.", {"Figures": "E8_shard_profile", "Coverage of the largest groups": "G29_field_coverage"}),
+    "feasibility": ("Feasibility", "How much each player is seen, and how evenly.", {"Exposure by quartile": "G6_five_number", "Eras": "O7_eras"}),
+    "bias": ("Selection", "How coverage differs by tour and season.", {"Coverage": "G4_coverage_sets", "Strata": "P10_strata"}),
+    "parser": ("Notation parser", "What cells say and where they stop being readable; nothing is guessed.", {"Counters": "G3_notation_counters"}),
+    "reconciliation": ("Reconciliation", "Computed against published counters, over records without an unresolved counter.", {"Totals": "G10_reconcile_overview", "Directions": "G11_reconcile_directions", "Mismatches by context": "G12_mismatch_rates", "First mismatches": "O4_examples"}),
+    "context-join": ("Context join", "Statuses of the conservative resolution, with the evidence for review.", {"Counts": "G13_join_counts", "Coverage": "G13_join_coverage", "Agreement": "G13_agreement", "Figures": "E9_join_audit", "Review queue": "K3_review_queue"}),
+    "review": ("Human review", "Decisions on the reviewed rows; the interval is Wilson's.", {"Decisions": "G25_review_decisions", "Precision": "E10_review_summary", "Changed evidence": "F14_review_evidence"}),
+    "reconstruction": ("Score reconstruction", "Matches whose rows follow from each other, and the first failure of those that do not.", {"Failures": "R4_failure_profile"}),
+    "stability": ("Split stability", "Distances within players against those between players; matches are resampled, not points.", {"Cells": "E1_stability", "By tour": "E1_stability_by_tour"}),
+    "context-stability": ("Stability within contexts", "The same within strata of seven dimensions.", {"Cells": "E2_context_stability"}),
+    "shrinkage": ("Temporal shrinkage", "Strengths are chosen on validation seasons, losses are of test seasons.", {"Folds": "E3_shrinkage", "Models": "G31_score_summary", "By tour": "G31_score_summary_by_tour", "Intervals": "M21_shrinkage_intervals"}),
+    "readiness": ("Publication readiness", "What histories rest on; no player is named.", {"Histories": "E4_readiness", "Thresholds": "G20_threshold_grids", "Uncertainty": "G32_uncertainty"}),
+    "robustness": ("Robustness of directions", "Errors and coverage over windows and least matches; the last, partial season is no test.", {"Configurations": "E5_robustness", "Components": "G22_component_coverage", "Court sides": "G21_court_sides"}),
+    "process": ("Process uncertainty", "Radii widened by what the season before needed.", {"Configurations": "E6_process", "Components": "M18_process_coverage", "Sources": "G23_process_sources"}),
+    "live": ("Live scoreboard sample", "States as they were read; outcomes are not inferred.", {"States": "E11_live_inspection"}),
+}
+
+
+def report(name: str, source: str, tables: dict[str, dict]) -> str:
+    """The Markdown of a named report from its sections' {"columns", "rows"}."""
+    title, tells, sections = REPORTS[name]
+    lines = [f"# {title}", "", tells, "", f"Source: `{source}`.", ""]
+    for heading in sections:
+        t = tables[heading]
+        lines += [f"## {heading}", "", f"{len(t['rows'])} rows.", "", "| " + " | ".join(t["columns"]) + " |", "|" + "-|" * len(t["columns"])]
+        lines += ["| " + " | ".join(shown(r[c]) for c in t["columns"]) + " |" for r in t["rows"]]
+        lines.append("")
+    return "\n".join(lines)
+
+
+def require_snapshot(result: dict, snapshot: str) -> dict:
+    """Fail unless a saved result is of the named snapshot."""
+    if result.get("snapshot") != snapshot:
+        raise ValueError(f"the result is of {result.get('snapshot')!r}, not of {snapshot!r}")
+    return result
+
+
 def require_pinned(files: DataFrame, manifest: dict[str, str]) -> None:
     """Fail unless (path, sha256) rows, as ``fingerprints`` makes them, hold just the manifest's file names and hashes."""
     found = {r["path"].rsplit("/", 1)[-1]: r["sha256"] for r in collected(files)}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pointweave import cli
 from pointweave.operators.resampling import comparison, paired_bootstrap
-from pointweave.operators.summaries import backoff_prior
+from pointweave.plans import registry
 from pointweave.sources import reports
 from pointweave.sources.readers import fingerprints
 
@@ -15,12 +15,40 @@ SF = "/root/testdata/sf0.001"
 
 def test_cli_renders_what_it_saved(spark, tmp_path):
     saved, report, again = tmp_path / "r.json", tmp_path / "r.md", tmp_path / "again.md"
-    assert cli.main(["G20_threshold_grid", "--source", SF, "--json", str(saved), "--report", str(report)], spark) == 0
-    assert cli.main(["G20_threshold_grid", "--render-existing", "--json", str(saved), "--report", str(again)]) == 0
+    assert cli.main(["query", "O6_sorted_counters", "--source", SF, "--json", str(saved), "--report", str(report)], spark) == 0
+    assert cli.main(["query", "O6_sorted_counters", "--render-existing", "--json", str(saved), "--report", str(again)]) == 0
     assert report.read_text() == again.read_text()
-    assert json.loads(saved.read_text())["columns"][0] == "customers"
+    assert json.loads(saved.read_text())["columns"][0] == "value"
     with pytest.raises(FileExistsError):
-        cli.main(["G20_threshold_grid", "--source", SF, "--json", str(saved)], spark)
+        cli.main(["query", "O6_sorted_counters", "--source", SF, "--json", str(saved)], spark)
+
+
+def test_named_report(spark, tmp_path):
+    saved, report, again = tmp_path / "r.json", tmp_path / "r.md", tmp_path / "again.md"
+    assert cli.main(["report", "review", "--source", SF, "--snapshot", "s1", "--json", str(saved), "--report", str(report)], spark) == 0
+    assert cli.main(["report", "review", "--render-existing", "--snapshot", "s1", "--json", str(saved), "--report", str(again)]) == 0
+    assert report.read_text() == again.read_text() and "## Precision" in again.read_text()
+    with pytest.raises(ValueError, match="s1"):
+        cli.main(["report", "review", "--render-existing", "--snapshot", "s2", "--json", str(saved), "--report", str(again)])
+    assert {q for _, _, sections in reports.REPORTS.values() for q in sections.values()} <= set(registry.queries())
+
+
+def test_cli_reads_files(spark, tmp_path, capsys):
+    head = "match_id,Pt,Set1,Set2,Gm1,Gm2,Pts,Svr,PtWinner\n"
+    (tmp_path / "charting-m-points-a.csv").write_text(head + "m,1,0,0,0,0,0-0,1,1\nm,1,0,0,0,0,0-0,1,1\n")
+    (tmp_path / "charting-m-points-b.csv").write_text(head + "m,2,0,0,0,0,15-0,1,1\nm,3,0,0,0,0,30-0,1,1\nm,3,0,0,0,0,40-0,1,1\nm,4,0,0,0,0,0-0,3,1\n")
+    assert cli.main(["points", "--points", f"{tmp_path}/charting-*.csv", "--expected", "2"], spark) == 0
+    assert "| ok | 2 |" in capsys.readouterr().out
+    with pytest.raises(ValueError, match="not 3"):
+        cli.main(["points", "--points", f"{tmp_path}/charting-*.csv", "--expected", "3"], spark)
+    auto, human = tmp_path / "a.csv", tmp_path / "h.csv"
+    auto.write_text("mcp_match_id,mcp_date,status,surface_agrees,review_status\nx,2017-07-14,matched,true,\n")
+    human.write_text("mcp_match_id;mcp_date;status;surface_agrees;review_status\nx;14/07/2017;matched;VERDADEIRO;Same\n")
+    assert cli.main(["review", "--automated", str(auto), "--human", str(human)], spark) == 0
+    assert "| matched | same | 1 |" in capsys.readouterr().out
+    human.write_text("mcp_match_id;mcp_date;status;surface_agrees;review_status\nx;15/07/2017;matched;VERDADEIRO;Same\n")
+    with pytest.raises(ValueError, match="changed evidence"):
+        cli.main(["review", "--automated", str(auto), "--human", str(human)], spark)
 
 
 def test_pinned_inputs(spark, tmp_path):
@@ -37,13 +65,6 @@ def test_cells_and_bound(spark):
         reports.collected(spark.range(5), 4)
 
 
-def test_backoff(spark):
-    rows = [("a", "x", "g", 1, 2), ("b", "x", "g", 3, 4), ("c", "x", "h", 0, 5), ("d", "y", "k", 2, 2)]
-    df = spark.createDataFrame(rows, "who string, tour string, surface string, s long, t long")
-    got = {r["who"]: (r["source"], r["prior"]) for r in backoff_prior(df, {"exact": ["tour", "surface"], "tour": ["tour"]}, "who", "s", "t").collect()}
-    assert got == {"a": ("exact", 3.5 / 5), "b": ("exact", 1.5 / 3), "c": ("tour", 4.5 / 7), "d": ("uniform", 0.5)}
-
-
 def test_bootstrap(spark):
     draw = random.Random(3)
     rows = [("p", i, 1 + draw.random()) for i in range(60)] + [("n", i, -1 - draw.random()) for i in range(60)] + [("one", 0, 0.25)]
