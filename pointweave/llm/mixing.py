@@ -41,10 +41,12 @@ def source_key(source: Column) -> Column:
 
 
 def marks(totals: DataFrame, total: int, exponents: list[float], budget: float | None) -> list[Mark]:
-    """A Mark for each exponent from one aggregation over the source totals."""
+    """A Mark for each exponent from one aggregation over the source totals; sums are of decimals, so they do not depend
+    on the order in which partitions are added."""
     share = F.col("tokens") / F.lit(float(total))
     powers = totals.select(share.alias("share"), F.explode(F.array(*map(F.lit, exponents))).alias("x")).withColumn("power", F.pow("share", "x"))
-    sums = powers.groupBy("x").agg(F.sum("power").alias("z"), F.sum(F.col("power") * F.log2("power")).alias("plogp"), F.max(F.col("share") / F.col("power")).alias("scarce"), F.max(F.col("power") / F.col("share")).alias("often"))
+    exact = lambda c: F.sum(c.cast("decimal(38,18)")).cast("double")
+    sums = powers.groupBy("x").agg(exact(F.col("power")).alias("z"), exact(F.col("power") * F.log2("power")).alias("plogp"), F.max(F.col("share") / F.col("power")).alias("scarce"), F.max(F.col("power") / F.col("share")).alias("often"))
     out = []
     for r in sums.collect():
         emitted = float(budget) if budget is not None else total * r["scarce"] * r["z"]
@@ -86,7 +88,7 @@ def solve(totals: DataFrame, max_repeats: float | None, target_entropy: float |
         wanted.append(bisected(judge, lambda m: m.repeats <= max_repeats))
     mark = judge([max(wanted, default=1.0)])[0]
     power = F.pow(F.col("tokens") / F.lit(float(total)), F.lit(mark.exponent))
-    z = totals.agg(F.sum(power)).first()[0]
+    z = totals.agg(F.sum(power.cast("decimal(38,18)")).cast("double")).first()[0]
     quota = power / F.lit(z) * F.lit(mark.emitted)
     epochs = quota / F.col("tokens")
     full = F.floor(epochs + LEAST_PART)

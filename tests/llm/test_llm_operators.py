@@ -560,3 +560,105 @@ def test_leaks_against_every_pair(spark):
         got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.benchmark_leaks(df, bench, block_words=size).collect()}
         assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()} and len(want) > 50
         assert decontamination.keep_unleaked(df, bench, block_words=size).count() == len(texts) - len({d for d, _ in want})
+
+
+def mixture(spark, sizes, **wanted):
+    """Solved marks and sources for token totals by name, with the exact shares."""
+    totals = spark.createDataFrame(list(sizes.items()), "pw_source string, tokens long")
+    mark, sources = mixing.solve(totals, wanted.get("max_repeats"), wanted.get("target_entropy"), wanted.get("budget"))
+    return mark, {r["pw_source"]: r for r in sources.collect()}
+
+
+def by_hand(sizes, x, budget=None):
+    """Entropy, most repeats and weights at an exponent."""
+    total = sum(sizes.values())
+    powers = {k: (v / total) ** x for k, v in sizes.items()}
+    z = sum(powers.values())
+    w = {k: p / z for k, p in powers.items()}
+    emitted = budget if budget is not None else total * max(sizes[k] / total / w[k] for k in w)
+    return -sum(p * np.log2(p) for p in w.values()), max(w[k] * emitted / sizes[k] for k in w), w, emitted
+
+
+@pytest.mark.parametrize("wanted", [{"target_entropy": 1.2}, {"target_entropy": 1.9}, {"max_repeats": 2.0}, {"max_repeats": 1.0}, {"max_repeats": 50.0, "budget": 5000.0}, {"max_repeats": 3.0, "target_entropy": 1.0}, {"budget": 400.0}, {}])
+def test_exponent_against_a_scan(spark, wanted):
+    """The least exponent of a fine grid that meets what is wanted, weights that sum to 1, and quotas that spend the budget."""
+    sizes = {"a": 9000, "b": 700, "c": 250, "d": 50}
+    mark, sources = mixture(spark, sizes, **wanted)
+    entropy, repeats, weights, emitted = by_hand(sizes, mark.exponent, wanted.get("budget"))
+    assert abs(mark.entropy - entropy) < 1e-6 and abs(mark.repeats - repeats) < 1e-6 * repeats
+    assert all(abs(sources[k]["weight"] - weights[k]) < 1e-9 for k in sizes)
+    spent = sum(r["full"] * r["tokens"] + r["rest"] for r in sources.values())
+    assert abs(spent - emitted) < 1e-3 * emitted
+
+    def meets(x):
+        e, r, _, _ = by_hand(sizes, x, wanted.get("budget"))
+        return e <= wanted.get("target_entropy", 9) + 1e-9 and r <= wanted.get("max_repeats", 1e9) * (1 + 1e-9)
+
+    if "target_entropy" in wanted or "max_repeats" in wanted:
+        least = next((x for x in np.linspace(0, 1, 20001) if meets(x)), 1.0)
+        assert abs(mark.exponent - least) < 1e-4
+    else:
+        assert mark.exponent == 1.0
+
+
+def test_stream_against_its_quotas(spark):
+    """Whole epochs hold every document once, the broken one a part of the size that is left; blocks have the weights."""
+    rng = random.Random(7)
+    rows = [(i, words(rng, rng.randrange(1, 30)), "x", rng.choice("aaaaaaabbc")) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = mixing.mixed_stream(df, max_repeats=3.0, block_tokens=2000).collect()
+    tokens = {r[0]: len(r[1].split()) + 1 for r in rows}
+    sizes = {s: sum(tokens[r[0]] for r in rows if r[3] == s) for s in "abc"}
+    _, sources = mixture(spark, {f"+{k}": v for k, v in sizes.items()}, max_repeats=3.0)
+    assert all(r["n_tokens"] == tokens[r["doc_id"]] for r in got)
+    for s in "abc":
+        ids = {r[0] for r in rows if r[3] == s}
+        plan = sources[f"+{s}"]
+        for e in range(plan["full"]):
+            assert sorted(r["doc_id"] for r in got if r["source"] == s and r["epoch"] == e) == sorted(ids)
+        part = [r["n_tokens"] for r in got if r["source"] == s and r["epoch"] == plan["full"]]
+        assert plan["rest"] <= sum(part) + 1e-6 and sum(part) < plan["rest"] + 31 or not part and plan["rest"] == 0
+        assert max((r["epoch"] for r in got if r["source"] == s)) <= plan["full"]
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r["block"], []).append(r)
+    for b in range(max(blocks)):  # the last block is what is left
+        assert sorted(r["position"] for r in blocks[b]) == list(range(len(blocks[b])))
+        for s in "abc":
+            here = sum(r["n_tokens"] for r in blocks[b] if r["source"] == s)
+            assert abs(here - 2000 * sources[f"+{s}"]["weight"]) <= 31
+    orders = [[r["doc_id"] for r in sorted((x for x in got if x["source"] == "c" and x["epoch"] == e), key=lambda x: (x["block"], x["position"]))] for e in (0, 1)]
+    assert orders[0] != orders[1]
+
+
+def test_jaccard_of_many_sets(spark, monkeypatch):
+    """300 texts in families of near copies, a hot shingle in most of them: every branch against comparing all pairs."""
+    rng = random.Random(10)
+    texts = []
+    for f in range(25):
+        base = words(rng, rng.randrange(12, 60)).split()
+        for _ in range(rng.randrange(1, 20)):
+            t = list(base)
+            for _ in range(rng.randrange(3)):
+                t[rng.randrange(len(t))] = f"edit{rng.randrange(50)}"
+            texts.append(" ".join([*t, "all share this very line of text"] if f % 3 else t))
+    hub = words(rng, 40).split()
+    texts += [" ".join([*hub[:k], f"own{k}", *hub[k + 1 :]]) for k in range(40)] + ["", None, " ", "one", "one"]
+    df = spark.createDataFrame([(i * 3, t, 1, "n") for i, t in enumerate(texts)], "doc_id long, text string, n int, component_id string")
+    for width, num, den in ((3, 9, 10), (5, 4, 5)):
+        sets = [sets_of(t, width) for t in texts]
+        least = list(range(len(texts)))
+        changed = True
+        links = [(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and den * len(sets[i] & sets[j]) >= num * len(sets[i] | sets[j])]
+        while changed:
+            changed = False
+            for i, j in links:
+                low = min(least[i], least[j])
+                changed |= least[i] != low or least[j] != low
+                least[i] = least[j] = low
+        for longest, block in ((48, 512), (3, 8)):
+            monkeypatch.setattr(jaccard, "LONG_LIST", longest)
+            monkeypatch.setattr(jaccard, "DENSE", block)
+            got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, width, num, den).collect()}
+            assert got == {i * 3: (len(sets[i]), least[i] * 3) for i in range(len(texts))}
+    assert jaccard.jaccard_components(df.limit(0)).collect() == []
