@@ -1,6 +1,9 @@
 """A corpus pipeline: quality rules, near duplicates, decontamination, mixing, sharding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; stages but the last return the columns of docs.
+Rows with a null id are documents like any other; null and empty texts fail the quality rules; rows that repeat an id
+are one document to near_duplicates and several to the other stages; an empty table passes through all of them. Extra
+columns of documents are carried along.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """The document of least id of each group (five-word shingles, Jaccard 0.8); null ids stay.
 
     The ids that go are joined, not the texts: broadcast while they are few, else Spark shuffles both sides. Rows that
-    repeat a doc_id are one document and stay or go together.
+    repeat a doc_id are one document and stay or go together. Exact at that similarity: a copy edited beyond it is
+    another document.
     """
     groups = jaccard_components(docs)
     gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("pw_gone")).distinct(), "gone-ids")
@@ -43,7 +47,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and place in it of each row."""
+    """Shard and place in it of each row; the copies that mixing made part like any two rows."""
     return shard_digest(shuffle_into_shards(docs))
 
 
