@@ -285,16 +285,21 @@ def M7_M8_distance(spark: SparkSession, d: str) -> DataFrame:
     return both.where("mean_absolute is not null")
 
 
-@registered(f"{POINTS} SELECT count(*) AS n FROM (SELECT player, l_partkey % 3 AS k FROM points WHERE season = 1999 INTERSECT SELECT player, l_partkey % 3 FROM points WHERE season = 2000 INTERSECT SELECT player, l_partkey % 3 FROM points WHERE season = 2001)")
+@registered(f"{POINTS}, k AS (SELECT DISTINCT player, l_partkey % 3 AS k, season FROM points) SELECT a.season AS train, count(*) AS n FROM k a JOIN k b ON a.player = b.player AND a.k = b.k AND b.season = a.season + 1 JOIN k c ON a.player = c.player AND a.k = c.k AND c.season = a.season + 2 GROUP BY 1")
 def J10_triple_semi(spark: SparkSession, d: str) -> DataFrame:
-    p = points(spark, d).select("player", (F.col("l_partkey") % 3).alias("k"), "season")
-    train, valid, test = (p.where(F.col("season") == y).select("player", "k").distinct() for y in (1999, 2000, 2001))
-    return train.join(valid, ["player", "k"], "left_semi").join(test, ["player", "k"], "left_semi").agg(F.count(F.lit(1)).alias("n"))
+    """Keys of each season that the next two have, too: train, validation and test."""
+    k = points(spark, d).select("player", (F.col("l_partkey") % 3).alias("k"), F.col("season").alias("train")).distinct()
+    later = lambda n: k.withColumn("train", F.col("train") - n)
+    on = ["player", "k", "train"]
+    return k.join(later(1), on, "left_semi").join(later(2), on, "left_semi").groupBy("train").agg(F.count(F.lit(1)).alias("n"))
 
 
-@registered(f"{POINTS} SELECT y AS as_of, player, count(*) AS n, sum(hit)::BIGINT AS hits, count(DISTINCT match_id) AS matches FROM points JOIN (SELECT unnest([1998, 1999, 2000, 2001])::BIGINT AS y) ON season >= y - 3 AND season < y GROUP BY 1, 2")
+@registered(f"{POINTS}, y AS (SELECT unnest(range(1900, 2100)) AS y), b AS (SELECT min(season) AS lo, max(season) AS hi FROM points) SELECT y AS as_of, player, count(*) AS n, sum(hit)::BIGINT AS hits, count(DISTINCT match_id) AS matches FROM points, y, b WHERE y BETWEEN lo + 3 AND hi AND season >= y - 3 AND season < y GROUP BY 1, 2")
 def J12_fold_expand(spark: SparkSession, d: str) -> DataFrame:
-    f = windows.fold_rows(points(spark, d), "season", 1998, 2001, 3)
+    """Histories of three seasons before every season that has so many before it."""
+    p = points(spark, d)
+    low, high = studies.years(p)
+    f = windows.fold_rows(p, "season", low + 3, high, 3)
     return f.groupBy("as_of", "player").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.count_distinct("match_id").alias("matches"))
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def distinct_events(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -13,3 +17,28 @@ def distinct_events(events: DataFrame, key: str = "event_id", ts: str = "ts", la
 
 def sessions(events: DataFrame, user: str = "user_id", ts: str = "ts", gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     return events.withWatermark(ts, late).groupBy(user, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n"))
+
+
+def usable_changes(points: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """(keys, change): +1 when a key is first seen, -1 when a copy of it first disagrees; nothing after that.
+
+    The sum of the changes is what the batch policy keeps: equal copies once, conflicting keys not at all. The state of a
+    key is a hash of its values and whether it conflicts.
+    """
+    rows = points.select(*[F.col(k).cast("string").alias(k) for k in keys], F.xxhash64(*values).alias("pw_hash"))
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, broken = state.get if state.exists else (None, False)
+        change = 0
+        for b in batches:
+            for h in b["pw_hash"]:
+                if seen is None:
+                    seen, change = int(h), change + 1
+                elif h != seen and not broken:
+                    broken, change = True, change - 1
+        state.update((seen, broken))
+        if change:
+            yield pd.DataFrame([(*key, change)], columns=[*keys, "change"])
+
+    out = ", ".join(f"`{k}` string" for k in keys) + ", change int"
+    return rows.groupBy(*keys).applyInPandasWithState(run, out, "seen long, broken boolean", "append", GroupStateTimeout.NoTimeout)

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from pointweave.operators.integrity import collapse
 from pointweave.streaming import live
 
 
@@ -28,3 +29,18 @@ def test_sessions_close_with_the_watermark(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["n"] for r in spark.table("user_sessions").collect()) == [1, 2, 2]
+
+
+def test_conflicts_are_taken_back(spark, tmp_path):
+    """The sum of the changes after all files is what the batch policy keeps."""
+    files = [[("m", 1, "a"), ("m", 2, "a"), ("m", 2, "a")], [("m", 1, "b"), ("n", 1, "c")], [("m", 1, "a"), ("n", 1, "c"), ("n", 2, "x"), ("n", 2, "y")]]
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, "m string, p int, v string").coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema("m string, p int, v string").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    changes = drained(spark, live.usable_changes(stream, ["m", "p"], ["v"]), "usable_changes")
+    kept = {}
+    for r in changes:
+        kept[r["m"], int(r["p"])] = kept.get((r["m"], int(r["p"])), 0) + r["change"]
+    every = spark.createDataFrame([r for f in files for r in f], "m string, p int, v string")
+    assert {k for k, n in kept.items() if n} == {(r["m"], r["p"]) for r in collapse(every, ["m", "p"], ["v"]).collect()}
+    assert all(n in (0, 1) for n in kept.values())
