@@ -3,13 +3,15 @@
 Prefix index with the two skips of the set-relation method. Sets are ordered by token hash, frequent tokens last; two
 sets that link share a token of their prefixes. Index level: a token's list is sorted by set size and cut into blocks
 of equal size and position, and pairs of blocks whose sizes or positions rule a link out are skipped whole. Answer
-level: equal sets have one answer, each set is first held against one near set, and pairs that the answers so far put
-into one component need none of their own.
-
-A token with more than LONG_LIST sets makes no pairs. Where the links so far do not join its sets, they are indexed
-again among themselves with such tokens moved to the end of the order; in the last round the sets that still share
-one (near copies in bulk) are held against one of them and, if that does not join them, compared in dense blocks. All of
-it is exact.
+level: equal sets have one answer; each set is first held against one near set; pairs that the answers so far put into
+one component need none of their own; and where both sets of a pair were held against the same third one, the two
+overlaps bound theirs, which often settles the pair without reading either set again.
+
+A token with more than LONG_LIST sets makes no pairs; such tokens are counted before their rows are dealt out, so no
+task gets a list that grows with the corpus. Where the links so far do not join a token's sets, they are indexed again
+among themselves with such tokens moved to the end of the order; in the last round the sets that still share one (near
+copies in bulk) are held against one of them and, if that does not join them, compared in dense blocks. All of it is
+exact, up to equal 64-bit hashes of different shingles.
 """
 
 from __future__ import annotations
@@ -29,14 +31,12 @@ from pointweave.llm.shingles import shingle_sets
 
 #: Sets in a token's list beyond which the token counts as frequent.
 LONG_LIST = 48
-#: Sets of one batch (1,024 texts) that make a token frequent before the index is built.
-BUSY_IN_BATCH = 24
 #: Times that sets are indexed again, and frequent tokens that are handed to every executor, at most.
 ROUNDS, MOST_TOKENS = 3, 4_000_000
 #: Bits of the least parity sketch (they grow with the set), and sets in a dense block.
 SKETCH_BITS, DENSE = 512, 512
 
-SETS = "id long, n int, sig_a long, sig_b long, sketch binary, busy array<long>, prefix array<long>"
+SETS = "id long, n int, sig_a long, sig_b long, sketch binary, prefix array<long>"
 
 
 def prefix_length(n, num: int, den: int):
@@ -79,18 +79,16 @@ def _texts(b: pa.RecordBatch, name: str) -> list:
 
 
 def describe(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """SETS for (id, text) rows; ``busy`` names, on a batch's first row, tokens that many sets of the batch lead with."""
+    """SETS for (id, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = shingle_sets(_texts(b, "text"), width)
             prefixes = [s[: prefix_length(len(s), num, den)] if len(s) else s for s in sets]
-            seen, times = np.unique(np.concatenate([*prefixes, np.zeros(0, np.uint64)]), return_counts=True)
-            busy = signed(seen[times >= BUSY_IN_BATCH])
             with np.errstate(over="ignore"):
                 sigs = [(s.sum(dtype=np.uint64), (s * (s >> np.uint64(7) | np.uint64(1))).sum(dtype=np.uint64)) for s in sets]
-            columns = [b.column("id"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(signed(np.array([x[k] for x in sigs], np.uint64))) for k in (0, 1)), pa.array(map(sketch, sets), pa.binary()), pa.array([busy if not i else [] for i in range(len(sets))], pa.list_(pa.int64())), pa.array(map(signed, prefixes), pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig_a", "sig_b", "sketch", "busy", "prefix"])
+            columns = [b.column("id"), pa.array([len(s) for s in sets], pa.int32()), *(pa.array(signed(np.array([x[k] for x in sigs], np.uint64))) for k in (0, 1)), pa.array(map(sketch, sets), pa.binary()), pa.array(map(signed, prefixes), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "n", "sig_a", "sig_b", "sketch", "prefix"])
 
     return in_batches(docs, run, SETS)
 
@@ -125,25 +123,24 @@ def two_pairs(a, n, p, b, m, q, num: int, den: int) -> np.ndarray:
     return np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[good]
 
 
-def index(rows: DataFrame, frequent: DataFrame | None, num: int, den: int, name: str) -> tuple[DataFrame, DataFrame]:
+def index(rows: DataFrame, num: int, den: int, name: str) -> tuple[DataFrame, DataFrame]:
     """(a, b) pairs from short lists, and (token, id, n) rows of the long ones, for (id, n, prefix) rows.
 
-    Tokens of ``frequent`` go to the long ones without being brought together, so no task gets a list that grows with
-    the corpus; any other list is streamed, and its rows are handed on as soon as it turns out to be long.
+    Tokens are counted first, before the shuffle. Those of long lists are told by a join that leaves their rows where
+    they are while the tokens are few, and splits them where it is skewed; only short lists are brought together.
     """
     every = entries(rows)
-    hot = None
-    if frequent is not None:
-        hot = every.join(frequent, "token", "left_semi").select("token", "id", "n")
-        every = every.join(frequent, "token", "left_anti")
+    frequent = cut(every.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > LONG_LIST).select("token"), f"frequent-{name}")
+    frequent = small(frequent, 16)
+    hot = every.join(frequent, "token", "left_semi").select("token", "id", "n")
     spark = rows.sparkSession
-    dealt = every.select("token", "id", "n", "pos").repartition(partitions(spark), "token").sortWithinPartitions("token")
+    rest = every.join(frequent, "token", "left_anti")
+    dealt = rest.select("token", "id", "n", "pos").repartition(partitions(spark), "token").sortWithinPartitions("token")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, held = set(), [np.zeros(0, np.int64)] * 4
-        streamed = None  # the long list whose rows are being handed on
 
-        def made(pairs: list[np.ndarray], long_rows: list[np.ndarray]) -> pa.RecordBatch:
+        def made(pairs: list[np.ndarray]) -> pa.RecordBatch:
             nonlocal seen
             new = []
             if pairs:
@@ -151,46 +148,36 @@ def index(rows: DataFrame, frequent: DataFrame | None, num: int, den: int, name:
                 new = [p for p in map(tuple, both.tolist()) if p not in seen]
                 seen = seen if len(seen) < 300_000 else set()
                 seen.update(new)
-            hot_rows = np.concatenate(long_rows, 1) if long_rows else np.zeros((3, 0), np.int64)
-            pad, none = [None] * len(new), [None] * hot_rows.shape[1]
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new] + none, pa.int64()), pa.array([p[1] for p in new] + none, pa.int64()), *(pa.array(pad + h.tolist(), pa.int64()) for h in hot_rows)], names=["a", "b", "token", "id", "n"])
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
 
-        def lists(columns: list[np.ndarray], last: bool) -> tuple[list, list, list]:
-            """Work on the lists that are complete; hand back the rest."""
-            nonlocal streamed
+        def lists(columns: list[np.ndarray], last: bool) -> tuple[list, list]:
+            """Pairs of the lists that are complete; hand back the rest."""
             token = columns[0]
             if not len(token):
-                return [], [], columns
+                return [], columns
             starts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             ends = np.append(starts[1:], len(token))
-            pairs, long_rows, keep = [], [], len(token)
-            twos = starts[(ends - starts == 2) & (starts > 0) & (ends < len(token))]
-            pairs.append(two_pairs(*(c[twos] for c in columns[1:]), *(c[twos + 1] for c in columns[1:]), num, den))
-            rest = (ends - starts > 2) | (ends == len(token)) | (starts == 0)
-            for s, e in zip(starts[rest].tolist(), ends[rest].tolist(), strict=True):
-                if token[s] == streamed or e - s > LONG_LIST:
-                    long_rows.append(np.stack([c[s:e] for c in columns[:3]]))
-                    streamed = token[s] if e == len(token) else None
-                elif e == len(token) and not last:
-                    keep = s
-                elif e - s > 1:
-                    pairs.append(list_pairs(*(c[s:e] for c in columns[1:]), num, den))
-            return pairs, long_rows, [c[keep:] for c in columns]
+            keep = len(token) if last else int(starts[-1])
+            whole = ends <= keep
+            twos = starts[whole & (ends - starts == 2)]
+            pairs = [two_pairs(*(c[twos] for c in columns[1:]), *(c[twos + 1] for c in columns[1:]), num, den)]
+            many = whole & (ends - starts > 2)
+            pairs += [list_pairs(*(c[s:e] for c in columns[1:]), num, den) for s, e in zip(starts[many].tolist(), ends[many].tolist(), strict=True)]
+            return pairs, [c[keep:] for c in columns]
 
         for b in batches:
             new = [b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("token", "id", "n", "pos")]
-            pairs, long_rows, held = lists([np.concatenate([h, c]) for h, c in zip(held, new, strict=True)], False)
-            yield made(pairs, long_rows)
-        pairs, long_rows, _ = lists(held, True)
-        yield made(pairs, long_rows)
+            pairs, held = lists([np.concatenate([h, c]) for h, c in zip(held, new, strict=True)], False)
+            yield made(pairs)
+        yield made(lists(held, True)[0])
 
-    out = cut(in_batches(dealt, run, "a long, b long, token long, id long, n long", 50_000), name)
-    long_lists = out.where("token is not null").select("token", "id", F.col("n").cast("int").alias("n"))
-    return out.where("a is not null").select("a", "b").distinct(), long_lists if hot is None else long_lists.unionByName(hot)
+    out = cut(in_batches(dealt, run, "a long, b long", 50_000), name)
+    return out.distinct(), hot
 
 
 def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The (a, b) pairs whose sets link. Sketches rule pairs out first; the others' sets are made anew from the texts."""
+    """(a, b, n_a, n_b, both) of the pairs that sketches do not rule out: sizes of the sets, made anew from the texts, and
+    of what they share. ``links`` keeps those that link."""
     spark = docs.sparkSession
     light = sets.select("id", "n", "sketch")
     two = pairs.join(light.toDF("a", "n_a", "sketch_a"), "a").join(light.toDF("b", "n_b", "sketch_b"), "b")
@@ -213,15 +200,36 @@ def linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, width: int, num:
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = []
+            told = []
             for x, y in zip(b.column("tokens_a").to_pylist(), b.column("tokens_b").to_pylist(), strict=True):
                 p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(den * both >= num * (len(p) + len(q) - both))
-            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                told.append((len(p), len(q), len(np.intersect1d(p, q, assume_unique=True))))
+            sizes = np.array(told, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b"), *(pa.array(sizes[:, k]) for k in range(3))], names=["a", "b", "n_a", "n_b", "both"])
 
     met = close.join(full.toDF("a", "tokens_a"), "a").join(full.toDF("b", "tokens_b"), "b")
-    return cut(in_batches(met, exact, "a long, b long", 128), "links")
+    return cut(in_batches(met, exact, "a long, b long, n_a long, n_b long, both long", 128), "overlaps")
+
+
+def links_of(told: DataFrame, num: int, den: int) -> DataFrame:
+    return told.where(den * F.col("both") >= num * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+
+def derived(pairs: DataFrame, told: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs that link, pairs still open) of ``pairs``, from ``told``: each b's overlap with the one a it was held against.
+
+    Of two sets held against the same third one x, what they share is at least both overlaps together less the size of
+    x, and at most the smaller overlap and the smaller rest. Pairs that cannot link by that are left out.
+    """
+    of = lambda c: told.select(F.col("b").alias(c), F.col("a").alias(f"x_{c}"), F.col("n_a").alias(f"nx_{c}"), F.col("n_b").alias(f"n_{c}"), F.col("both").alias(f"o_{c}"))
+    met = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    same = F.coalesce(F.col("x_a") == F.col("x_b"), F.lit(False))
+    need = F.ceil(num * (F.col("n_a") + F.col("n_b")) / (num + den))
+    low = F.col("o_a") + F.col("o_b") - F.col("nx_a")
+    high = F.least("o_a", "o_b") + F.least(F.col("n_a") - F.col("o_a"), F.col("n_b") - F.col("o_b"))
+    answer = F.when(same & (low >= need), "yes").when(same & (high < need), "no").otherwise("open")
+    met = cut(met.select("a", "b", answer.alias("answer")).where("answer <> 'no'"), "derived")
+    return met.where("answer = 'yes'").select("a", "b"), met.where("answer = 'open'").select("a", "b")
 
 
 def dense_links(family: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -284,13 +292,10 @@ def _named(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def component_links(sets: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame | None:
     """(node, component) of the links among ``sets``, one row of SETS per distinct set; None without links."""
-    frequent = cut(sets.select(F.explode("busy").alias("token")).distinct(), "busy-tokens")
-    count = frequent.count()
-    frequent = small(frequent, 16, count) if count else None
     rows, links, labels, before = sets, [], None, None
-    late, done = frequent, []
+    done = []
     for turn in range(ROUNDS):
-        pairs, long_lists = index(rows, late, num, den, f"lists-{turn}")
+        pairs, long_lists = index(rows, num, den, f"lists-{turn}")
         long_lists = cut(long_lists, f"long-lists-{turn}")
         for tested in done:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -304,14 +309,16 @@ def component_links(sets: DataFrame, docs: DataFrame, width: int, num: int, den:
             stars = long_lists.withColumn("band", band).join(heads, ["token", "band"]).where("a <> id").select("a", F.col("id").alias("b"))
             first = first.union(stars).distinct()
         first = cut(first, f"first-{turn}")
-        links.append(linked(first, sets, docs, width, num, den))
+        told = linked(first, sets, docs, width, num, den)
+        links.append(links_of(told, num, den))
         labels = components(reduce(DataFrame.union, links))
         named = labels.toDF("id", "label")
         left = pairs.join(first, ["a", "b"], "left_anti")
         left = left.join(named.toDF("a", "label_a"), "a", "left").join(named.toDF("b", "label_b"), "b", "left")
         left = cut(left.where("coalesce(label_a, a) <> coalesce(label_b, b)").select("a", "b"), f"left-{turn}")
         if not left.isEmpty():
-            links.append(linked(left, sets, docs, width, num, den))
+            sure, left = derived(left, told.groupBy("b").agg(F.min_by(F.struct("a", "n_a", "n_b", "both"), "a").alias("x")).select("b", "x.*"), num, den)
+            links += [sure, links_of(linked(left, sets, docs, width, num, den), num, den)]
             labels = components(reduce(DataFrame.union, links))
         open_rows = _named(long_lists, labels)
         open_tokens = open_rows.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("token")
@@ -325,7 +332,7 @@ def component_links(sets: DataFrame, docs: DataFrame, width: int, num: int, den:
         many = known.count()
         if turn + 1 == ROUNDS or many > MOST_TOKENS or (before is not None and many == before.count()):
             break
-        before, late = known, small(known, 16, many)
+        before = known
         again = cut(open_rows.select("id").distinct(), f"again-{turn}")
         moved = np.sort(np.array([r[0] for r in known.toLocalIterator()], np.int64).view(np.uint64))
 

@@ -662,3 +662,19 @@ def test_jaccard_of_many_sets(spark, monkeypatch):
             got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.jaccard_components(df, width, num, den).collect()}
             assert got == {i * 3: (len(sets[i]), least[i] * 3) for i in range(len(texts))}
     assert jaccard.jaccard_components(df.limit(0)).collect() == []
+
+
+def test_answers_derived_from_a_third_set(spark):
+    """What two sets share with a third one settles some pairs; no settled pair differs from the sets themselves."""
+    rng = random.Random(13)
+    x = set(range(100))
+    sets = {0: x} | {i: set(rng.sample(sorted(x), rng.randrange(60, 101))) | {1000 * i + k for k in range(rng.randrange(0, 40))} for i in range(1, 60)}
+    told = [(0, i, 100, len(s), len(s & x)) for i, s in sets.items() if i]
+    told += [(7, 500, 3, 4, 2)]  # held against another one
+    pairs = [(a, b) for a in range(1, 60) for b in range(a + 1, 60)] + [(1, 500), (2, 501)]
+    sure, left = jaccard.derived(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(told, "a long, b long, n_a long, n_b long, both long"), 4, 5)
+    yes, still = ({tuple(r) for r in df.collect()} for df in (sure, left))
+    link = {(a, b): 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) for a, b in pairs if b < 60}
+    assert {(1, 500), (2, 501)} <= still and not yes & still
+    assert all(link[p] for p in yes) and not any(link[p] for p in set(link) - yes - still)
+    assert len(yes) > 20 and len(set(link) - yes - still) > 500
