@@ -678,3 +678,22 @@ def test_answers_derived_from_a_third_set(spark):
     assert {(1, 500), (2, 501)} <= still and not yes & still
     assert all(link[p] for p in yes) and not any(link[p] for p in set(link) - yes - still)
     assert len(yes) > 20 and len(set(link) - yes - still) > 500
+
+
+def test_word_hashes():
+    """Equal words have equal hashes wherever they stand; no two of 200,000 different ones share theirs."""
+    from pointweave.llm import shingles
+
+    rng = random.Random(3)
+    texts = [None, b"", b" \n", b"One two\tTWO\x0bthree\x1cfour", "é É ab".encode(), b"x" * 9000, b"x" * 9001 + b" one", b"ab ba aab aba baa b a"]
+    hashes, counts = shingles.word_hashes(texts)
+    split = [(t or b"").lower().split() for t in texts]
+    assert counts.tolist() == [len(w) for w in split]
+    known = {}
+    for w, h in zip([w for ws in split for w in ws], hashes.tolist(), strict=True):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+    many = {bytes(rng.choices(b"abcdefgh\xc3\xa9", k=rng.randrange(1, 12))) for _ in range(200_000)}
+    hashes, _ = shingles.word_hashes([b" ".join(sorted(many))])
+    assert len(set(hashes.tolist())) == len(many)
+    assert shingles.word_hashes([])[0].tolist() == []
