@@ -45,8 +45,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """Broadcast ``df`` if its counted size is below BROADCAST_BYTES; beyond it Spark shuffles both sides."""
-    rows = df.count() if rows is None else rows
+    """Broadcast ``df`` if its counted size is below BROADCAST_BYTES; beyond it Spark shuffles both sides.
+
+    ``row_bytes`` is the width of a row without its texts; the longest text of each column is measured and added.
+    """
+    texts = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    if rows is None or texts:
+        rows, *longest = df.agg(F.count(F.lit(1)), *[F.max(F.octet_length(c)) for c in texts]).first()
+        row_bytes += sum(n or 0 for n in longest)
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 

@@ -225,8 +225,7 @@ def write_warc(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, ro
     twins = slim.where(F.col("payload_bytes") >= revisit_from).groupBy("sha1", "payload_bytes").agg(F.count(F.lit(1)).alias("n"), least).where("n > 1")
     twins = cut(twins.select("sha1", "payload_bytes", F.col("least.page_id").alias("first"), F.col("least.url").alias("first_url")), "warc-twins")
     starts = starts_of(slim.select(key.alias("key"), "part", "payload_bytes"), shard_bytes)
-    width = (twins.agg(F.max(F.octet_length("first_url"))).first()[0] or 0) + 96
-    linked = rows.join(small(twins, width), ["sha1", "payload_bytes"], "left")
+    linked = rows.join(small(twins, 48), ["sha1", "payload_bytes"], "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     linked = linked.select("page_id", "url", F.when(~again, F.col("html")).alias("html"), "payload_bytes", "sha1", F.when(again, F.col("first")).alias("first"), F.when(again, F.col("first_url")).alias("first_url"))
     dealt = linked.withColumn("shard", shard_of(spark, starts, key, part)).repartitionById(len(starts) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", part, "sha1", "url")
