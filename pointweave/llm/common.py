@@ -16,8 +16,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: A side is broadcast only when its measured rows times width stay below this.
 BROADCAST_BYTES = 32 << 20
-#: Bytes of an Arrow batch from which on it is handed over.
-BATCH_BYTES = 2 << 20
+#: Bytes of an Arrow batch on its way to a worker, which the executor buffers outside its heap, and of one that the
+#: worker has put together.
+SENT_BYTES, BATCH_BYTES = 256 << 10, 2 << 20
 #: A key is hot from this share of all rows on, so there are HOT_SHARE hot keys at most.
 HOT_SHARE = 1000
 
@@ -90,7 +91,7 @@ def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator
     The session's byte bound is set to the same number by every operator, whatever its rows: they are counted in the
     worker, so plans that run later than they were built do not get each other's batches.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(SENT_BYTES))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return run(rebatched(batches, rows))
