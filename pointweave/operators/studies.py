@@ -106,7 +106,7 @@ def halves_study(records: DataFrame, groups: Sequence[str], strategies: Sequence
     match = F.struct("month", "match_id", *COUNTERS)
     of = lambda half: F.array_sort(F.collect_list(F.when(F.col("half") == half, match)))
     told = halves.groupBy(*who).agg(of("left").alias("left"), of("right").alias("right")).where("size(left) > 0 and size(right) > 0")
-    told = told.withColumn("n", F.least(F.size("left"), F.size("right")))
+    told = told.withColumn("n", F.least(F.size("left"), F.size("right"))).where(F.col("n") >= min(least))
 
     def added(half: str, picks: str | None) -> list[Column]:
         """Sums of a half's counters: over its matches, or over those that ``picks`` names."""
@@ -151,7 +151,7 @@ def halves_study(records: DataFrame, groups: Sequence[str], strategies: Sequence
         return out
 
     number = lambda half: F.conv(F.substring(F.md5(F.concat_ws("|", *who, F.lit(half))), 1, 7), 16, 10).cast("long")
-    redone = told.where(F.col("n") >= min(least)).withColumns({f"{h}_number": number(h) for h in ("left", "right")})
+    redone = told.withColumns({f"{h}_number": number(h) for h in ("left", "right")})
     redone = redone.withColumn("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))))
     picks = lambda h: F.transform(F.sequence(F.lit(1).cast("long"), F.size(h).cast("long")), lambda j: draw(F.col(f"{h}_number"), F.col("rep"), j, F.size(h)))
     redone = redone.withColumns({f"{h}_picks": picks(h) for h in ("left", "right")})
