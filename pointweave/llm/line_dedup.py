@@ -177,9 +177,9 @@ def duplicate_lines(docs: DataFrame, block_words: int = BLOCK_WORDS, id_col: str
     whole = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null")
     texts = cut(whole.select("id", F.sha2("text", 256).alias("sha"), F.size(F.split("text", "\n", -1)).alias("n_lines")).groupBy("id").agg(F.min("sha").alias("sha"), F.min_by("n_lines", "sha").alias("n_lines")), "line-texts")
     heads = cut(texts.groupBy("sha").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")), "line-heads")
-    copies = texts.join(small(heads.where("copies > 1"), 96), "sha").where("id <> rep")
+    copies = texts.join(small(heads.where("copies > 1"), 32), "sha").where("id <> rep")
     reps = heads.select(F.col("rep").alias("id"), F.col("sha"))
-    distinct = whole.withColumn("sha", F.sha2("text", 256)).join(small(reps, 96), ["id", "sha"], "left_semi").select("id", "text")
+    distinct = whole.withColumn("sha", F.sha2("text", 256)).join(small(reps, 32), ["id", "sha"], "left_semi").select("id", "text")
     lines = shared_lines(distinct)
     rows = lines.groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", "hash", "words"))).alias("lines"))
     steps = F.transform("lines", lambda x, k: F.struct(x["hash"], (k > 0) & (x["pos"] == F.get("lines", k - 1)["pos"] + 1)))
