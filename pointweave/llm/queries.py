@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import secrets
+from pointweave.llm import divergence, secrets
 from pointweave.llm.common import scratch_path, table
 from pointweave.llm.decontamination import benchmark_leaks
 from pointweave.llm.jaccard import jaccard_components
+from pointweave.llm.licenses import license_digest, license_scan
 from pointweave.llm.line_dedup import duplicate_lines
 from pointweave.llm.mixing import mixed_stream
 from pointweave.llm.quality_model import score, train
@@ -64,6 +65,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, sf_dir, "documents"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_digest(license_scan(table(spark, sf_dir, "documents")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +80,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_model, op2_secret_scan, op3_sharding, op4_url_filter, op5_quality_rules, op6_mixing, op7_warc, op8_line_dedup, op9_jaccard_join, op10_decontamination, pipeline)
+    every = (op1_quality_model, op2_secret_scan, op3_sharding, op4_url_filter, op5_quality_rules, op6_mixing, op7_warc, op8_line_dedup, op9_jaccard_join, op10_decontamination, op11_source_divergence, op13_license_scan, pipeline)
     return {f.__name__: f for f in every}
 
 
@@ -97,4 +106,4 @@ SELECT page_id, host, path, split_part(best, ' ', 1) AS rule, CASE WHEN best IS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.oracle(), "op4_url_filter": URL_SQL, "op7_warc": WARC_SQL}
+    return {"op2_secret_scan": secrets.oracle(), "op4_url_filter": URL_SQL, "op7_warc": WARC_SQL, "op11_source_divergence": divergence.SQL}
