@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.llm import divergence, secrets
+from pointweave.llm import divergence, leaderboard, secrets
 from pointweave.llm.common import scratch_path, table
 from pointweave.llm.decontamination import benchmark_leaks
 from pointweave.llm.jaccard import jaccard_components
@@ -69,6 +69,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op12_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.leaderboard_changes(*(table(spark, sf_dir, t) for t in ("sale_lines", "vendors", "items")))
+
+
 def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(license_scan(table(spark, sf_dir, "documents")))
 
@@ -80,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_model, op2_secret_scan, op3_sharding, op4_url_filter, op5_quality_rules, op6_mixing, op7_warc, op8_line_dedup, op9_jaccard_join, op10_decontamination, op11_source_divergence, op13_license_scan, pipeline)
+    every = (op1_quality_model, op2_secret_scan, op3_sharding, op4_url_filter, op5_quality_rules, op6_mixing, op7_warc, op8_line_dedup, op9_jaccard_join, op10_decontamination, op11_source_divergence, op12_leaderboard, op13_license_scan, pipeline)
     return {f.__name__: f for f in every}
 
 
@@ -106,4 +110,4 @@ SELECT page_id, host, path, split_part(best, ' ', 1) AS rule, CASE WHEN best IS
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_secret_scan": secrets.oracle(), "op4_url_filter": URL_SQL, "op7_warc": WARC_SQL, "op11_source_divergence": divergence.SQL}
+    return {"op2_secret_scan": secrets.oracle(), "op4_url_filter": URL_SQL, "op7_warc": WARC_SQL, "op11_source_divergence": divergence.SQL, "op12_leaderboard": leaderboard.SQL}
