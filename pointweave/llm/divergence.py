@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,95 +19,112 @@ LEAST_DOCS, SCALE = 3, 1_000_000_000
 #: Terms that a group reports, by their divergence from the language.
 TOP_TERMS = 200
 #: (lang, source, term) counts that a task holds before it hands them on.
-HELD = 300_000
+HELD = 500_000
 #: Cells (terms x sources) that one step of the pair sums holds, and pair sums that a task holds before it hands them on.
 CELLS, SUMS = 1_000_000, 1_000_000
 
 #: Bytes of terms: ASCII letters, lower-cased, and every byte of other characters.
 TERM_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-PIECES = "lang string, term binary, source string, document string, docs long, n long"
+#: Parts a language from a term in a sort key; no byte of UTF-8 is like it.
+PART = b"\xff"
 
 
 def pieces(docs: DataFrame) -> DataFrame:
-    """(lang, term, source, document, docs, n): documents with a term and its occurrences in them.
+    """(key, source, document, docs, n): documents of a source with a term of a language, and occurrences in them.
 
-    ``docs`` has lang, source, id and text. A task adds up what it has read, HELD counts at a time; ``document`` is the
-    least id among the documents of a piece, which orders the pieces of a run.
+    ``docs`` has lang, source, document and text. A task adds up what it has read, HELD counts at a time; ``document`` is
+    the least id among the source's documents in a piece and orders the pieces of a run. ``key`` is language and term.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], dict[bytes, list]] = {}
+        held: dict[tuple[str, str], list] = {}
         many = 0
 
         def flushed() -> Iterator[pa.RecordBatch]:
-            for (lang, source), terms in held.items():
-                names = list(terms)
-                document, docs, n = zip(*terms.values(), strict=True)
-                k = len(names)
-                columns = [pa.array([lang] * k), pa.array(names, pa.binary()), pa.array([source] * k), pa.array(document, pa.string()), pa.array(docs, pa.int64()), pa.array(n, pa.int64())]
-                yield from pa.Table.from_arrays(columns, names=["lang", "term", "source", "document", "docs", "n"]).to_batches(10_000)
+            for (lang, source), (document, docs, n) in held.items():
+                k, begin = len(n), lang.encode() + PART
+                columns = [pa.array([begin + t for t in n], pa.binary()), pa.array([source]).take(pa.array(np.zeros(k, np.int32))), pa.array([document]).take(pa.array(np.zeros(k, np.int32)))]
+                counts = [pa.array([docs[t] for t in n], pa.int64()), pa.array(n.values(), pa.int64())]
+                yield from pa.Table.from_arrays([*columns, *counts], names=["key", "source", "document", "docs", "n"]).to_batches(10_000)
+            held.clear()
 
         for b in batches:
-            for lang, source, doc, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3).cast(pa.large_binary()).to_pylist(), strict=True):
+            for lang, source, document, text in zip(*(b.column(i).to_pylist() for i in range(3)), b.column(3).cast(pa.large_binary()).to_pylist(), strict=True):
                 words = text.translate(TERM_BYTES).split()
                 if not words:
                     continue
-                terms = held.setdefault((lang, source), {})
-                before = len(terms)
-                own: dict[bytes, int] = {}
-                for w in words:
-                    own[w] = own.get(w, 0) + 1
-                for w, c in own.items():
-                    x = terms.get(w)
-                    if x is None:
-                        terms[w] = [doc, 1, c]
-                    else:
-                        x[1] += 1
-                        x[2] += c
-                        if doc < x[0]:
-                            x[0] = doc
-                many += len(terms) - before
+                group = held.setdefault((lang, source), [document, Counter(), Counter()])
+                many -= len(group[2])
+                group[0] = min(group[0], document)
+                group[1].update(set(words))
+                group[2].update(words)
+                many += len(group[2])
                 if many >= HELD:
                     yield from flushed()
-                    held.clear()
                     many = 0
         yield from flushed()
 
-    return in_batches(docs, run, PIECES)
+    return in_batches(docs, run, "key binary, source string, document string, docs long, n long")
+
+
+def changes(*columns: pa.Array) -> np.ndarray:
+    """Where a row differs from the one before in any column; the first row does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+    return out
 
 
 def run_lengths(sorted_pieces: DataFrame) -> DataFrame:
-    """(lang, term, source, docs, n) for each run of equal (lang, term, source) in each partition of sorted pieces.
+    """(lang, term, sources, docs, n, edge) for each run of a key in each partition of sorted pieces.
 
-    The scan holds one open run. A run that the partitions cut gives a row in each of them.
+    sources, docs and n are lists, an entry per run of a source in the key's run. The first and last key of a partition
+    may go on in another: they are ``edge``. Of the others only those in LEAST_DOCS documents are handed on. The scan
+    holds one open run, a row per source.
     """
+    schema = "lang string, term string, sources array<string>, docs array<long>, n array<long>, edge boolean"
+
+    def closed(key: pa.Array, source: pa.Array, docs: np.ndarray, n: np.ndarray, first: bool, last: bool) -> pa.RecordBatch:
+        """Rows of whole runs; the first or last of them is an edge."""
+        begin = np.flatnonzero(changes(key)) if len(key) else np.zeros(0, np.int64)
+        edge = np.zeros(len(begin), bool)
+        edge[:1] |= first
+        edge[len(begin) - 1 :] |= last
+        keep = edge | ((np.add.reduceat(docs, begin) if len(begin) else docs) >= LEAST_DOCS)
+        offsets = pa.array(np.append(begin, len(key)).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x).filter(pa.array(keep)) for x in (source, pa.array(docs), pa.array(n))]
+        names = [k.partition(PART) for k in key.take(pa.array(begin[keep])).to_pylist()]
+        parts = [pa.array([x[i].decode() for x in names], pa.string()) for i in (0, 2)]
+        return pa.RecordBatch.from_arrays([*parts, *lists, pa.array(edge[keep])], names=["lang", "term", "sources", "docs", "n", "edge"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
-        docs = n = 0
+        held, first = None, True
         for b in batches:
-            keys = [b.column(i).to_pylist() for i in range(3)]
-            out: list[tuple] = []
-            for lang, term, source, d, k in zip(*keys, b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                key = (lang, term, source)
-                if key != last:
-                    if last is not None:
-                        out.append((*last, docs, n))
-                    last, docs, n = key, 0, 0
-                docs += d
-                n += k
-            yield _runs(out)
-        if last is not None:
-            yield _runs([(*last, docs, n)])
-
-    return in_batches(sorted_pieces.select("lang", "term", "source", "docs", "n"), run, "lang string, term binary, source string, docs long, n long", 8192)
-
-
-def _runs(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64())
-    columns = list(zip(*rows, strict=True)) or [()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["lang", "term", "source", "docs", "n"])
+            whole = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks().to_batches()[0]
+            begin = np.flatnonzero(changes(whole.column(0), whole.column(1)))
+            at = pa.array(begin)
+            key, source = whole.column(0).take(at), whole.column(1).take(at)
+            docs, n = (np.add.reduceat(whole.column(i).to_numpy(), begin) for i in (2, 3))
+            upto = int(np.flatnonzero(changes(key))[-1])
+            if upto:
+                yield closed(key[:upto], source[:upto], docs[:upto], n[:upto], first, False)
+                first = False
+            held = pa.RecordBatch.from_arrays([key[upto:], source[upto:], pa.array(docs[upto:]), pa.array(n[upto:])], names=b.schema.names)
+        if held is not None:
+            yield closed(held.column(0), held.column(1), held.column(2).to_numpy(), held.column(3).to_numpy(), first, True)
+
+    return in_batches(sorted_pieces.select("key", "source", "docs", "n"), run, schema, 65_536)
+
+
+def kept_terms(runs: DataFrame) -> DataFrame:
+    """(lang, term, n, sources) of terms in LEAST_DOCS documents; what partitions cut is put together first."""
+    zipped = F.arrays_zip(F.col("sources").alias("source"), F.col("docs").alias("docs"), F.col("n").alias("n"))
+    parts = runs.where("edge").select("lang", "term", F.explode(zipped).alias("x")).groupBy("lang", "term", "x.source").agg(F.sum("x.docs").alias("docs"), F.sum("x.n").alias("n"))
+    edges = parts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("sources")).where(F.col("docs") >= LEAST_DOCS)
+    inner = runs.where("NOT edge").select("lang", "term", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"), F.arrays_zip(F.col("sources").alias("source"), F.col("n").alias("n")).alias("sources"))
+    return inner.unionByName(edges.select(*inner.columns))
 
 
 def _share(count: str, total: str) -> Column:
@@ -194,12 +213,10 @@ def source_divergence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     are not read. The result has a row per two sources of a language, so that is what its size grows with.
     """
     slim = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (id_col, "document"), (text_col, "text"))))
-    order = ["lang", "term", "source", "document"]
+    order = ["key", "source", "document"]
     counted = cut(pieces(slim), "term-pieces")
     runs = cut(run_lengths(counted.repartitionByRange(*order).sortWithinPartitions(*order)), "term-runs")
-    whole = runs.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    terms = whole.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"), F.collect_list(F.struct("source", "n")).alias("sources"))
-    kept = cut(terms.where(F.col("docs") >= LEAST_DOCS).drop("docs"), "kept-terms")
+    kept = cut(kept_terms(runs), "kept-terms")
     groups = cut(group_totals(slim.select("lang", "source").distinct(), kept), "term-groups")
     known = small(groups, 64)
 
@@ -207,7 +224,7 @@ def source_divergence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shares = each.join(known, ["lang", "source"]).select("lang", "source", "k", "term", _share("n", "total").alias("p"), _share("lang_n", "lang_total").alias("q"))
     shares = cut(shares, "term-shares")
 
-    best = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"), _divergence("p", "q").alias("value"))
+    best = shares.where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), _divergence("p", "q").alias("value"))
     placed = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
     best = best.withColumn("rank", placed).where(F.col("rank") <= TOP_TERMS)
 

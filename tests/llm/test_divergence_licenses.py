@@ -82,10 +82,12 @@ def test_runs_cut_by_partitions_add_up(spark):
     """A hot term: its pieces lie in several ranges, and each range gives a part of the run."""
     docs = spark.createDataFrame([("en", "a", str(i), "hot hot") for i in range(4000)], "lang string, source string, document string, text string").repartition(40)
     counted = divergence.pieces(docs).cache()
-    order = ["lang", "term", "source", "document"]
+    order = ["key", "source", "document"]
     runs = divergence.run_lengths(counted.repartitionByRange(8, *order).sortWithinPartitions(*order)).collect()
-    assert counted.count() > 8 and 1 < len(runs) <= 8
-    assert (sum(r["docs"] for r in runs), sum(r["n"] for r in runs)) == (4000, 8000)
+    assert counted.count() > 8 and 1 < len(runs) <= 8 and all(r["edge"] for r in runs)
+    assert (sum(sum(r["docs"]) for r in runs), sum(sum(r["n"]) for r in runs)) == (4000, 8000)
+    (got,) = divergence.kept_terms(spark.createDataFrame(runs)).collect()
+    assert (got["lang"], got["term"], got["n"], [tuple(x) for x in got["sources"]]) == ("en", "hot", 8000, [("a", 8000)])
 
 
 WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
