@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pointweave.llm.common import WORD, cut, small
 from pointweave.llm.ranking import running_sum
+from pointweave.llm.sharding import numbered
 
 #: Exponents that one pass over the source totals compares; each pass narrows the interval to one of their gaps.
 SECTIONS, PASSES = 32, 5
@@ -97,13 +98,8 @@ def solve(totals: DataFrame, max_repeats: float | None, target_entropy: float |
 
 
 def shuffled(epoch: Column, seed: int) -> Column:
-    """The key that orders a source's documents in an epoch."""
-    return F.xxhash64(F.lit(f"mix:{seed}"), epoch.cast("int"), F.col("pw_row"))
-
-
-def _slim(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col), F.col(source_col), source_key(F.col(source_col)).alias("pw_source"), tokens_of(text).alias("pw_tokens"), F.xxhash64(id_col, text).alias("pw_row"))
+    """The key that orders a source's documents in an epoch; equal rows have numbers, so they part like any two rows."""
+    return F.xxhash64(F.lit(f"mix:{seed}"), epoch.cast("int"), F.col("pw_row"), F.col("pw_copy"))
 
 
 def _plan(slim: DataFrame, rows: int, seed: int, max_repeats: float | None, target_entropy: float | None, budget: float | None) -> tuple[Mark, DataFrame]:
@@ -112,7 +108,7 @@ def _plan(slim: DataFrame, rows: int, seed: int, max_repeats: float | None, targ
     mark, sources = solve(totals, max_repeats, target_entropy, budget)
     sources = cut(sources, "mix-sources")
     broken = slim.join(small(sources.where("rest > 0"), 64), "pw_source").withColumn("pw_key", shuffled(F.col("full"), seed))
-    broken = running_sum(broken, ["pw_source"], "pw_key", ["pw_row"], "pw_tokens", rows, "pw_before")
+    broken = running_sum(broken, ["pw_source"], "pw_key", ["pw_row", "pw_copy"], "pw_tokens", rows, "pw_before")
     ends = broken.where("pw_before >= rest").groupBy("pw_source").agg(F.min("pw_key").alias("pw_end"))
     most = F.when(F.col("rest") > 0, F.lit((1 << 63) - 1)).otherwise(F.lit(-(1 << 63)))
     return mark, cut(sources.join(ends, "pw_source", "left").withColumn("pw_end", F.coalesce("pw_end", most)), "mix-plan")
@@ -129,29 +125,57 @@ def mixed_stream(docs: DataFrame, max_repeats: float | None = 4.0, target_entrop
 
     Tokens are words plus one per document. An epoch is a permutation of its source; the stream is cut into blocks of
     about ``block_tokens`` in which each source has its weight (to one document), and each block is permuted. Null
-    sources are one source of their own; null texts have one token; equal rows share their place in an epoch and are
-    emitted or left out together; an empty table gives no rows. Other columns are not read.
+    sources are one source of their own; null texts have one token; rows with equal ids, sources and texts are numbered
+    and are documents of their own; an empty table gives no rows. Other columns are not read; a result column that the
+    id or the source has the name of gets ``_result`` behind it.
     """
-    slim = cut(_slim(docs, id_col, text_col, source_col), "mix-rows")
+    text = F.col(text_col).cast("string")
+    slim = docs.select(F.col(id_col).alias("pw_id"), F.col(source_col).alias("pw_from"), source_key(F.col(source_col)).alias("pw_source"), tokens_of(text).alias("pw_tokens"), F.xxhash64(id_col, text).alias("pw_row"))
+    slim = cut(numbered(slim, "pw_copy"), "mix-rows")
     rows = slim.count()
     mark, plan = _plan(slim, rows, seed, max_repeats, target_entropy, budget)
     many = plan.count()
-    copies = slim.join(small(plan, 96, many), "pw_source").withColumn("epoch", F.explode(_epochs(seed)))
-    copies = copies.withColumn("pw_key", shuffled(F.col("epoch"), seed))
-    placed = running_sum(copies, ["pw_source", "epoch"], "pw_key", ["pw_row"], "pw_tokens", rows, "pw_before")
-    offset = F.col("epoch") * F.col("tokens") + F.col("pw_before")
-    placed = placed.withColumn("block", F.floor(offset / (F.col("weight") * block_tokens)))
-    turn = F.row_number().over(W.partitionBy("block").orderBy(F.xxhash64("block", "pw_key"), "pw_key", "pw_row"))
-    return placed.select(id_col, source_col, F.col("pw_tokens").alias("n_tokens"), "epoch", "block", (turn - 1).alias("position"), F.lit(mark.exponent).alias("exponent"))
-
-
-def mixed_documents(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, each as often as mixed_stream emits it; texts are not shuffled."""
-    slim = cut(_slim(docs, id_col, text_col, source_col), "mix-rows")
+    copies = slim.join(small(plan, 96, many), "pw_source").withColumn("pw_epoch", F.explode(_epochs(seed)))
+    copies = copies.withColumn("pw_key", shuffled(F.col("pw_epoch"), seed))
+    placed = running_sum(copies, ["pw_source", "pw_epoch"], "pw_key", ["pw_row", "pw_copy"], "pw_tokens", rows, "pw_before")
+    offset = F.col("pw_epoch") * F.col("tokens") + F.col("pw_before")
+    placed = placed.withColumn("pw_block", F.floor(offset / (F.col("weight") * block_tokens)))
+    turn = F.row_number().over(W.partitionBy("pw_block").orderBy(F.xxhash64("pw_block", "pw_key"), "pw_key", "pw_row", "pw_copy"))
+    columns = [F.col("pw_tokens"), F.col("pw_epoch"), F.col("pw_block"), turn - 1, F.lit(mark.exponent)]
+    names = [f"{c}_result" if c in (id_col, source_col) else c for c in ("n_tokens", "epoch", "block", "position", "exponent")]
+    return placed.select(F.col("pw_id").alias(id_col), F.col("pw_from").alias(source_col), *(c.alias(n) for c, n in zip(columns, names, strict=True)))
+
+
+def numbered_documents(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``docs`` under inner names with pw_row, pw_again (hashes of the whole row) and pw_copy, the row's number among
+    equal ones; and the inner names.
+
+    Texts stay where they are, but for rows that are repeated: these are counted and made anew from their counts. The
+    hashes of repeated rows are broadcast while they are few, else Spark shuffles both sides.
+    """
+    inner = [f"pw_doc_{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*inner)
+    rows = rows.withColumns({"pw_row": F.xxhash64(*inner), "pw_again": F.xxhash64(F.lit("again"), *inner)})
+    repeated = cut(rows.groupBy("pw_row", "pw_again").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "repeated-rows")
+    many = repeated.count()
+    once = rows.join(small(repeated, 32, many), ["pw_row", "pw_again"], "left_anti") if many else rows
+    once = once.withColumn("pw_copy", F.lit(0).cast("long"))
+    if not many:
+        return once, inner
+    copies = numbered(rows.join(small(repeated, 32, many), ["pw_row", "pw_again"], "left_semi").select(*inner, "pw_row", "pw_again"), "pw_copy")
+    return once.unionByName(copies), inner
+
+
+def mixed_documents(docs: DataFrame, max_repeats: float | None = 2.0, target_entropy: float | None = None, budget: float | None = None, seed: int = 17, text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, each as often as its place in the epochs says.
+
+    Epochs, weights and quotas are those of mixed_stream, rows equal in all columns have numbers and are documents of
+    their own; texts are not shuffled, but for repeated rows.
+    """
+    rows, inner = numbered_documents(docs)
+    named = dict(zip(docs.columns, inner, strict=True))
+    rows = rows.withColumn("pw_source", source_key(F.col(named[source_col])))
+    slim = cut(rows.select("pw_source", tokens_of(F.col(named[text_col]).cast("string")).alias("pw_tokens"), "pw_row", "pw_copy"), "mix-rows")
     _, plan = _plan(slim, slim.count(), seed, max_repeats, target_entropy, budget)
-    names = {c: f"pw_doc_{i}" for i, c in enumerate(docs.columns)}
-    text = F.col(text_col).cast("string")
-    moved = docs.withColumns({"pw_mix_source": source_key(F.col(source_col)), "pw_mix_row": F.xxhash64(id_col, text)})
-    moved = moved.select(*[F.col(c).alias(n) for c, n in names.items()], F.col("pw_mix_source").alias("pw_source"), F.col("pw_mix_row").alias("pw_row"))
-    emitted = moved.join(small(plan, 96), "pw_source").withColumn("pw_epoch", F.explode(_epochs(seed)))
-    return emitted.select(*[F.col(n).alias(c) for c, n in names.items()])
+    emitted = rows.join(small(plan, 96), "pw_source").withColumn("pw_epoch", F.explode(_epochs(seed)))
+    return emitted.select(*[F.col(n).alias(c) for c, n in named.items()])
