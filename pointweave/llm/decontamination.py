@@ -1,30 +1,32 @@
-"""Operator 10: n-gram seeds in diagonal bands and Smith-Waterman alignment against benchmark items."""
+"""Operator 10: rare seeds of benchmark items, joined to passages, and Smith-Waterman alignment of what they find."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pointweave.llm.common import in_batches
+from pointweave.llm.common import cut, in_batches, named, small
+from pointweave.llm.shingles import word_hashes
 
-#: Words of a seed, and the different seeds of an item that a diagonal band of a document holds at least. A copy in
-#: which n of m words are left and the others replaced or left out keeps 2n - m - 1 pairs of neighbours or more, at
-#: least m / 3 - 1 where the score reaches LEAST_SCORE, so pairs find it however evenly it was edited. How many
-#: documents hold a seed does not count, so a copy is found however often it was copied.
-GRAM, LEAST_SEEDS = 2, 2
-#: Places of seeds in items that one step holds in memory; more are taken in halves of the texts.
-STEP_PLACES = 5_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Share of an item's own score from which a document counts as a copy of it, and the least words of an item.
 LEAST_SCORE, LEAST_WORDS = 0.5, 5
-#: Words of the benchmark that one pass holds in memory; a longer benchmark is taken in several passes.
-BLOCK_WORDS = 1_000_000
+#: Seeds of an item of m words are its RARE places, rarest first, of which a copy holds NEEDED: LEAST_SCORE takes half of
+#: the m words (two points each, nothing else adds), so a copy misses m div 2 places at most. Those beyond that and one
+#: more, m div 8, ask for as many more seeds at once.
+RARE, NEEDED = "{m} div 2 + 1 + {m} div 8", "1 + {m} div 8"
+#: Words of a document that the copy of an item of m words spans, in m: each word put in costs a point, and m are left.
+SPAN = 2
+#: Bits of the filters of words: of one size whatever the benchmark's; words that share a bit with one are joined away.
+BITS = 1 << 23
+#: Counts that a task holds, and bytes of a text whose words are hashed in one go.
+HELD, PIECE = 500_000, 4 << 20
 #: Cells of one row of a batch of alignments.
 ROW_CELLS = 200_000
 
@@ -32,64 +34,23 @@ ROW_CELLS = 200_000
 PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def words_of(text: bytes | None) -> list[bytes]:
-    return text.lower().translate(PARTS).split() if text else []
-
-
-@dataclass(frozen=True)
-class Items:
-    """A block of the benchmark: word numbers, and for each sorted gram where it stands in which item."""
-
-    ids: list[int]
-    vocabulary: dict[bytes, int]
-    words: list[np.ndarray]
-    grams: np.ndarray
-    offsets: np.ndarray
-    item: np.ndarray
-    position: np.ndarray
-
-    @classmethod
-    def of(cls, rows: list[tuple[int, bytes]]) -> Items:
-        vocabulary: dict[bytes, int] = {}
-        ids, words, codes, item, position = [], [], [], [], []
-        for item_id, text in rows:
-            split = words_of(text)
-            if len(split) < LEAST_WORDS:
-                continue
-            numbers = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in split], np.int64)
-            item.append(np.full(len(split) - GRAM + 1, len(ids)))
-            position.append(np.arange(len(split) - GRAM + 1))
-            ids.append(item_id)
-            words.append(numbers)
-        size = len(vocabulary) + 1
-        codes = [gram_codes(w, size) for w in words]
-        none = np.zeros(0, np.int64)
-        code, item, position = (np.concatenate([*x, none]) for x in (codes, item, position))
-        order = np.argsort(code, kind="stable")
-        grams, first = np.unique(code[order], return_index=True)
-        return cls(ids, vocabulary, words, grams, np.append(first, len(code)), item[order], position[order])
-
-    def look_up(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word numbers of all texts on end (0: not in the benchmark), their document, gram index at each word or -1."""
-        split = [words_of(t) for t in texts]
-        get = self.vocabulary.get
-        numbers = np.fromiter((get(w, 0) for ws in split for w in ws), np.int64, sum(map(len, split)))
-        doc = np.repeat(np.arange(len(texts)), [len(ws) for ws in split])
-        gram = np.full(len(numbers), -1)
-        if len(numbers) >= GRAM and len(self.grams):
-            n = len(numbers) - GRAM + 1
-            whole = (numbers[:n] > 0) & (numbers[1:] > 0) & (doc[:n] == doc[1:])
-            at = np.flatnonzero(whole)
-            code = gram_codes(numbers, len(self.vocabulary) + 1)[at]
-            found = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
-            hit = self.grams[found] == code
-            gram[at[hit]] = found[hit]
-        return numbers, doc, gram
-
-
-def gram_codes(numbers: np.ndarray, size: int) -> np.ndarray:
-    """Exact codes of GRAM words: the vocabulary of a block keeps them within 63 bits."""
-    return numbers[:-1] * size + numbers[1:]
+def hashed(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words of the texts on end, and the words of each text; a long text is hashed in pieces."""
+    texts = [(t or b"").translate(PARTS) for t in texts]
+    if sum(map(len, texts)) <= PIECE or len(texts) > 1 and max(map(len, texts)) <= PIECE:
+        hashes, counts = word_hashes(texts)
+        return hashes.view(np.int64), counts
+    parts, counts = [], []
+    for t in texts:
+        at, n = 0, 0
+        while at < len(t):
+            end = t.find(b" ", at + PIECE) if at + PIECE < len(t) else len(t)
+            end = len(t) if end < 0 else end
+            got = word_hashes([t[at:end]])[0].view(np.int64)
+            parts.append(got)
+            at, n = end, n + len(got)
+        counts.append(n)
+    return np.concatenate([np.zeros(0, np.int64), *parts]), np.array(counts, np.int64)
 
 
 def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -119,107 +80,195 @@ def align(items: list[np.ndarray], windows: list[np.ndarray]) -> tuple[np.ndarra
     return best >> bits, best & (unit - 1), end
 
 
-def leaks(items: Items, texts: list[bytes | None]) -> list[tuple[int, int, float, int, int, int]]:
-    """(text, item, score, seeds, first word, last word) of the best alignment of each text and item that is a copy."""
-    numbers, doc, gram = items.look_up(texts)
-    at = np.flatnonzero(gram >= 0)
-    if not len(at):
-        return []
-    count = np.diff(items.offsets)[gram[at]]
-    if count.sum() > STEP_PLACES and len(texts) > 1:
-        half = len(texts) // 2
-        return leaks(items, texts[:half]) + [(d + half, *rest) for d, *rest in leaks(items, texts[half:])]
-    place = np.repeat(items.offsets[gram[at]] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-    seed, item = np.repeat(at, count), items.item[place]
-    diagonal = seed - items.position[place]
-    order = np.lexsort((seed, diagonal, item, doc[seed]))
-    seed, item, diagonal = seed[order], item[order], diagonal[order]
-    owner = doc[seed]
-    lengths = np.array([len(w) for w in items.words])
-    slack = lengths[item] // 4 + 4
-    apart = np.concatenate([[True], (owner[1:] != owner[:-1]) | (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > slack[1:])])
-    starts = np.flatnonzero(apart)
-    ends = np.append(starts[1:], len(seed))
-    first, last = np.searchsorted(doc, owner[starts]), np.searchsorted(doc, owner[starts], side="right")
-    jobs = []
-    many = ends - starts >= LEAST_SEEDS
-    for s, e, low, high in zip(starts[many], ends[many], first[many], last[many], strict=True):
-        seeds = len(np.unique(seed[s:e]))
-        if seeds >= LEAST_SEEDS:
-            a = max(low, diagonal[s] - slack[s])
-            z = min(high, diagonal[e - 1] + lengths[item[s]] + slack[s])
-            # a score is at most MATCH for each word of the item that the window has: fewer cannot reach LEAST_SCORE
-            if np.isin(items.words[item[s]], numbers[a:z]).sum() < LEAST_SCORE * lengths[item[s]]:
-                continue
-            jobs.append((int(owner[s]), int(item[s]), seeds, int(a), int(z), int(low)))
-    jobs.sort(key=lambda j: (j[4] - j[3], lengths[j[1]]))
-    best: dict[tuple[int, int], tuple] = {}
-    while jobs:
-        widest = jobs[-1][4] - jobs[-1][3]
-        part, jobs = jobs[-max(1, ROW_CELLS // widest) :], jobs[: -max(1, ROW_CELLS // widest)]
-        scores, begin, end = align([items.words[j[1]] for j in part], [numbers[j[3] : j[4]] for j in part])
-        for j, score, x, y in zip(part, scores, begin, end, strict=True):
-            share = float(score) / (MATCH * int(lengths[j[1]]))
-            got = (share, j[2], int(x) + j[3] - j[5], int(y) + j[3] - j[5])
-            if share >= LEAST_SCORE and got > best.get(j[:2], (0.0,)):
-                best[j[:2]] = got
-    return [(d, i, *best[d, i]) for d, i in sorted(best)]
+def coded(item: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as numbers from 1 on for the item's words; other words are 0."""
+    known, own = np.unique(item, return_inverse=True)
+    at = np.minimum(np.searchsorted(known, words), len(known) - 1)
+    return own + 1, np.where(known[at] == words, at + 1, 0)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> Iterator[Items]:
-    """The benchmark in blocks of about ``block_words`` words, one at a time on the driver."""
-    rows = benchmark.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
-    words = rows.agg(F.sum(F.size(F.split("t", r"[^\p{Alnum}]+")))).first()[0] or 0
-    blocks = -(-words // block_words)
-    for k in range(blocks):
-        got = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).orderBy("i", "t").collect()
-        yield Items.of([(r["i"], r["t"].encode()) for r in got])
+def best_copies(words: np.ndarray, items: list[tuple[np.ndarray, list[int]]]) -> list[tuple[int, float, int, int, int]]:
+    """(item, score, seeds, first word, last word) of the items that a text copies.
 
-
-def _texts(b: pa.RecordBatch, name: str) -> list:
-    return b.column(name).cast(pa.large_binary()).to_pylist()
+    Each item comes with the blocks of the text in which its seeds are; a copy lies whole in one of them. seeds: words
+    of the item in the aligned stretch.
+    """
+    jobs = []
+    for k, (item, blocks) in enumerate(items):
+        m = len(item)
+        ends: list[list[int]] = []
+        for b in sorted(set(blocks)):
+            first, last = b * SPAN * m, min(len(words), (b + 2) * SPAN * m)
+            if ends and first <= ends[-1][1]:
+                ends[-1][1] = max(last, ends[-1][1])
+            else:
+                ends.append([first, last])
+        # a score is at most MATCH for each word of the item that the stretch has: fewer cannot reach LEAST_SCORE
+        jobs += [(k, s, e) for s, e in ends if np.isin(item, words[s:e]).sum() >= LEAST_SCORE * m]
+    jobs.sort(key=lambda j: (j[2] - j[1], len(items[j[0]][0])))
+    best: dict[int, tuple] = {}
+    while jobs:
+        step = max(1, ROW_CELLS // (jobs[-1][2] - jobs[-1][1]))
+        part, jobs = jobs[-step:], jobs[:-step]
+        scores, begin, end = align(*zip(*(coded(items[k][0], words[s:e]) for k, s, e in part), strict=True))
+        for (k, s, _), score, x, y in zip(part, scores, begin, end, strict=True):
+            share = float(score) / (MATCH * len(items[k][0]))
+            if share >= LEAST_SCORE:
+                got = (share, int(np.isin(items[k][0], words[s + x : s + y + 1]).sum()), int(x + s), int(y + s))
+                best[k] = max(best.get(k, (0.0,)), got)
+    return [(k, *best[k]) for k in sorted(best)]
+
+
+def word_filter(hashes: DataFrame) -> bytes:
+    """BITS bits, those of the ``hash`` values set: one aggregation, of which the driver gets BITS / 8 bytes at most."""
+    slots = hashes.select(F.pmod("hash", F.lit(BITS)).alias("slot")).distinct()
+    rows = slots.groupBy(F.expr("slot div 32768").alias("bucket")).agg(F.bitmap_construct_agg(F.expr("slot % 32768")).alias("bits")).collect()
+    out = bytearray(BITS // 8)
+    for r in rows:
+        out[r["bucket"] * 4096 : (r["bucket"] + 1) * 4096] = r["bits"]
+    return bytes(out)
+
+
+def passing(hashes: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    return bits[hashes % len(bits)]
+
+
+def item_words(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(item, item_id, words): the different items of LEAST_WORDS words or more, their words as hashes."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes, counts = hashed(b.column("text").cast(pa.large_binary()).to_pylist())
+            words = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(hashes, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("item"), b.column("item_id"), words], names=["item", "item_id", "words"])
+
+    found = in_batches(rows.select(F.xxhash64("item_id", "text").alias("item"), "item_id", "text"), run, "item long, item_id string, words array<long>")
+    return cut(found.where(F.size("words") >= LEAST_WORDS), "item-words")
+
+
+def document_counts(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(hash, docs): in how many documents each word of the benchmark is."""
+    wanted = cut(items.select(F.explode("words").alias("hash")).distinct(), "benchmark-words")
+    packed = word_filter(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+            return keys, np.bincount(place, np.concatenate([n for _, n in held]), len(keys)).astype(np.int64)
+
+        def flushed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(held[0][0], pa.int64()), pa.array(held[0][1], pa.int64())], names=["hash", "docs"])
+
+        for b in batches:
+            hashes, counts = hashed(b.column(0).cast(pa.large_binary()).to_pylist())
+            there = passing(hashes, bits)
+            owner, hashes = np.repeat(np.arange(len(counts)), counts)[there], hashes[there]
+            order = np.lexsort((hashes, owner))
+            owner, hashes = owner[order], hashes[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(owner) != 0) | (hashes[1:] != hashes[:-1])
+            held.append(np.unique(hashes[new], return_counts=True))
+            if sum(len(k) for k, _ in held) > HELD:
+                held = [added()]
+                if len(held[0][0]) > HELD // 2:
+                    yield flushed()
+                    held = []
+        if held:
+            held = [added()]
+            yield flushed()
+
+    counted = in_batches(texts.select("text"), run, "hash long, docs long").groupBy("hash").agg(F.sum("docs").alias("docs"))
+    return cut(counted.join(wanted, "hash", "left_semi"), "word-documents")
+
+
+def rare_seeds(items: DataFrame, counts: DataFrame) -> DataFrame:
+    """(hash, item, m): the RARE places of each item, those first whose word is in the fewest documents."""
+    places = items.select("item", F.size("words").alias("m"), F.posexplode("words").alias("place", "hash")).join(counts, "hash", "left")
+    turn = F.row_number().over(W.partitionBy("item").orderBy(F.coalesce("docs", F.lit(0)), "hash", "place"))
+    return cut(places.withColumn("turn", turn).where("turn <= " + RARE.format(m="m")).select("hash", "item", "m").distinct(), "seeds")
+
+
+def seed_hits(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(key, hash, pos): where words of (key, text) rows are seeds, or share their bit of the filter with one."""
+    packed = word_filter(seeds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(packed, np.uint8), bitorder="little").astype(bool)
+        for b in batches:
+            hashes, counts = hashed(b.column("text").cast(pa.large_binary()).to_pylist())
+            at = np.flatnonzero(passing(hashes, bits))
+            begin = np.append(0, np.cumsum(counts))
+            owner = np.searchsorted(begin, at, side="right") - 1
+            yield pa.RecordBatch.from_arrays([b.column("key").take(pa.array(owner)), pa.array(hashes[at], pa.int64()), pa.array(at - begin[owner], pa.int64())], names=["key", "hash", "pos"])
+
+    return in_batches(texts.select("key", "text"), run, "key long, hash long, pos long")
+
+
+def candidates(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """(key, found): the items whose seeds a text may hold often enough, as (item_id, words, blocks).
+
+    Blocks are SPAN * m words apart and twice as long, so what an item spans lies whole in one of them; hits are counted
+    by block, before the shuffle, too. Seeds are joined by a broadcast while they are few, else by a shuffle.
+    """
+    seeds = rare_seeds(items, document_counts(texts, items))
+    pairs = seed_hits(texts, seeds).join(small(seeds, 32, seeds.count()), "hash")
+    block = F.expr(f"pos div ({SPAN} * m)")
+    placed = pairs.select("key", "item", "m", F.explode(F.array(block, block - 1)).alias("block")).where("block >= 0")
+    blocks = placed.groupBy("key", "item", "m", "block").agg(F.count(F.lit(1)).alias("n")).where("n >= " + NEEDED.format(m="m"))
+    met = cut(blocks.groupBy("key", "item").agg(F.collect_list("block").alias("blocks")), "seeded-items")
+    longest = items.agg(F.max(F.size("words"))).first()[0] or 0
+    return cut(met.join(small(items, 64 + 8 * longest), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "words", "blocks")).alias("found")), "candidates")
 
 
-def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """A row (id, item_id, score, n_seeds, first_word, last_word) for each document that copies a benchmark item.
 
-    score is the alignment's as a share of the item's own (1: whole and unchanged), LEAST_SCORE at least. Whole texts
-    are searched, each item with every seed. Null and empty texts hold nothing; items that are null or shorter than
-    LEAST_WORDS words are not looked for; repeated items are one, texts that share an item's id
-    give a row per block that holds one; repeated rows give
-    repeated results; a null document id is handed through. Empty tables give empty results; other columns are not read.
+    score is the alignment's as a share of the item's own (1: whole and unchanged), LEAST_SCORE at least: every document
+    that reaches it is found, however its words were edited. n_seeds: words of the item in the aligned stretch. Whole
+    texts are searched, in two passes whatever the benchmark's size: one counts in how many documents each benchmark
+    word is, one finds seeds. Null and empty texts hold nothing; items that are null or shorter than LEAST_WORDS words are
+    not looked for; repeated items are one, of texts that share an item's id the best counts; repeated rows give repeated
+    results; a null document id is handed through. Empty tables give empty results; other columns are not read; a result
+    column that the id has the name of gets ``_result`` behind it. Words are told apart by 64-bit hashes.
+    """
+    text = F.col(text_col).cast("string")
+    texts = docs.select(F.xxhash64(F.col(id_col), text).alias("key"), F.col(id_col).alias("id"), text.alias("text")).where("text IS NOT NULL")
+    items = item_words(benchmark, item_id_col, item_text_col)
+    met = candidates(texts, items)
+    names = named(id_col, ["item_id", "score", "n_seeds", "first_word", "last_word"])
+    inner = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("item_id string, score double, n_seeds long, first_word long, last_word long").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, rows = [], []
+            for i, (text, found) in enumerate(zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("found").to_pylist(), strict=True)):
+                best: dict[str, tuple] = {}
+                for k, *rest in best_copies(hashed([text])[0], [(np.array(x["words"], np.int64), x["blocks"]) for x in found]):
+                    best[found[k]["item_id"]] = max(best.get(found[k]["item_id"], (0.0,)), tuple(rest))
+                at += [i] * len(best)
+                rows += [(item, *x) for item, x in best.items()]
+            kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+            columns = list(zip(*rows, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=inner.names)
+
+    width = met.agg(F.max(F.aggregate("found", F.lit(0), lambda n, x: n + 8 * F.size(x["words"]) + 8 * F.size(x["blocks"]) + F.octet_length(x["item_id"])))).first()[0] or 0
+    hit = texts.join(small(met, 32 + width, met.count()), "key").select("id", "text", "found")
+    out = in_batches(hit, run, inner)
+    kind = benchmark.schema[item_id_col].dataType
+    return out.select(F.col("id").alias(id_col), F.col("item_id").cast(kind).alias(names[0]), *(F.col(c).alias(n) for c, n in zip(inner.names[2:], names[1:], strict=True)))
+
+
+def keep_unleaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, in which benchmark_leaks finds no item.
+
+    A leaked row is known by a hash of its columns. The hashes are broadcast while they are few, else Spark shuffles both
+    sides.
     """
-    docs = docs.select(id_col, text_col)
-    item_kind = benchmark.schema[item_id_col].dataType
-    out = T.StructType([docs.schema[id_col], *T.StructType.fromDDL("item_id long, score double, n_seeds long, first_word long, last_word long").fields])
-    parts = None
-    for items in item_blocks(benchmark, item_id_col, item_text_col, block_words):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found = {}
-                for d, i, *rest in leaks(items, _texts(b, text_col)):
-                    found[d, items.ids[i]] = max(found.get((d, items.ids[i]), (0.0,)), tuple(rest))
-                at = pa.array([d for d, _ in found], pa.int64())
-                columns = [b.column(id_col).take(at), pa.array([i for _, i in found], pa.int64())]
-                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([v[k] for v in found.values()], pa.float64() if not k else pa.int64()) for k in range(4))], names=out.names)
-
-        part = in_batches(docs, run, out)
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return docs.sparkSession.createDataFrame([], out).withColumn("item_id", F.col("item_id").cast(item_kind))
-    return parts.withColumn("item_id", F.col("item_id").cast(item_kind))
-
-
-def keep_unleaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, in which benchmark_leaks finds no item."""
-    for items in item_blocks(benchmark, item_id_col, item_text_col, block_words):
-
-        def run(batches: Iterator[pa.RecordBatch], items: Items = items) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                keep[[d for d, *_ in leaks(items, _texts(b, text_col))]] = False
-                yield b.filter(pa.array(keep))
-
-        docs = in_batches(docs, run, docs.schema)
-    return docs
+    mark = F.xxhash64(F.col(text_col).cast("string"), *(c for c, kind in docs.dtypes if "map<" not in kind and c != text_col))
+    known = docs.select(mark.alias("pw_mark"), F.col(text_col).cast("string").alias("pw_text"))
+    leaked = cut(benchmark_leaks(known, benchmark, "pw_mark", "pw_text", item_id_col, item_text_col).select("pw_mark").distinct(), "leaked-rows")
+    return docs.join(small(leaked.toDF("pw_leaked"), 16), mark == F.col("pw_leaked"), "left_anti")

@@ -187,7 +187,7 @@ def test_leaks_of_many_copies(spark):
     df = spark.createDataFrame([(i, edited) for i in range(30)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
     got = decontamination.benchmark_leaks(df, bench).collect()
-    assert {r["doc_id"] for r in got} == set(range(30)) and {r["n_seeds"] for r in got} == {20}
+    assert {r["doc_id"] for r in got} == set(range(30)) and {r["n_seeds"] for r in got} == {30}
     assert decontamination.keep_unleaked(df, bench).count() == 0
 
 
@@ -520,46 +520,72 @@ def edited_copy(rng, item, kind, every):
     return out
 
 
+def aligned_shares(items, texts):
+    """{(text, item): score} of whole alignments of every text with every item that reach LEAST_SCORE."""
+    numbers = {}
+    to = lambda t: np.array([numbers.setdefault(w, len(numbers) + 1) for w in (t or "").encode().lower().translate(decontamination.PARTS).split()], np.int64)
+    left, right, out = [to(x) for x in items], [to(t) for t in texts], {}
+    for d, words_ in enumerate(right):
+        if len(words_):
+            for i, s in enumerate(decontamination.align(left, [words_] * len(left))[0]):
+                if s >= len(left[i]) >= decontamination.LEAST_WORDS:
+                    out[d, i] = round(s / (2 * len(left[i])), 9)
+    return out
+
+
 @pytest.mark.parametrize("kind", ["replace", "leave out", "insert", "swap"])
-@pytest.mark.parametrize("every", [3, 4, 5, 8])
-def test_recall_of_evenly_edited_copies(kind, every):
-    """Copies whose whole alignment scores LEAST_SCORE or more, against what the seeds find of them: 0.95 or more."""
-    rng = random.Random(every)
+def test_every_evenly_edited_copy_is_found(spark, kind):
+    """Words changed at every first to eighth place: all that the whole alignment accepts, and nothing else."""
+    rng = random.Random(kind)
     known = [f"w{k}" for k in range(400)]
-    items = [[rng.choice(known) for _ in range(40)] for _ in range(40)]
-    block = decontamination.Items.of([(k, " ".join(x).encode()) for k, x in enumerate(items)])
-    texts = [" ".join([rng.choice(known) for _ in range(30)] + edited_copy(rng, x, kind, every) + [rng.choice(known) for _ in range(30)]) for x in items]
-    found = {(d, i) for d, i, *_ in decontamination.leaks(block, [t.encode() for t in texts])}
-    numbers = [np.array([block.vocabulary.get(w, 0) for w in decontamination.words_of(t.encode())]) for t in texts]
-    best = decontamination.align([block.words[k] for k in range(40)], numbers)[0]
-    due = {(k, k) for k in range(40) if best[k] >= decontamination.LEAST_SCORE * decontamination.MATCH * 40}
-    assert not due or len(due & found) >= 0.95 * len(due)
-    assert all(d == i for d, i in found)
-
-
-def test_leaks_against_every_pair(spark):
-    """Documents against every item by whole alignment, in one block and in several, with repeats and clashing names."""
+    items = [" ".join(rng.choice(known) for _ in range(rng.choice([20, 40, 6]))) for _ in range(50)]
+    texts = [" ".join([rng.choice(known) for _ in range(30)] + edited_copy(rng, x.split(), kind, every) + [rng.choice(known) for _ in range(30)]) for x in items for every in (1, 2, 3, 4, 5, 8)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["score"], 9) for r in decontamination.benchmark_leaks(df, bench).collect()}
+    want = aligned_shares(items, texts)
+    assert got == want and len(want) > 100
+    if kind == "insert":
+        assert {(6 * i, i) for i, x in enumerate(items) if len(x.split()) == 20} <= got.keys()  # a new word between every two
+
+
+def test_leaks_against_every_pair(spark, monkeypatch):
+    """Documents against every item by whole alignment, with repeats, clashing names, long texts and filters that say little."""
     rng = random.Random(12)
     known = [f"w{k}" for k in range(300)]
     items = [" ".join(rng.choice(known) for _ in range(rng.randrange(8, 40))) for _ in range(12)]
     texts = []
     for k in range(90):
-        part = edited_copy(rng, rng.choice(items).split(), rng.choice(["replace", "leave out"]), rng.choice([3, 4, 6, 9])) if k % 3 else []
+        part = edited_copy(rng, rng.choice(items).split(), rng.choice(["replace", "leave out", "insert"]), rng.choice([1, 3, 4, 6, 9])) if k % 3 else []
         texts.append(" ".join([rng.choice(known) for _ in range(rng.randrange(60))] + part))
-    texts += ["", None, items[0], items[0]]
-    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "doc_id long, text string, item_id int, score string")
-    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(0, items[0]), (99, None)], "item_id long, text string")
-    block = decontamination.Items.of([(k, x.encode()) for k, x in enumerate(items)])
-    want = {}
-    for d, t in enumerate(texts):
-        words = np.array([block.vocabulary.get(w, 0) for w in decontamination.words_of((t or "").encode())], np.int64)
-        if len(words):
-            scores = decontamination.align(block.words, [words] * len(items))[0]
-            want |= {(d, i): s / (2 * len(block.words[i])) for i, s in enumerate(scores) if s >= len(block.words[i])}
-    for size in (decontamination.BLOCK_WORDS, 60):
-        got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontamination.benchmark_leaks(df, bench, block_words=size).collect()}
-        assert {k: round(v, 9) for k, v in got.items()} == {k: round(v, 9) for k, v in want.items()} and len(want) > 50
-        assert decontamination.keep_unleaked(df, bench, block_words=size).count() == len(texts) - len({d for d, _ in want})
+    texts += ["", None, items[0], items[0], " ".join([rng.choice(known) for _ in range(30_000)] + [items[3]]), items[5] + " " + " ".join(items[5].split() * 40)]
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in enumerate(texts)], "score long, text string, item_id int, n_seeds string")
+    bench = spark.createDataFrame([(str(i), t) for i, t in enumerate(items)] + [("0", items[0]), ("99", None), (None, items[1])], "found string, text string")
+    want = aligned_shares(items, texts)
+    for bits in (decontamination.BITS, 32768):
+        monkeypatch.setattr(decontamination, "BITS", bits)
+        rows = decontamination.benchmark_leaks(df, bench, "score", item_id_col="found")
+        assert rows.columns == ["score", "item_id", "score_result", "n_seeds", "first_word", "last_word"]
+        got = {(r["score"], int(r["item_id"])): round(r["score_result"], 9) for r in rows.collect()}
+        assert got == want and len(want) > 50
+    kept = decontamination.keep_unleaked(df, bench, item_id_col="found")
+    assert kept.columns == df.columns and kept.count() == len(texts) - len({d for d, _ in want})
+
+
+def test_long_texts_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(2)
+    texts = [None, b"", *(" ".join(rng.choice(["ab", "c,", "é", "d" * rng.randrange(1, 90)]) for _ in range(n)).encode() for n in (1, 50, 900))]
+    whole = decontamination.hashed(texts)
+    monkeypatch.setattr(decontamination, "PIECE", 64)
+    parts = decontamination.hashed(texts)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist() and len(whole[0]) > 900
+
+
+def test_common_words_never_seed(spark):
+    """Of an item's words the rarest seed, those that every document has do not."""
+    items = spark.createDataFrame([(1, "a", [5, 1, 2, 6, 7, 3, 4, 8])], "item long, item_id string, words array<long>")
+    counts = spark.createDataFrame([(1, 900), (2, 900), (3, 900), (4, 10), (5, 3), (6, 2), (7, 900)], "hash long, docs long")
+    assert {r["hash"] for r in decontamination.rare_seeds(items, counts).collect()} == {8, 6, 5, 4, 1, 2}
 
 
 def mixture(spark, sizes, **wanted):

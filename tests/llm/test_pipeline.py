@@ -61,12 +61,15 @@ def test_stages(spark, corpus):
     kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(want, DOCS), folder)
     assert as_rows(kept) == sorted(single, key=str) and len(single) < len(want)
 
-    block = decontamination.Items.of([(i, t.encode()) for i, t in items])
+    numbers = {}
+    to = lambda t: np.array([numbers.setdefault(w, len(numbers) + 1) for w in t.encode().lower().translate(decontamination.PARTS).split()], np.int64)
+    known = [to(t) for _, t in items]
+    known = [w for w in known if len(w) >= decontamination.LEAST_WORDS]
 
     def copied(text):
-        words = np.array([block.vocabulary.get(w, 0) for w in decontamination.words_of(text.encode())], np.int64)
-        scores = decontamination.align(block.words, [words] * len(block.words))[0] if len(words) else np.zeros(0)
-        return any(s >= len(w) for s, w in zip(scores, block.words, strict=False))
+        words = to(text)
+        scores = decontamination.align(known, [words] * len(known))[0] if len(words) else np.zeros(0)
+        return any(s >= len(w) for s, w in zip(scores, known, strict=False))
 
     clean = [r for r in single if not copied(r[1])]
     kept = corpus_pipeline.decontamination(spark, spark.createDataFrame(single, DOCS), folder)
