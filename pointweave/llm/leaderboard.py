@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from pointweave.llm.common import in_batches, scratch_path
+from pointweave.llm.common import cut, in_batches, scratch_path
 
 #: Items of a board, days that a line may be behind the latest of earlier batches, and children of a node.
 BOARD, LATE_DAYS, FAN = 10, 8, 8
@@ -34,8 +34,9 @@ FED = "item_id long, nation_id int, day int, event_day int, cents long, units lo
 COMBINED_ROWS = "leaf int, item array<long>, nation array<int>, day array<int>, cents array<long>, units array<long>, price array<long>"
 LEAF_STATE = "ids binary, prices binary, nations binary, revenue binary, boards binary"
 LEAF_ROWS = "nation int, day int, leaf int, items array<long>, cents array<long>, out_items array<long>, out_cents array<long>"
-TREE_STATE = "items binary, cents binary"
 CHANGES = "nation_id int, arrival_day long, item_id long, batch int, change string, old_rank int, new_rank int, revenue long"
+#: What a step of the trees writes: changes, and a row per nation with its tree for the next step.
+STEPPED = f"{CHANGES}, tree_items binary, tree_cents binary"
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -202,12 +203,12 @@ def merged(items: np.ndarray, cents: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def tree_step(leaves: int):
     sizes = level_sizes(leaves)
     base = np.concatenate([[0], np.cumsum(sizes)])
+    columns = [c.split()[0] for c in STEPPED.split(", ")]
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        """Recomputes the paths above changed leaves day by day; a row for each item whose rank at the root changes."""
-        rows = pd.concat(list(frames))
+    def run(key: tuple, rows: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        """Recomputes the paths above changed leaves day by day; a row for each item whose rank at the root changes, and the tree."""
         shape = (int(base[-1]), BOARD)
-        items, cents = (unpacked(x).reshape(shape) for x in state.get) if state.exists else (np.zeros(shape, np.int64), np.zeros(shape, np.int64))
+        items, cents = (unpacked(tree[c].iloc[0]).reshape(shape) for c in ("tree_items", "tree_cents")) if len(tree) else (np.zeros(shape, np.int64), np.zeros(shape, np.int64))
         out = []
         for day, changed in rows.groupby("day", sort=True):
             old = [(int(i), int(c)) for i, c in zip(items[-1], cents[-1], strict=True) if c > 0]
@@ -228,11 +229,9 @@ def tree_step(leaves: int):
             for i in sorted(ranks.keys() | before.keys()):
                 a, b = before.get(i), ranks.get(i)
                 if a != b:
-                    out.append((int(key[0]), int(day), i, "enter" if a is None else "exit" if b is None else "move", a, b, int(now.get(i, cents[-1][b - 1] if b else 0))))
-        state.update((packed(items.ravel()), packed(cents.ravel())))
-        if out:
-            made = pd.DataFrame(out, columns=["nation_id", "arrival_day", "item_id", "change", "old_rank", "new_rank", "revenue"])
-            yield made.astype({"old_rank": "Int32", "new_rank": "Int32"})
+                    out.append((int(key[0]), int(day), i, None, "enter" if a is None else "exit" if b is None else "move", a, b, int(now.get(i, cents[-1][b - 1] if b else 0)), None, None))
+        out.append((int(key[0]), *[None] * 7, packed(items.ravel()), packed(cents.ravel())))
+        return pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in ("arrival_day", "item_id", "batch", "old_rank", "new_rank", "revenue")})
 
     return run
 
@@ -242,8 +241,9 @@ def board_changes(lines: DataFrame, items: DataFrame, folder: str) -> DataFrame:
 
     ``lines`` has batch and the columns of FED but price: item, nation, arrival day, the day of the event, cents, and
     units that are worth the item's price each. ``items`` has item_id and price in cents. The batches are written under
-    ``folder``, and for each the streaming queries of leaves and trees are started, each on one checkpoint, after its
-    files have been moved into the folder that the first one reads; the items come with the first. Lines whose event is more than LATE_DAYS before the
+    ``folder``, and for each a streaming query is started on one checkpoint, after its files have been moved into the
+    folder that the query reads; the items come with the first. Leaves are the query's state; trees, which are small,
+    are written by its micro-batches and read by the next. Lines whose event is more than LATE_DAYS before the
     latest of all earlier batches are dropped; so are lines without nation or item. Arrival days of later batches must
     not come before those of earlier ones.
 
@@ -268,7 +268,7 @@ def board_changes(lines: DataFrame, items: DataFrame, folder: str) -> DataFrame:
         start(spark, folder, leaves, bounds)
     if not latest:
         return spark.createDataFrame([], CHANGES)
-    return spark.read.schema(CHANGES).parquet(f"{folder}/changes")
+    return spark.read.schema(STEPPED).parquet(f"{folder}/trees").where("tree_items IS NULL").select(*(c.split()[0] for c in CHANGES.split(", ")))
 
 
 def written(spark: SparkSession, folder: str) -> DataFrame:
@@ -290,22 +290,20 @@ def move(spark: SparkSession, source: str, target: str) -> None:
 
 
 def start(spark: SparkSession, folder: str, leaves: int, bounds: dict[int, int | None]) -> None:
-    """One start of the leaves' query and of the trees' query that reads its boards, until all that is there is taken."""
+    """One start of the query: it takes what has been moved into fed since the last, then ends."""
     fed = spark.readStream.schema(FED).option("recursiveFileLookup", "true").parquet(f"{folder}/fed")
     least = F.coalesce(*(F.when(batch_of(F.col("day")) == k, F.lit(v - LATE_DAYS)) for k, v in bounds.items() if v is not None), F.lit(None).cast("int"))
     fed = fed.where(F.coalesce(F.col("event_day") >= least, F.lit(True))).where("item_id IS NOT NULL AND (price IS NOT NULL OR nation_id IS NOT NULL)")
     boards = combined(fed, leaves).groupBy("leaf").applyInPandasWithState(leaf_step, LEAF_ROWS, LEAF_STATE, "append", GroupStateTimeout.NoTimeout)
-    drained(boards, folder, "boards")
-    columns = ", ".join(c for c in CHANGES.split(", ") if c != "batch int")
-    changed = spark.readStream.schema(LEAF_ROWS).parquet(f"{folder}/boards")
-    changes = changed.groupBy("nation").applyInPandasWithState(tree_step(leaves), columns, TREE_STATE, "append", GroupStateTimeout.NoTimeout)
-    drained(changes.withColumn("batch", batch_of(F.col("arrival_day"))).select(*(c.split()[0] for c in CHANGES.split(", "))), folder, "changes")
 
+    def step(changed: DataFrame, number: int) -> None:
+        """The trees after a micro-batch, from those after the one before; a step that is run again writes the same."""
+        before = changed.sparkSession.read.schema(STEPPED).parquet(f"{folder}/trees/step={number - 1}").where("tree_items IS NOT NULL") if number else changed.sparkSession.createDataFrame([], STEPPED)
+        trees = before.select(F.col("nation_id").alias("nation"), "tree_items", "tree_cents").groupBy("nation")
+        stepped = changed.groupBy("nation").cogroup(trees).applyInPandas(tree_step(leaves), STEPPED)
+        stepped.withColumn("batch", batch_of(F.col("arrival_day"))).write.mode("overwrite").parquet(f"{folder}/trees/step={number}")
 
-def drained(stream: DataFrame, folder: str, name: str) -> None:
-    """Takes all that is there through a query on its own checkpoint into its own folder."""
-    sink = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{folder}/checkpoint-{name}").option("path", f"{folder}/{name}")
-    sink.trigger(availableNow=True).start().awaitTermination()
+    boards.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def arriving_lines(sale_lines: DataFrame, vendors: DataFrame) -> DataFrame:
@@ -322,7 +320,9 @@ def arriving_lines(sale_lines: DataFrame, vendors: DataFrame) -> DataFrame:
     cents = F.coalesce(F.floor(F.lit(100.0) * F.col("amount") + 0.5), F.lit(0)).cast("long") * sign
     units = F.when(F.col("amount").isNull(), F.coalesce(F.col("quantity"), F.lit(0)) * sign).otherwise(0).cast("long")
     lines = rows.select(F.col("item_id").cast("long").alias("item_id"), "day", "event_day", cents.alias("cents"), units.alias("units"), F.col("vendor_id").cast("long").alias("vendor"))
+    # written, so that the join has plain shuffles on both sides and Spark can split a hot vendor
     nations = vendors.where("vendor_id IS NOT NULL").groupBy(F.col("vendor_id").cast("long").alias("vendor")).agg(F.min(F.col("nation_id").cast("int")).alias("nation_id"))
+    nations = cut(nations, "vendor-nations")
     joined = lines.join(nations.hint("merge"), "vendor", "left")
     return joined.select("item_id", "nation_id", "day", "event_day", "cents", "units", batch_of(F.col("day")).alias("batch"))
 

@@ -111,7 +111,7 @@ def test_leaves_and_trees_against_whole_boards():
     """Many days of updates, up and down, over leaves whose boards overflow: every change of the root, and revenues."""
     rng = random.Random(6)
     leaves, n_items = 20, 400
-    states, tree, root = [State() for _ in range(leaves)], leaderboard.tree_step(leaves), State()
+    states, step, tree = [State() for _ in range(leaves)], leaderboard.tree_step(leaves), pd.DataFrame()
     revenue, board, out = defaultdict(int), {}, []
     columns = ["item", "nation", "day", "cents", "units", "price"]
     for batch in range(12):
@@ -125,8 +125,10 @@ def test_leaves_and_trees_against_whole_boards():
                 frame = pd.DataFrame({c: [np.array([r[k] for r in part]) for part in (own[: len(own) // 2], own[len(own) // 2 :])] for k, c in enumerate(columns)})
                 made += list(leaderboard.leaf_step((leaf,), iter([frame[:1], frame[1:]]), states[leaf]))
         if made:
-            for got in tree((7,), iter(made), root):
-                out += [tuple(None if pd.isna(x) else x for x in r) for r in got.itertuples(index=False)]
+            got = step((7,), pd.concat(made), tree)
+            tree = got[got["tree_items"].notna()]
+            rows_ = got[got["tree_items"].isna()].drop(columns=["batch", "tree_items", "tree_cents"])
+            out += [tuple(None if pd.isna(x) else x for x in r) for r in rows_.itertuples(index=False)]
         for d in days:
             for i, _, day, cents, units in updates:
                 if day == d and i < n_items:
@@ -143,8 +145,8 @@ def test_a_days_updates_take_the_paths_of_their_leaves(monkeypatch):
     monkeypatch.setattr(leaderboard, "merged", lambda *x: seen.append(1) or merged(*x))
     rows = pd.DataFrame([(1, 3, 17, [4], [50], [], [])], columns=["nation", "day", "leaf", "items", "cents", "out_items", "out_cents"])
     assert leaderboard.level_sizes(512) == [512, 64, 8, 1]
-    (got,) = leaderboard.tree_step(512)((1,), iter([rows]), State())
-    assert len(seen) == 3 and got["item_id"].tolist() == [4]
+    got = leaderboard.tree_step(512)((1,), rows, pd.DataFrame())
+    assert len(seen) == 3 and got["item_id"].dropna().tolist() == [4]
 
 
 def test_packed_arrays():
