@@ -281,6 +281,41 @@ def test_lines_of_hot_runs(spark, seed):
     assert {r["doc_id"]: r["removed"] for r in got} == {i: sorted(x) for i, x in want.items()}
 
 
+def test_lines_are_deleted_by_alignment_only(monkeypatch):
+    """The span rule by hand is what alignments delete; without patience diff nothing is deleted."""
+    rng = random.Random(3)
+    some = 0
+    for k in range(600):
+        pool = [{"hash": h, "words": rng.choice([1, 2, 3, 6])} for h in range(rng.choice([3, 6, 12]))]
+        first, later = ([{**rng.choice(pool), "pos": p} for p in sorted(rng.sample(range(40), rng.randrange(1, 25)))] for _ in range(2))
+        want = set()
+        for i in range(len(first)):
+            for j in range(len(later)):
+                n = 0
+                while i + n < len(first) and j + n < len(later) and first[i + n]["hash"] == later[j + n]["hash"] and (n == 0 or first[i + n]["pos"] == first[i + n - 1]["pos"] + 1 and later[j + n]["pos"] == later[j + n - 1]["pos"] + 1):
+                    n += 1
+                if sum(x["words"] for x in later[j : j + n]) >= 5:
+                    want |= {x["pos"] for x in later[j : j + n]}
+        assert line_dedup.deleted(first, later, 5) == sorted(want)
+        some += bool(want)
+        with monkeypatch.context() as m:
+            m.setattr(line_dedup, "patience", lambda *x: [])
+            assert line_dedup.deleted(first, later, 5) == []
+    assert some > 100
+
+
+def test_partners_are_the_rarest_that_cover():
+    assert line_dedup.rare_partners([(900, 0, 1, 1), (2, 0, 3, 7), (3, 3, 4, 8), (2, 9, 9, 6), (900, 9, 9, 1)]) == {6, 7, 8}
+
+
+def test_a_first_text_of_many_meets_them_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PARTNERS", 7)
+    hot = "one two three four five six"
+    rows = [(i, f"{hot}\nown {i} line of its own\n{hot if i % 3 else ''}") for i in range(60)]
+    got = line_dedup.duplicate_lines(spark.createDataFrame(rows, "removed long, text string"), id_col="removed").collect()
+    assert {r["removed"]: r["removed_result"] for r in got} == {i: [0, 2] if i % 3 else [0] for i in range(1, 60)}
+
+
 def test_lines_of_an_empty_table_and_repeated_ids(spark):
     empty = spark.createDataFrame([], "doc_id int, text string, pos int, run int")
     assert line_dedup.duplicate_lines(empty).collect() == []
