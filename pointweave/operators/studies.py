@@ -14,6 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions import stats, text
+from pointweave.operators import selection
+from pointweave.operators.pairs import pair_medians
+from pointweave.operators.store import written
 from pointweave.operators.windows import fold_rows, split_halves
 
 #: Fixed values of the studies: grids of least matches, strengths, history seasons, windows and cases that a level needs.
@@ -126,7 +129,8 @@ def halves_study(records: DataFrame, groups: Sequence[str], strategies: Sequence
             sums = own.withColumnsRenamed({f: f"{half}_{f}" for f in FAMILIES})
         return sums
 
-    players = profiled(told.select(*who, "n", *added("left", None), *added("right", None)), [*who, "n"])
+    told = written(told)
+    players = written(profiled(told.select(*who, "n", *added("left", None), *added("right", None)), [*who, "n"]))
 
     def long(df: DataFrame, keep: Sequence[str], right: str = "right") -> DataFrame:
         """A row per family with its distance; families that a player has no profile in are left out."""
@@ -137,13 +141,12 @@ def halves_study(records: DataFrame, groups: Sequence[str], strategies: Sequence
     grid = F.explode(F.array(*map(F.lit, least))).alias("least_matches")
     kept = [*dict.fromkeys([*cells, "strategy", "n"])]
     within = long(players, kept).select(*keys, "n", "t", grid).where("n >= least_matches")
-    near = within.groupBy(*keys, "least_matches").agg(F.count(F.lit(1)).alias("players"), F.median("t").alias("within"))
-    known = lambda side, f: F.when(F.col(f"left_{f}").isNotNull() & F.col(f"right_{f}").isNotNull(), F.col(f"{side}_{f}"))
-    others = players.select("strategy", *peers, F.col(player).alias("other"), F.col("n").alias("other_n"), *[known("right", f).alias(f"other_{f}") for f in FAMILIES])
-    mine = players.select(*who, "n", *[known("left", f).alias(f"left_{f}") for f in FAMILIES])
-    met = mine.join(others, ["strategy", *peers]).where(F.col(player) != F.col("other"))
-    between = long(met.withColumn("n", F.least("n", "other_n")), kept, "other").select(*keys, "n", "t", grid).where("n >= least_matches")
-    far = between.groupBy(*keys, "least_matches").agg(F.count(F.lit(1)).alias("pairs"), F.median("t").alias("between"))
+    cell_keys = [*keys, "least_matches"]
+    near = selection.medians(within, cell_keys, "t", "within").withColumnRenamed("n", "players")
+    known = lambda side, f: F.when(F.col(f"left_{f}").isNotNull() & F.col(f"right_{f}").isNotNull(), F.col(f"{side}_{f}")).alias(f"{side}_{f}")
+    members = players.select(*who, "n", *[known(h, f) for f in FAMILIES for h in ("left", "right")])
+    sizes = {f: (3, 3.0) if f == "outcome" else (6, 4.0) for f in FAMILIES}
+    far = pair_medians(members, ["strategy", *peers], [*cells, "strategy"], player, "n", sizes, least).select(*keys, F.col("least").alias("least_matches"), "pairs", F.col("median").alias("between"))
     r = lambda c: F.round(c, 6)
     out = near.join(far, [*keys, "least_matches"], "left")
     out = out.select(*keys, "least_matches", "players", F.coalesce("pairs", F.lit(0)).alias("pairs"), r(F.col("within")).alias("within_median"), r(F.col("between")).alias("between_median"), r(F.when(F.col("between") > 0, F.col("within") / F.col("between"))).alias("ratio"))
@@ -156,9 +159,10 @@ def halves_study(records: DataFrame, groups: Sequence[str], strategies: Sequence
     picks = lambda h: F.transform(F.sequence(F.lit(1).cast("long"), F.size(h).cast("long")), lambda j: draw(F.col(f"{h}_number"), F.col("rep"), j, F.size(h)))
     redone = redone.withColumns({f"{h}_picks": picks(h) for h in ("left", "right")})
     redone = profiled(redone.select(*who, "n", "rep", *added("left", "left_picks"), *added("right", "right_picks")), [*who, "n", "rep"])
-    medians = long(redone, [*kept, "rep"]).select(*keys, "rep", "n", "t", grid).where("n >= least_matches").groupBy(*keys, "least_matches", "rep").agg(F.median("t").alias("m"))
-    ranges = medians.groupBy(*keys, "least_matches").agg(F.collect_list("m").alias("m")).select(*keys, "least_matches", r(stats.nearest_rank(F.col("m"), 0.025)).alias("low"), r(stats.nearest_rank(F.col("m"), 0.975)).alias("high"))
-    return out.join(ranges, [*keys, "least_matches"], "left")
+    again = long(redone, [*kept, "rep"]).select(*keys, "rep", "n", "t", grid).where("n >= least_matches")
+    drawn = selection.medians(again, [*cell_keys, "rep"], "t", "m")
+    ranges = drawn.groupBy(*cell_keys).agg(F.collect_list("m").alias("m")).select(*cell_keys, r(stats.nearest_rank(F.col("m"), 0.025)).alias("low"), r(stats.nearest_rank(F.col("m"), 0.975)).alias("high"))
+    return out.join(ranges, cell_keys, "left")
 
 
 def years(records: DataFrame) -> tuple[int, int]:
@@ -227,18 +231,6 @@ SHARE_GRID, SIDE_GRID = (0.75, 0.5, 0.33), (0.1, 0.2, 0.3, 0.4)
 SOUND = "matches >= 5 and seasons >= 2 and opponents >= 3 and tournaments >= 2 and largest_share <= 0.5 and effective >= 3"
 
 
-def five(value: str, prefix: str, group: Sequence[str]) -> tuple[dict[str, Column], list[Column]]:
-    """Columns to add and aggregates of least, quartiles by nearest rank, true median and most of ``value`` per group:
-    by places within the group, so no group is gathered into one value."""
-    w = W.partitionBy(*group)
-    rn, n = f"rn_{prefix}", f"n_{prefix}"
-    added = {rn: F.row_number().over(w.orderBy(F.col(value).asc_nulls_last())), n: F.count(value).over(w)}
-    at = lambda p: F.max(F.when((F.col(rn) == F.bround(F.lit(p) * (F.col(n) - 1)) + 1) & F.col(value).isNotNull(), F.col(value)))
-    middle = F.avg(F.when(F.col(rn).isin(F.floor((F.col(n) + 1) / 2), F.floor(F.col(n) / 2) + 1) & F.col(value).isNotNull(), F.col(value)))
-    r = lambda c, name: F.round(c.cast("double"), 6).alias(f"{prefix}_{name}")
-    return added, [r(F.min(value), "least"), r(at(0.25), "p25"), r(middle, "median"), r(at(0.75), "p75"), r(F.max(value), "most")]
-
-
 def cut_by(rows: DataFrame, dimensions: dict[str, Column]) -> DataFrame:
     """Each row once per dimension: (dimension, value) added."""
     pairs = F.array(*[F.struct(F.lit(n).alias("dimension"), v.cast("string").alias("value")) for n, v in dimensions.items()])
@@ -275,16 +267,14 @@ def periods(rows: DataFrame, keys: Sequence[str], means: Sequence[str]) -> DataF
 def process_estimates(compared: DataFrame, probability: float = 0.95) -> DataFrame:
     """Per (window, least_matches, as_of, tour, side, category) the process variance that a history one season older
     needed: of the tour's component with LEAST_CASES cases, else of the component, else of all; as_of is the season that
-    it is used for. Quantiles are places in an order, not gathered values."""
+    it is used for. Quantiles are selected by counting."""
     cases = judged(compared).withColumn("need", F.greatest(F.lit(0.0), F.pow(F.col("error") / 1.96, 2) - F.col("base")))
-    cases = cases.withColumn("as_of", F.col("as_of") + 1)
+    cases = written(cases.withColumn("as_of", F.col("as_of") + 1))
     fold, part = ["window", "least_matches", "as_of"], ["side", "category"]
 
     def level(keys: list[str], name: str) -> DataFrame:
-        w = W.partitionBy(*keys)
-        ranked = cases.select(*keys, "need", F.row_number().over(w.orderBy("need")).alias("rn"), F.count(F.lit(1)).over(w).alias("n"))
-        place = F.least(F.col("n"), F.ceil(F.lit(probability) * (F.col("n") + 1)))
-        return ranked.where(F.col("rn") == place).select(*keys, F.col("need").alias(f"v_{name}"), F.col("n").alias(f"n_{name}"))
+        told = selection.order_statistics(cases, keys, "need", {"q": selection.finite(probability)})
+        return told.select(*keys, F.col("q").alias(f"v_{name}"), F.col("n").alias(f"n_{name}"))
 
     own, pooled, every = level([*fold, "tour", *part], "tour"), level([*fold, *part], "pooled"), level(fold, "all")
     tours = cases.select(*fold, "tour").distinct()

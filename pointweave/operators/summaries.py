@@ -3,46 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions.stats import bucket_of_ten
+from pointweave.operators import selection
 
 
 def share(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b)
 
 
-def placed(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    """Add rn, the place of the value in its group, and n, the group's values: quantiles are rows then, and no group is
-    gathered into one value."""
-    w = W.partitionBy(*group)
-    return df.where(F.col(value).isNotNull()).withColumns({"rn": F.row_number().over(w.orderBy(value)), "n": F.count(F.lit(1)).over(w)})
-
-
-def at_rank(value: str, p: float) -> Column:
-    """Over placed rows: the value at round-half-even(p * (n - 1))."""
-    return F.max(F.when(F.col("rn") == F.bround(F.lit(p) * (F.col("n") - 1)) + 1, F.col(value)))
-
-
-def middle(value: str) -> Column:
-    """Over placed rows: the true median."""
-    return F.avg(F.when(F.col("rn").isin(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1), F.col(value)))
-
-
-def upper_median(value: str) -> Column:
-    return F.max(F.when(F.col("rn") == F.floor(F.col("n") / 2) + 1, F.col(value)))
-
-
-def finite_quantile(value: str, p: float) -> Column:
-    """Over placed rows: sorted[min(n, ceil(p (n + 1))) - 1]."""
-    if not 0 < p < 1:
-        raise ValueError(f"a probability lies between 0 and 1: {p}")
-    return F.max(F.when(F.col("rn") == F.least(F.col("n"), F.ceil(F.lit(p) * (F.col("n") + 1))), F.col(value)))
-
-
 def five_number(df: DataFrame, group: list[str], value: str) -> DataFrame:
-    return placed(df, group, value).groupBy(*group).agg(*[at_rank(value, p).alias(n) for n, p in (("least", 0.0), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("most", 1.0))])
+    """Least, quartiles by nearest rank and most of each group's values."""
+    places = {"least": selection.FIVE["least"], "p25": selection.nearest(0.25), "p50": selection.nearest(0.5), "p75": selection.nearest(0.75), "most": selection.FIVE["most"]}
+    return selection.order_statistics(df, group, value, places).drop("n")
 
 
 def coverage(df: DataFrame, dimensions: list[str], eligible: Column, known: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pointweave.operators import resampling, summaries
+from pointweave.operators import resampling, selection
 from pointweave.plans.registry import r6, read, registered
 
 @registered("""WITH m AS (SELECT o_orderpriority AS grp, strftime(o_orderdate, '%Y%m') AS match_id, avg((o_totalprice > 150000)::INT) AS rate FROM orders GROUP BY 1, 2),
@@ -25,9 +25,8 @@ def M21_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT c_nationkey, list_sort(list(c_acctbal))[(count(*) // 2)::INT + 1] AS upper_median FROM customer GROUP BY 1")
 def G9_upper_median(spark: SparkSession, d: str) -> DataFrame:
-    """sorted[n // 2], by ranks within the nation: no group is gathered into one value."""
-    ranked = summaries.placed(read(spark, d, "customer"), ["c_nationkey"], "c_acctbal")
-    return ranked.groupBy("c_nationkey").agg(summaries.upper_median("c_acctbal").alias("upper_median"))
+    """sorted[n // 2]."""
+    return selection.order_statistics(read(spark, d, "customer"), ["c_nationkey"], "c_acctbal", {"upper_median": selection.upper_middle}).drop("n")
 
 
 @registered("SELECT o_custkey, count(DISTINCT o_orderpriority) AS priorities FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1")

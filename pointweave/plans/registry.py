@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions import notation, stats, text
-from pointweave.operators import integrity, resolve, studies, summaries, windows
+from pointweave.operators import integrity, resolve, selection, studies, summaries, windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -150,8 +150,8 @@ def G6_five_number(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("WITH g AS (SELECT c_nationkey, list(c_acctbal) AS v, median(c_acctbal) AS m FROM customer GROUP BY 1) SELECT c_nationkey, " + RANK.format(p=0.25) + " AS p25, round(m, 6) AS middle, " + RANK.format(p=0.75) + " AS p75, list_sort(v)[(len(v) // 2 + 1)::INT] AS upper_median FROM g")
 def G7_quantiles(spark: SparkSession, d: str) -> DataFrame:
-    rows, v = summaries.placed(read(spark, d, "customer"), ["c_nationkey"], "c_acctbal"), "c_acctbal"
-    return rows.groupBy("c_nationkey").agg(summaries.at_rank(v, 0.25).alias("p25"), r6(summaries.middle(v)).alias("middle"), summaries.at_rank(v, 0.75).alias("p75"), summaries.upper_median(v).alias("upper_median"))
+    told = selection.order_statistics(read(spark, d, "customer"), ["c_nationkey"], "c_acctbal", selection.FIVE)
+    return told.select("c_nationkey", "p25", r6(selection.middle()).alias("middle"), "p75", F.col("high").alias("upper_median"))
 
 
 @registered("""WITH c AS (SELECT l_orderkey AS k, count(*) AS n_lines, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1), p AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 4 END AS n_lines, floor(o_totalprice / 1000) AS quantity FROM orders),
@@ -459,8 +459,7 @@ def M12_wilson(spark: SparkSession, d: str) -> DataFrame:
 
 @registered("SELECT c_nationkey, list_sort(list(c_acctbal))[least(count(*), ceil(0.95 * (count(*) + 1)))::INT] AS q95 FROM customer GROUP BY 1")
 def M14_finite_quantile(spark: SparkSession, d: str) -> DataFrame:
-    rows = summaries.placed(read(spark, d, "customer"), ["c_nationkey"], "c_acctbal")
-    return rows.groupBy("c_nationkey").agg(summaries.finite_quantile("c_acctbal", 0.95).alias("q95"))
+    return selection.order_statistics(read(spark, d, "customer"), ["c_nationkey"], "c_acctbal", {"q95": selection.finite(0.95)}).drop("n")
 
 
 @registered("""WITH s AS (SELECT user_id, event_id, event_type, lag(event_type) OVER w AS prev, row_number() OVER w AS rn FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pointweave.functions import text
-from pointweave.operators import resampling, studies, windows
+from pointweave.operators import resampling, selection, studies, windows
+from pointweave.operators.store import written
 from pointweave.plans.registry import r6, read, registered
 
 HITS = {"first_in": "l_discount > 0.03", "resolved_first": "l_quantity > 5", "aces": "l_tax > 0.06", "resolved_ace": "true", "dfs": "l_quantity > 45", "resolved_df": "l_quantity > 25"}
@@ -196,10 +197,10 @@ EXPOSED = ("matches", "events", "effective", "largest_share")
 def E4_readiness(spark: SparkSession, d: str) -> DataFrame:
     """Five targets, every as-of year: what histories rest on, overall and by tour, surface and year."""
     group = ["target", "dimension", "value"]
-    parts = [studies.five(v, v, group) for v in EXPOSED]
-    rows = _cut(_diagnosed(spark, d)).withColumns({k: c for added, _ in parts for k, c in added.items()})
+    rows = _cut(written(_diagnosed(spark, d)))
     sound = F.count_if(F.expr(studies.SOUND))
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("histories"), F.count_distinct("tour", "player").alias("players"), sound.alias("sound"), F.round(sound / F.count(F.lit(1)), 6).alias("sound_share"), *[c for _, aggs in parts for c in aggs])
+    told = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("histories"), F.count_distinct("tour", "player").alias("players"), sound.alias("sound"), F.round(sound / F.count(F.lit(1)), 6).alias("sound_share"))
+    return selection.beside(told, selection.five_numbers(rows, group, {v: v for v in EXPOSED}), group)
 
 
 THRESHOLDS = [(n, v, ">=") for n, vs in studies.GRIDS.items() for v in vs] + [("largest_share", v, "<=") for v in studies.SHARE_GRID]
@@ -224,8 +225,9 @@ def G32_uncertainty(spark: SparkSession, d: str) -> DataFrame:
     """Half-widths and ratios of the histories that have an error, of all and by least number of matches."""
     group = ["target", "least_matches"]
     rows = _diagnosed(spark, d).where("cluster_se is not null").withColumns({"half_width": 1.96 * F.col("cluster_se"), "least_matches": F.explode(F.array(*map(F.lit, (0, *studies.LEAST_MATCHES))))}).where("matches >= least_matches")
-    parts = [studies.five(v, v, group) for v in ("half_width", "ratio")]
-    return rows.withColumns({k: c for added, _ in parts for k, c in added.items()}).groupBy(*group).agg(F.count(F.lit(1)).alias("histories"), *[c for _, aggs in parts for c in aggs])
+    rows = written(rows)
+    told = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("histories"))
+    return selection.beside(told, selection.five_numbers(rows, group, {v: v for v in ("half_width", "ratio")}), group)
 
 
 @registered("WITH " + OBSERVED + f" SELECT target, {KEY}, count(DISTINCT match_id) AS matches FROM obs GROUP BY ALL")
@@ -265,10 +267,12 @@ def E5_robustness(spark: SparkSession, d: str) -> DataFrame:
     """Sixteen configurations of window and least matches, overall and by tour, surface and season."""
     group = ["window", "least_matches", "dimension", "value"]
     rows = studies.periods(studies.judged(_compared(spark, d)), ["window", "least_matches", "as_of"], ["error", "conditional_covered", "clustered_covered"])
-    added, shares = studies.five("smaller_share", "share", group)
-    rows = _cut(rows).withColumns(added)
+    rows = _cut(written(rows))
     a = lambda c, n: F.round(F.avg(c), 6).alias(n)
-    return rows.groupBy(*group).agg(F.count(F.lit(1)).alias("periods"), F.count_distinct("tour", "player").alias("players"), a("error", "mean_error"), F.round(F.median("error"), 6).alias("median_error"), a("conditional_covered", "conditional_coverage"), a("clustered_covered", "clustered_coverage"), *shares, *[F.count_if(F.col("smaller_share") >= v).alias(f"share_{str(v)[2:]}") for v in studies.SIDE_GRID])
+    told = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("periods"), F.count_distinct("tour", "player").alias("players"), a("error", "mean_error"), a("conditional_covered", "conditional_coverage"), a("clustered_covered", "clustered_coverage"), *[F.count_if(F.col("smaller_share") >= v).alias(f"share_{str(v)[2:]}") for v in studies.SIDE_GRID])
+    fives = selection.five_numbers(rows, group, {"share": "smaller_share", "error": "error"})
+    kept = [c for c in fives.columns if not c.startswith("error_")]
+    return selection.beside(told, fives.select(*kept, F.col("error_median").alias("median_error")), group)
 
 
 @registered(FIVE + f" SELECT {CONFIG}, side, category, round(avg(error), 6) AS mean_error, round(avg(conditional_covered), 6) AS conditional_coverage, round(avg(clustered_covered), 6) AS clustered_coverage FROM jd GROUP BY ALL")
@@ -332,9 +336,10 @@ def E6_process(spark: SparkSession, d: str) -> DataFrame:
 @registered(PROCESS + f" SELECT {CONFIG}, side, category, round(avg(clustered_covered), 6) AS base_coverage, round(avg(process_covered), 6) AS process_coverage, round(avg(base_radius), 6) AS base_radius, round(avg(process_radius), 6) AS process_radius, " + five_sql("deviation", "deviation") + " FROM pr GROUP BY ALL")
 def M18_process_coverage(spark: SparkSession, d: str) -> DataFrame:
     group = ["window", "least_matches", "side", "category"]
-    added, deviations = studies.five("deviation", "deviation", group)
     a = lambda c, n: F.round(F.avg(c), 6).alias(n)
-    return _process(spark, d).withColumns(added).groupBy(*group).agg(a("clustered_covered", "base_coverage"), a("process_covered", "process_coverage"), a("base_radius", "base_radius"), a("process_radius", "process_radius"), *deviations)
+    rows = written(_process(spark, d))
+    told = rows.groupBy(*group).agg(a("clustered_covered", "base_coverage"), a("process_covered", "process_coverage"), a("base_radius", "base_radius"), a("process_radius", "process_radius"))
+    return selection.beside(told, selection.five_numbers(rows, group, {"deviation": "deviation"}), group)
 
 
 @registered(PROCESS + f" SELECT {CONFIG}, source, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY {CONFIG}), 6) AS share FROM pr GROUP BY {CONFIG}, source")
@@ -423,12 +428,13 @@ round(avg(shrunk_player) - avg(context), 6) AS shrunk_minus_context, round(avg(s
 def E3_shrinkage(spark: SparkSession, d: str) -> DataFrame:
     """Five targets by four thresholds by test season: the strength that validation chose and the four models' losses."""
     obs, first, last = _first_last(spark, d)
-    rows = studies.shrinkage(obs, first, last)
+    rows = written(studies.shrinkage(obs, first, last))
     fold = ["target", "least_matches", "test_year"]
     match = rows.groupBy(*fold, "strength", "match_id").agg(*[F.avg(f"loss_{n}").alias(n) for n in studies.MODELS])
     m = lambda n: F.avg(n)
     g = match.groupBy(*fold).agg(F.max("strength").cast("int").alias("strength"), F.count(F.lit(1)).alias("test_matches"), *[F.round(m(n), 6).alias(n) for n in studies.MODELS], F.round(m("shrunk_player") - m("context"), 6).alias("shrunk_minus_context"), F.round(m("shrunk_player") - m("raw_player"), 6).alias("shrunk_minus_raw"))
-    sd = rows.groupBy(*fold).agg(F.count_distinct("tour", "player").alias("players"), F.round(F.median("posterior_sd"), 6).alias("median_posterior_sd"))
+    sd = rows.groupBy(*fold).agg(F.count_distinct("tour", "player").alias("players"))
+    sd = sd.join(selection.medians(rows, fold, "posterior_sd", "m").select(*fold, F.round("m", 6).alias("median_posterior_sd")), fold)
     many = studies.eligible(obs, first, last, studies.LEAST_MATCHES).groupBy(*fold).agg(F.count(F.lit(1)).alias("eligible"))
     return g.join(sd, fold).join(many, fold)
 
