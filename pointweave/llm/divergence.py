@@ -19,7 +19,7 @@ LEAST_DOCS, SCALE = 3, 1_000_000_000
 #: Terms that a group reports, by their divergence from the language.
 TOP_TERMS = 200
 #: (lang, source, term) counts that a task holds before it hands them on.
-HELD = 500_000
+HELD = 800_000
 #: Cells (terms x sources) that one step of the pair sums holds, and pair sums that a task holds before it hands them on.
 CELLS, SUMS = 1_000_000, 1_000_000
 
@@ -34,7 +34,7 @@ def pieces(docs: DataFrame) -> DataFrame:
     """(key, source, document, docs, n): documents of a source with a term of a language, and occurrences in them.
 
     ``docs`` has lang, source, document and text. A task adds up what it has read, HELD counts at a time; ``document`` is
-    the least id among the source's documents in a piece and orders the pieces of a run. ``key`` is language and term.
+    the least id (as a hash) among the source's documents in a piece and orders the pieces of a run. ``key`` is language and term.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,7 +44,7 @@ def pieces(docs: DataFrame) -> DataFrame:
         def flushed() -> Iterator[pa.RecordBatch]:
             for (lang, source), (document, docs, n) in held.items():
                 k, begin = len(n), lang.encode() + PART
-                columns = [pa.array([begin + t for t in n], pa.binary()), pa.array([source]).take(pa.array(np.zeros(k, np.int32))), pa.array([document]).take(pa.array(np.zeros(k, np.int32)))]
+                columns = [pa.array([begin + t for t in n], pa.binary()), pa.array([source]).take(pa.array(np.zeros(k, np.int32))), pa.array(np.full(k, document, np.int64))]
                 counts = [pa.array([docs[t] for t in n], pa.int64()), pa.array(n.values(), pa.int64())]
                 yield from pa.Table.from_arrays([*columns, *counts], names=["key", "source", "document", "docs", "n"]).to_batches(10_000)
             held.clear()
@@ -65,7 +65,7 @@ def pieces(docs: DataFrame) -> DataFrame:
                     many = 0
         yield from flushed()
 
-    return in_batches(docs, run, "key binary, source string, document string, docs long, n long")
+    return in_batches(docs, run, "key binary, source string, document long, docs long, n long")
 
 
 def changes(*columns: pa.Array) -> np.ndarray:
@@ -212,9 +212,11 @@ def source_divergence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     other; a language without kept terms has pairs of value 0 and no terms; an empty table gives no rows. Other columns
     are not read. The result has a row per two sources of a language, so that is what its size grows with.
     """
-    slim = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (id_col, "document"), (text_col, "text"))))
-    order = ["key", "source", "document"]
-    counted = cut(pieces(slim), "term-pieces")
+    filled = lambda c, n: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n)
+    slim = docs.select(filled(lang_col, "lang"), filled(source_col, "source"), F.xxhash64(id_col).alias("document"), filled(text_col, "text"))
+    # by a hash of the language and term first: eight bytes then settle nearly every comparison of the sort
+    order = ["hashed", "key", "source", "document"]
+    counted = cut(pieces(slim).withColumn("hashed", F.xxhash64("key")), "term-pieces")
     runs = cut(run_lengths(counted.repartitionByRange(*order).sortWithinPartitions(*order)), "term-runs")
     kept = cut(kept_terms(runs), "kept-terms")
     groups = cut(group_totals(slim.select("lang", "source").distinct(), kept), "term-groups")

@@ -80,7 +80,7 @@ def test_shares_beyond_a_long(spark):
 
 def test_runs_cut_by_partitions_add_up(spark):
     """A hot term: its pieces lie in several ranges, and each range gives a part of the run."""
-    docs = spark.createDataFrame([("en", "a", str(i), "hot hot") for i in range(4000)], "lang string, source string, document string, text string").repartition(40)
+    docs = spark.createDataFrame([("en", "a", i, "hot hot") for i in range(4000)], "lang string, source string, document long, text string").repartition(40)
     counted = divergence.pieces(docs).cache()
     order = ["key", "source", "document"]
     runs = divergence.run_lengths(counted.repartitionByRange(8, *order).sortWithinPartitions(*order)).collect()
