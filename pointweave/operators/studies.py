@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pointweave.functions import stats, text
 from pointweave.operators import selection
 from pointweave.operators.pairs import pair_medians
+from pointweave.operators.resampling import draw
 from pointweave.operators.store import written
 from pointweave.operators.windows import fold_rows, split_halves
 
@@ -24,7 +25,6 @@ LEAST_MATCHES, STRENGTHS, SEASONS, WINDOWS, LEAST_CASES, LEAST_TEST = (2, 5, 10,
 SIDES, WAYS = ("deuce", "ad"), ("wide", "middle", "t")
 BINARY = {"first_in": ("first_in", "resolved_first"), "aces": ("aces", "resolved_ace"), "dfs": ("dfs", "resolved_df")}
 COMPONENTS = [f"{s}_{w}" for s in SIDES for w in WAYS]
-PRIME = 2147483647
 COUNTS = ("c1", "c2", "c3")
 
 
@@ -81,15 +81,6 @@ def distance(family: str, left: Column, right: Column) -> Column:
     return total / (3 if family == "outcome" else 4)
 
 
-def draw(group: Column, rep: Column, slot: Column, n: Column) -> Column:
-    """A row from 1 to n for a slot of a replicate, from arithmetic below 2^62 on a group's number: three squarings
-    modulo a prime, so neighbouring slots have nothing to do with each other."""
-    x = (group + rep * 7919 + slot * 104729) % PRIME
-    for mix in (group, slot, rep):
-        x = (x * x + mix) % PRIME
-    return x % n + 1
-
-
 def halves_study(records: DataFrame, groups: Sequence[str], strategies: Sequence[str], least: Sequence[int], reps: int, cells: Sequence[str]) -> DataFrame:
     """Distances within players' halves against those between players, for every family, strategy and least number of
     matches: per (``cells``, strategy, family, least_matches) players, pairs, medians, their ratio and the range that

@@ -8,11 +8,8 @@ from pyspark.sql import functions as F
 from pointweave.operators import resampling, selection
 from pointweave.plans.registry import r6, read, registered
 
-@registered("""WITH m AS (SELECT o_orderpriority AS grp, strftime(o_orderdate, '%Y%m') AS match_id, avg((o_totalprice > 150000)::INT) AS rate FROM orders GROUP BY 1, 2),
-v AS (SELECT grp, (rate - 0.45) * (rate - 0.45) - (rate - 0.5) * (rate - 0.5) AS v, row_number() OVER (PARTITION BY grp ORDER BY match_id) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM m),
-r AS (SELECT grp, b, ('0x' || substr(md5('7|' || b || '|' || grp || '|' || rn), 1, 8))::BIGINT % n + 1 AS pick FROM v, (SELECT unnest(range(0, 200)) AS b)),
-x AS (SELECT r.grp, b, avg(v) AS mean FROM r JOIN v ON r.grp = v.grp AND r.pick = v.rn GROUP BY 1, 2),
-q AS (SELECT grp, list_sort(list(mean)) AS l FROM x GROUP BY 1), i AS (SELECT grp, l[round_even(0.025 * (len(l) - 1), 0)::INT + 1] AS low, l[round_even(0.975 * (len(l) - 1), 0)::INT + 1] AS high FROM q)
+@registered(f"""WITH m AS (SELECT o_orderpriority AS grp, strftime(o_orderdate, '%Y%m') AS match_id, avg((o_totalprice > 150000)::INT) AS rate FROM orders GROUP BY 1, 2),
+v AS MATERIALIZED (SELECT grp, match_id, (rate - 0.45) * (rate - 0.45) - (rate - 0.5) * (rate - 0.5) AS v FROM m), {resampling.bootstrap_sql()}
 SELECT grp, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN high < 0 THEN 'favors left' WHEN low > 0 THEN 'favors right' ELSE 'inconclusive' END AS verdict FROM i""")
 def M21_paired_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Two predictions' squared errors per month, paired by month."""

@@ -79,16 +79,16 @@ def P7_valid_values(spark: SparkSession, d: str) -> DataFrame:
 
 
 MATCH = {
-    "match_id": "concat('m', o_orderkey % 9000)", "Player 1": "concat('p', o_custkey % 50)", "Player 2": "concat('q', o_custkey % 31)", "Date": "CASE WHEN o_orderkey % 41 = 0 THEN '2024131' WHEN o_orderkey % 43 = 0 THEN '20001340' ELSE concat('2000', lpad(cast(1 + o_custkey % 12 as varchar(9)), 2, '0'), '15') END",
+    "match_id": "concat('m', o_orderkey - CASE WHEN o_orderkey % 4 = 3 THEN 1 ELSE 0 END)", "Player 1": "concat('p', o_custkey % 50)", "Player 2": "concat('q', o_custkey % 31)", "Date": "CASE WHEN o_orderkey % 41 = 0 THEN '2024131' WHEN o_orderkey % 43 = 0 THEN '20001340' ELSE concat('2000', lpad(cast(1 + o_custkey % 12 as varchar(9)), 2, '0'), '15') END",
     "Tournament": "concat('T ', o_custkey % 7)", "Round": "o_orderstatus", "Surface": "CASE o_custkey % 9 WHEN 0 THEN 'Unknown' WHEN 1 THEN 'Clay' WHEN 2 THEN 'Grass' ELSE 'Hard' END", "Best of": "CASE WHEN o_orderkey % 37 = 0 THEN '7' ELSE '3' END",
 }
-MATCH_SQL = "raw AS (" + selected(MATCH, "orders", "o_orderkey % 3 <> 1") + """), m AS (SELECT match_id, count(*) AS copies, count(DISTINCT ("Player 1", "Player 2", "Date", "Tournament", "Round", "Surface", "Best of")) > 1 AS conflicting,
+MATCH_SQL = "raw AS (" + selected(MATCH, "orders") + """), m AS (SELECT match_id, count(*) AS copies, count(DISTINCT ("Player 1", "Player 2", "Date", "Tournament", "Round", "Surface", "Best of")) > 1 AS conflicting,
 bool_or(TRY_STRPTIME(CASE WHEN regexp_matches("Date", '^[0-9]{8}$') THEN "Date" END, '%Y%m%d') IS NULL) AS invalid_date, bool_or("Surface" NOT IN ('Hard', 'Clay', 'Grass', 'Carpet')) AS invalid_surface, bool_or("Best of" NOT IN ('3', '5')) AS invalid_best_of, any_value("Date") AS d, any_value("Surface") AS s FROM raw GROUP BY 1),
 ms AS (SELECT *, NOT conflicting AND NOT invalid_date AND NOT invalid_surface AND NOT invalid_best_of AS safe FROM m)"""
 
 
 def _matches(spark: SparkSession, d: str) -> DataFrame:
-    path = readers.write_csv(exported(spark, d, "orders", MATCH, "o_orderkey % 3 <> 1"), readers.shared_dir(spark))
+    path = readers.write_csv(exported(spark, d, "orders", MATCH), readers.shared_dir(spark))
     return readers.read_matches(spark, [path])
 
 
@@ -213,11 +213,11 @@ def F3_context_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 STATE = {
-    "match_id": "cast(o_orderkey as varchar(9))", "sets_p1": "'0'", "sets_p2": "'1'", "games_p1": "CASE o_custkey % 11 WHEN 0 THEN '[6' WHEN 1 THEN '[]' WHEN 2 THEN '[-1, 2]' ELSE concat('[6, ', o_custkey % 6, ']') END", "games_p2": "CASE WHEN o_custkey % 13 = 0 THEN '' ELSE concat('[', o_custkey % 5, ']') END",
+    "match_id": "CASE o_orderkey % 29 WHEN 0 THEN '-1' WHEN 1 THEN 'm' ELSE cast(o_orderkey as varchar(9)) END", "sets_p1": "CASE o_custkey % 23 WHEN 0 THEN 'x' WHEN 1 THEN '-1' ELSE '0' END", "sets_p2": "CASE WHEN o_custkey % 31 = 0 THEN '' ELSE '1' END", "games_p1": "CASE o_custkey % 11 WHEN 0 THEN '[6' WHEN 1 THEN '[]' WHEN 2 THEN '[-1, 2]' ELSE concat('[6, ', o_custkey % 6, ']') END", "games_p2": "CASE WHEN o_custkey % 13 = 0 THEN '' ELSE concat('[', o_custkey % 5, ']') END",
     "points_p1": "CASE o_custkey % 7 WHEN 0 THEN 'A' WHEN 1 THEN 'x' WHEN 2 THEN '' ELSE '40' END", "points_p2": "CASE WHEN o_custkey % 17 = 0 THEN 'AD' ELSE '17' END", "server": "CASE o_custkey % 10 WHEN 0 THEN '' WHEN 1 THEN '3' ELSE cast(1 + o_custkey % 2 as varchar(9)) END", "is_tiebreak": "CASE WHEN o_custkey % 19 = 0 THEN 'True' ELSE 'False' END", "timestamp_utc": "concat('2026-01-01T00:00:', o_custkey % 60)",
 }
 LIVE = "WITH raw AS (" + selected(STATE, "orders") + """), t AS (SELECT *, TRY_CAST(nullif(games_p1, '') AS INT[]) AS g1, TRY_CAST(nullif(games_p2, '') AS INT[]) AS g2, CASE WHEN server <> '' THEN TRY_CAST(server AS INT) - 1 END AS s FROM raw),
-states AS (SELECT match_id::INT AS match_id, g1, g2, coalesce(g1[-1], 0) AS now_1, coalesce(g2[-1], 0) AS now_2, s AS server, lower(is_tiebreak) = 'true' AS tiebreak, timestamp_utc, CASE WHEN g1 IS NULL OR g2 IS NULL OR len(list_filter(g1, lambda x: x < 0)) > 0 THEN 'games' WHEN server <> '' AND s NOT IN (0, 1) THEN 'server'
+states AS (SELECT TRY_CAST(match_id AS INT) AS match_id, TRY_CAST(sets_p1 AS INT) AS sets_1, TRY_CAST(sets_p2 AS INT) AS sets_2, g1, g2, coalesce(g1[-1], 0) AS now_1, coalesce(g2[-1], 0) AS now_2, s AS server, lower(is_tiebreak) = 'true' AS tiebreak, timestamp_utc, CASE WHEN coalesce(TRY_CAST(match_id AS INT) < 0, true) THEN 'match_id' WHEN coalesce(least(TRY_CAST(sets_p1 AS INT), TRY_CAST(sets_p2 AS INT)) < 0 OR TRY_CAST(sets_p1 AS INT) IS NULL OR TRY_CAST(sets_p2 AS INT) IS NULL, true) THEN 'sets' WHEN g1 IS NULL OR g2 IS NULL OR len(list_filter(g1, lambda x: x < 0)) > 0 THEN 'games' WHEN server <> '' AND s NOT IN (0, 1) THEN 'server'
   WHEN NOT regexp_matches(points_p1, '^(|[0-9]+|A|AD)$') OR NOT regexp_matches(points_p2, '^(|[0-9]+|A|AD)$') THEN 'points' END AS error FROM t)"""
 
 
@@ -225,10 +225,10 @@ def _states(spark: SparkSession, d: str) -> DataFrame:
     return readers.read_states(spark, readers.write_csv(exported(spark, d, "orders", STATE), readers.shared_dir(spark), compression="gzip"))
 
 
-@registered(f"{LIVE} SELECT match_id, now_1, now_2, server, tiebreak, timestamp_utc, error FROM states")
+@registered(f"{LIVE} SELECT match_id, sets_1, sets_2, now_1, now_2, server, tiebreak, timestamp_utc, error FROM states")
 def P15_live_states(spark: SparkSession, d: str) -> DataFrame:
     """Gzip files of scoreboard states, typed, with the current set's games and the first thing that cannot be read."""
-    return _states(spark, d).select("match_id", "now_1", "now_2", "server", "tiebreak", "timestamp_utc", "error")
+    return _states(spark, d).select("match_id", "sets_1", "sets_2", "now_1", "now_2", "server", "tiebreak", "timestamp_utc", "error")
 
 
 @registered(f"{LIVE} SELECT coalesce(error, 'ok') AS error, count(*) AS states, count(DISTINCT match_id) AS matches, count(*) FILTER (server IS NULL) AS without_server, count(*) FILTER (now_1 = 0 AND now_2 = 0) AS at_start, count(*) FILTER (tiebreak) AS tiebreaks FROM states GROUP BY 1")
@@ -256,27 +256,26 @@ HUMAN = REVIEW | {
 }
 #: What a reviewer may write, and what it decides.
 DECISIONS = {"same": "same_match", "different": "different_match", "unsure": "uncertain", "": "not_reviewed"}
-REVIEWED = "o_orderkey % 7 = 0"
 
 
 def _reviews(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The automated file and the reviewer's, each read with the delimiter that it has, evidence in one spelling."""
     out = []
     for columns, sep in ((REVIEW, ","), (HUMAN, ";")):
-        path = readers.write_csv(exported(spark, d, "orders", columns, REVIEWED).coalesce(1), readers.shared_dir(spark), sep)
+        path = readers.write_csv(exported(spark, d, "orders", columns), readers.shared_dir(spark), sep)
         raw = readers.read_csv(spark, path, list(columns), readers.sniffed(spark, path)).drop("source_file")
         out.append(raw.withColumns({"mcp_date": F.coalesce(text.iso_date(F.col("mcp_date")), F.lit("?")), "surface_agrees": F.coalesce(text.plain_boolean(F.col("surface_agrees")), F.lit("?"))}))
     return out[0], out[1]
 
 
-@registered(f"SELECT 'm' || o_orderkey AS mcp_match_id, 'surface_agrees' AS change FROM orders WHERE {REVIEWED} AND o_custkey % 3 = 0 AND o_orderkey % 31 = 0")
+@registered("SELECT 'm' || o_orderkey AS mcp_match_id, 'surface_agrees' AS change FROM orders WHERE o_custkey % 3 = 0 AND o_orderkey % 31 = 0")
 def F14_review_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Evidence that a review changed, after dates, booleans and delimiters of either language were read."""
     a, h = _reviews(spark, d)
     return integrity.evidence_changes(a, h, "mcp_match_id", ["mcp_date", "status", "surface_agrees"])
 
 
-REVIEW_SQL = f"WITH r AS ({selected(HUMAN, 'orders', REVIEWED)}), v AS (SELECT status, CASE lower(trim(review_status)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DECISIONS.items()) + " END AS decision FROM r)"
+REVIEW_SQL = f"WITH r AS ({selected(HUMAN, 'orders')}), v AS (SELECT status, CASE lower(trim(review_status)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DECISIONS.items()) + " END AS decision FROM r)"
 
 
 def _decided(spark: SparkSession, d: str) -> DataFrame:

@@ -51,7 +51,7 @@ RECORDS = (
 )
 OBSERVED = (
     RECORDS
-    + ", obs AS ("
+    + ", obs AS MATERIALIZED ("
     + " UNION ALL ".join(
         [f"SELECT tour, player, surface, band, opponent, tournament, author, season, match_id, '{n}' AS target, '' AS side, {s} AS c1, {t} - {s} AS c2, 0::BIGINT AS c3, 2 AS k FROM rec WHERE {t} > 0 AND {s} BETWEEN 0 AND {t}" for n, (s, t) in studies.BINARY.items()]
         + [
@@ -93,7 +93,7 @@ def halves_sql(source: str, groups: list[str], strategies: list[str], least: tup
     long = lambda t, right, keep: " UNION ALL ".join(f"SELECT {keep}, '{f}' AS family, {_distance_sql(f, 'l_' + f, right + f)} AS t FROM {t} WHERE l_{f} IS NOT NULL AND {right}{f} IS NOT NULL" for f in studies.FAMILIES)
     keep = ", ".join(dict.fromkeys([*cells, "strategy", "n"]))
     grid = f"(SELECT unnest([{', '.join(map(str, least))}])::INT AS least_matches)"
-    p = studies.PRIME
+    p = resampling.PRIME
     sql = f"""{source}, s0 AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY month, match_id) AS pl, count(*) OVER (PARTITION BY {by}) AS np FROM src, (SELECT unnest({strategies}) AS strategy)),
 s1 AS (SELECT *, CASE WHEN {half} THEN 'left' ELSE 'right' END AS half FROM s0), s2 AS (SELECT *, row_number() OVER (PARTITION BY {by}, half ORDER BY month, match_id) AS rn, count(*) OVER (PARTITION BY {by}, half) AS n FROM s1),
 a0 AS (SELECT {by}, half, max(n) AS n, {sums} FROM s2 GROUP BY {by}, half), a1 AS (SELECT {by}, half, n, {profile} FROM a0),
@@ -364,11 +364,11 @@ def _sums(prefix: str) -> str:
 
 _LEVELS = {"e": "phase, test_year, target, side, tour, surface, band", "s": "phase, test_year, target, side, tour, surface", "t": "phase, test_year, target, side, tour"}
 PRIORS = "WITH " + OBSERVED + YEARS + f""", yrs AS (SELECT unnest(range(lo + {studies.SEASONS + 1}, hi + 1)) AS t FROM yr), ph AS (SELECT 'validation' AS phase, 1 AS back UNION ALL SELECT 'test', 0),
-hs AS (SELECT phase, t AS test_year, obs.* FROM obs, yrs, ph WHERE season >= t - back - {studies.SEASONS} AND season < t - back), sc AS (SELECT phase, t AS test_year, obs.* FROM obs, yrs, ph WHERE season = t - back),
+hs AS MATERIALIZED (SELECT phase, t AS test_year, obs.* FROM obs, yrs, ph WHERE season >= t - back - {studies.SEASONS} AND season < t - back), sc AS (SELECT phase, t AS test_year, obs.* FROM obs, yrs, ph WHERE season = t - back),
 ho AS (SELECT {GRAIN}, {_sums('oe')} FROM hs GROUP BY ALL), hp AS (SELECT {_LEVELS['s']}, player, {_sums('os')} FROM hs GROUP BY ALL), hq AS (SELECT {_LEVELS['t']}, player, {_sums('ot')} FROM hs GROUP BY ALL),
 """ + ", ".join(f"lv_{n} AS (SELECT {keys}, {_sums('a' + n)} FROM hs GROUP BY ALL)" for n, keys in _LEVELS.items()) + f""",
 r0 AS (SELECT sc.*, coalesce(os1, 0) AS p1, coalesce(os2, 0) AS p2, coalesce(os3, 0) AS p3, """ + ", ".join(f"coalesce(a{n}{i}, 0) - coalesce(o{n}{i}, 0) AS {n}{i}" for n in "est" for i in (1, 2, 3)) + f""" FROM sc LEFT JOIN ho USING ({GRAIN}) LEFT JOIN hp USING ({_LEVELS['s']}, player) LEFT JOIN hq USING ({_LEVELS['t']}, player) {' '.join(f'LEFT JOIN lv_{n} USING ({keys})' for n, keys in _LEVELS.items())}),
-told AS (SELECT *, CASE WHEN e1 + e2 + e3 > 0 THEN 'exact' WHEN s1 + s2 + s3 > 0 THEN 'surface' WHEN t1 + t2 + t3 > 0 THEN 'tour' ELSE 'uniform' END AS source, """ + ", ".join([f"{_prior_sql(['e', 's', 't'], i)} AS x{i}" for i in (1, 2, 3)] + [f"{_prior_sql(['t'], i)} AS u{i}" for i in (1, 2, 3)]) + " FROM r0)"
+told AS MATERIALIZED (SELECT *, CASE WHEN e1 + e2 + e3 > 0 THEN 'exact' WHEN s1 + s2 + s3 > 0 THEN 'surface' WHEN t1 + t2 + t3 > 0 THEN 'tour' ELSE 'uniform' END AS source, """ + ", ".join([f"{_prior_sql(['e', 's', 't'], i)} AS x{i}" for i in (1, 2, 3)] + [f"{_prior_sql(['t'], i)} AS u{i}" for i in (1, 2, 3)]) + " FROM r0)"
 
 
 def scores_sql(name: str, source: str, strength: str) -> str:
@@ -386,9 +386,10 @@ def scores_sql(name: str, source: str, strength: str) -> str:
     return f"{name}0 AS (SELECT *, {qs} FROM {source} WHERE p1 + p2 + p3 > 0), {name} AS (SELECT *, {rate(1)} AS observed, {', '.join(out)}, CASE WHEN k = 3 THEN ({sd(1)} + {sd(2)} + {sd(3)}) / 3 ELSE {sd(1)} END AS posterior_sd FROM {name}0)"
 
 
-ELIGIBLE = f""", ms AS (SELECT DISTINCT target, {KEY}, season, match_id FROM obs), hn AS (SELECT t AS test_year, target, {KEY}, count(DISTINCT match_id) AS n FROM ms, yrs WHERE season >= t - 1 - {studies.SEASONS} AND season < t - 1 GROUP BY ALL),
-el AS (SELECT hn.* EXCLUDE (n), least_matches FROM hn, (SELECT unnest([{', '.join(map(str, studies.LEAST_MATCHES))}])::INT AS least_matches) WHERE n >= least_matches
-  AND EXISTS (SELECT 1 FROM ms v WHERE v.target = hn.target AND v.tour = hn.tour AND v.player = hn.player AND v.surface = hn.surface AND v.season = test_year - 1) AND EXISTS (SELECT 1 FROM ms v WHERE v.target = hn.target AND v.tour = hn.tour AND v.player = hn.player AND v.surface = hn.surface AND v.season = test_year))"""
+ELIGIBLE = f""", ms AS MATERIALIZED (SELECT DISTINCT target, {KEY}, season, match_id FROM obs), pr AS MATERIALIZED (SELECT DISTINCT target, {KEY}, season FROM ms),
+hn AS (SELECT t AS test_year, target, {KEY}, count(DISTINCT match_id) AS n FROM ms, yrs WHERE season >= t - 1 - {studies.SEASONS} AND season < t - 1 GROUP BY ALL),
+ob AS (SELECT hn.* FROM hn JOIN (SELECT *, season + 1 AS test_year FROM pr) v USING (test_year, target, {KEY}) JOIN (SELECT *, season AS test_year FROM pr) w USING (test_year, target, {KEY})),
+el AS MATERIALIZED (SELECT ob.* EXCLUDE (n), least_matches FROM ob, (SELECT unnest([{', '.join(map(str, studies.LEAST_MATCHES))}])::INT AS least_matches) WHERE n >= least_matches)"""
 SHRUNK = PRIORS + ELIGIBLE + f""", va AS (SELECT told.*, least_matches, strength FROM told JOIN el USING (test_year, target, {KEY}), (SELECT unnest([{', '.join(map(str, studies.STRENGTHS))}])::DOUBLE AS strength) WHERE phase = 'validation'), {scores_sql('vs', 'va', 'strength')},
 vm AS (SELECT test_year, target, least_matches, strength, match_id, avg(loss_shrunk_player) AS loss FROM vs GROUP BY ALL), vl AS (SELECT test_year, target, least_matches, strength, avg(loss) AS loss FROM vm GROUP BY ALL),
 best AS (SELECT test_year, target, least_matches, arg_min(strength, (round(loss, 12), strength)) AS strength FROM vl GROUP BY ALL),
@@ -473,17 +474,13 @@ def M22_posterior_prediction(spark: SparkSession, d: str) -> DataFrame:
 _AGAINST = {"context": "loss_shrunk_player - loss_context", "raw_player": "loss_shrunk_player - loss_raw_player"}
 
 
-@registered(SHRUNK + ", df AS (" + " UNION ALL ".join(f"SELECT target || '|{n}' AS grp, match_id, avg({v}) AS v FROM ts WHERE least_matches = 5 GROUP BY ALL" for n, v in _AGAINST.items()) + """),
-v AS (SELECT grp, v, row_number() OVER (PARTITION BY grp ORDER BY match_id) AS rn, count(*) OVER (PARTITION BY grp) AS n FROM df),
-r AS (SELECT grp, b, ('0x' || substr(md5('7|' || b || '|' || grp || '|' || rn), 1, 8))::BIGINT % n + 1 AS pick FROM v, (SELECT unnest(range(0, 200)) AS b)),
-x AS (SELECT r.grp, b, avg(v) AS mean FROM r JOIN v ON r.grp = v.grp AND r.pick = v.rn GROUP BY 1, 2), q AS (SELECT grp, list_sort(list(mean)) AS l FROM x GROUP BY 1),
-i AS (SELECT grp, l[round_even(0.025 * (len(l) - 1), 0)::INT + 1] AS low, l[round_even(0.975 * (len(l) - 1), 0)::INT + 1] AS high FROM q)
-SELECT split_part(grp, '|', 1) AS target, split_part(grp, '|', 2) AS against, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN high < 0 THEN 'favors left' WHEN low > 0 THEN 'favors right' ELSE 'inconclusive' END AS verdict FROM i""")
+@registered(SHRUNK + ", v AS MATERIALIZED (" + " UNION ALL ".join(f"SELECT target || '|{n}|' || least_matches AS grp, match_id, avg({v}) AS v FROM ts GROUP BY ALL" for n, v in _AGAINST.items()) + f"""), {resampling.bootstrap_sql()}
+SELECT split_part(grp, '|', 1) AS target, split_part(grp, '|', 2) AS against, split_part(grp, '|', 3)::INT AS least_matches, round(low, 6) AS low, round(high, 6) AS high, CASE WHEN high < 0 THEN 'favors left' WHEN low > 0 THEN 'favors right' ELSE 'inconclusive' END AS verdict FROM i""")
 def M21_shrinkage_intervals(spark: SparkSession, d: str) -> DataFrame:
-    """Shrunk against context and raw losses: match means resampled 200 times, players of five matches or more."""
-    rows = _shrunk(spark, d).where("least_matches = 5")
-    parts = F.explode(F.array(*[F.struct(F.concat_ws("|", "target", F.lit(n)).alias("grp"), F.expr(v).alias("v")) for n, v in _AGAINST.items()]))
+    """Shrunk against context and raw losses at all four thresholds: match means resampled 200 times."""
+    rows = _shrunk(spark, d)
+    parts = F.explode(F.array(*[F.struct(F.concat_ws("|", "target", F.lit(n), "least_matches").alias("grp"), F.expr(v).alias("v")) for n, v in _AGAINST.items()]))
     match = rows.select("match_id", parts.alias("x")).groupBy("x.grp", "match_id").agg(F.avg("x.v").alias("v"))
     i = resampling.paired_bootstrap(match, "grp", "match_id", "v")
     name = lambda k: F.get(F.split("grp", "[|]"), F.lit(k))
-    return i.select(name(0).alias("target"), name(1).alias("against"), r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), resampling.comparison(F.col("low"), F.col("high")).alias("verdict"))
+    return i.select(name(0).alias("target"), name(1).alias("against"), name(2).cast("int").alias("least_matches"), r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), resampling.comparison(F.col("low"), F.col("high")).alias("verdict"))

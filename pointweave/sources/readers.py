@@ -150,19 +150,22 @@ def safe_context(context: DataFrame) -> DataFrame:
 
 
 def parsed_states(raw: DataFrame) -> DataFrame:
-    """Scoreboard states with ragged games as arrays and the current set's games; error names what cannot be read."""
+    """Scoreboard states with won sets, ragged games as arrays and the current set's games; error names the first of id,
+    sets, games, server and points that cannot be read or is negative."""
     games = [F.from_json(F.col(c), "array<int>") for c in ("games_p1", "games_p2")]
     server = F.when(F.col("server") == "", None).otherwise(F.col("server").try_cast("int") - 1)
     unread = lambda g: g.isNull() | F.exists(g, lambda x: x.isNull() | (x < 0))
     label = "^(|[0-9]+|A|AD)$"
+    count = lambda c: F.col(c).try_cast("int")
     bad = (
-        F.when(F.col("match_id").try_cast("int").isNull(), "match_id")
+        F.when(F.coalesce(count("match_id") < 0, F.lit(True)), "match_id")
+        .when(F.coalesce(count("sets_p1") < 0, F.lit(True)) | F.coalesce(count("sets_p2") < 0, F.lit(True)), "sets")
         .when(unread(games[0]) | unread(games[1]), "games")
         .when((F.col("server") != "") & ~F.coalesce(server.isin(0, 1), F.lit(False)), "server")
         .when(~F.col("points_p1").rlike(label) | ~F.col("points_p2").rlike(label), "points")
     )
     current = lambda g: F.coalesce(F.try_element_at(g, F.lit(-1)), F.lit(0))
-    return raw.select(F.col("match_id").try_cast("int").alias("match_id"), games[0].alias("games_1"), games[1].alias("games_2"), current(games[0]).alias("now_1"), current(games[1]).alias("now_2"), server.alias("server"), (F.lower("is_tiebreak") == "true").alias("tiebreak"), "timestamp_utc", bad.alias("error"))
+    return raw.select(count("match_id").alias("match_id"), count("sets_p1").alias("sets_1"), count("sets_p2").alias("sets_2"), games[0].alias("games_1"), games[1].alias("games_2"), current(games[0]).alias("now_1"), current(games[1]).alias("now_2"), server.alias("server"), (F.lower("is_tiebreak") == "true").alias("tiebreak"), "timestamp_utc", bad.alias("error"))
 
 
 def read_states(spark: SparkSession, path: str) -> DataFrame:

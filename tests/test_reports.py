@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pointweave import cli
+from pointweave.operators import resampling
 from pointweave.operators.resampling import comparison, paired_bootstrap
 from pointweave.plans import registry
 from pointweave.sources import reports
@@ -74,3 +75,23 @@ def test_bootstrap(spark):
     assert (got["one"]["low"], got["one"]["high"]) == (0.25, 0.25)
     mean = sum(r[2] for r in rows[:60]) / 60
     assert got["p"]["low"] < mean < got["p"]["high"]
+
+
+def test_resampled_counts_are_multinomial(spark, monkeypatch):
+    """How often each place is drawn over all replicates, and the counts of a block, against n draws of equal chance."""
+    monkeypatch.setattr(resampling, "BLOCK", 16)
+    n, reps = 100, 400
+    rows = spark.createDataFrame([("g", i, float(i)) for i in range(n)], "g string, k int, v double")
+    told = resampling.placed(rows, "g", "k", "v", 7).cache()
+    assert sorted(r["place"] for r in told.collect()) == list(range(n))
+    counts = resampling.block_counts(told, "g", reps)
+    per = {(r["b"], r["block"]): r["m"] for r in counts.collect()}
+    assert all(sum(m for (b, _), m in per.items() if b == k) == n for k in range(reps))
+    first = [per.get((b, 0), 0) for b in range(reps)]  # binomial(100, 0.16)
+    mean = sum(first) / reps
+    assert abs(mean - 16) < 0.75 and 10 < sum((x - mean) ** 2 for x in first) / reps < 17.5
+    sizes = F.when(F.col("block") == 6, 4).otherwise(16).cast("long")
+    drawn = counts.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m")))).select((F.col("block") * 16 + resampling.inner_draw(F.col("i"), sizes)).alias("place"))
+    times = {r["place"]: r["count"] for r in drawn.groupBy("place").count().collect()}
+    chi = sum((times.get(k, 0) - reps) ** 2 / reps for k in range(1, n + 1))
+    assert set(times) == set(range(1, n + 1)) and 55 < chi < 160  # 99 degrees of freedom

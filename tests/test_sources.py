@@ -88,3 +88,10 @@ def test_scalars(spark):
     assert [values.where(F.col("f") == f).select(text.valid_value(f, F.col("v"))).first()[0] for f in ("Pt", "Svr", "TbSet", "Notes")] == [True, False, True, False]
     c = text.context_values(F.lit("1-W-2"), F.lit("20x0"), F.lit(" CLAY "), F.lit(None).cast("string"))
     assert spark.range(1).select(*c.values()).first()[:] == ("WTA", "invalid-date", "clay", "(blank)")
+
+
+@pytest.mark.parametrize(("column", "value", "error"), [("match_id", "-1", "match_id"), ("match_id", "m", "match_id"), ("sets_p1", "-1", "sets"), ("sets_p1", "x", "sets"), ("sets_p2", "", "sets"), ("games_p1", "[-2]", "games"), ("server", "3", "server"), ("points_p2", "B", "points"), ("sets_p2", "2", None)])
+def test_states_that_cannot_be_read(spark, column, value, error):
+    good = {"match_id": "7", "sets_p1": "1", "sets_p2": "0", "games_p1": "[6, 2]", "games_p2": "[4, 1]", "points_p1": "40", "points_p2": "A", "server": "1", "is_tiebreak": "False", "timestamp_utc": "t"}
+    row = readers.parsed_states(spark.createDataFrame([good | {column: value}])).first()
+    assert row["error"] == error and (error or (row["sets_1"], row["sets_2"]) == (1, 2))
