@@ -2,26 +2,43 @@
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 #: Upper ends of the rank bands, their names, ordinary score labels in order.
 BANDS = ((10, "1-10"), (25, "11-25"), (50, "26-50"), (100, "51-100"), (200, "101-200"))
 LABELS = ("0", "15", "30", "40", "AD")
 
 
-@F.pandas_udf(StringType())
-def decomposed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else unicodedata.normalize("NFKD", x))
+@functools.cache
+def ascii_parts() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters beyond ASCII whose compatibility decomposition has ASCII characters: those with one, those with several.
+
+    Decomposing goes character by character, and reordering moves combining marks only, which are dropped.
+    """
+    found = {}
+    for point in range(0x80, 0x110000):
+        part = unicodedata.normalize("NFKD", chr(point)).encode("ascii", "ignore").decode()
+        if part:
+            found[chr(point)] = part
+    return {c: x for c, x in found.items() if len(x) == 1}, {c: x for c, x in found.items() if len(x) > 1}
 
 
 def normalise_identity(name: Column) -> Column:
-    """Compatibility-decomposed, non-ASCII dropped, lowered, tokens of letters and digits joined by one space."""
-    ascii_only = F.regexp_replace(decomposed(name), r"[^\x00-\x7F]", "")
+    """Compatibility-decomposed, non-ASCII dropped, lowered, tokens of letters and digits joined by one space.
+
+    Expressions only: a translation for characters with one ASCII part, a map, looked up for texts that have such
+    characters, for those with several.
+    """
+    one, several = ascii_parts()
+    parts = F.create_map(*[F.lit(x) for kv in several.items() for x in kv])
+    spelled = F.array_join(F.transform(F.split(name, ""), lambda c: F.coalesce(F.try_element_at(parts, c), c)), "")
+    wide = F.when(name.rlike("[" + "".join(several) + "]"), spelled).otherwise(name)
+    plain = F.regexp_replace(F.translate(wide, "".join(one), "".join(one.values())), r"[^\x00-\x7F]", "")
+    ascii_only = F.when(name.rlike(r"[^\x00-\x7F]"), plain).otherwise(name)
     return F.trim(F.regexp_replace(F.lower(ascii_only), "[^a-z0-9]+", " "))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.sources.readers import shared_dir
+from pointweave.sources.shared import shared_dir
 
 #: A side is broadcast only when its measured rows times its widest row stay below this.
 BROADCAST_BYTES = 32 << 20

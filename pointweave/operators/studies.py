@@ -18,7 +18,7 @@ from pointweave.operators import selection
 from pointweave.operators.pairs import pair_medians
 from pointweave.operators.resampling import draw
 from pointweave.operators.store import written
-from pointweave.operators.windows import fold_rows, split_halves
+from pointweave.operators.windows import fold_rows, rolling_distinct, split_halves
 
 #: Fixed values of the studies: grids of least matches, strengths, history seasons, windows and cases that a level needs.
 LEAST_MATCHES, STRENGTHS, SEASONS, WINDOWS, LEAST_CASES, LEAST_TEST = (2, 5, 10, 20), (0, 25, 100, 400), 5, (2, 3, 5, 8), 30, 2
@@ -166,28 +166,44 @@ def years(records: DataFrame) -> tuple[int, int]:
 KEY = ["tour", "player", "surface"]
 
 
-def histories(obs: DataFrame, windows: Sequence[int], first: int, last: int) -> DataFrame:
-    """Observations in every history [as_of - window, as_of) that holds them, as_of from ``first`` to ``last``."""
+#: Sums of a season from which those of every history follow: counts, their squares, and their products with the total.
+ADDED = ["matches", "total", "tt", *(f"{p}_{c}" for p in ("all", "cc", "ct") for c in COUNTS)]
+
+
+def partials(obs: DataFrame, keys: Sequence[str] = (*KEY, "season")) -> DataFrame:
+    """Per (``keys``, target, side): matches and whole-number sums, so the sums of a history are sums of its seasons'."""
+    t = F.col("c1") + F.col("c2") + F.col("c3")
+    sums = {"matches": F.lit(1), "total": t, "tt": t * t, **{f"all_{c}": F.col(c) for c in COUNTS}, **{f"cc_{c}": F.col(c) * F.col(c) for c in COUNTS}, **{f"ct_{c}": F.col(c) * t for c in COUNTS}}
+    return obs.groupBy(*keys, "target", "side").agg(F.max("k").alias("k"), *[F.sum(v.cast("long")).alias(n) for n, v in sums.items()])
+
+
+def histories(sums: DataFrame, windows: Sequence[int], first: int, last: int) -> DataFrame:
+    """Season sums in every history [as_of - window, as_of) that holds them, as_of from ``first`` to ``last``."""
     out = None
     for window in windows:
-        one = fold_rows(obs, "season", first, last, window).withColumn("window", F.lit(window))
+        one = fold_rows(sums, "season", first, last, window).withColumn("window", F.lit(window))
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def component_estimates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per (``keys``, target, side, category): matches, totals, raw share, conditional mean and sd at strength 0, and the
-    clustered error of the share (null under two matches).
+def component_estimates(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per (``keys``, target, side, category) from partials: matches, totals, raw share, conditional mean and sd at strength
+    0, and the clustered error of the share (null under two matches).
 
-    Errors come from residuals about the history's rate, so nothing cancels; rate and residuals share one shuffle.
+    Squared residuals about the history's rate a / T are worked out from sums as (T (T cc - 2 a ct) + a a tt) / T^2, in
+    whole numbers of 38 digits, so nothing cancels.
     """
     group = [*keys, "target", "side"]
-    w = W.partitionBy(*group)
-    t = F.col("c1") + F.col("c2") + F.col("c3")
-    told = rows.withColumn("t", t).withColumns({"total": F.sum("t").over(w), **{f"all_{c}": F.sum(c).over(w) for c in COUNTS}})
-    squares = [F.sum(F.pow(F.col(c) - F.col(f"all_{c}") / F.col("total") * F.col("t"), 2)).alias(f"sq_{c}") for c in COUNTS]
-    g = told.groupBy(*group).agg(F.count(F.lit(1)).alias("matches"), F.max("k").alias("k"), F.max("total").alias("total"), *[F.max(f"all_{c}").alias(f"all_{c}") for c in COUNTS], *squares)
-    parts = [F.struct(F.lit(i).alias("category"), F.col(f"all_{c}").alias("count"), F.col(f"sq_{c}").alias("sq")) for i, c in enumerate(COUNTS)]
+    g = sums.groupBy(*group).agg(F.max("k").alias("k"), *[F.sum(c).alias(c) for c in ADDED])
+    whole_number = lambda c: F.col(c).cast("decimal(19,0)")
+
+    def residuals(c: str) -> Column:
+        big, a = whole_number("total"), whole_number(f"all_{c}")
+        inner = (big * whole_number(f"cc_{c}") - a * whole_number(f"ct_{c}") * F.lit(2)).cast("decimal(38,0)")
+        outer = (big * inner).cast("decimal(38,0)") + (a * a * whole_number("tt")).cast("decimal(38,0)")
+        return outer.cast("double") / F.pow(F.col("total").cast("double"), 2)
+
+    parts = [F.struct(F.lit(i).alias("category"), F.col(f"all_{c}").alias("count"), residuals(c).alias("sq")) for i, c in enumerate(COUNTS)]
     long = g.select(*group, "matches", "k", "total", F.explode(F.array(*parts)).alias("x")).select(*group, "matches", "k", "total", "x.*").where("category < if(k = 2, 1, 3)")
     m = F.col("matches")
     a, whole = F.col("count") + 0.5, F.col("total") + 0.5 * F.col("k")
@@ -200,18 +216,24 @@ def component_estimates(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 def diagnostics(obs: DataFrame, first: int, last: int, seasons: int = SEASONS) -> DataFrame:
     """Per (as_of, target, tour, player, surface) how much a history rests on: matches, seasons, opponents, tournaments
     and authors (blanks not counted), events, largest share of a match, effective matches, and the greatest clustered
-    error, conditional sd and ratio of both over its components."""
-    rows = histories(obs, [seasons], first, last)
+    error, conditional sd and ratio of both over its components.
+
+    Everything is summed by season first, and distinct values are counted by spans; a match has one season.
+    """
     group = ["as_of", "target", *KEY]
-    blank = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
-    per = rows.groupBy(*group, "match_id").agg(F.sum(F.col("c1") + F.col("c2") + F.col("c3")).alias("n"), *[F.max(c).alias(c) for c in ("season", "opponent", "tournament", "author")])
-    d = F.count_distinct
+    kinds = {"opponents": "opponent", "tournaments": "tournament", "authors": "author"}
+    per = written(obs.groupBy("target", *KEY, "season", "match_id").agg(F.sum(F.col("c1") + F.col("c2") + F.col("c3")).alias("n"), *[F.max(c).alias(c) for c in kinds.values()]))
     n = F.col("n")
-    exposure = per.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("matches"), d("season").alias("seasons"), d(blank("opponent")).alias("opponents"), d(blank("tournament")).alias("tournaments"), d(blank("author")).alias("authors"),
-        F.sum(n).alias("events"), (F.max(n) / F.sum(n)).alias("largest_share"), (F.sum(n) * F.sum(n) / F.sum(n * n)).alias("effective"),
+    yearly = per.groupBy("target", *KEY, "season").agg(F.count(F.lit(1)).alias("matches"), F.sum("n").alias("s"), F.sum(n * n).alias("q"), F.max("n").alias("m"))
+    folds = fold_rows(yearly, "season", first, last, seasons).groupBy(*group).agg(
+        F.sum("matches").alias("matches"), F.count(F.lit(1)).alias("seasons"), F.sum("s").alias("events"), (F.max("m") / F.sum("s")).alias("largest_share"), (F.sum("s") * F.sum("s") / F.sum("q")).alias("effective")
     )
-    est = component_estimates(rows, ["as_of", *KEY])
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias("value")) for k, c in kinds.items()]))
+    seen = per.select("target", *KEY, "season", values.alias("x")).select("target", *KEY, "season", "x.*")
+    counts = rolling_distinct(seen, ["target", *KEY, "kind"], "season", "value", first, last, seasons)
+    wide = counts.groupBy(*group).agg(*[F.max(F.when(F.col("kind") == k, F.col("n"))).alias(k) for k in kinds])
+    exposure = folds.join(wide, group, "left").withColumns({k: F.coalesce(F.col(k), F.lit(0)).cast("long") for k in kinds})
+    est = component_estimates(histories(partials(obs), [seasons], first, last), ["as_of", *KEY])
     worst = est.groupBy(*group).agg(F.max("se").alias("cluster_se"), F.max("conditional_sd").alias("conditional_sd"), F.max(F.when(F.col("conditional_sd") > 0, F.col("se") / F.col("conditional_sd"))).alias("ratio"))
     return exposure.join(worst, group)
 
@@ -232,8 +254,9 @@ def comparisons(obs: DataFrame, windows: Sequence[int], first: int, last: int, l
     """Each component of a history beside that of the season after it: per (window, as_of, tour, player, surface, side,
     category) and least number of history matches that the history has; the season needs LEAST_TEST matches."""
     rows = obs.where(F.col("target") == target)
-    past = component_estimates(histories(rows, windows, first, last), ["window", "as_of", *KEY]).drop("target")
-    now = component_estimates(rows.withColumn("as_of", F.col("season")), ["as_of", *KEY]).where(F.col("matches") >= LEAST_TEST).drop("target")
+    sums = written(partials(rows))
+    past = component_estimates(histories(sums, windows, first, last), ["window", "as_of", *KEY]).drop("target")
+    now = component_estimates(sums.withColumn("as_of", F.col("season")), ["as_of", *KEY]).where(F.col("matches") >= LEAST_TEST).drop("target")
     names = ["matches", "total", "count", "share", "conditional_mean", "conditional_sd", "se"]
     now = now.select("as_of", *KEY, "side", "category", *[F.col(c).alias(f"now_{c}") for c in names])
     both = past.join(now, ["as_of", *KEY, "side", "category"])
@@ -290,12 +313,15 @@ MODELS = ("tour", "context", "raw_player", "shrunk_player")
 
 
 def phased(obs: DataFrame, first: int, last: int, seasons: int = SEASONS) -> tuple[DataFrame, DataFrame]:
-    """(history rows, scored rows) of both phases of every test year: a validation season is scored by the seasons before
-    it, the test season by the seasons before that one, the validation season among them."""
+    """(history sums, scored rows) of both phases of every test year: a validation season is scored by the seasons before
+    it, the test season by the seasons before that one, the validation season among them. Histories are season sums of a
+    player's counts by surface and opponent band, not matches."""
     out = []
+    grain = ["target", "side", "tour", "surface", "player", "season"]
+    yearly = written(obs.groupBy(*grain, text.rank_band(F.col("opponent_rank")).alias("band")).agg(*[F.sum(c).alias(c) for c in COUNTS]))
     for phase, back in (("validation", 1), ("test", 0)):
         scored = obs.withColumns({"phase": F.lit(phase), "test_year": F.col("season") + back}).where(F.col("test_year").between(first, last))
-        past = fold_rows(obs, "season", first - back, last - back, seasons).withColumns({"phase": F.lit(phase), "test_year": F.col("as_of") + back}).drop("as_of")
+        past = fold_rows(yearly, "season", first - back, last - back, seasons).withColumns({"phase": F.lit(phase), "test_year": F.col("as_of") + back}).drop("as_of")
         out.append((past, scored))
     return out[0][0].unionByName(out[1][0]), out[0][1].unionByName(out[1][1])
 
@@ -307,11 +333,10 @@ def priors(history: DataFrame, scored: DataFrame) -> DataFrame:
     Own counts of each level are window sums of one player's rows; the levels' totals are small tables of tours,
     surfaces and bands.
     """
-    band = text.rank_band(F.col("opponent_rank"))
     grain = [*CASE, "surface", "band", "player"]
     sums = lambda prefix="": [F.sum(c).alias(f"{prefix}{c}") for c in COUNTS]
-    h = history.withColumn("band", band).groupBy(*grain).agg(*sums())
-    s = scored.withColumn("band", band)
+    h = history.groupBy(*grain).agg(*sums())
+    s = scored.withColumn("band", text.rank_band(F.col("opponent_rank")))
     cases = h.unionByName(s.select(*grain, *[F.lit(0).cast("long").alias(c) for c in COUNTS])).groupBy(*grain).agg(*sums())
     by_player, by_tour = W.partitionBy(*CASE, "player", "surface"), W.partitionBy(*CASE, "player")
     cases = cases.withColumns({f"s_{c}": F.sum(c).over(by_player) for c in COUNTS} | {f"t_{c}": F.sum(c).over(by_tour) for c in COUNTS})
@@ -369,8 +394,8 @@ def scores(rows: DataFrame, strength: Column) -> DataFrame:
 def eligible(obs: DataFrame, first: int, last: int, least: Sequence[int], seasons: int = SEASONS) -> DataFrame:
     """(test_year, target, tour, player, surface, least_matches): players with so many valid matches in the seasons before
     validation that were observed in validation and test, too."""
-    matches = obs.select("target", *KEY, "season", "match_id").distinct()
-    history = fold_rows(matches, "season", first - 1, last - 1, seasons).groupBy((F.col("as_of") + 1).alias("test_year"), "target", *KEY).agg(F.count_distinct("match_id").alias("n"))
+    matches = obs.groupBy("target", *KEY, "season").agg(F.count_distinct("match_id").alias("n"))
+    history = fold_rows(matches, "season", first - 1, last - 1, seasons).groupBy((F.col("as_of") + 1).alias("test_year"), "target", *KEY).agg(F.sum("n").alias("n"))
     present = lambda back: matches.select((F.col("season") + back).alias("test_year"), "target", *KEY).distinct()
     keys = ["test_year", "target", *KEY]
     both = history.join(present(1), keys, "left_semi").join(present(0), keys, "left_semi")

@@ -15,11 +15,30 @@ def split_halves(df: DataFrame, group: list[str], order: list[str], alternating:
 
 
 def fold_rows(df: DataFrame, year: str, first: int, last: int, window: int) -> DataFrame:
-    """Add as_of: each row in every fold whose history [as_of - window, as_of) holds its year."""
+    """Add as_of: each row in every fold whose history [as_of - window, as_of) holds its year; meant for sums by year, whose
+    number does not grow with the rows behind them."""
     low, high = F.greatest(F.col(year) + 1, F.lit(first)), F.least(F.col(year) + window, F.lit(last))
     return df.withColumn("as_of", F.explode(F.when(low <= high, F.sequence(low, high))))
 
 
+def rolling_distinct(df: DataFrame, group: list[str], year: str, value: str, first: int, last: int, window: int) -> DataFrame:
+    """(group, as_of, n): distinct values in each history [as_of - window, as_of) from ``first`` to ``last`` that has any.
+
+    Distinct counts do not add up over years, but spans do: a value seen in a year is in the histories of the ``window``
+    years after it, up to the year in which it is seen again, whose own span goes on from there. The spans of a value do
+    not overlap, so a history's count is the number of spans that hold its year: sums of +1 and -1 at their ends. No row
+    is repeated per history. Nulls do not count.
+    """
+    seen = df.where(F.col(value).isNotNull()).select(*group, F.col(year).alias("y"), F.col(value).alias("v")).distinct()
+    again = F.lead("y").over(W.partitionBy(*group, "v").orderBy("y"))
+    spans = seen.select(*group, F.greatest(F.col("y") + 1, F.lit(first)).alias("begin"), F.least(F.col("y") + window, F.lit(last), again).alias("end")).where("begin <= end")
+    ends = F.explode(F.array(F.struct(F.col("begin").alias("at"), F.lit(1).alias("d")), F.struct((F.col("end") + 1).alias("at"), F.lit(-1).alias("d"))))
+    steps = spans.select(*group, ends.alias("x")).groupBy(*group, "x.at").agg(F.sum("x.d").alias("d"))
+    w = W.partitionBy(*group).orderBy("at")  # a row per year at most
+    held = steps.select(*group, "at", F.sum("d").over(w).alias("n"), F.lead("at").over(w).alias("upto")).where("n > 0")
+    return held.select(*group, F.explode(F.sequence("at", F.col("upto") - 1)).alias("as_of"), "n")
+
+
 def top_k(df: DataFrame, count: str, name: str, k: int) -> DataFrame:
     return df.orderBy(F.desc(count), name).limit(k)
 

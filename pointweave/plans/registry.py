@@ -299,8 +299,10 @@ def J12_fold_expand(spark: SparkSession, d: str) -> DataFrame:
     """Histories of three seasons before every season that has so many before it."""
     p = points(spark, d)
     low, high = studies.years(p)
-    f = windows.fold_rows(p, "season", low + 3, high, 3)
-    return f.groupBy("as_of", "player").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"), F.count_distinct("match_id").alias("matches"))
+    yearly = p.groupBy("player", "season").agg(F.count(F.lit(1)).alias("n"), F.sum("hit").alias("hits"))
+    f = windows.fold_rows(yearly, "season", low + 3, high, 3).groupBy("as_of", "player").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    matches = windows.rolling_distinct(p, ["player"], "season", "match_id", low + 3, high, 3)
+    return f.join(matches.select("as_of", "player", F.col("n").cast("long").alias("matches")), ["as_of", "player"])
 
 
 @registered(f"{POINTS}, m AS (SELECT season, tour, player, sum(hit)::BIGINT AS s, count(*) AS t FROM points GROUP BY ALL) SELECT season, tour, player, (sum(s) OVER w - s)::BIGINT AS other_s, (sum(t) OVER w - t)::BIGINT AS other_t FROM m WINDOW w AS (PARTITION BY season, tour)")
@@ -445,7 +447,7 @@ def M9_cluster_se(spark: SparkSession, d: str) -> DataFrame:
     """From residuals about each player's rate, so that nothing cancels."""
     m = points(spark, d).groupBy("player", "match_id").agg(F.sum("hit").alias("c1"), F.count(F.lit(1)).alias("t"))
     rows = m.select("player", "match_id", "c1", (F.col("t") - F.col("c1")).alias("c2"), F.lit(0).cast("long").alias("c3"), F.lit(2).alias("k"), F.lit("hit").alias("target"), F.lit("").alias("side"))
-    return studies.component_estimates(rows, ["player"]).where("matches > 1").select("player", "matches", r6(F.col("se")).alias("se"))
+    return studies.component_estimates(studies.partials(rows, ["player"]), ["player"]).where("matches > 1").select("player", "matches", r6(F.col("se")).alias("se"))
 
 
 Z = "1.959963984540054"

@@ -52,10 +52,7 @@ def S2_shard_counts(spark: SparkSession, d: str) -> DataFrame:
     """Rows of each shard, and the usable points credited to the first shard that has them: what adding each shard's
     counters and taking back those of later conflicts comes to (A5)."""
     paths = _shards(spark, d)
-    root = paths[0].rpartition("/")[0]
-    readers.same_headers(spark, paths)
-    raw = spark.read.option("basePath", root).csv(paths, header=True, escape='"').withColumn("shard", F.col("shard").cast("string"))
-    raw = raw.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in raw.columns])
+    raw = readers.read_csv(spark, paths, list(POINT)).withColumn("shard", F.regexp_extract("source_file", "shard=([0-9]+)", 1)).drop("source_file")
     values = [c for c in POINT if c not in ("match_id", "Pt")]
     row = F.struct(*values)
     g = raw.groupBy("match_id", "Pt").agg(F.min(row).eqNullSafe(F.max(row)).alias("one"), F.min("shard").alias("shard")).where("one").groupBy("shard").agg(F.count(F.lit(1)).alias("usable_rows"))

@@ -286,7 +286,7 @@ def M16_component_estimates(spark: SparkSession, d: str) -> DataFrame:
     r = records(spark, d)
     low, high = studies.years(r)
     obs = studies.observations(r).where("target = 'direction_1'")
-    est = studies.component_estimates(studies.histories(obs, studies.WINDOWS, low + min(studies.WINDOWS), high - 1), ["window", "as_of", *studies.KEY])
+    est = studies.component_estimates(studies.histories(studies.partials(obs), studies.WINDOWS, low + min(studies.WINDOWS), high - 1), ["window", "as_of", *studies.KEY])
     est = est.where((F.col("as_of") >= F.lit(low) + F.col("window")) & (F.col("matches") > 1))
     return est.select("window", "as_of", *studies.KEY, "side", "category", "matches", *[r6(F.col(c)).alias(c) for c in ("share", "conditional_mean", "conditional_sd", "se")])
 
@@ -418,7 +418,7 @@ def G17_history_counts(spark: SparkSession, d: str) -> DataFrame:
     """A player's counts at each level of every history: its band and surface, its surface, its tour."""
     history, _ = studies.phased(*_first_last(spark, d))
     grain = [*studies.CASE, "surface", "band", "player"]
-    g = history.withColumn("band", text.rank_band(F.col("opponent_rank"))).groupBy(*grain).agg(*[F.sum(c).alias(c) for c in studies.COUNTS])
+    g = history.groupBy(*grain).agg(*[F.sum(c).alias(c) for c in studies.COUNTS])
     return g.withColumns({"surface_c1": F.sum("c1").over(W.partitionBy(*studies.CASE, "player", "surface")), "tour_c1": F.sum("c1").over(W.partitionBy(*studies.CASE, "player"))})
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pointweave.functions import text
 from pointweave.operators.integrity import collapse, grouped, require
+from pointweave.sources.records import read_records
+from pointweave.sources.shared import shared_dir
+
+__all__ = ["shared_dir"]
 
 #: Columns that the sources must have.
 POINTS = ["match_id", "Pt", "Set1", "Set2", "Gm1", "Gm2", "Pts", "Svr", "PtWinner"]
@@ -23,18 +24,23 @@ GRAIN = ("match_id", "player", "server", "returner", "set", "row")
 STATES = ["match_id", "sets_p1", "sets_p2", "games_p1", "games_p2", "points_p1", "points_p2", "server", "is_tiebreak", "timestamp_utc"]
 
 
-def read_csv(spark: SparkSession, path: str | list[str], required: list[str], sep: str = ",") -> DataFrame:
-    """All columns as strings, empty cells as empty strings, with the file each row came from. Gzip files read alike."""
-    df = spark.read.csv(path, header=True, multiLine=True, escape='"', sep=sep, encoding="UTF-8")
+def read_csv(spark: SparkSession, path: str | list[str], required: list[str], sep: str = ",", ordinal: bool = False) -> DataFrame:
+    """All columns as strings, empty cells as empty strings, with the file each row came from, and with ``ordinal`` its
+    place in the file. Headers must agree; files are read in byte ranges, gzip files whole."""
+    df = read_records(spark, path, sep)
     require(df, required)
-    return df.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns], F.col("_metadata.file_path").alias("source_file"))
+    return df if ordinal else df.drop("ordinal")
+
 
+def first_seen(rows: DataFrame, keys: list[str], paths: list[str]) -> DataFrame:
+    """The row of each key that stands first, in the order of ``paths`` and in the file, of rows read with ``ordinal``.
 
-def same_headers(spark: SparkSession, paths: list[str]) -> None:
-    """Every shard has the same header; only first lines are read."""
-    heads = {tuple(spark.read.csv(p, header=True).columns) for p in paths}
-    if len(heads) > 1:
-        raise ValueError(f"headers differ: {sorted(heads)}")
+    The place travels with the row, so nothing depends on how tasks are scheduled; copies are reduced before the shuffle.
+    """
+    names = F.array(*[F.lit(p.rstrip("/").split("://")[-1].lstrip("/")) for p in paths])
+    turn = F.array_position(F.transform(names, lambda n: F.contains("source_file", n)), True)
+    first = F.min_by(F.struct(*rows.columns), F.struct(turn.alias("turn"), F.col("source_file"), F.col("ordinal")))
+    return rows.groupBy(*keys).agg(first.alias("r")).select("r.*").drop("ordinal")
 
 
 def parsed_points(raw: DataFrame) -> DataFrame:
@@ -59,7 +65,6 @@ def read_points(spark: SparkSession, paths: list[str], reject_conflicts: bool =
 
 def read_shards(spark: SparkSession, paths: list[str], required: list[str] = POINTS) -> DataFrame:
     """All shards in one scan after a check of their first lines; source_file is the name of a row's shard."""
-    same_headers(spark, paths)
     return read_csv(spark, paths, required).withColumn("source_file", F.element_at(F.split("source_file", "/"), -1))
 
 
@@ -132,9 +137,9 @@ def canonical_id(namespace: str, tour: Column, *parts: Column) -> Column:
 def read_context(spark: SparkSession, root: str, namespace: str = "context") -> DataFrame:
     """Rows of the archive's files under atp/ and wta/ whose names are those of matches: tour from the folder, family from
     the name, canonical id, typed date, and whether the row is valid (a date and no blank identity)."""
-    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root, header=True, multiLine=True, escape='"')
+    raw = read_records(spark, root, name=ARCHIVE, recursiveFileLookup="true", pathGlobFilter="*.csv")
     require(raw, CONTEXT)
-    raw = raw.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in CONTEXT], F.col("_metadata.file_path").alias("path")).where(F.col("path").rlike(ARCHIVE))
+    raw = raw.select(*CONTEXT, F.col("source_file").alias("path"))
     family = F.regexp_extract("path", ARCHIVE, 2)
     rows = raw.withColumns({"tour": F.upper(F.regexp_extract("path", ARCHIVE, 1)), "family": F.when(family == "", "tour").otherwise(family), "source_file": F.array_join(F.slice(F.split("path", "/"), -2, 2), "/"), "date": text.compact_date(F.col("tourney_date"))})
     valid = F.col("date").isNotNull()
@@ -190,17 +195,6 @@ def sniffed(spark: SparkSession, path: str, delimiters: str = ",;") -> str:
     return max(delimiters, key=lambda c: (bare.count(c), -delimiters.index(c)))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A folder that every executor sees: spark.checkpoint.dir, or an own one where that is unset and all is local."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        base = "file://" + tempfile.mkdtemp(prefix="pointweave-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/pointweave-{uuid.uuid4().hex}"
-
-
 def write_csv(df: DataFrame, path: str, sep: str = ",", compression: str = "none") -> str:
     """All columns with a header; refuses to overwrite."""
     df.write.mode("errorifexists").csv(path, header=True, sep=sep, compression=compression, escape='"', emptyValue="")

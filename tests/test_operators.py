@@ -1,3 +1,6 @@
+import re
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,3 +65,14 @@ def test_names_are_normalised_whole(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["name"]: r["identity"] for r in registry.P2_normalize(spark, str(tmp_path)).collect()}
     assert got == {rows[0][1]: "zoe o connor of new york", rows[2][1]: "zoe o connor"}
+
+
+def test_identity_of_every_character(spark):
+    """Each assigned code point between letters, against the decomposition by the library; no Python worker in the plan."""
+    points = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.category(chr(c)) != "Cn" and c < 0x20000 or c in (0x2F800, 0x2F9FF)]
+    df = spark.createDataFrame([(c, f"a{chr(c)}B") for c in points], "c int, name string").repartition(4)
+    out = df.select("c", normalise_identity(F.col("name")).alias("identity"))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString() and "Arrow" not in out._jdf.queryExecution().executedPlan().toString()
+    want = lambda t: " ".join(re.sub("[^a-z0-9]+", " ", unicodedata.normalize("NFKD", t).encode("ascii", "ignore").decode().lower()).split(" ")).strip(" ")
+    wrong = [(r["c"], r["identity"]) for r in out.collect() if r["identity"] != want(f"a{chr(r['c'])}B")]
+    assert wrong == [] and len(points) > 100_000

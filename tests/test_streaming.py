@@ -44,3 +44,26 @@ def test_conflicts_are_taken_back(spark, tmp_path):
     every = spark.createDataFrame([r for f in files for r in f], "m string, p int, v string")
     assert {k for k, n in kept.items() if n} == {(r["m"], r["p"]) for r in collapse(every, ["m", "p"], ["v"]).collect()}
     assert all(n in (0, 1) for n in kept.values())
+
+
+def test_state_expires_and_survives_restarts(spark, tmp_path):
+    """Started anew for each batch on one checkpoint: changes add up to the batch policy, and old keys leave the state."""
+    batches = [
+        [("a", 1, "x", "2026-01-01 00:00:00"), ("b", 1, "x", "2026-01-01 00:00:00")],
+        [("a", 1, "x", "2026-01-02 00:00:00"), ("b", 1, "y", "2026-01-02 00:00:00"), ("c", 1, "z", "2026-01-02 00:00:00")],
+        [("a", 1, "w", "2026-01-03 00:00:00")],
+        [("d", 1, "x", "2026-03-01 00:00:00")],
+        [("e", 1, "x", "2026-05-01 00:00:00")],
+    ]
+    kept = []
+    for k, rows in enumerate(batches):
+        df = spark.createDataFrame(rows, "m string, p int, v string, at string").withColumn("at", F.col("at").cast("timestamp"))
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        source = spark.readStream.schema(df.schema).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        changes = live.usable_changes(source, ["m", "p"], ["v"], "at", keep_ms=10 * 86_400_000)
+        query = changes.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+        query.awaitTermination()
+        kept.append([p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress][-1])
+    sums = {r["m"]: r["s"] for r in spark.read.parquet(f"{tmp_path}/out").groupBy("m").agg(F.sum("change").alias("s")).collect()}
+    assert sums == {"a": 0, "b": 0, "c": 1, "d": 1, "e": 1}
+    assert kept[:3] == [2, 3, 3] and kept[-1] == 1  # a, b and c went with March, d with May
