@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.llm.common import cut
+from pointweave.llm.common import cut, named
 
 
 def either_case(word: str) -> str:
@@ -113,7 +113,8 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: id, base_spans and linked_spans (arrays of start, kind number, end in code points).
 
     A null text counts as empty and has no spans. A scope is one text; equal texts share their links, so a text
-    copied a million times is joined once. Rows that share an id keep a row each. Other columns are not read.
+    copied a million times is joined once. Rows that share an id keep a row each; an empty table gives no rows. Other
+    columns are not read; a result column that the id has the name of gets ``_result`` behind it.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed_text = text.rlike("[:=]")
@@ -121,19 +122,23 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = {k: found(text, p, k, least, group) for k, (p, least, group) in BASE.items()}
     base["assign"] = F.when(keyed_text, base["assign"]).otherwise(none)
     weak = {k: F.when(keyed_text, found(text, p, k)).otherwise(none) for k, p in WEAK.items()}
-    slim = docs.select(F.col(id_col), F.concat(*base.values()).alias("base_spans"), F.concat(*weak.values()).alias("weak_spans"), F.when(F.size(F.concat(*weak.values())) > 0, F.sha2(text, 256)).alias("scope_key"))
+    slim = docs.select(F.col(id_col).alias("pw_id"), F.concat(*base.values()).alias("base_spans"), F.concat(*weak.values()).alias("weak_spans"), F.when(F.size(F.concat(*weak.values())) > 0, F.sha2(text, 256)).alias("scope_key"))
     slim = cut(slim, "secret-spans")
     texts = slim.where(F.col("scope_key").isNotNull()).groupBy("scope_key").agg(F.first(F.concat("base_spans", "weak_spans")).alias("all_spans"))
     parts = texts.select("scope_key", F.explode("all_spans").alias("span"))
     links = linked(parts, scope).groupBy("scope_key").agg(F.collect_list("span").alias("linked_spans"))
-    plain = slim.where(F.col("scope_key").isNull()).select(id_col, "base_spans", none.alias("linked_spans"))
+    plain = slim.where(F.col("scope_key").isNull()).select("pw_id", "base_spans", none.alias("linked_spans"))
     scoped = slim.where(F.col("scope_key").isNotNull()).join(links, "scope_key", "left")
-    return plain.unionByName(scoped.select(id_col, "base_spans", F.coalesce("linked_spans", none).alias("linked_spans")))
+    every = plain.unionByName(scoped.select("pw_id", "base_spans", F.coalesce("linked_spans", none).alias("linked_spans")))
+    return every.toDF(id_col, *named(id_col, ["base_spans", "linked_spans"]))
 
 
 def secret_digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    counts = [F.size(of_kind(F.col("base_spans"), [k])).cast("long").alias(f"n_{k}") for k in BASE]
-    return scanned.select(id_col, *counts, F.sha2(rendered(F.col("base_spans")), 256).alias("base_sha256"), rendered(F.concat("base_spans", "linked_spans")).alias("spans"))
+    base, linked_ = named(id_col, ["base_spans", "linked_spans"])
+    counts = [F.size(of_kind(F.col(base), [k])).cast("long") for k in BASE]
+    columns = [*counts, F.sha2(rendered(F.col(base)), 256), rendered(F.concat(base, linked_))]
+    names = named(id_col, [*(f"n_{k}" for k in BASE), "base_sha256", "spans"])
+    return scanned.select(id_col, *(c.alias(n) for c, n in zip(columns, names, strict=True)))
 
 
 def _sql_found(kind: str, pattern: str, least: int, group: int) -> str:

@@ -108,4 +108,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 40, seed: int = 17, id_co
 
 
 def shard_digest(dealt: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return dealt.select(id_col, "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"))
+    """The contract's columns of shuffle_into_shards."""
+    size, crc, shard, slot = named(id_col, ["size", "text_crc32", "shard", "slot"])
+    law, grown = named(id_col, ["law", "grown_shard"])
+    return dealt.select(id_col, size, crc, F.lit("rows").alias(law), F.col(shard).cast("int").alias(shard), slot, F.lit(None).cast("int").alias(grown))
