@@ -208,18 +208,62 @@ def seed_hits(texts: DataFrame, seeds: DataFrame) -> DataFrame:
     return in_batches(texts.select("key", "text"), run, "key long, hash long, pos long")
 
 
+def counted(keys: np.ndarray, items: np.ndarray, m: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, item, m, block) of the blocks with NEEDED hits, of all hits of some texts.
+
+    Texts and items are told apart by mixed 64-bit codes; two that met would add a block in vain.
+    """
+    with np.errstate(over="ignore"):
+        both = keys * np.int64(-7046029254386353131) ^ items * np.int64(-4417276706812531889)
+        _, place, many = np.unique(both, return_inverse=True, return_counts=True)
+        enough = many[place] >= 1 + m // 8
+        keys, items, m, pos, both = (x[enough] for x in (keys, items, m, pos, both))
+        block = pos // (SPAN * m)
+        keys, items, m, both = (np.concatenate([x, x]) for x in (keys, items, m, both))
+        block = np.concatenate([block, block - 1])
+        _, first, many = np.unique(both * np.int64(-3335678366873096957) + block * np.int64(-8796714831421723037), return_index=True, return_counts=True)
+    first = first[(many >= 1 + m[first] // 8) & (block[first] >= 0)]
+    return keys[first], items[first], m[first], block[first]
+
+
+def seeded_blocks(pairs: DataFrame) -> DataFrame:
+    """(key, item, m, block) of (key, item, m, pos) rows in which the hits of a text stand together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4
+        for b in batches:
+            rows = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, b.columns, strict=True)]
+            if not len(rows[0]):
+                continue
+            others = np.flatnonzero(rows[0] != rows[0][-1])
+            upto = int(others[-1]) + 1 if len(others) else 0
+            held = [x[upto:] for x in rows]
+            yield batch(counted(*(x[:upto] for x in rows)))
+        yield batch(counted(*held))
+
+    def batch(columns: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "item", "m", "block"])
+
+    return in_batches(pairs, run, "key long, item long, m long, block long", 65_536)
+
+
 def candidates(texts: DataFrame, items: DataFrame) -> DataFrame:
     """(key, found): the items whose seeds a text may hold often enough, as (item_id, words, blocks).
 
-    Blocks are SPAN * m words apart and twice as long, so what an item spans lies whole in one of them; hits are counted
-    by block, before the shuffle, too. Seeds are joined by a broadcast while they are few, else by a shuffle.
+    Blocks are SPAN * m words apart and twice as long, so what an item spans lies whole in one of them. While seeds are
+    few they are broadcast; the hits of a text then stand together and are counted where they are. Else both sides are
+    shuffled, and counts once more.
     """
     seeds = rare_seeds(items, document_counts(texts, items))
-    pairs = seed_hits(texts, seeds).join(small(seeds, 32, seeds.count()), "hash")
-    block = F.expr(f"pos div ({SPAN} * m)")
-    placed = pairs.select("key", "item", "m", F.explode(F.array(block, block - 1)).alias("block")).where("block >= 0")
-    blocks = placed.groupBy("key", "item", "m", "block").agg(F.count(F.lit(1)).alias("n")).where("n >= " + NEEDED.format(m="m"))
-    met = cut(blocks.groupBy("key", "item").agg(F.collect_list("block").alias("blocks")), "seeded-items")
+    joined = small(seeds, 32, seeds.count())
+    pairs = seed_hits(texts, seeds).join(joined, "hash").select("key", "item", "m", "pos")
+    if joined is not seeds:
+        blocks = seeded_blocks(pairs)
+    else:
+        block = F.expr(f"pos div ({SPAN} * m)")
+        placed = pairs.select("key", "item", "m", F.explode(F.array(block, block - 1)).alias("block")).where("block >= 0")
+        blocks = placed.groupBy("key", "item", "m", "block").agg(F.count(F.lit(1)).alias("n")).where("n >= " + NEEDED.format(m="m"))
+    met = cut(blocks.groupBy("key", "item").agg(F.collect_set("block").alias("blocks")), "seeded-items")
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
     return cut(met.join(small(items, 64 + 8 * longest), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "words", "blocks")).alias("found")), "candidates")
 
