@@ -10,7 +10,7 @@ from pointweave.functions import text
 from pointweave.functions.metrics import serve_in, terminal
 from pointweave.functions.notation import parse_notation
 from pointweave.operators import integrity, studies
-from pointweave.plans import charting, registry, sources
+from pointweave.plans import audits, charting, registry, sources  # noqa: F401, audits registers what E7 is made of
 from pointweave.plans.registry import KEYS, r6, read, registered
 from pointweave.plans.studies import RECORDS, _profile_sql, records
 
@@ -90,25 +90,43 @@ def _rows_sql(sql: str, section: str, columns: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{section}' AS section, '{c}' AS name, {c}::BIGINT AS value FROM ({sql})" for c in columns)
 
 
+def _long(df: DataFrame, section: str, by: str, columns: list[str]) -> DataFrame:
+    """Figures of several things as (section and thing, name, value) rows."""
+    figures = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("long").alias("value")) for c in columns]))
+    return df.select(F.concat_ws(" ", F.lit(section), F.col(by).cast("string")).alias("section"), figures.alias("x")).select("section", "x.*")
+
+
+def _long_sql(sql: str, section: str, by: str, columns: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{section} ' || {by}, '{c}', {c}::BIGINT FROM ({sql})" for c in columns)
+
+
 _DEDUP = ["raw_rows", "unique_keys", "usable_rows", "duplicate_groups", "exact_groups", "conflicting_groups", "excess_rows", "conflicting_rows"]
 _META = ["ids", "duplicate_ids", "conflicting_ids", "anomalous_ids", "safe_ids"]
+_COMPLETE = ["n_rows", "non_empty", "n_valid"]
+_FILE = ["rows", "duplicate_rows", "duplicate_groups", "exact_groups", "conflicting_groups", "conflicting_matches", "numbers", "invalid_numbers", "negative_numbers", "matches", "orphan_ids", "charted_covered", "players"]
+_RECONCILED = ["comparable", "exact", "marginal_exact"]
 _SQL = registry._SQL
 E7 = " UNION ALL ".join([
     _rows_sql(_SQL["A1_dedup_counts"], "points", _DEDUP), _rows_sql(_SQL["A2_metadata_dedup"], "metadata", _META), _rows_sql(_SQL["J1_orphans"], "orphans", ["orphan_rows", "orphan_ids"]),
     f"SELECT 'notation ' || field, name, n FROM ({_SQL['G3_notation_counters']}) WHERE kind IN ('validity', 'attribute', 'issue')",
     f"SELECT 'exposure', 'players', count(*) FROM ({_SQL['G5_exposure']}) UNION ALL SELECT 'exposure', 'matches', sum(matches)::BIGINT FROM ({_SQL['G5_exposure']})",
     f"SELECT 'values ' || dimension, value, n FROM ({_SQL['G28_match_values']})",
+    _long_sql(_SQL["G2_field_completeness"], "fields", "field", _COMPLETE), f"SELECT 'coverage ' || dimension, value::VARCHAR, points FROM ({_SQL['G29_field_coverage']})",
+    _long_sql(_SQL["G26_aggregate_files"], "aggregates", "file", _FILE), _long_sql(_SQL["G10_reconcile_overview"], "reconciliation", "metric", _RECONCILED),
 ])
 
 
 @registered(E7)
 def E7_snapshot_profile(spark: SparkSession, d: str) -> DataFrame:
-    """The figures of a whole snapshot: duplicates, metadata, orphans, notation, exposure and match values."""
-    q = registry.queries()
-    notes = q["G3_notation_counters"](spark, d).where("kind in ('validity', 'attribute', 'issue')").select(F.concat_ws(" ", F.lit("notation"), "field").alias("section"), "name", F.col("n").alias("value"))
-    exposed = q["G5_exposure"](spark, d).agg(F.count(F.lit(1)).alias("players"), F.sum("matches").alias("matches"))
-    values = q["G28_match_values"](spark, d).select(F.concat_ws(" ", F.lit("values"), "dimension").alias("section"), F.col("value").alias("name"), F.col("n").alias("value"))
-    parts = [_rows(q["A1_dedup_counts"](spark, d), "points"), _rows(q["A2_metadata_dedup"](spark, d), "metadata"), _rows(q["J1_orphans"](spark, d), "orphans"), notes, _rows(exposed, "exposure"), values]
+    """The figures of a whole snapshot: duplicates, metadata, orphans, notation, exposure, match values, field completeness,
+    coverage by season, tournament and player, aggregate files and reconciliation."""
+    q = {k: (lambda f=f: f(spark, d)) for k, f in registry.queries().items()}
+    notes = q["G3_notation_counters"]().where("kind in ('validity', 'attribute', 'issue')").select(F.concat_ws(" ", F.lit("notation"), "field").alias("section"), "name", F.col("n").alias("value"))
+    exposed = q["G5_exposure"]().agg(F.count(F.lit(1)).alias("players"), F.sum("matches").alias("matches"))
+    values = q["G28_match_values"]().select(F.concat_ws(" ", F.lit("values"), "dimension").alias("section"), F.col("value").alias("name"), F.col("n").alias("value"))
+    covered = q["G29_field_coverage"]().select(F.concat_ws(" ", F.lit("coverage"), "dimension").alias("section"), F.col("value").cast("string").alias("name"), F.col("points").alias("value"))
+    parts = [_rows(q["A1_dedup_counts"](), "points"), _rows(q["A2_metadata_dedup"](), "metadata"), _rows(q["J1_orphans"](), "orphans"), notes, _rows(exposed, "exposure"), values, covered]
+    parts += [_long(q["G2_field_completeness"](), "fields", "field", _COMPLETE), _long(q["G26_aggregate_files"](), "aggregates", "file", _FILE), _long(q["G10_reconcile_overview"](), "reconciliation", "metric", _RECONCILED)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
