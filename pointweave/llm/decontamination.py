@@ -99,12 +99,14 @@ def best_copies(words: np.ndarray, items: list[tuple[np.ndarray, list[int]]]) ->
         ends: list[list[int]] = []
         for b in sorted(set(blocks)):
             first, last = b * SPAN * m, min(len(words), (b + 2) * SPAN * m)
+            # a score is at most MATCH for each word of the item that the block has: fewer cannot reach LEAST_SCORE
+            if np.isin(item, words[first:last]).sum() < LEAST_SCORE * m:
+                continue
             if ends and first <= ends[-1][1]:
                 ends[-1][1] = max(last, ends[-1][1])
             else:
                 ends.append([first, last])
-        # a score is at most MATCH for each word of the item that the stretch has: fewer cannot reach LEAST_SCORE
-        jobs += [(k, s, e) for s, e in ends if np.isin(item, words[s:e]).sum() >= LEAST_SCORE * m]
+        jobs += [(k, s, e) for s, e in ends]
     jobs.sort(key=lambda j: (j[2] - j[1], len(items[j[0]][0])))
     best: dict[int, tuple] = {}
     while jobs:
@@ -186,10 +188,10 @@ def document_counts(texts: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def rare_seeds(items: DataFrame, counts: DataFrame) -> DataFrame:
-    """(hash, item, m): the RARE places of each item, those first whose word is in the fewest documents."""
+    """(hash, item, m, places): the RARE places of each item, those first whose word is in the fewest documents, by word."""
     places = items.select("item", F.size("words").alias("m"), F.posexplode("words").alias("place", "hash")).join(counts, "hash", "left")
     turn = F.row_number().over(W.partitionBy("item").orderBy(F.coalesce("docs", F.lit(0)), "hash", "place"))
-    return cut(places.withColumn("turn", turn).where("turn <= " + RARE.format(m="m")).select("hash", "item", "m").distinct(), "seeds")
+    return cut(places.withColumn("turn", turn).where("turn <= " + RARE.format(m="m")).groupBy("hash", "item", "m").agg(F.count(F.lit(1)).alias("places")), "seeds")
 
 
 def seed_hits(texts: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -208,29 +210,39 @@ def seed_hits(texts: DataFrame, seeds: DataFrame) -> DataFrame:
     return in_batches(texts.select("key", "text"), run, "key long, hash long, pos long")
 
 
-def counted(keys: np.ndarray, items: np.ndarray, m: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(key, item, m, block) of the blocks with NEEDED hits, of all hits of some texts.
+def counted(keys: np.ndarray, items: np.ndarray, m: np.ndarray, places: np.ndarray, hashes: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, item, m, block) of the blocks whose words have NEEDED seeds of an item, of all hits of some texts.
 
-    Texts and items are told apart by mixed 64-bit codes; two that met would add a block in vain.
+    A word counts once in a block, for as many seeds as it stands for. Texts and items are told apart by mixed 64-bit
+    codes; two that met would add a block in vain.
     """
+    rows = (keys, items, m, places, hashes, pos)
+
+    def enough(code: np.ndarray, rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows are the first of their word under a code, and whether the code has the seeds that it needs."""
+        _, once = np.unique(code * np.int64(-3335678366873096957) ^ rows[4], return_index=True)
+        groups, place = np.unique(code, return_inverse=True)
+        seeds = np.bincount(place[once], rows[3][once], len(groups))
+        return seeds[place] >= 1 + rows[2] // 8
+
     with np.errstate(over="ignore"):
         both = keys * np.int64(-7046029254386353131) ^ items * np.int64(-4417276706812531889)
-        _, place, many = np.unique(both, return_inverse=True, return_counts=True)
-        enough = many[place] >= 1 + m // 8
-        keys, items, m, pos, both = (x[enough] for x in (keys, items, m, pos, both))
-        block = pos // (SPAN * m)
-        keys, items, m, both = (np.concatenate([x, x]) for x in (keys, items, m, both))
+        kept = enough(both, rows)
+        *rows, both = (x[kept] for x in (*rows, both))
+        block = rows[5] // (SPAN * rows[2])
+        rows = [np.concatenate([x, x]) for x in rows]
         block = np.concatenate([block, block - 1])
-        _, first, many = np.unique(both * np.int64(-3335678366873096957) + block * np.int64(-8796714831421723037), return_index=True, return_counts=True)
-    first = first[(many >= 1 + m[first] // 8) & (block[first] >= 0)]
-    return keys[first], items[first], m[first], block[first]
+        code = np.concatenate([both, both]) * np.int64(-8796714831421723037) + block
+        kept = enough(code, rows) & (block >= 0)
+        _, first = np.unique(code[kept], return_index=True)
+    return tuple(x[kept][first] for x in (*rows[:3], block))
 
 
 def seeded_blocks(pairs: DataFrame) -> DataFrame:
-    """(key, item, m, block) of (key, item, m, pos) rows in which the hits of a text stand together."""
+    """(key, item, m, block) of (key, item, m, places, hash, pos) rows in which the hits of a text stand together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 4
+        held = [np.zeros(0, np.int64)] * 6
         for b in batches:
             rows = [np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, b.columns, strict=True)]
             if not len(rows[0]):
@@ -256,13 +268,13 @@ def candidates(texts: DataFrame, items: DataFrame) -> DataFrame:
     """
     seeds = rare_seeds(items, document_counts(texts, items))
     joined = small(seeds, 32, seeds.count())
-    pairs = seed_hits(texts, seeds).join(joined, "hash").select("key", "item", "m", "pos")
+    pairs = seed_hits(texts, seeds).join(joined, "hash").select("key", "item", "m", "places", "hash", "pos")
     if joined is not seeds:
         blocks = seeded_blocks(pairs)
     else:
         block = F.expr(f"pos div ({SPAN} * m)")
-        placed = pairs.select("key", "item", "m", F.explode(F.array(block, block - 1)).alias("block")).where("block >= 0")
-        blocks = placed.groupBy("key", "item", "m", "block").agg(F.count(F.lit(1)).alias("n")).where("n >= " + NEEDED.format(m="m"))
+        placed = pairs.select("key", "item", "m", "places", "hash", F.explode(F.array(block, block - 1)).alias("block")).where("block >= 0").distinct()
+        blocks = placed.groupBy("key", "item", "m", "block").agg(F.sum("places").alias("n")).where("n >= " + NEEDED.format(m="m"))
     met = cut(blocks.groupBy("key", "item").agg(F.collect_set("block").alias("blocks")), "seeded-items")
     longest = items.agg(F.max(F.size("words"))).first()[0] or 0
     return cut(met.join(small(items, 64 + 8 * longest), "item").groupBy("key").agg(F.collect_list(F.struct("item_id", "words", "blocks")).alias("found")), "candidates")

@@ -620,7 +620,7 @@ def test_common_words_never_seed(spark):
     """Of an item's words the rarest seed, those that every document has do not."""
     items = spark.createDataFrame([(1, "a", [5, 1, 2, 6, 7, 3, 4, 8])], "item long, item_id string, words array<long>")
     counts = spark.createDataFrame([(1, 900), (2, 900), (3, 900), (4, 10), (5, 3), (6, 2), (7, 900)], "hash long, docs long")
-    assert {r["hash"] for r in decontamination.rare_seeds(items, counts).collect()} == {8, 6, 5, 4, 1, 2}
+    assert {(r["hash"], r["places"]) for r in decontamination.rare_seeds(items, counts).collect()} == {(x, 1) for x in (8, 6, 5, 4, 1, 2)}
 
 
 def mixture(spark, sizes, **wanted):
