@@ -87,38 +87,57 @@ def coded(item: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return own + 1, np.where(known[at] == words, at + 1, 0)
 
 
-def best_copies(words: np.ndarray, items: list[tuple[np.ndarray, list[int]]]) -> list[tuple[int, float, int, int, int]]:
-    """(item, score, seeds, first word, last word) of the items that a text copies.
+def stretches(words: np.ndarray, order: np.ndarray, item: np.ndarray, blocks: list[int]) -> list[list[int]]:
+    """The parts of a text, of ``blocks`` put together, that may hold a copy of an item; ``order`` sorts the text's words.
 
-    Each item comes with the blocks of the text in which its seeds are; a copy lies whole in one of them. seeds: words
-    of the item in the aligned stretch.
+    A score is at most MATCH for each word of the item that a block has: blocks with fewer than LEAST_SCORE asks for are
+    left out.
+    """
+    m = len(item)
+    known, places = np.unique(item, return_counts=True)
+    low, high = (np.searchsorted(words, known, side, sorter=order) for side in ("left", "right"))
+    many = high - low
+    word = np.repeat(np.arange(len(known)), many)
+    pos = order[np.repeat(low - np.cumsum(many) + many, many) + np.arange(int(many.sum()))]
+    base = pos // (SPAN * m)
+    top = int(len(words) // (SPAN * m)) + 1
+    code = np.unique(np.concatenate([(base + 1) * len(known) + word, base * len(known) + word]))
+    held = np.bincount(code // len(known), places[code % len(known)], top + 1)  # of block b at b + 1
+    out: list[list[int]] = []
+    for b in sorted(set(blocks)):
+        if held[b + 1] < LEAST_SCORE * m:
+            continue
+        first, last = b * SPAN * m, min(len(words), (b + 2) * SPAN * m)
+        if out and first <= out[-1][1]:
+            out[-1][1] = max(last, out[-1][1])
+        else:
+            out.append([first, last])
+    return out
+
+
+def best_copies(texts: list[tuple[np.ndarray, list[tuple[np.ndarray, list[int]]]]]) -> list[tuple[int, int, float, int, int, int]]:
+    """(text, item, score, seeds, first word, last word) of the items that texts copy, all texts aligned together.
+
+    Each text comes with its items, and each item with the blocks of the text in which its seeds are; a copy lies whole in
+    one of them. seeds: words of the item in the aligned stretch.
     """
     jobs = []
-    for k, (item, blocks) in enumerate(items):
-        m = len(item)
-        ends: list[list[int]] = []
-        for b in sorted(set(blocks)):
-            first, last = b * SPAN * m, min(len(words), (b + 2) * SPAN * m)
-            # a score is at most MATCH for each word of the item that the block has: fewer cannot reach LEAST_SCORE
-            if np.isin(item, words[first:last]).sum() < LEAST_SCORE * m:
-                continue
-            if ends and first <= ends[-1][1]:
-                ends[-1][1] = max(last, ends[-1][1])
-            else:
-                ends.append([first, last])
-        jobs += [(k, s, e) for s, e in ends]
-    jobs.sort(key=lambda j: (j[2] - j[1], len(items[j[0]][0])))
-    best: dict[int, tuple] = {}
+    for t, (words, items) in enumerate(texts):
+        order = np.argsort(words, kind="stable")
+        jobs += [(t, k, s, e) for k, (item, blocks) in enumerate(items) for s, e in stretches(words, order, item, blocks)]
+    jobs.sort(key=lambda j: (j[3] - j[2], len(texts[j[0]][1][j[1]][0])))
+    best: dict[tuple[int, int], tuple] = {}
     while jobs:
-        step = max(1, ROW_CELLS // (jobs[-1][2] - jobs[-1][1]))
+        step = max(1, ROW_CELLS // (jobs[-1][3] - jobs[-1][2]))
         part, jobs = jobs[-step:], jobs[:-step]
-        scores, begin, end = align(*zip(*(coded(items[k][0], words[s:e]) for k, s, e in part), strict=True))
-        for (k, s, _), score, x, y in zip(part, scores, begin, end, strict=True):
-            share = float(score) / (MATCH * len(items[k][0]))
+        scores, begin, end = align(*zip(*(coded(texts[t][1][k][0], texts[t][0][s:e]) for t, k, s, e in part), strict=True))
+        for (t, k, s, _), score, x, y in zip(part, scores, begin, end, strict=True):
+            words, item = texts[t][0], texts[t][1][k][0]
+            share = float(score) / (MATCH * len(item))
             if share >= LEAST_SCORE:
-                got = (share, int(np.isin(items[k][0], words[s + x : s + y + 1]).sum()), int(x + s), int(y + s))
-                best[k] = max(best.get(k, (0.0,)), got)
-    return [(k, *best[k]) for k in sorted(best)]
+                got = (share, int(np.isin(item, words[s + x : s + y + 1]).sum()), int(x + s), int(y + s))
+                best[t, k] = max(best.get((t, k), (0.0,)), got)
+    return [(t, k, *best[t, k]) for t, k in sorted(best)]
 
 
 def word_filter(hashes: DataFrame) -> bytes:
@@ -300,13 +319,14 @@ def benchmark_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, rows = [], []
-            for i, (text, found) in enumerate(zip(b.column("text").cast(pa.large_binary()).to_pylist(), b.column("found").to_pylist(), strict=True)):
-                best: dict[str, tuple] = {}
-                for k, *rest in best_copies(hashed([text])[0], [(np.array(x["words"], np.int64), x["blocks"]) for x in found]):
-                    best[found[k]["item_id"]] = max(best.get(found[k]["item_id"], (0.0,)), tuple(rest))
-                at += [i] * len(best)
-                rows += [(item, *x) for item, x in best.items()]
+            found = b.column("found").to_pylist()
+            hashes, counts = hashed(b.column("text").cast(pa.large_binary()).to_pylist())
+            words = np.split(hashes, np.cumsum(counts)[:-1]) if len(counts) else []
+            texts = [(w, [(np.array(x["words"], np.int64), x["blocks"]) for x in f]) for w, f in zip(words, found, strict=True)]
+            best: dict[tuple[int, str], tuple] = {}
+            for t, k, *rest in best_copies(texts):
+                best[t, found[t][k]["item_id"]] = max(best.get((t, found[t][k]["item_id"]), (0.0,)), tuple(rest))
+            at, rows = [t for t, _ in best], [(item, *x) for (_, item), x in best.items()]
             kinds = (pa.string(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(at, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=inner.names)
