@@ -64,3 +64,16 @@ def test_a_task_counts_equal_values_once(monkeypatch):
         tally.add(("k",), 1, np.array([0.25, 0.5, 0.5]))
     told = next(tally.frames(["key"]))
     assert list(zip(told["at"], told["c"], strict=True)) == [(0.25, 50), (0.5, 100)] and len(tally.values[("k",), 1, 0, 0, True]) < 10
+
+
+def test_draws_go_by_spans_of_slots(spark, monkeypatch):
+    """Spans, not rows, are what draws are worked out from, and every slot of every span draws once per replicate."""
+    monkeypatch.setattr(resampling, "SPAN", 300)
+    rows = spark.range(1000).select(F.lit("g").alias("g"), F.col("id").alias("place"), F.lit(1000).cast("long").alias("n"), F.lit(77).cast("long").alias("number"))
+    counts = resampling.block_counts(rows, "g", 5)
+    assert "MapInPandas" in counts._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for b in range(5):
+        for at in (resampling.drawn(np.int64(77), b, np.arange(1, 1001), 1000) - 1) // resampling.BLOCK:
+            want[b, int(at)] = want.get((b, int(at)), 0) + 1
+    assert {(r["b"], r["block"]): r["m"] for r in counts.collect()} == want
