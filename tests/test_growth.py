@@ -77,3 +77,17 @@ def test_draws_go_by_spans_of_slots(spark, monkeypatch):
         for at in (resampling.drawn(np.int64(77), b, np.arange(1, 1001), 1000) - 1) // resampling.BLOCK:
             want[b, int(at)] = want.get((b, int(at)), 0) + 1
     assert {(r["b"], r["block"]): r["m"] for r in counts.collect()} == want
+
+
+def test_many_small_ranges_share_a_frame(monkeypatch):
+    """Each frame costs more than its rows: 300 keys of one task, null ones too, are not 300 frames, nor is a frame endless."""
+    tally = counting.Tally(None, 9)
+    keys = [(k, rep) for k in ("x", None) for rep in range(150)]
+    for key in keys:
+        tally.add(key, 1, np.array([0.25, 0.5, 0.5]))
+    one, *more = tally.frames(["key", "rep"])
+    assert not more and one["c"].tolist() == [1, 2] * 300 and one["at"].tolist() == [128.0, 256.0] * 300
+    assert list(zip(one["key"], one["rep"], strict=True)) == [k for k in keys for _ in range(2)]
+    monkeypatch.setattr(counting, "FRAME", 100)
+    frames = list(tally.frames(["key", "rep"]))
+    assert len(frames) == 6 and sum(map(len, frames)) == 600
