@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pointweave.functions.notation import parse_notation
+from pointweave.functions.notation import parse_briefly
 from pointweave.functions.text import court_side
 
 #: Serve directions by digit.
@@ -23,9 +23,13 @@ def terminal(p: dict[str, Column]) -> Column:
 
 
 def parsed_cells(df: DataFrame, first: Column, second: Column, points: Column) -> DataFrame:
-    """Add what serve_metrics reads: each cell is parsed once, into one struct, however many counters use it."""
+    """Add what serve_metrics reads. Each cell is parsed once however many counters use it, for PARSED only; a second
+    cell is not parsed where the first one decides, as no counter reads it there."""
     cells = df.withColumns({"pw_first": F.coalesce(first, F.lit("")), "pw_second": F.coalesce(second, F.lit("")), "pw_side": court_side(points)})
-    return cells.withColumns({"pw_one": parse_notation(F.col("pw_first")), "pw_two": parse_notation(F.col("pw_second"))})
+    cells = parse_briefly(cells, "pw_first", "pw_one")
+    open_ = ((F.col("pw_first") == "V") | (F.col("pw_one.outcome") == "serve_fault")) & (F.col("pw_second") != "")
+    cells = cells.withColumn("pw_asked", F.when(open_, F.col("pw_second")).otherwise(""))
+    return parse_briefly(cells, "pw_asked", "pw_two").drop("pw_asked")
 
 
 def serve_metrics() -> dict[str, Column]:

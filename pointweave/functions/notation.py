@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The alphabets of the notation.
@@ -144,3 +144,30 @@ def _named(cell: Column, head: Column, rest: Column, special: Column, served: Co
         F.coalesce(none, F.when(is_rally, rally["rally"]).when(is_fault | is_end, "not_applicable").otherwise("absent")).alias("rally_state"),
         F.coalesce(none, F.when(is_rally, rally["outcome_state"]).when(is_fault | is_end, "observed").otherwise("absent")).alias("outcome_state"),
     )
+
+
+def parse_briefly(df: DataFrame, cell: str, name: str) -> DataFrame:
+    """Add ``name``: struct(direction, shots, outcome, exceptional) of a column of cells, as in ``parse_notation``.
+
+    Columns in place of lambdas, which Spark does not compile: no shot is taken apart. A rally has a repeated modifier
+    where its text has, as types and digits part the shots' modifiers; the shots before it are the types before it, but one.
+    """
+    kept = df.columns
+    c, head, rest, prefix, twice, mark = (F.col(f"pw_cell_{k}") for k in ("c", "head", "rest", "prefix", "twice", "mark"))
+    step = lambda d, k, v: d.withColumn(f"pw_cell_{k}", v)
+    types = lambda t: F.length(t) - F.length(F.translate(t, TYPES, ""))
+    out = step(df, "c", F.coalesce(F.col(cell), F.lit("")))
+    special, served, first = c.isin(*EXCEPTIONAL), head != "", F.substring(rest, 1, 1)
+    fault, end = served & first.isin(*FAULTS), served & first.isin("*", "#")
+    out = step(out, "head", F.when(special | (c == ""), "").otherwise(F.regexp_extract(c, HEAD, 0)))
+    out = step(out, "rest", F.substring(c, F.length(head) + 1, F.length(c)))
+    out = step(out, "prefix", F.when(served & (first != "") & ~fault & ~end, F.regexp_extract(rest, RALLY, 0)).otherwise(""))
+    out = step(out, "twice", (prefix != "") & prefix.rlike(TWICE))
+    tail = F.substring(rest, F.length(prefix) + 1, F.length(rest))
+    out = step(out, "mark", F.when((prefix != "") & ~twice, F.substring(F.regexp_extract(tail, f"^{ENDING}", 0), -1, 1)).otherwise(""))
+    rally = F.when(mark == "*", "winner").when(mark == "@", "unforced_error").when(mark == "#", "forced_error").when(mark == "C", "incorrect_challenge")
+    outcome = F.when(fault, "serve_fault").when(end & (first == "*"), "ace").when(end, "unreturnable").when(served & (first != ""), rally).when(served, "incomplete")
+    shots = F.when(twice, types(F.regexp_extract(prefix, f"^(.*?)(?:{TWICE})", 1)) - 1).otherwise(types(prefix))
+    names = F.create_map(*[F.lit(x) for kv in EXCEPTIONAL.items() for x in kv])
+    told = F.struct(F.when(served, F.translate(head, "c+", "")).alias("direction"), shots.cast("int").alias("shots"), outcome.alias("outcome"), F.when(special, F.element_at(names, c)).alias("exceptional"))
+    return out.select(*kept, told.alias(name))

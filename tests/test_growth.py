@@ -6,7 +6,9 @@ import statistics
 import numpy as np
 from pyspark.sql import functions as F
 
+from pointweave.functions import metrics, notation
 from pointweave.operators import counting, pairs, resampling, studies
+from pointweave.plans import registry
 
 
 def test_equal_profiles_meet_once(spark):
@@ -91,3 +93,23 @@ def test_many_small_ranges_share_a_frame(monkeypatch):
     monkeypatch.setattr(counting, "FRAME", 100)
     frames = list(tally.frames(["key", "rep"]))
     assert len(frames) == 6 and sum(map(len, frames)) == 600
+
+
+def test_wide_stages_are_compiled(spark):
+    """No generated method of the notation metrics is too long for the JVM's compiler, which leaves longer ones interpreted."""
+    registry.queries()["G1_serve_metrics"](spark, "/root/testdata/sf0.001")
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_brief_parse(spark):
+    """The fields that counters read are those of the whole parse, without a lambda over shots in the plan."""
+    rng = random.Random(5)
+    shot = lambda: rng.choice(notation.TYPES) + "".join(rng.choice(notation.MODIFIERS) for _ in range(rng.choice((0, 0, 1, 2, 3)))) + rng.choice(("", "1", "07", "3"))
+    cells = ["", None, *notation.EXCEPTIONAL, "4*", "c6+#", "5nx", "0", "4f--1@", "5f1b--2f*"]
+    cells += [rng.choice(("", "c", "~")) + rng.choice(notation.SERVES) + rng.choice(("", "+")) + "".join(shot() for _ in range(rng.randrange(5))) + rng.choice(("", "n@", "*", "#", "C", "d", "w", "@x")) for _ in range(500)]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    kept = ("direction", "shots", "outcome", "exceptional")
+    whole = df.withColumn("p", notation.parse_notation(F.col("c"))).select("c", *[f"p.{k}" for k in kept])
+    brief = notation.parse_briefly(df, "c", "p").select("c", *[f"p.{k}" for k in kept])
+    assert whole.collect() == brief.collect()
+    assert "lambda" not in metrics.parsed_cells(df, F.col("c"), F.col("c"), F.lit("0-0"))._jdf.queryExecution().optimizedPlan().toString()
