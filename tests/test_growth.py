@@ -1,12 +1,13 @@
 """What a step costs as its input grows: rows that are dealt, draws that are worked out where their values are."""
 
 import random
+import re
 import statistics
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from pointweave.functions import metrics, notation
+from pointweave.functions import metrics, notation, text
 from pointweave.operators import counting, pairs, resampling, studies
 from pointweave.plans import registry
 
@@ -113,3 +114,12 @@ def test_brief_parse(spark):
     brief = notation.parse_briefly(df, "c", "p").select("c", *[f"p.{k}" for k in kept])
     assert whole.collect() == brief.collect()
     assert "lambda" not in metrics.parsed_cells(df, F.col("c"), F.col("c"), F.lit("0-0"))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_identities_look_characters_up(spark):
+    """No pattern of an identity's expression lists the characters beyond ASCII."""
+    df = spark.createDataFrame([("Ćirić ½ ﬁn  ŉ",), ("plain",), (None,)], "name string")
+    told = df.select(text.normalise_identity(F.col("name")).alias("x"))
+    assert [r["x"] for r in told.collect()] == ["ciric 12 fin n", "plain", None]
+    patterns = re.findall(r"RLIKE\(name#\d+, ([^)]*)\)|name#\d+ RLIKE (\S+)", told._jdf.queryExecution().optimizedPlan().toString(), re.I)
+    assert patterns and max(len(x) for p in patterns for x in p) < 100
