@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from pointweave.functions import text
 from pointweave.operators import audit, charting, resolve
+from pointweave.operators.store import written
 from pointweave.plans.charting import METRICS, charted
 from pointweave.plans.registry import RESOLVED, _resolved, r6, read, registered
 from pointweave.sources import readers
@@ -48,13 +49,13 @@ def _cell_value(row: str, c: str, a: str = "") -> str:
 
 
 def _overview(spark: SparkSession, d: str) -> DataFrame:
-    c = _computed(spark, d)
+    c = written(_computed(spark, d))  # both sides are read from it
     published = c.where(PUBLISHED_IF).select("match_id", "player", *[(F.col(m) + F.expr(v)).alias(m) for m, v in NOISE.items()])
     return audit.overview_rows(c, published, ["match_id", "player"])
 
 
 def _directions(spark: SparkSession, d: str) -> DataFrame:
-    c = _computed(spark, d)
+    c = written(_computed(spark, d))  # both sides are read from it
     rows = F.array(*[F.struct(F.lit(r).alias("row"), F.expr(ROW_IF[r]).alias("there"), *[F.expr(_cell_value(r, x)).cast("long").alias(x) for x in audit.CELLS]) for r in audit.ROWS])
     published = c.select("match_id", "player", F.explode(rows).alias("x")).where("x.there").select("match_id", "player", "x.*").drop("there")
     return audit.direction_rows(c, published, ["match_id", "player"])

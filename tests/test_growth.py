@@ -123,3 +123,10 @@ def test_identities_look_characters_up(spark):
     assert [r["x"] for r in told.collect()] == ["ciric 12 fin n", "plain", None]
     patterns = re.findall(r"RLIKE\(name#\d+, ([^)]*)\)|name#\d+ RLIKE (\S+)", told._jdf.queryExecution().optimizedPlan().toString(), re.I)
     assert patterns and max(len(x) for p in patterns for x in p) < 100
+
+
+def test_reconciled_sides_are_computed_once(spark):
+    """Both sides of a reconciliation read the written counters: neither parses points again."""
+    for name in ("G10_reconcile_overview", "O4_examples"):
+        plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_partkey" not in plan and plan.count("serve_pts") + plan.count("direction_1") > 0
