@@ -1,9 +1,10 @@
 """Delimited files with quoted line breaks, read in as many tasks as there are byte ranges.
 
 A line tells nothing about whether it begins a record: that depends on all quotes before it. So a first pass counts the
-quotes of each range of each file, running sums of these counts tell in which state a range begins, and a second pass
-puts the lines of each range together to records. What a range's end cuts is put together afterwards: two pieces per
-range at most.
+quotes of each range of each file, and running sums of these counts tell in which state a range begins. Where a range
+begins outside quotes and no line of it leaves a quote open, each line is a record and is parsed as it is read. A second
+pass puts the lines of the other ranges together to records. What a range's end cuts is put together afterwards: two
+pieces per range at most.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import csv
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,14 +35,34 @@ def lines(spark: SparkSession, paths: str | list[str], **options: str) -> DataFr
 
 
 def range_states(rows: DataFrame) -> DataFrame:
-    """(file, range, first_line, first_text, open): whether a range begins inside quotes, and its first line.
+    """(file, range, first_line, first_text, open, plain): whether a range begins inside quotes, its first line, and whether
+    each of its lines is a record.
 
-    One pass over all files, which also gives the first lines that headers are read from; a row per range.
+    One pass over all files adds up quotes in tasks that hash ranges and sort no lines; another takes the first line of each
+    file, which headers are read from (first_text is null for later ranges). A row per range.
     """
     quotes = F.length("text") - F.length(F.replace(F.col("text"), F.lit('"')))
-    per = rows.groupBy("file", "range").agg(F.sum(quotes).alias("quotes"), F.min("line").alias("first_line"), F.min_by("text", "line").alias("first_text"))
+    per = rows.groupBy("file", "range").agg(F.sum(quotes).alias("quotes"), F.count_if(quotes % 2 == 1).alias("left_open"), F.min("line").alias("first_line"))
+    per = written(per)
+    begun = per.where("range = 0").select(F.col("first_line").alias("line"))
+    begun = F.broadcast(begun) if begun.count() <= MOST_RANGES else begun
+    heads = rows.where("range = 0").join(begun, "line").select("file", "range", F.col("text").alias("first_text"))
+    per = per.join(heads, ["file", "range"], "left")
     before = F.sum("quotes").over(W.partitionBy("file").orderBy("range").rowsBetween(W.unboundedPreceding, -1))
-    return per.select("file", "range", "first_line", "first_text", (F.coalesce(before, F.lit(0)) % 2 == 1).alias("open"))
+    begins_open = F.coalesce(before, F.lit(0)) % 2 == 1
+    return per.select("file", "range", "first_line", "first_text", begins_open.alias("open"), (~begins_open & (F.col("left_open") == 0)).alias("plain"))
+
+
+def is_header() -> Column:
+    """Whether a line, beside its range's state, is its file's header."""
+    return (F.col("range") == 0) & (F.col("line") == F.col("first_line"))
+
+
+def plain_records(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """(file, range, line, text): the lines of plain ranges but for headers."""
+    told = states.where("plain").select("file", "range", "first_line")
+    joined = rows.join(F.broadcast(told) if states.count() <= MOST_RANGES else told, ["file", "range"])
+    return joined.where(~is_header()).select("file", "range", "line", "text")
 
 
 def pieces(rows: DataFrame, states: DataFrame) -> DataFrame:
@@ -83,8 +104,7 @@ def pieces(rows: DataFrame, states: DataFrame) -> DataFrame:
         joined = rows.join(F.broadcast(told), ["file", "range"])
     else:
         joined = rows.join(told, ["file", "range"]).repartition("file", "range").sortWithinPartitions("file", "range", "line")
-    header = (F.col("range") == 0) & (F.col("line") == F.col("first_line"))
-    return joined.select("file", "range", "line", "text", "open", header.alias("header")).mapInArrow(run, PIECE)
+    return joined.select("file", "range", "line", "text", "open", is_header().alias("header")).mapInArrow(run, PIECE)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -123,9 +143,13 @@ def read_records(spark: SparkSession, paths: str | list[str], sep: str = ",", na
     rows = lines(spark, paths, **options).where(F.col("file").rlike(name))
     states = written(range_states(rows))
     names = header_of(states, sep)
-    parts = written(pieces(rows, states))
-    records = whole_records(parts)
+    records = plain_records(rows, states)
+    quoted = states.where("NOT plain")
+    if not quoted.isEmpty():
+        records = records.unionByName(whole_records(written(pieces(rows, quoted))))
     schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
+    text, quoted = F.col("text"), F.col("text").rlike("[\"\r]")  # other lines are parted at each separator
     cells = F.from_csv(F.regexp_replace("text", "\r$", ""), F.lit(schema), {"sep": sep, "escape": '"', "quote": '"', "multiLine": "true"})
-    told = records.where("text NOT IN ('', '\r')").select(cells.alias("c"), "file", F.struct("range", "line").alias("ordinal"))
-    return told.select(*[F.coalesce(f"c.c{i}", F.lit("")).alias(n) for i, n in enumerate(names)], F.col("file").alias("source_file"), "ordinal")
+    parts = F.when(~quoted, F.split(text, "[" + ("\\" + sep if sep in "\\^]&-[" else sep) + "]")).alias("s")
+    told = records.where("text NOT IN ('', '\r')").select(parts, F.when(quoted, cells).alias("c"), "file", F.struct("range", "line").alias("ordinal"))
+    return told.select(*[F.coalesce(F.get("s", F.lit(i)), f"c.c{i}", F.lit("")).alias(n) for i, n in enumerate(names)], F.col("file").alias("source_file"), "ordinal")

@@ -69,3 +69,11 @@ def test_headers_differ(spark, tmp_path):
     (tmp_path / "b.csv").write_text("k,w\n1,2\n")
     with pytest.raises(ValueError, match="headers differ"):
         readers.read_csv(spark, str(tmp_path), ["k"])
+
+
+def test_plain_ranges_are_parsed_as_they_are_read(spark, tmp_path, monkeypatch):
+    """No task puts lines together that are records, whether or not they have quotes."""
+    (tmp_path / "x.csv").write_text('k,v,w\n1, a ,\n2,"b, ""c""",d\n3\n\n4,,,e\n')
+    monkeypatch.setattr(records, "pieces", None)
+    got = {tuple(r) for r in readers.read_csv(spark, str(tmp_path / "x.csv"), ["k"]).select("k", "v", "w").collect()}
+    assert got == {("1", " a ", ""), ("2", 'b, "c"', "d"), ("3", "", ""), ("4", "", "")}

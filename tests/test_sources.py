@@ -95,3 +95,11 @@ def test_states_that_cannot_be_read(spark, column, value, error):
     good = {"match_id": "7", "sets_p1": "1", "sets_p2": "0", "games_p1": "[6, 2]", "games_p2": "[4, 1]", "points_p1": "40", "points_p2": "A", "server": "1", "is_tiebreak": "False", "timestamp_utc": "t"}
     row = readers.parsed_states(spark.createDataFrame([good | {column: value}])).first()
     assert row["error"] == error and (error or (row["sets_1"], row["sets_2"]) == (1, 2))
+
+
+def test_aggregates_are_not_sorted(spark, tmp_path):
+    """Tasks hash the keys of an aggregate file's rows: no sort holds what a task reads."""
+    (tmp_path / "o.csv").write_text("match_id,player,set,serve_pts\nm1,A,Total,04\nm1,A,Total,4\nm2,A,Total,5\nm2,A,Total,6\n")
+    for df in readers.read_aggregate_rows(spark, [str(tmp_path / "o.csv")], "set", ["Total"], ["serve_pts"]):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in plan and "HashAggregate" in plan
