@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from pointweave.functions import text
 from pointweave.operators.integrity import collapse, grouped, require
+from pointweave.operators.store import written
 from pointweave.sources.records import read_records
 from pointweave.sources.shared import shared_dir
 
@@ -108,24 +109,28 @@ def read_aggregate_rows(spark: SparkSession, paths: list[str], row_field: str, a
 
 
 def profile_aggregate(spark: SparkSession, path: str, safe_ids: DataFrame, charted_ids: DataFrame) -> DataFrame:
-    """One row on an aggregate file, whatever its columns: rows, ids, players, duplicates of its grain and numbers."""
+    """One row on an aggregate file, whatever its columns: rows, ids, players, duplicates of its grain and numbers.
+
+    The file is parsed once; ids and players are columns of the grain and are read from its groups, which are written.
+    Copies are compared by two hashes of all columns.
+    """
     raw = read_csv(spark, [path], ["match_id"]).drop("source_file")
     keys = grain(raw.columns)
     numbers = [c for c in raw.columns if c not in keys]
     players = [c for c in ("player", "server", "returner") if c in raw.columns]
-    cells = F.array(*[F.trim(F.col(c)) for c in numbers])
-    filled = F.filter(cells, lambda x: x != "")
-    told = raw.withColumns({"pw_filled": F.size(filled), "pw_bad": F.size(F.filter(filled, lambda x: x.try_cast("int").isNull())), "pw_low": F.size(F.filter(filled, lambda x: x.try_cast("int") < 0))})
-    row = F.struct(*raw.columns)
-    g = told.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), (~F.min(row).eqNullSafe(F.max(row))).alias("conflicting"), *[F.sum(c).alias(c) for c in ("pw_filled", "pw_bad", "pw_low")])
+    many_of = lambda f: sum((f(F.trim(F.col(c))).cast("int") for c in numbers), F.lit(0))
+    told = raw.withColumns({"pw_filled": many_of(lambda x: x != ""), "pw_bad": many_of(lambda x: (x != "") & x.try_cast("int").isNull()), "pw_low": many_of(lambda x: F.coalesce(x.try_cast("int") < 0, F.lit(False)))})
+    told = told.withColumns({"pw_first": F.xxhash64(*raw.columns), "pw_second": F.xxhash64(F.lit(1), *raw.columns)})
+    differ = (F.min("pw_first") != F.max("pw_first")) | (F.min("pw_second") != F.max("pw_second"))
+    g = written(told.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"), differ.alias("conflicting"), *[F.sum(c).alias(c) for c in ("pw_filled", "pw_bad", "pw_low")]))
     many = F.col("copies") > 1
     counts = g.agg(
         F.sum("copies").alias("rows"), F.sum(F.col("copies") - 1).alias("duplicate_rows"), F.count_if(many).alias("duplicate_groups"), F.count_if(many & ~F.col("conflicting")).alias("exact_groups"), F.count_if("conflicting").alias("conflicting_groups"),
         F.count_distinct(F.when(F.col("conflicting"), F.col("match_id"))).alias("conflicting_matches"), F.sum("pw_filled").alias("numbers"), F.sum("pw_bad").alias("invalid_numbers"), F.sum("pw_low").alias("negative_numbers"),
     )
-    ids = raw.select("match_id").distinct().join(safe_ids.select("match_id", F.lit(True).alias("is_safe")), "match_id", "left").join(charted_ids.select("match_id", F.lit(True).alias("is_charted")), "match_id", "left")
+    ids = g.select("match_id").distinct().join(safe_ids.select("match_id", F.lit(True).alias("is_safe")), "match_id", "left").join(charted_ids.select("match_id", F.lit(True).alias("is_charted")), "match_id", "left")
     met = ids.agg(F.count(F.lit(1)).alias("matches"), F.count_if(F.col("is_safe").isNull()).alias("orphan_ids"), F.count_if("is_charted").alias("charted_covered"))
-    names = raw.select(F.explode(F.array(*[F.nullif(F.col(c), F.lit("")) for c in players])).alias("name")) if players else raw.select(F.lit(None).cast("string").alias("name"))
+    names = g.select(F.explode(F.array(*[F.nullif(F.col(c), F.lit("")) for c in players])).alias("name")) if players else g.select(F.lit(None).cast("string").alias("name"))
     who = names.agg(F.count_distinct("name").alias("players"))
     return counts.crossJoin(F.broadcast(met)).crossJoin(F.broadcast(who))  # one row each
 
