@@ -146,28 +146,74 @@ def _named(cell: Column, head: Column, rest: Column, special: Column, served: Co
     )
 
 
-def parse_briefly(df: DataFrame, cell: str, name: str) -> DataFrame:
-    """Add ``name``: struct(direction, shots, outcome, exceptional) of a column of cells, as in ``parse_notation``.
+def _stepped(df: DataFrame, cell: str) -> tuple[DataFrame, dict[str, Column]]:
+    """A column of cells taken apart into columns in place of lambdas, which Spark does not compile: no shot is taken apart.
 
-    Columns in place of lambdas, which Spark does not compile: no shot is taken apart. A rally has a repeated modifier
-    where its text has, as types and digits part the shots' modifiers; the shots before it are the types before it, but one.
+    A rally has a repeated modifier where its text has, as types and digits part the shots' modifiers; the shots before it
+    (``kept``) are the types before it, but one. ``marked`` is the ending that counts.
     """
-    kept = df.columns
-    c, head, rest, prefix, twice, mark = (F.col(f"pw_cell_{k}") for k in ("c", "head", "rest", "prefix", "twice", "mark"))
+    names = ("c", "head", "rest", "prefix", "twice", "kept", "marked")
+    c, head, rest, prefix, twice, _, _ = (F.col(f"pw_cell_{k}") for k in names)
     step = lambda d, k, v: d.withColumn(f"pw_cell_{k}", v)
-    types = lambda t: F.length(t) - F.length(F.translate(t, TYPES, ""))
     out = step(df, "c", F.coalesce(F.col(cell), F.lit("")))
     special, served, first = c.isin(*EXCEPTIONAL), head != "", F.substring(rest, 1, 1)
     fault, end = served & first.isin(*FAULTS), served & first.isin("*", "#")
+    rally = served & (first != "") & ~fault & ~end
     out = step(out, "head", F.when(special | (c == ""), "").otherwise(F.regexp_extract(c, HEAD, 0)))
     out = step(out, "rest", F.substring(c, F.length(head) + 1, F.length(c)))
-    out = step(out, "prefix", F.when(served & (first != "") & ~fault & ~end, F.regexp_extract(rest, RALLY, 0)).otherwise(""))
+    out = step(out, "prefix", F.when(rally, F.regexp_extract(rest, RALLY, 0)).otherwise(""))
     out = step(out, "twice", (prefix != "") & prefix.rlike(TWICE))
+    before = F.regexp_extract(prefix, f"^(.*?)(?:{TWICE})", 1)
+    out = step(out, "kept", F.when(twice, F.regexp_extract(before, f"^(.*)[{TYPES}][^{TYPES}]*$", 1)).otherwise(prefix))
     tail = F.substring(rest, F.length(prefix) + 1, F.length(rest))
-    out = step(out, "mark", F.when((prefix != "") & ~twice, F.substring(F.regexp_extract(tail, f"^{ENDING}", 0), -1, 1)).otherwise(""))
+    out = step(out, "marked", F.when((prefix != "") & ~twice, F.regexp_extract(tail, f"^{ENDING}", 0)).otherwise(""))
+    return out, {k: F.col(f"pw_cell_{k}") for k in names} | {"special": special, "served": served, "first": first, "fault": fault, "end": end, "rally": rally, "tail": tail}
+
+
+def _brief(p: dict[str, Column]) -> list[Column]:
+    """direction, shots, outcome and exceptional of a cell taken apart."""
+    mark = F.substring(p["marked"], -1, 1)
     rally = F.when(mark == "*", "winner").when(mark == "@", "unforced_error").when(mark == "#", "forced_error").when(mark == "C", "incorrect_challenge")
-    outcome = F.when(fault, "serve_fault").when(end & (first == "*"), "ace").when(end, "unreturnable").when(served & (first != ""), rally).when(served, "incomplete")
-    shots = F.when(twice, types(F.regexp_extract(prefix, f"^(.*?)(?:{TWICE})", 1)) - 1).otherwise(types(prefix))
+    outcome = F.when(p["fault"], "serve_fault").when(p["end"] & (p["first"] == "*"), "ace").when(p["end"], "unreturnable").when(p["rally"], rally).when(p["served"], "incomplete")
+    shots = F.length(p["kept"]) - F.length(F.translate(p["kept"], TYPES, ""))
     names = F.create_map(*[F.lit(x) for kv in EXCEPTIONAL.items() for x in kv])
-    told = F.struct(F.when(served, F.translate(head, "c+", "")).alias("direction"), shots.cast("int").alias("shots"), outcome.alias("outcome"), F.when(special, F.element_at(names, c)).alias("exceptional"))
-    return out.select(*kept, told.alias(name))
+    return [F.when(p["served"], F.translate(p["head"], "c+", "")).alias("direction"), shots.cast("int").alias("shots"), outcome.alias("outcome"), F.when(p["special"], F.element_at(names, p["c"])).alias("exceptional")]
+
+
+def parse_briefly(df: DataFrame, cell: str, name: str) -> DataFrame:
+    """Add ``name``: struct(direction, shots, outcome, exceptional) of a column of cells, as in ``parse_notation``."""
+    out, p = _stepped(df, cell)
+    return out.select(*df.columns, F.struct(*_brief(p)).alias(name))
+
+
+def parse_counted(df: DataFrame, cell: str) -> DataFrame:
+    """Add what counters read, as ``parse_notation`` gives it: direction, shots, outcome, exceptional, issue, issue_at, volley
+    and STATES; and of the shots how many have a known direction (``aimed``), and whether the return has one
+    (``return_aimed``) and a known depth (``return_deep``)."""
+    out, p = _stepped(df, cell)
+    c, head, rest, prefix, twice, kept, marked, tail = (p[k] for k in ("c", "head", "rest", "prefix", "twice", "kept", "marked", "tail"))
+    special, served, fault, end, rally = (p[k] for k in ("special", "served", "fault", "end", "rally"))
+    code = F.when(twice, "duplicate_modifier").when((marked != "") & (F.length(tail) > F.length(marked)), "trailing_after_rally_outcome").when(marked != "", None).when(F.length(tail) > 0, "expected_shot_type").otherwise("missing_point_ending")
+    long = F.length(rest) > 1
+    issue = F.when(c == "", "empty_cell").when(special, None).when(~served, "expected_serve_direction").when(fault & long, "trailing_after_serve_fault").when(end & long, "trailing_after_serve_outcome").when(rally, code)
+    out = out.withColumn("pw_cell_issue", issue)
+    issue = F.col("pw_cell_issue")
+    marks = F.regexp_extract(F.substring(prefix, F.length(kept) + 2, F.length(prefix)), f"^[{MODIFIERS}]*", 0)
+    twice_in = lambda m: F.regexp_extract(marks, f"^[^{m}]*{m}[^{m}]*{m}", 0)
+    again = [F.nullif(F.length(twice_in(f"\\{m}")), F.lit(0)) for m in MODIFIERS]  # characters up to a modifier's second place
+    ended = F.when(twice, F.length(kept) + F.least(*again)).otherwise(F.length(prefix) + F.length(marked))
+    at = F.when(c == "", 0).when(issue.isNull(), None).when(~served, F.length(F.regexp_extract(c, "^c*", 0))).when(fault | end, F.length(head) + 1).otherwise(F.length(head) + ended)
+    none = F.when(special, "not_applicable").when(~served, "invalid")
+    unread = issue.isin("duplicate_modifier", "expected_shot_type")
+    digit, volley = F.translate(head, "c+", ""), F.when(served, head.endswith("+"))
+    states = [
+        F.when(digit == "0", "unknown").otherwise("observed"),
+        F.when(volley, "observed").otherwise("absent"),
+        F.when(rally & unread, F.when(kept != "", "partial").otherwise("invalid")).when(rally, "observed").when(fault | end, "not_applicable").otherwise("absent"),
+        F.when(rally & unread, "invalid").when(rally & (issue == "missing_point_ending"), "absent").when(rally | fault | end, "observed").otherwise("absent"),
+    ]
+    opening = f"^[{TYPES}][{MODIFIERS}]*"
+    return out.select(
+        *df.columns, *_brief(p), issue.alias("issue"), at.cast("int").alias("issue_at"), volley.alias("volley"), *[F.coalesce(none, v).alias(n) for n, v in zip(STATES, states, strict=True)],
+        (F.length(kept) - F.length(F.translate(kept, "123", ""))).alias("aimed"), kept.rlike(f"{opening}[123]").alias("return_aimed"), kept.rlike(f"{opening}[0-3]?[789]").alias("return_deep"),
+    )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pointweave.functions.metrics import parsed_cells, serve_metrics
-from pointweave.functions.notation import DETAILS, EXCEPTIONAL, FAULTS, MODIFIERS, SERVES, STATES, TYPES, parse_notation
+from pointweave.functions.notation import DETAILS, EXCEPTIONAL, FAULTS, MODIFIERS, SERVES, STATES, TYPES, parse_counted
 
 #: Characters that the notation knows: its alphabets, digits, endings, lets and whole-point codes.
 DOCUMENTED = "".join(sorted({*TYPES, *MODIFIERS, *SERVES, *FAULTS, *DETAILS, *"0123789", *"@#*Cc", *EXCEPTIONAL}))
@@ -26,38 +26,43 @@ def notation_counters(points: DataFrame, cells: dict[str, str]) -> DataFrame:
     whole-point codes, component states, characters and attributes; counts of 0 are left out.
 
     Equal cells are counted first, so each different cell is parsed once and characters are exploded from distinct
-    cells only.
+    cells only. Of cells that are alike in all names, numbers are added up before names become rows; these are few.
     """
     pairs = F.array(*[F.struct(F.lit(name).alias("field"), F.col(c).alias("cell")) for name, c in cells.items()])
     rows = points.select(F.explode(pairs).alias("x")).select("x.*").where("cell <> ''").groupBy("field", "cell").agg(F.count(F.lit(1)).alias("n"))
-    parsed = rows.select("field", "cell", "n", parse_notation(F.col("cell")).alias("p"))
-    shots = F.col("p.rally")
-    at = F.col("p.issue_at")
+    parsed = parse_counted(rows, "cell")
+    at = F.col("issue_at")
     mark = F.when(at < F.length("cell"), F.substring("cell", at + 1, F.lit(1))).otherwise("<end>")
-    served = F.col("p.direction").isNotNull()
-    first = F.get(shots, F.lit(0))
-    one = lambda kind, name, times=F.lit(1): F.struct(F.lit(kind).alias("kind"), name.alias("name"), times.cast("long").alias("times"))
+    served = F.col("direction").isNotNull()
+    numbers = {
+        "undocumented": undocumented(F.col("cell")),
+        "regular_serve_cells": served,
+        "known_serve_direction": known(F.col("direction")),
+        "serve_and_volley_attempts": F.coalesce(F.col("volley"), F.lit(False)),
+        "parsed_shots": F.col("shots"),
+        "shots_with_known_direction": F.col("aimed"),
+        "parsed_returns": F.col("shots") > 0,
+        "returns_with_known_direction": F.col("return_aimed"),
+        "returns_with_known_depth": F.col("return_deep"),
+    }
+    names = ["issue", "mark", "outcome", "exceptional", *STATES]
+    alike = parsed.withColumn("mark", F.when(F.col("issue").isNotNull(), mark)).groupBy("field", *names).agg(F.sum("n").alias("n"), *[F.sum(F.col("n") * v.cast("long")).alias(k) for k, v in numbers.items()])
+    one = lambda kind, name, times=F.col("n"): F.struct(F.lit(kind).alias("kind"), name.alias("name"), times.alias("n"))
     counted = [
         one("cells", F.lit("all")),
-        one("validity", F.when(F.col("p.valid"), "valid").otherwise("invalid")),
-        one("issue", F.col("p.issue")),
-        one("issue character", F.concat_ws(":", F.col("p.issue"), F.when(F.col("p.issue").isNotNull(), mark)), F.col("p.issue").isNotNull().cast("int")),
-        one("outcome", F.col("p.outcome")),
-        one("outcome", F.col("p.exceptional")),
-        *[one(s, F.col(f"p.{s}")) for s in STATES],
-        one("undocumented", F.lit("cells"), undocumented(F.col("cell")).cast("int")),
-        one("attribute", F.lit("regular_serve_cells"), served.cast("int")),
-        one("attribute", F.lit("known_serve_direction"), known(F.col("p.direction")).cast("int")),
-        one("attribute", F.lit("serve_and_volley_attempts"), F.coalesce(F.col("p.volley"), F.lit(False)).cast("int")),
-        one("attribute", F.lit("parsed_shots"), F.size(shots)),
-        one("attribute", F.lit("shots_with_known_direction"), F.size(F.filter(shots, lambda s: known(s["direction"])))),
-        one("attribute", F.lit("parsed_returns"), (F.size(shots) > 0).cast("int")),
-        one("attribute", F.lit("returns_with_known_direction"), known(first["direction"]).cast("int")),
-        one("attribute", F.lit("returns_with_known_depth"), known(first["depth"]).cast("int")),
+        one("validity", F.when(F.col("issue").isNull(), "valid").otherwise("invalid")),
+        one("issue", F.col("issue")),
+        one("issue character", F.concat(F.col("issue"), F.lit(":"), F.col("mark"))),
+        one("outcome", F.col("outcome")),
+        one("outcome", F.col("exceptional")),
+        *[one(s, F.col(s)) for s in STATES],
+        one("undocumented", F.lit("cells"), F.col("undocumented")),
+        *[one("attribute", F.lit(k), F.col(k)) for k in numbers if k != "undocumented"],
     ]
-    letters = F.transform(F.split("cell", ""), lambda ch: one("character", ch))
-    told = parsed.select("field", "n", F.explode(F.concat(F.array(*counted), letters)).alias("c")).where("c.name is not null and c.times > 0")
-    return told.groupBy("field", "c.kind", "c.name").agg(F.sum(F.col("n") * F.col("c.times")).alias("n"))
+    told = alike.select("field", F.explode(F.array(*counted)).alias("c")).select("field", "c.*")
+    letters = rows.select("field", F.explode(F.split("cell", "")).alias("name"), "n").groupBy("field", "name").agg(F.sum("n").alias("n"))
+    every = told.unionByName(letters.select("field", F.lit("character").alias("kind"), "name", "n"))
+    return every.where("name is not null and n > 0").groupBy("field", "kind", "name").agg(F.sum("n").alias("n"))
 
 
 def metric_name(counter: str) -> str:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pointweave.functions import metrics, notation, text
-from pointweave.operators import counting, pairs, resampling, studies
+from pointweave.operators import charting, counting, pairs, resampling, studies
 from pointweave.plans import registry
 
 
@@ -130,3 +130,20 @@ def test_reconciled_sides_are_computed_once(spark):
     for name in ("G10_reconcile_overview", "O4_examples"):
         plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "l_partkey" not in plan and plan.count("serve_pts") + plan.count("direction_1") > 0
+
+
+def test_counted_parse(spark):
+    """What counters read of a cell is what the whole parse tells, and counters' plan has no lambda, which Spark does not compile."""
+    rng = random.Random(6)
+    shot = lambda: rng.choice(notation.TYPES) + "".join(rng.choice(notation.MODIFIERS) for _ in range(rng.choice((0, 0, 1, 2, 3, 5)))) + rng.choice(("", "1", "07", "3", "0"))
+    cells = ["", None, *notation.EXCEPTIONAL, "4*", "c6+#", "5nx", "0", "cc", "4f--1@", "5f1b--2f*", "6f-+=+-1", "4f^^"]
+    cells += [rng.choice(("", "c", "~")) + rng.choice(notation.SERVES) + rng.choice(("", "+")) + "".join(shot() for _ in range(rng.randrange(5))) + rng.choice(("", "n@", "*", "#", "C", "d", "w", "@x")) for _ in range(800)]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    kept = ("direction", "shots", "outcome", "exceptional", "issue", "issue_at", "volley", *notation.STATES)
+    whole = df.withColumn("p", notation.parse_notation(F.col("c"))).select("c", *[f"p.{k}" for k in kept], "p.rally").collect()
+    for w, b in zip(whole, notation.parse_counted(df, "c").collect(), strict=True):
+        aimed = [s["direction"] not in (None, "0") for s in w["rally"]]
+        deep = bool(w["rally"]) and w["rally"][0]["depth"] not in (None, "0")
+        assert ([w[k] for k in kept], sum(aimed), aimed[:1] == [True], deep) == ([b[k] for k in kept], b["aimed"], b["return_aimed"], b["return_deep"]), w["c"]
+    plan = charting.notation_counters(df, {"1st": "c"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan
